@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from basketry.functions.itemsets import rule_order
 from basketry.operators.redundancy import drop_redundant
 from basketry.operators.rules import generate_rules
 from basketry.operators.support import itemset_support
-from basketry.plans.scratch import materialize
+from basketry.plans.scratch import materialize, materialize_with
 from basketry.plans.store import WIDTH, BasketStore, prepare, prune, restrict_to_head
 
 log = logging.getLogger("basketry")
@@ -30,6 +31,8 @@ log = logging.getLogger("basketry")
 # all counted.  Each gives at most about 20,000 itemsets.
 HEADS = {2: 200, 3: 50, 4: 27}
 
+SMALL_LEVEL = 1000  # itemsets up to which a level is tested for candidates of the next
+
 
 # ---------------------------------------------------------------- one level
 
@@ -54,16 +57,45 @@ def _count(state: DataFrame) -> DataFrame:
     return state.groupBy("items").agg(F.count("*").alias("support"))
 
 
-def _frequent(state: DataFrame, wide: DataFrame | None, n_wide: int, tau: int, supports: DataFrame) -> DataFrame:
-    """Itemsets of ``state`` with support >= tau, wide baskets included."""
+def _frequent(
+    state: DataFrame, wide: DataFrame | None, n_wide: int, tau: int, supports: DataFrame
+) -> tuple[DataFrame, int]:
+    """Itemsets of ``state`` with support >= tau, wide baskets included, and their number."""
     counts = _count(state)
+    size = F.count("*").alias("n")
     if wide is None:
-        return materialize(counts.where(F.col("support") >= tau), "level")
+        level, seen = materialize_with(counts.where(F.col("support") >= tau), "level", size)
+        return level, seen["n"]
     # fewer than tau baskets are wide, so tau - n_wide >= 1 narrow ones hold the itemset
     candidates = materialize(counts.where(F.col("support") >= tau - n_wide), "candidates")
     extra = itemset_support(wide, candidates, supports=supports).withColumnRenamed("support", "extra")
     total = candidates.join(extra, "items").select("items", (F.col("support") + F.col("extra")).alias("support"))
-    return materialize(total.where(F.col("support") >= tau), "level")
+    level, seen = materialize_with(total.where(F.col("support") >= tau), "level", size)
+    return level, seen["n"]
+
+
+def _may_grow(level: DataFrame, n: int) -> bool:
+    """Whether some (n + 1)-itemset has all its n-subsets in ``level``.
+
+    Saves a pass over the baskets when the level is small; a level of more than
+    ``SMALL_LEVEL`` itemsets is not looked at, the next pass decides.
+    """
+    few = level.select("items").limit(SMALL_LEVEL + 1).count()
+    if few > SMALL_LEVEL or few <= n:
+        return few > n
+    split = level.select(
+        F.slice("items", 1, n - 1).alias("prefix"), F.element_at("items", -1).alias("last")
+    )
+    longer = (
+        split.join(split.withColumnRenamed("last", "next"), "prefix")
+        .where("last < next")
+        .select(F.concat("prefix", F.array("last", "next")).alias("longer"))
+    )
+    inner = longer.select("longer", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("at")).select(
+        "longer", F.expr("filter(longer, (x, i) -> i <> at)").alias("items")
+    )
+    full = inner.join(level.select("items"), "items").groupBy("longer").agg(F.count("*").alias("n"))
+    return not full.where(F.col("n") == n + 1).isEmpty()
 
 
 class _Threshold:
@@ -94,6 +126,8 @@ def _levels(
         n += 1
         if n in known and tau.value > known[n][0]:
             level = known[n][1].where(F.col("support") >= tau.value)
+            if level.isEmpty():
+                return
         else:
             if baskets is None:
                 baskets = prune(store, tau.value)
@@ -101,13 +135,16 @@ def _levels(
                 for size in range(2, n):
                     state = _keep(_extend(state), done[size])
             longer = _extend(state)
-            level = _frequent(longer, baskets[1], baskets[2], tau.value, store.supports)
-        if level.isEmpty():
-            return
+            level, size = _frequent(longer, baskets[1], baskets[2], tau.value, store.supports)
+            if not size:
+                return
         yield n, level
+        level = level.where(F.col("support") >= tau.value)
+        if n == max_len or not _may_grow(level, n):
+            return
         done[n] = level
-        if baskets is not None and n != max_len:
-            state = _keep(longer, level.where(F.col("support") >= tau.value))
+        if baskets is not None:
+            state = _keep(longer, level)
             if n > 2:
                 state = materialize(state, "state")
 
@@ -153,7 +190,7 @@ def pair_support(
     return pairs.select(F.col("items")[0].alias("a"), F.col("items")[1].alias("b"), "support")
 
 
-# --------------------------------------------------------------------- seeds
+# ------------------------------------------------------------- best k rules
 
 
 def _support_at(df: DataFrame, rank: int) -> int:
@@ -165,12 +202,44 @@ def _support_at(df: DataFrame, rank: int) -> int:
     return row["s"] if row["n"] == rank else 0
 
 
-def _seed(
-    store: BasketStore, k: int, minconf: float, max_len: int | None
-) -> tuple[int, dict[int, tuple[int, DataFrame]]]:
-    """A start value for the threshold and the level tables counted on the way."""
-    known: dict[int, tuple[int, DataFrame]] = {}
-    tables, start = [], 1
+def _best(rules: DataFrame, k: int, ties: bool) -> tuple[DataFrame, int, int, float]:
+    """The k best rules as a table, their number, lowest support, its confidence.
+
+    With ``ties`` all rules as good in support as the k-th are kept.
+    """
+    metrics = (F.count("*").alias("n"), F.min(F.struct("support", "confidence")).alias("last"))
+    if not ties:
+        best, seen = materialize_with(rules.orderBy(*rule_order()).limit(k), "best", *metrics)
+    else:
+        rules = materialize(rules, "rules")
+        best = rules.where(F.col("support") >= _support_at(rules, k))
+        seen = best.agg(*metrics).first().asDict()
+    if seen["n"] < k:
+        return best, seen["n"], 0, 0.0
+    return best, seen["n"], seen["last"]["support"], seen["last"]["confidence"]
+
+
+# --------------------------------------------------------------------- seeds
+
+
+@dataclass
+class _Seed:
+    """What the most frequent items tell: start value, level tables, best rules.
+
+    ``known[n] = (b, table)``: every n-itemset with support > b is in the table.
+    ``pool`` holds the k best rules of up to ``upto`` items, if these are known.
+    """
+
+    start: int
+    known: dict[int, tuple[int, DataFrame]]
+    pool: DataFrame | None = None
+    last: tuple[int, float] = (0, 0.0)
+    upto: int = 1
+
+
+def _seed(store: BasketStore, k: int, minconf: float, max_len: int | None, ties: bool) -> _Seed:
+    seed = _Seed(1, {})
+    tables = []
     for n, size in HEADS.items():
         if max_len is not None and n > max_len:
             break
@@ -180,39 +249,22 @@ def _seed(
         state = _extend(_first(restrict_to_head(store, head, size)))
         for _ in range(2, n):
             state = _extend(state)
-        counts = materialize(_count(state), "seed")
-        best = counts.agg(F.max("support")).first()[0] or 0
-        known[n] = (outside, counts)
+        counts, seen = materialize_with(_count(state), "seed", F.max("support").alias("best"))
+        seed.known[n] = (outside, counts)
         if not tables:
             tables = [head.select(F.array("item").alias("items"), "support")]
-            start = max(1, best // 2)
+            seed.start = seen["best"] or 1
         tables.append(counts)
-        floor = _support_at(generate_rules(_union(tables[1:]), store.total, minconf, _union(tables)), k)
-        if floor:
-            return floor, known
-        if outside or not best:
+        rules = generate_rules(_union(tables[1:]), store.total, minconf, _union(tables))
+        pool, found, support, confidence = _best(rules, k, ties)
+        if support:
+            seed.start = support
+            if all(support > bound for bound, _ in seed.known.values()):
+                seed.pool, seed.last, seed.upto = pool, (support, confidence), n
+            return seed
+        if outside or not seen["best"]:
             break  # longer itemsets of a few items say little about a large catalogue
-    return start, known
-
-
-# ------------------------------------------------------------- best k rules
-
-
-def _best(rules: DataFrame, k: int, ties: bool) -> tuple[DataFrame, int, int, float]:
-    """The k best rules as a table, their number, lowest support, its confidence.
-
-    With ``ties`` all rules as good in support as the k-th are kept.
-    """
-    if not ties:
-        best = materialize(rules.orderBy(*rule_order()).limit(k), "best")
-    else:
-        rules = materialize(rules, "rules")
-        cut = _support_at(rules, k)
-        best = rules.where(F.col("support") >= cut) if cut else rules
-    row = best.agg(F.count("*").alias("n"), F.min(F.struct("support", "confidence")).alias("last")).first()
-    if row["n"] < k:
-        return best, row["n"], 0, 0.0
-    return best, row["n"], row["last"]["support"], row["last"]["confidence"]
+    return seed
 
 
 def _search(
@@ -223,7 +275,7 @@ def _search(
     max_len: int | None,
     ties: bool,
     non_redundant: bool,
-    known: dict[int, tuple[int, DataFrame]],
+    seed: _Seed,
 ) -> tuple[DataFrame | None, int]:
     """One pass at a start threshold: best rules found and how many.
 
@@ -237,18 +289,26 @@ def _search(
     singles = _singles(store, start)
     levels, pool, found = [singles], None, 0
 
+    def rise(support: int, confidence: float) -> None:
+        # a perfect last rule can only be beaten by more support
+        tau.raise_to(support + 1 if confidence == 1.0 and not ties else support)
+
     def offer(rules: DataFrame) -> None:
         nonlocal pool, found
         pool = rules if pool is None else pool.unionByName(rules)
         pool, found, support, confidence = _best(pool, k, ties)
         if support:
-            # a perfect last rule can only be beaten by more support
-            tau.raise_to(support + 1 if confidence == 1.0 and not ties else support)
+            rise(support, confidence)
 
     minimal = [singles]
-    for n, level in _levels(store, tau, max_len, known):
+    for n, level in _levels(store, tau, max_len, seed.known):
         if not non_redundant:
             levels.append(level)
+            if seed.pool is not None and n <= seed.upto:
+                if n == seed.upto:
+                    pool, found = seed.pool, k
+                    rise(*seed.last)
+                continue
             offer(generate_rules(level, store.total, minconf, _union(levels)))
             continue
         # neighbours with equal support: the smaller is not closed, the larger not minimal
@@ -283,13 +343,15 @@ def _mine(
 ) -> DataFrame:
     _check(k, minconf)
     store = prepare(baskets, tid, width)
-    tau, known = _seed(store, k, minconf, max_len)
+    seed = _seed(store, k, minconf, max_len, ties)
     if start is not None:
-        tau = start
-    tau = max(tau, min_count)
+        seed.pool = None
+    tau = max(start or seed.start, min_count)
+    if tau > seed.start:
+        seed.pool = None
     shrink = 0.8 if non_redundant else 0.5
     while True:
-        rules, found = _search(store, k, minconf, tau, max_len, ties, non_redundant, known)
+        rules, found = _search(store, k, minconf, tau, max_len, ties, non_redundant, seed)
         log.info("threshold %d: %d of %d rules", tau, found, k)
         if found >= k or tau <= min_count:
             break

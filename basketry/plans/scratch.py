@@ -11,7 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,3 +36,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def materialize_with(df: DataFrame, label: str, *metrics: Column) -> tuple[DataFrame, dict]:
+    """Like ``materialize``, with aggregates over the rows taken while writing."""
+    seen = Observation()
+    table = materialize(df.observe(seen, *metrics), label)
+    return table, seen.get

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import canonical
 from basketry.operators.baskets import basket_items, tid_column
-from basketry.plans.scratch import materialize
+from basketry.plans.scratch import materialize, materialize_with
 
 WIDTH = 64  # items a basket may hold before it is treated as wide
 KEEP_SHARE = 0.9  # share of item rows that must survive for pruning to be skipped
@@ -48,31 +48,29 @@ def prepare(baskets: DataFrame, tid: str | Sequence[str] = "tid", width: int = W
     """Split ``baskets`` (item rows or item arrays) and count each item once."""
     if "items" in baskets.columns:
         clean = baskets.select(tid_column(tid).alias("tid"), canonical("items").alias("items"))
-        narrow = materialize(clean.where("size(items) BETWEEN 1 AND %d" % width), "narrow")
-        wide = materialize(clean.where(f"size(items) > {width}").select("tid", F.explode("items").alias("item")), "wide")
+        narrow_baskets = clean.where(f"size(items) BETWEEN 1 AND {width}")
+        wide = clean.where(f"size(items) > {width}").select("tid", F.explode("items").alias("item"))
     else:
         rows = basket_items(baskets, tid)
         # counted before the exchange, so a huge basket is found without being gathered
-        hot = materialize(
-            rows.groupBy("tid").agg(F.count("*").alias("n")).where(F.col("n") > width).select("tid"), "hot"
-        )
-        if hot.isEmpty():
-            narrow_rows, wide = rows, None
-        else:
-            wide = materialize(rows.join(hot, "tid", "left_semi").distinct(), "wide")
-            narrow_rows = rows.join(hot, "tid", "left_anti")
-        narrow = materialize(
-            narrow_rows.groupBy("tid").agg(F.array_sort(F.collect_set("item")).alias("items")), "narrow"
-        )
-    n_wide = 0 if wide is None else wide.select("tid").distinct().count()
-    if n_wide == 0:
+        hot = rows.groupBy("tid").agg(F.count("*").alias("n")).where(F.col("n") > width).select("tid")
         wide = None
-    store = BasketStore(narrow, wide, n_wide, narrow.count() + n_wide, narrow, 0, 0, width)
-    store.supports = materialize(
-        store.item_rows().groupBy("item").agg(F.count("*").alias("support")), "supports"
+        if hot.agg(F.count("*")).first()[0]:
+            hot = materialize(hot, "hot")
+            wide = rows.join(hot, "tid", "left_semi").distinct()
+            rows = rows.join(hot, "tid", "left_anti")
+        narrow_baskets = rows.groupBy("tid").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    narrow, seen = materialize_with(narrow_baskets, "narrow", F.count("*").alias("n"))
+    n_wide = 0
+    if wide is not None:
+        wide = materialize(wide, "wide")
+        n_wide = wide.select("tid").distinct().count()
+    store = BasketStore(narrow, wide if n_wide else None, n_wide, seen["n"] + n_wide, narrow, 0, 0, width)
+    counts = store.item_rows().groupBy("item").agg(F.count("*").alias("support"))
+    store.supports, seen = materialize_with(
+        counts, "supports", F.count("*").alias("n"), F.coalesce(F.sum("support"), F.lit(0)).alias("rows")
     )
-    size = store.supports.agg(F.count("*").alias("n"), F.coalesce(F.sum("support"), F.lit(0)).alias("rows")).first()
-    store.n_items, store.n_rows = size["n"], size["rows"]
+    store.n_items, store.n_rows = seen["n"], seen["rows"]
     return store
 
 

@@ -14,11 +14,11 @@ from basketry.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "tests",
-        spark__master="local[8]",
+        spark__master="local[4]",
         spark__ui__enabled="false",
         spark__driver__memory="8g",
-        spark__sql__shuffle__partitions="4",
-        spark__default__parallelism="4",
+        spark__sql__shuffle__partitions="2",
+        spark__default__parallelism="2",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("scratch")),
     )
     session.sparkContext.setLogLevel("ERROR")
