@@ -347,13 +347,16 @@ def basket_item_counts(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.basket_item_counts(fx.part_rows(spark, sf))
 
 
-def _clustered(spark: SparkSession, sf: str) -> DataFrame:
-    lists = fx.brand_rows(spark, sf).groupBy("tid").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return clustering.cluster_baskets(lists, 3, 5)
+def cluster_baskets(spark: SparkSession, sf: str) -> DataFrame:
+    return clustering.cluster_baskets(fx.brand_rows(spark, sf), 3, 5)
 
 
-def cluster_baskets(spark: SparkSession, sf: str) -> DataFrame:
-    return _clustered(spark, sf).select("tid", items_text().alias("items"), "cluster")
+def cluster_lines(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_path(spark, "lines")
+    sinks.write_lines(sinks.basket_lines(_part_baskets(spark, sf).orderBy("tid"), None), path)
+    lines = text.index_lines(spark, path).select(F.col("no").alias("tid"), "line")
+    rows = lines.select("tid", F.explode(F.split("line", " ").cast("array<bigint>")).alias("item"))
+    return clustering.cluster_lines(clustering.cluster_baskets(rows, 3, 5), lines)
 
 
 # ---------------------------------------------------------------- streaming
@@ -438,7 +441,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rules_by_antecedent, rules_by_consequent, classifier_rules, get_rules, rules_json_roundtrip,
         rules_parquet_roundtrip, rules_norm_items, rules_as_documents, last_transaction, user_rules,
         user_rules_partial, nest_user_rules, recommend_items, expand_queries, discount_conflicts, best_partner,
-        bundles, basket_item_counts, cluster_baskets, user_day_baskets, user_session_baskets, stream_track,
+        bundles, basket_item_counts, cluster_baskets, cluster_lines, user_day_baskets, user_session_baskets, stream_track,
         stream_baskets, stream_pair_support, stream_mine, stream_recommend,
     )
 }

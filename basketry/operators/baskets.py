@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from basketry.functions.itemsets import canonical
 from basketry.plans.scratch import materialize
 
+INTEGERS = ("tinyint", "smallint", "int", "bigint")
+
 
 def tid_column(by: str | Sequence[str]) -> Column:
     """Transaction key: the column itself, or a struct of several columns."""
@@ -34,6 +36,12 @@ def basket_items(df: DataFrame, tid: str | Sequence[str] = "tid", item: str = "i
     return rows.where("tid IS NOT NULL AND item IS NOT NULL")
 
 
+def distinct_items(baskets: DataFrame, tid: str | Sequence[str] = "tid") -> DataFrame:
+    """Item rows without repeats; item arrays, one per basket, need no exchange."""
+    rows = basket_items(baskets, tid)
+    return rows.distinct() if "item" in baskets.columns else rows
+
+
 def to_baskets(items: DataFrame, by: str | Sequence[str] = ("site", "user", "group"), item: str = "item") -> DataFrame:
     """One row per transaction: the key columns and the sorted item array.
 
@@ -90,17 +98,16 @@ def basket_profile(baskets: DataFrame, tid: str | Sequence[str] = "tid") -> Data
     transaction never lands in one task.  For integer items the width of the
     item range is added.
     """
-    rows = basket_items(baskets, tid)
-    per_pair = rows.groupBy("tid", "item").agg(F.count("*").alias("n"))
-    items = per_pair.groupBy("item").agg(F.count("*").alias("pairs"))
-    of_items = items.agg(
+    rows = distinct_items(baskets, tid)
+    of_items = rows.groupBy("item").agg(F.count("*").alias("pairs")).agg(
         F.count("*").alias("n_items"),
         F.coalesce(F.sum("pairs"), F.lit(0)).alias("n_pairs"),
         F.min("item").alias("min_item"),
         F.max("item").alias("max_item"),
     )
     of_baskets = rows.groupBy("tid").agg(F.lit(1).alias("one")).agg(F.count("*").alias("n_baskets"))
-    profile = of_baskets.join(of_items)  # one row each
-    if dict(rows.dtypes)["item"] in ("tinyint", "smallint", "int", "bigint"):
+    both = of_baskets.unionByName(of_items, allowMissingColumns=True)  # one row each, merged into one
+    profile = both.agg(*[F.max(name).alias(name) for name in both.columns])
+    if dict(rows.dtypes)["item"] in INTEGERS:
         profile = profile.withColumn("item_range", F.col("max_item") - F.col("min_item") + 1)
     return profile

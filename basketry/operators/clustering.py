@@ -2,54 +2,75 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from basketry.operators.baskets import INTEGERS, assign_tids
+from basketry.plans.scratch import scratch_path
 
 
 def basket_item_counts(items: DataFrame, tid: str = "tid", item: str = "item") -> DataFrame:
-    """How often each item occurs in each basket, with its vector position.
+    """How often each item occurs in each basket: (tid, item, n).
 
-    ``position`` is item - smallest item for integer items, and is left out for
-    others.
+    For integer items ``position`` is added, the distance from the smallest.
     """
     rows = items.where(F.col(tid).isNotNull() & F.col(item).isNotNull())
     counts = rows.groupBy(F.col(tid).alias("tid"), F.col(item).alias("item")).agg(F.count("*").alias("n"))
-    if dict(rows.dtypes)[item] in ("tinyint", "smallint", "int", "bigint"):
-        low = rows.agg(F.min(item).alias("low"))  # one row
-        counts = counts.join(low).withColumn("position", F.col("item") - F.col("low")).drop("low")
+    if dict(rows.dtypes)[item] in INTEGERS:
+        low = rows.agg(F.min(item)).first()[0]
+        counts = counts.withColumn("position", F.col("item") - F.lit(low))
     return counts
 
 
-def count_vectors(baskets: DataFrame, items: str = "items") -> DataFrame:
-    """Add ``features``: a sparse vector of item counts, repeats counted.
+def count_vectors(items: DataFrame, tid: str = "tid", item: str = "item") -> DataFrame:
+    """Item counts of each basket as a sparse vector: (tid, features).
 
-    The vector has one cell per distinct item; no item is left out.  Cluster
-    centres have the same length and are held by the driver, as K-means does,
-    so the item catalogue must fit there (the baskets need not).
-    """
-    width = baskets.select(F.explode(items).alias("item")).distinct().count()
-    texts = baskets.withColumn("_items", F.col(items).cast("array<string>"))
-    model = CountVectorizer(inputCol="_items", outputCol="features", vocabSize=max(width, 1), minDF=1.0).fit(texts)
-    return model.transform(texts).drop("_items")
+    ``items`` has raw item rows; repeats count.  They are summed per (basket,
+    item) before a basket is gathered, so a row holds distinct items only.  The
+    vector has one cell per distinct item, in item order, none left out; K-means
+    keeps centres of that length on the driver, so the catalogue must fit there
+    (the baskets need not).
 
+    The cells are written as the four fields a vector is stored as and read
+    back as vectors, which keeps the whole step out of Python.
+    """
+    spark = items.sparkSession
+    counts = items.where(F.col(tid).isNotNull() & F.col(item).isNotNull()).groupBy(
+        F.col(tid).alias("tid"), F.col(item).alias("item")
+    ).agg(F.count("*").alias("n"))
+    catalogue = assign_tids(items.select(F.col(item).alias("item")).where("item IS NOT NULL").distinct(), "item")
+    size = catalogue.count()
+    cells = counts.join(catalogue.select("item", F.col("tid").cast("int").alias("cell")), "item")
+    gathered = cells.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"))
+    stored = gathered.select(
+        "tid",
+        F.struct(
+            F.lit(0).cast("tinyint").alias("type"),  # 0 marks a sparse vector
+            F.lit(size).cast("int").alias("size"),
+            F.col("cells.cell").alias("indices"),
+            F.col("cells.n").cast("array<double>").alias("values"),
+        ).alias("features"),
+    )
+    path = scratch_path(spark, "vectors")
+    stored.write.parquet(path)
+    schema = T.StructType([stored.schema["tid"], T.StructField("features", VectorUDT())])
+    return spark.read.schema(schema).parquet(path)
 
-def cluster_baskets(baskets: DataFrame, k: int, max_iter: int, seed: int = 1, items: str = "items") -> DataFrame:
-    """Add ``cluster``, the K-means cluster of each basket's item counts.
 
-    ``baskets`` holds raw item lists, one per row; repeats count.
-    """
-    vectors = count_vectors(baskets, items).persist()
-    try:
-        model = KMeans(k=k, maxIter=max_iter, seed=seed, predictionCol="cluster").fit(vectors)
-    finally:
-        vectors.unpersist()
+def cluster_baskets(
+    items: DataFrame, k: int, max_iter: int, seed: int = 1, tid: str = "tid", item: str = "item"
+) -> DataFrame:
+    """K-means cluster of each basket's item counts: (tid, cluster)."""
+    vectors = count_vectors(items, tid, item)
+    model = KMeans(k=k, maxIter=max_iter, seed=seed, predictionCol="cluster").fit(vectors)
     return model.transform(vectors).drop("features")
 
 
-def cluster_lines(clustered: DataFrame, line: str | Sequence[str] = "line") -> DataFrame:
-    """Text lines ``cluster|basket line``."""
-    return clustered.select(F.concat_ws("|", F.col("cluster").cast("string"), line).alias("value"))
+def cluster_lines(clustered: DataFrame, lines: DataFrame) -> DataFrame:
+    """Text lines ``cluster|basket line`` from (tid, cluster) and (tid, line)."""
+    return clustered.join(lines, "tid").select(
+        F.concat_ws("|", F.col("cluster").cast("string"), "line").alias("value")
+    )

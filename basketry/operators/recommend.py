@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from basketry.plans.scratch import materialize
+
 USER = ("site", "user")
 
 
@@ -34,7 +36,7 @@ def match_rules(held: DataFrame, rules: DataFrame, min_weight: float = 1.0, by:
     only, and checked in full by a join on (key, item).
     """
     keys = list(by)
-    rows = held.select(*keys, "item").where("item IS NOT NULL").distinct()
+    rows = materialize(held.select(*keys, "item").where("item IS NOT NULL").distinct(), "held")
     sides = rules.select("antecedent").distinct().withColumn("n", F.size("antecedent"))
     enough = F.filter(F.sequence(F.lit(1), F.col("n")), lambda m: m / F.col("n") >= F.lit(float(min_weight)))
     sides = sides.withColumn("need", F.element_at(enough, 1))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.operators.baskets import basket_items
+from basketry.operators.baskets import basket_items, distinct_items
 
 
 def item_support(baskets: DataFrame, tid: str | Sequence[str] = "tid") -> DataFrame:
@@ -16,7 +16,7 @@ def item_support(baskets: DataFrame, tid: str | Sequence[str] = "tid") -> DataFr
     Both steps are counted before the exchange, so neither a frequent item nor
     a huge basket makes one task large.
     """
-    return basket_items(baskets, tid).distinct().groupBy("item").agg(F.count("*").alias("support"))
+    return distinct_items(baskets, tid).groupBy("item").agg(F.count("*").alias("support"))
 
 
 def item_occurrences(items: DataFrame, item: str = "item") -> DataFrame:
@@ -33,14 +33,11 @@ def vertical_index(baskets: DataFrame, tid: str = "tid", block: int = 1 << 15) -
 
     Block ``b`` of an item lists its ids in ``[b * block, (b + 1) * block)``, so
     no row or group is longer than ``block`` however frequent the item is.
-    ``support`` counts the ids of the block.
+    ``support`` counts the ids of the block; repeats go before the one exchange.
     """
-    rows = basket_items(baskets, tid).distinct()
-    return (
-        rows.withColumn("block", F.expr(f"tid div {block}"))
-        .groupBy("item", "block")
-        .agg(F.array_sort(F.collect_list("tid")).alias("tids"), F.count("*").alias("support"))
-    )
+    rows = basket_items(baskets, tid).withColumn("block", F.expr(f"tid div {block}"))
+    blocks = rows.groupBy("item", "block").agg(F.array_sort(F.collect_set("tid")).alias("tids"))
+    return blocks.withColumn("support", F.size("tids").cast("bigint"))
 
 
 def itemset_support(
@@ -56,7 +53,7 @@ def itemset_support(
     frequent item costs nothing unless all items of a set are frequent.
     ``supports`` may give known item supports (item, support).
     """
-    rows = basket_items(baskets, tid).distinct()
+    rows = distinct_items(baskets, tid)
     sets = itemsets.select("items").distinct()
     if supports is None:
         supports = rows.groupBy("item").agg(F.count("*").alias("support"))

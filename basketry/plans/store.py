@@ -23,6 +23,7 @@ from basketry.plans.scratch import materialize, materialize_with
 
 WIDTH = 64  # items a basket may hold before it is treated as wide
 KEEP_SHARE = 0.9  # share of item rows that must survive for pruning to be skipped
+FEW_ITEMS = 2000  # items up to which arrays are filtered by a literal list, without an exchange
 
 
 @dataclass
@@ -83,15 +84,24 @@ def _regroup(rows: DataFrame, least: int) -> DataFrame:
     )
 
 
+def _only(narrow: DataFrame, values: list) -> DataFrame:
+    """Baskets cut to the given items, where two or more are left."""
+    cut = narrow.select("tid", F.filter("items", lambda x: x.isin(values)).alias("items"))
+    return cut.where(F.size("items") > 1)
+
+
 def restrict_to_head(store: BasketStore, head: DataFrame, size: int) -> DataFrame:
     """Baskets cut to the items of ``head``, a table of at most ``size`` (a few hundred) rows.
 
-    No basket is wider than the head, so wide ones need no care here.
+    No basket is wider than the head, so wide ones can be gathered here.
     """
     if store.wide is None and store.n_items <= size:
         return store.narrow
-    rows = store.item_rows().join(F.broadcast(head.select("item")), "item")
-    return materialize(_regroup(rows, 2), "head")
+    values = [row["item"] for row in head.select("item").collect()]
+    narrow = _only(store.narrow, values)
+    if store.wide is None:
+        return narrow
+    return narrow.unionByName(_regroup(store.wide.where(F.col("item").isin(values)), 2))
 
 
 def prune(store: BasketStore, tau: int) -> tuple[DataFrame, DataFrame | None, int]:
@@ -100,22 +110,26 @@ def prune(store: BasketStore, tau: int) -> tuple[DataFrame, DataFrame | None, in
     Fewer than ``tau`` baskets are wide in the result: where too many are, the
     width limit is doubled until the rest can be listed as narrow.
     """
-    frequent = store.supports.where(F.col("support") >= tau).select("item")
-    if store.wide is None:
-        kept = store.supports.where(F.col("support") >= tau).agg(F.sum("support")).first()[0] or 0
-        if kept >= KEEP_SHARE * store.n_rows:
-            return store.narrow, None, 0
+    frequent = store.supports.where(F.col("support") >= tau)
+    size = frequent.agg(F.count("*").alias("n"), F.coalesce(F.sum("support"), F.lit(0)).alias("rows")).first()
+    if size["rows"] >= KEEP_SHARE * store.n_rows:
+        narrow = store.narrow
+    elif size["n"] <= FEW_ITEMS:
+        narrow = _only(store.narrow, [row["item"] for row in frequent.select("item").collect()])
+    else:
         rows = store.narrow.select("tid", F.explode("items").alias("item"))
-        return materialize(_regroup(rows.join(frequent, "item", "left_semi"), 2), "pruned"), None, 0
+        narrow = materialize(_regroup(rows.join(frequent.select("item"), "item", "left_semi"), 2), "pruned")
+    if store.wide is None:
+        return narrow, None, 0
 
-    wide = materialize(store.wide.join(frequent, "item", "left_semi"), "wide")
+    wide = materialize(store.wide.join(frequent.select("item"), "item", "left_semi"), "wide")
     widths = wide.groupBy("tid").agg(F.count("*").alias("n"))
     limits = [store.width << step for step in range(40)]
     wider = widths.agg(*[F.count_if(F.col("n") > limit) for limit in limits]).first()
     limit, n_wide = next((lim, n) for lim, n in zip(limits, wider) if n < tau)
-    rows = store.narrow.select("tid", F.explode("items").alias("item")).join(frequent, "item", "left_semi")
-    if n_wide == 0:
-        return materialize(_regroup(rows.unionByName(wide), 2), "pruned"), None, 0
-    hot = materialize(widths.where(F.col("n") > limit).select("tid"), "hot")
-    rows = rows.unionByName(wide.join(hot, "tid", "left_anti"))
-    return materialize(_regroup(rows, 2), "pruned"), wide.join(hot, "tid", "left_semi"), n_wide
+    if n_wide:
+        hot = materialize(widths.where(F.col("n") > limit).select("tid"), "hot")
+        back, wide = wide.join(hot, "tid", "left_anti"), wide.join(hot, "tid", "left_semi")
+    else:
+        back, wide = wide, None
+    return narrow.unionByName(materialize(_regroup(back, 2), "back")), wide, n_wide
