@@ -16,6 +16,8 @@ from basketry.functions.itemsets import canonical
 from basketry.plans.scratch import materialize
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
+GATHER = 100_000  # rows of one key that may be brought together as they are
+BUCKETS = 1 << 16  # hash buckets in which hot keys are looked for
 
 
 def tid_column(by: str | Sequence[str]) -> Column:
@@ -42,16 +44,54 @@ def distinct_items(baskets: DataFrame, tid: str | Sequence[str] = "tid") -> Data
     return rows.distinct() if "item" in baskets.columns else rows
 
 
+def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int = GATHER) -> DataFrame | None:
+    """Keys with more than ``limit`` rows as one struct column ``key``, None if there are none.
+
+    Rows are first counted by a hash bucket of the key, a small table; keys are
+    counted one by one only in buckets that exceed the limit, so no hot key is
+    missed and most keys are never exchanged.
+    """
+    bucket = F.xxhash64(*keys).bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
+    sized = rows.select(F.struct(*keys).alias("key"), bucket)
+    crowded = sized.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    crowded = materialize(crowded.select("bucket"), "crowded")
+    if crowded.isEmpty():
+        return None
+    counts = sized.join(crowded, "bucket", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
+    hot = materialize(counts.where(F.col("n") > limit).select("key"), "hot")
+    return None if hot.isEmpty() else hot
+
+
+def split_hot(rows: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys, and rows of hot keys without repeats."""
+    keyed = rows.withColumn("key", F.struct(*keys))
+    return keyed.join(hot, "key", "left_anti").drop("key"), keyed.join(hot, "key", "left_semi").drop("key").distinct()
+
+
+def gather(rows: DataFrame, keys: Sequence[str], item: str = "item") -> DataFrame:
+    """Sorted distinct items per key.
+
+    Rows are exchanged by key as they are: gathering in each task before the
+    exchange would sort them twice and hardly shrink them.  Hot keys must not
+    come here, or only after their repeats are gone.
+    """
+    return rows.repartition(*keys).groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("items"))
+
+
 def to_baskets(items: DataFrame, by: str | Sequence[str] = ("site", "user", "group"), item: str = "item") -> DataFrame:
     """One row per transaction: the key columns and the sorted item array.
 
-    Repeats are removed on (key, item) first.  That step spreads a transaction
-    that holds a large share of all rows over many tasks, so the grouping by
-    key only moves distinct items.
+    Transactions with very many rows are found first.  Their repeats are removed
+    by (key, item), which spreads each of them over many tasks, so that only
+    distinct items are brought together.
     """
     keys = [by] if isinstance(by, str) else list(by)
-    distinct = items.select(*keys, F.col(item).alias("_item")).where("_item IS NOT NULL").distinct()
-    return distinct.groupBy(*keys).agg(F.array_sort(F.collect_list("_item")).alias("items"))
+    rows = items.select(*keys, F.col(item).alias("_item")).where("_item IS NOT NULL")
+    hot = hot_keys(rows, keys)
+    if hot is None:
+        return gather(rows, keys, "_item")
+    ordinary, few = split_hot(rows, keys, hot)
+    return gather(ordinary, keys, "_item").unionByName(gather(few, keys, "_item"))
 
 
 def assign_tids(baskets: DataFrame, order_by: str | Sequence[str]) -> DataFrame:

@@ -44,7 +44,7 @@ def count_vectors(items: DataFrame, tid: str = "tid", item: str = "item") -> Dat
     catalogue = assign_tids(items.select(F.col(item).alias("item")).where("item IS NOT NULL").distinct(), "item")
     size = catalogue.count()
     cells = counts.join(catalogue.select("item", F.col("tid").cast("int").alias("cell")), "item")
-    gathered = cells.groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"))
+    gathered = cells.repartition("tid").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"))
     stored = gathered.select(
         "tid",
         F.struct(

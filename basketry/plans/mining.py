@@ -74,15 +74,16 @@ def _frequent(
     return level, seen["n"]
 
 
-def _may_grow(level: DataFrame, n: int) -> bool:
+def _may_grow(level: DataFrame, n: int, size: int) -> bool:
     """Whether some (n + 1)-itemset has all its n-subsets in ``level``.
 
-    Saves a pass over the baskets when the level is small; a level of more than
+    Saves a pass over the baskets when the level is small.  A level of more than
     ``SMALL_LEVEL`` itemsets is not looked at, the next pass decides.
     """
-    few = level.select("items").limit(SMALL_LEVEL + 1).count()
-    if few > SMALL_LEVEL or few <= n:
-        return few > n
+    if size > SMALL_LEVEL:
+        size = level.select("items").limit(SMALL_LEVEL + 1).count()
+    if size > SMALL_LEVEL or size <= n:
+        return size > n
     split = level.select(
         F.slice("items", 1, n - 1).alias("prefix"), F.element_at("items", -1).alias("last")
     )
@@ -113,34 +114,41 @@ def _levels(
     tau: _Threshold,
     max_len: int | None,
     known: dict[int, tuple[int, DataFrame]] | None = None,
+    spare: int | None = None,
 ) -> Iterator[tuple[int, DataFrame]]:
     """Yield (n, itemsets of n items with support >= tau) for n = 2, 3, ...
 
     The caller may raise ``tau`` between levels.  ``known`` holds tables counted
     earlier: (b, table) for n means every n-itemset with support > b is in it.
+    With ``spare`` pairs are kept down to that support and entered in ``known``,
+    so that a later pass at a lower threshold need not count them again.
     """
-    known = known or {}
+    known = {} if known is None else known
     done: dict[int, DataFrame] = {}
     baskets, state, n = None, None, 1
     while max_len is None or n < max_len:
         n += 1
         if n in known and tau.value > known[n][0]:
             level = known[n][1].where(F.col("support") >= tau.value)
-            if level.isEmpty():
-                return
+            size = level.limit(SMALL_LEVEL + 1).count()
         else:
+            least = min(spare or tau.value, tau.value) if n == 2 else tau.value
             if baskets is None:
-                baskets = prune(store, tau.value)
+                baskets = prune(store, least)
                 state = _first(baskets[0])
-                for size in range(2, n):
-                    state = _keep(_extend(state), done[size])
+                for length in range(2, n):
+                    state = _keep(_extend(state), done[length])
             longer = _extend(state)
-            level, size = _frequent(longer, baskets[1], baskets[2], tau.value, store.supports)
-            if not size:
-                return
+            level, size = _frequent(longer, baskets[1], baskets[2], least, store.supports)
+            if least < tau.value:
+                known[2] = (least - 1, level)
+                level = level.where(F.col("support") >= tau.value)
+                size = level.limit(SMALL_LEVEL + 1).count()
+        if not size:
+            return
         yield n, level
         level = level.where(F.col("support") >= tau.value)
-        if n == max_len or not _may_grow(level, n):
+        if n == max_len or not _may_grow(level, n, size):
             return
         done[n] = level
         if baskets is not None:
@@ -254,8 +262,8 @@ def _seed(store: BasketStore, k: int, minconf: float, max_len: int | None, ties:
         if not tables:
             tables = [head.select(F.array("item").alias("items"), "support")]
             seed.start = seen["best"] or 1
+        rules = generate_rules(_union([*tables[1:], counts]), store.total, minconf, _union(tables))
         tables.append(counts)
-        rules = generate_rules(_union(tables[1:]), store.total, minconf, _union(tables))
         pool, found, support, confidence = _best(rules, k, ties)
         if support:
             seed.start = support
@@ -276,6 +284,7 @@ def _search(
     ties: bool,
     non_redundant: bool,
     seed: _Seed,
+    spare: int | None,
 ) -> tuple[DataFrame | None, int]:
     """One pass at a start threshold: best rules found and how many.
 
@@ -301,15 +310,14 @@ def _search(
             rise(support, confidence)
 
     minimal = [singles]
-    for n, level in _levels(store, tau, max_len, seed.known):
+    for n, level in _levels(store, tau, max_len, seed.known, spare):
         if not non_redundant:
+            if seed.pool is None or n > seed.upto:
+                offer(generate_rules(level, store.total, minconf, _union(levels)))
+            elif n == seed.upto:
+                pool, found = seed.pool, k
+                rise(*seed.last)
             levels.append(level)
-            if seed.pool is not None and n <= seed.upto:
-                if n == seed.upto:
-                    pool, found = seed.pool, k
-                    rise(*seed.last)
-                continue
-            offer(generate_rules(level, store.total, minconf, _union(levels)))
             continue
         # neighbours with equal support: the smaller is not closed, the larger not minimal
         smaller = level.select("items", "support", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("at")).select(
@@ -351,12 +359,14 @@ def _mine(
         seed.pool = None
     shrink = 0.8 if non_redundant else 0.5
     while True:
-        rules, found = _search(store, k, minconf, tau, max_len, ties, non_redundant, seed)
+        lower = max(min_count, int(tau * shrink))
+        # itemsets of support 1 are too many to keep for a pass that may not come
+        spare = lower if seed.pool is None and lower > 1 else None
+        rules, found = _search(store, k, minconf, tau, max_len, ties, non_redundant, seed, spare)
         log.info("threshold %d: %d of %d rules", tau, found, k)
         if found >= k or tau <= min_count:
             break
-        tau = max(min_count, int(tau * shrink))
-        shrink = max(0.25, shrink * 0.75)
+        tau, shrink = lower, max(0.25, shrink * 0.75)
     if rules is None:
         rules = generate_rules(_singles(store, 1), store.total, minconf)
     return rules

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import canonical
-from basketry.operators.baskets import basket_items, tid_column
+from basketry.operators.baskets import GATHER, basket_items, gather, hot_keys, split_hot, tid_column
 from basketry.plans.scratch import materialize, materialize_with
 
 WIDTH = 64  # items a basket may hold before it is treated as wide
@@ -45,28 +45,35 @@ class BasketStore:
         return rows if self.wide is None else rows.unionByName(self.wide)
 
 
-def prepare(baskets: DataFrame, tid: str | Sequence[str] = "tid", width: int = WIDTH) -> BasketStore:
-    """Split ``baskets`` (item rows or item arrays) and count each item once."""
+def prepare(baskets: DataFrame, tid: str | Sequence[str] = "tid", width: int = WIDTH, limit: int = GATHER) -> BasketStore:
+    """Split ``baskets`` (item rows or item arrays) and count each item once.
+
+    Transactions of more than ``limit`` rows are never gathered.
+    """
+    scattered = None
     if "items" in baskets.columns:
-        clean = baskets.select(tid_column(tid).alias("tid"), canonical("items").alias("items"))
-        narrow_baskets = clean.where(f"size(items) BETWEEN 1 AND {width}")
-        wide = clean.where(f"size(items) > {width}").select("tid", F.explode("items").alias("item"))
+        gathered = baskets.select(tid_column(tid).alias("tid"), canonical("items").alias("items"))
+        gathered = gathered.where(F.size("items") > 0)
     else:
         rows = basket_items(baskets, tid)
-        # counted before the exchange, so a huge basket is found without being gathered
-        hot = rows.groupBy("tid").agg(F.count("*").alias("n")).where(F.col("n") > width).select("tid")
-        wide = None
-        if hot.agg(F.count("*")).first()[0]:
-            hot = materialize(hot, "hot")
-            wide = rows.join(hot, "tid", "left_semi").distinct()
-            rows = rows.join(hot, "tid", "left_anti")
-        narrow_baskets = rows.groupBy("tid").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    narrow, seen = materialize_with(narrow_baskets, "narrow", F.count("*").alias("n"))
-    n_wide = 0
-    if wide is not None:
-        wide = materialize(wide, "wide")
-        n_wide = wide.select("tid").distinct().count()
-    store = BasketStore(narrow, wide if n_wide else None, n_wide, seen["n"] + n_wide, narrow, 0, 0, width)
+        hot = hot_keys(rows, ["tid"], limit)
+        if hot is not None:
+            rows, few = split_hot(rows, ["tid"], hot)
+            scattered = materialize(few, "scattered")
+        gathered = gather(rows, ["tid"])
+    table, seen = materialize_with(
+        gathered, "baskets", F.count("*").alias("n"), F.count_if(F.size("items") > width).alias("wide")
+    )
+    total, n_wide = seen["n"], seen["wide"]
+    narrow, wide = table, scattered
+    if n_wide:
+        narrow = table.where(F.size("items") <= width)
+        unfolded = table.where(F.size("items") > width).select("tid", F.explode("items").alias("item"))
+        wide = materialize(unfolded if scattered is None else unfolded.unionByName(scattered), "wide")
+    if scattered is not None:
+        n_hot = scattered.select("tid").distinct().count()
+        total, n_wide = total + n_hot, n_wide + n_hot
+    store = BasketStore(narrow, wide, n_wide, total, narrow, 0, 0, width)
     counts = store.item_rows().groupBy("item").agg(F.count("*").alias("support"))
     store.supports, seen = materialize_with(
         counts, "supports", F.count("*").alias("n"), F.coalesce(F.sum("support"), F.lit(0)).alias("rows")
@@ -77,11 +84,7 @@ def prepare(baskets: DataFrame, tid: str | Sequence[str] = "tid", width: int = W
 
 def _regroup(rows: DataFrame, least: int) -> DataFrame:
     """Item rows without repeats, gathered to arrays of at least ``least`` items."""
-    return (
-        rows.groupBy("tid")
-        .agg(F.array_sort(F.collect_list("item")).alias("items"))
-        .where(F.size("items") >= least)
-    )
+    return gather(rows, ["tid"]).where(F.size("items") >= least)
 
 
 def _only(narrow: DataFrame, values: list) -> DataFrame:
