@@ -32,6 +32,8 @@ from basketry.operators.recommend import (
     nest_user_rules,
     recommend,
     user_rules,
+    user_rules_from_json,
+    user_rules_to_json,
 )
 from basketry.operators.redundancy import drop_redundant
 from basketry.operators.rules import generate_rules

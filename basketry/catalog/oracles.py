@@ -233,3 +233,4 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, d
 SELECT user_id AS "user", strftime(d, '%Y-%m-%d') AS day, item, round(confidence, 6) AS confidence, support, rank
 FROM ranked WHERE rank <= 3""",
 }
+ORACLES["user_rules_json_roundtrip"] = ORACLES["nest_user_rules"]

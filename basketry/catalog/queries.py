@@ -293,8 +293,7 @@ def user_rules_partial(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def nest_user_rules(spark: SparkSession, sf: str) -> DataFrame:
-    nested = recommend.nest_user_rules(_user_rules(spark, sf))
+def _listed(nested: DataFrame) -> DataFrame:
     listed = F.transform(
         "items",
         lambda r: F.concat_ws(">", F.concat_ws(",", r["antecedent"]), F.concat_ws(",", r["consequent"])),
@@ -302,6 +301,15 @@ def nest_user_rules(spark: SparkSession, sf: str) -> DataFrame:
     return nested.select("site", "user", F.size("items").alias("n"), F.array_join(listed, ";").alias("rules"))
 
 
+def nest_user_rules(spark: SparkSession, sf: str) -> DataFrame:
+    return _listed(recommend.nest_user_rules(_user_rules(spark, sf)))
+
+
+def user_rules_json_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    texts = recommend.user_rules_to_json(recommend.nest_user_rules(_user_rules(spark, sf)))
+    return _listed(recommend.user_rules_from_json(texts, user_type="BIGINT"))
+
+
 def recommend_items(spark: SparkSession, sf: str) -> DataFrame:
     last = materialize(_last(spark, sf), "last")
     matched = recommend.user_rules(last, brand_rules(spark, sf))
@@ -440,7 +448,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         top_k_rules_ties, attribute_rules, top_k_nr_rules, top_k_nr_buffer, rule_relative_support,
         rules_by_antecedent, rules_by_consequent, classifier_rules, get_rules, rules_json_roundtrip,
         rules_parquet_roundtrip, rules_norm_items, rules_as_documents, last_transaction, user_rules,
-        user_rules_partial, nest_user_rules, recommend_items, expand_queries, discount_conflicts, best_partner,
+        user_rules_partial, nest_user_rules, user_rules_json_roundtrip, recommend_items, expand_queries, discount_conflicts, best_partner,
         bundles, basket_item_counts, cluster_baskets, cluster_lines, user_day_baskets, user_session_baskets, stream_track,
         stream_baskets, stream_pair_support, stream_mine, stream_recommend,
     )

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import canonical
-from basketry.plans.scratch import materialize
+from basketry.plans.scratch import materialize, materialize_with
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 GATHER = 100_000  # rows of one key that may be brought together as they are
@@ -54,12 +54,13 @@ def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int = GATHER) -> DataF
     bucket = F.xxhash64(*keys).bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
     sized = rows.select(F.struct(*keys).alias("key"), bucket)
     crowded = sized.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    crowded = materialize(crowded.select("bucket"), "crowded")
-    if crowded.isEmpty():
+    found = F.count("*").alias("n")
+    crowded, seen = materialize_with(crowded.select("bucket"), "crowded", found)
+    if not seen["n"]:
         return None
     counts = sized.join(crowded, "bucket", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-    hot = materialize(counts.where(F.col("n") > limit).select("key"), "hot")
-    return None if hot.isEmpty() else hot
+    hot, seen = materialize_with(counts.where(F.col("n") > limit).select("key"), "hot", found)
+    return hot if seen["n"] else None
 
 
 def split_hot(rows: DataFrame, keys: Sequence[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -50,6 +50,7 @@ def match_rules(held: DataFrame, rules: DataFrame, min_weight: float = 1.0, by:
     anchors = ranked.select(
         "antecedent", "n", "need", F.explode(F.slice("parts", F.lit(1), F.col("n") - F.col("need") + 1)).alias("part")
     ).select("antecedent", "n", "need", "part.item")
+    anchors = materialize(anchors, "anchors")
     found = rows.join(anchors, "item")
     whole = found.where("n = 1").select(*keys, "antecedent", F.lit(1.0).alias("weight"))
     parts = (
@@ -81,7 +82,8 @@ def nest_user_rules(matched: DataFrame, by: Sequence[str] = USER) -> DataFrame:
         (-F.col("weight")).alias("w"), (-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"),
         "antecedent", "consequent", "support", "confidence", "weight",
     )
-    return matched.groupBy(*by).agg(F.array_sort(F.collect_list(rank)).alias("ranked")).select(
+    grouped = matched.repartition(*by).groupBy(*by)
+    return grouped.agg(F.array_sort(F.collect_list(rank)).alias("ranked")).select(
         *by,
         F.transform(
             "ranked",
@@ -92,6 +94,21 @@ def nest_user_rules(matched: DataFrame, by: Sequence[str] = USER) -> DataFrame:
     )
 
 
+def user_rules_to_json(nested: DataFrame) -> DataFrame:
+    """One JSON text per user from ``nest_user_rules``, column ``json``."""
+    return nested.select(F.to_json(F.struct(*nested.columns)).alias("json"))
+
+
+def user_rules_from_json(texts: DataFrame, item_type: str = "string", user_type: str = "string") -> DataFrame:
+    """Nested user rules from the texts ``user_rules_to_json`` writes."""
+    rule = (
+        f"STRUCT<antecedent: ARRAY<{item_type}>, consequent: ARRAY<{item_type}>, support: BIGINT, "
+        "confidence: DOUBLE, weight: DOUBLE>"
+    )
+    schema = f"site STRING, user {user_type}, items ARRAY<{rule}>"
+    return texts.select(F.from_json("json", schema, {"mode": "FAILFAST"}).alias("one")).select("one.*")
+
+
 def recommend(matched: DataFrame, held: DataFrame, n: int, by: Sequence[str] = USER) -> DataFrame:
     """The n best items per user that the user does not hold yet.
 

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from basketry.operators.recommend import match_rules, recommend
 from basketry.plans.mining import mine, pair_support
+from basketry.plans.scratch import materialize
 from basketry.sources.items import Spec, map_fields
 
 
@@ -114,7 +115,7 @@ def running_pair_support(spark: SparkSession, root: str, min_count: int = 1) ->
 def stream_mine(
     baskets: DataFrame, store: str, rules_root: str, checkpoint: str, algorithm: str = "TOPK", **params
 ) -> StreamingQuery:
-    """Add closed baskets to the store and mine it anew after each batch.
+    """Add closed baskets to the store and mine it anew after each batch that has any.
 
     The rules of batch n are in ``rules_root/batch_id=n``.
     """
@@ -122,6 +123,8 @@ def stream_mine(
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(_part(store, number))
+        if spark.read.schema(batch.schema).parquet(_part(store, number)).isEmpty():
+            return  # nothing new
         stored = spark.read.schema(batch.schema).parquet(store)
         stored = stored.select(F.struct("user", "start").alias("tid"), "items")
         rules = mine(stored, algorithm, **params)
@@ -144,7 +147,7 @@ def stream_recommend(
 
     def work(batch: DataFrame, number: int) -> None:
         keys = ["user", "start"]
-        held = batch.select(*keys, F.explode("items").alias("item"))
+        held = materialize(batch.select(*keys, F.explode("items").alias("item")), "held")
         matched = match_rules(held, rules, min_weight, keys)
         recommend(matched, held, n, keys).write.mode("overwrite").parquet(_part(root, number))
 
