@@ -19,6 +19,8 @@ def spark(tmp_path_factory):
         spark__driver__memory="8g",
         spark__sql__shuffle__partitions="2",
         spark__default__parallelism="2",
+        # compiling a plan takes longer than running it on these few rows
+        spark__sql__codegen__wholeStage="false",
         spark__checkpoint__dir=str(tmp_path_factory.mktemp("scratch")),
     )
     session.sparkContext.setLogLevel("ERROR")
