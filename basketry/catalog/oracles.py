@@ -71,7 +71,7 @@ def _text(column: str) -> str:
 
 
 RULE_COLUMNS = f"""{_text('antecedent')} AS antecedent, {_text('consequent')} AS consequent, support,
-  antecedent_support, total, round(confidence, 6) AS confidence"""
+  antecedent_support, total, round(confidence, 10) AS confidence"""
 
 
 def _redundant(table: str) -> str:
@@ -97,12 +97,12 @@ latest AS (SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey,
 last AS (SELECT DISTINCT o_custkey, o_orderkey, p_brand FROM bought JOIN latest USING (o_custkey, o_orderkey)),
 users AS (SELECT o_custkey, list(p_brand) AS held FROM last GROUP BY o_custkey)"""
 USER_RULE_COLUMNS = f"""site, "user", {_text('antecedent')} AS antecedent, {_text('consequent')} AS consequent,
-  support, round(confidence, 6) AS confidence, round(weight, 6) AS weight"""
+  support, round(confidence, 10) AS confidence, round(weight, 10) AS weight"""
 
 
 def _weighted(side: str) -> str:
     share = f"len(list_intersect({side}, ['Brand#25', 'Brand#4'])) / len({side})"
-    return f"WITH {BEST_BRANDS} SELECT {RULE_COLUMNS}, round({share}, 6) AS weight FROM best WHERE {share} >= 0.5"
+    return f"WITH {BEST_BRANDS} SELECT {RULE_COLUMNS}, round({share}, 10) AS weight FROM best WHERE {share} >= 0.5"
 
 
 def _norm(side: str) -> str:
@@ -150,12 +150,12 @@ kept AS (SELECT * FROM buffer r WHERE NOT {_redundant('buffer')}), {_top(100, 'k
     "drop_redundant": f"""WITH {ATTRIBUTES}, {_rules(0.3)}
 SELECT {RULE_COLUMNS} FROM rules r WHERE NOT {_redundant('rules')}""",
     "rule_relative_support": f"""WITH {BEST_BRANDS}
-SELECT {RULE_COLUMNS}, round(support / total, 8) AS relative_support FROM best""",
+SELECT {RULE_COLUMNS}, round(support / total, 10) AS relative_support FROM best""",
     "rules_by_antecedent": _weighted("antecedent"),
     "rules_by_consequent": _weighted("consequent"),
     "classifier_rules": f"""WITH {ATTRIBUTES}, {_rules(0.3)} SELECT {_text('antecedent')} AS antecedent,
-  unnest(consequent) AS consequent, support, round(confidence, 6) AS confidence,
-  round(1.0 / len(consequent), 6) AS weight FROM rules""",
+  unnest(consequent) AS consequent, support, round(confidence, 10) AS confidence,
+  round(1.0 / len(consequent), 10) AS weight FROM rules""",
     "get_rules": f"WITH {BEST_BRANDS} SELECT {RULE_COLUMNS} FROM best",
     "rules_json_roundtrip": f"WITH {BEST_BRANDS} SELECT {RULE_COLUMNS} FROM best",
     "rules_parquet_roundtrip": f"WITH {BEST_BRANDS} SELECT {RULE_COLUMNS} FROM best",
@@ -165,7 +165,7 @@ SELECT 'run-1' AS uid, 1700000000000 AS timestamp, side, item, support, total, c
 FROM parts GROUP BY side, item, support, total""",
     "rules_as_documents": f"""WITH {BEST_BRANDS} SELECT 'run-1' AS uid, 1700000000000 AS timestamp,
   {_text('antecedent')} AS antecedent, {_text('consequent')} AS consequent, support,
-  round(confidence, 6) AS confidence, total FROM best""",
+  round(confidence, 10) AS confidence, total FROM best""",
     "last_transaction": f"""WITH {LAST} SELECT 's1' AS site, o_custkey AS "user", o_orderkey AS "group",
   p_brand AS item FROM last""",
     "user_rules": f"WITH {BEST_BRANDS}, {LAST}, {_match('best', 1.0)} SELECT {USER_RULE_COLUMNS} FROM matched",
@@ -183,7 +183,7 @@ one AS (SELECT *, row_number() OVER (PARTITION BY "user", item ORDER BY weight D
   FROM fresh),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY "user"
   ORDER BY weight DESC, confidence DESC, support DESC, item) AS INTEGER) AS rank FROM one WHERE rn = 1)
-SELECT site, "user", item, round(confidence, 6) AS confidence, support, rank FROM ranked WHERE rank <= 3""",
+SELECT site, "user", item, round(confidence, 10) AS confidence, support, rank FROM ranked WHERE rank <= 3""",
     "expand_queries": f"""WITH words AS (SELECT DISTINCT conv_id, turn, item FROM
   (SELECT conv_id, turn, unnest(string_split(lower(text), ' ')) AS item FROM conversations WHERE role = 'user')
   WHERE len(item) > 0),
@@ -193,14 +193,15 @@ SELECT conv_id, turn, item AS term, false AS added FROM words
 UNION ALL SELECT conv_id, turn, item, true FROM extra e WHERE NOT EXISTS
   (SELECT 1 FROM words w WHERE w.conv_id = e.conv_id AND w.turn = e.turn AND w.item = e.item)""",
     "discount_conflicts": f"""WITH {PARTS}, {PAIRS},
-means AS (SELECT l_partkey AS item, avg(l_discount) AS d FROM lineitem GROUP BY 1 HAVING avg(l_discount) >= 0.05)
-SELECT a, b, support, round(x.d, 6) AS discount_a, round(y.d, 6) AS discount_b
+sums AS (SELECT l_partkey AS item, sum(CAST(l_discount AS DECIMAL(18,6))) AS s, count(*) AS n FROM lineitem GROUP BY 1),
+means AS (SELECT item, CAST(s AS DOUBLE) / n AS d FROM sums WHERE s >= CAST(0.05 AS DECIMAL(18,6)) * n)
+SELECT a, b, support, round(x.d, 10) AS discount_a, round(y.d, 10) AS discount_b
 FROM pairs JOIN means x ON x.item = a JOIN means y ON y.item = b WHERE support >= 2""",
     "best_partner": f"""WITH {PARTS}, {_pair_rules(0.0)},
 ranked AS (SELECT antecedent[1] AS item, consequent[1] AS partner, support, confidence, CAST(row_number() OVER
   (PARTITION BY antecedent ORDER BY confidence DESC, support DESC, consequent) AS INTEGER) AS rank
   FROM rules WHERE support >= 2)
-SELECT item, partner, support, round(confidence, 6) AS confidence, rank FROM ranked WHERE rank = 1""",
+SELECT item, partner, support, round(confidence, 10) AS confidence, rank FROM ranked WHERE rank = 1""",
     "bundles": f"""WITH {PARTS}, {_sets(3)},
 members AS (SELECT unnest(items) AS item, items, support FROM sets WHERE len(items) > 1 AND support >= 2),
 ranked AS (SELECT *, CAST(row_number() OVER
@@ -230,7 +231,7 @@ one AS (SELECT *, row_number() OVER (PARTITION BY user_id, d, item ORDER BY conf
   FROM offers WHERE NOT list_contains(held, item)),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, d
   ORDER BY confidence DESC, support DESC, item) AS INTEGER) AS rank FROM one WHERE rn = 1)
-SELECT user_id AS "user", strftime(d, '%Y-%m-%d') AS day, item, round(confidence, 6) AS confidence, support, rank
+SELECT user_id AS "user", strftime(d, '%Y-%m-%d') AS day, item, round(confidence, 10) AS confidence, support, rank
 FROM ranked WHERE rank <= 3""",
 }
 ORACLES["user_rules_json_roundtrip"] = ORACLES["nest_user_rules"]

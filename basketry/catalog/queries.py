@@ -38,7 +38,7 @@ def show_rules(rules: DataFrame, *more: str | Column) -> DataFrame:
         "support",
         "antecedent_support",
         "total",
-        F.round("confidence", 6).alias("confidence"),
+        F.round("confidence", 10).alias("confidence"),
         *more,
     )
 
@@ -199,7 +199,7 @@ def drop_redundant_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 def rule_relative_support(spark: SparkSession, sf: str) -> DataFrame:
     rules = lookup.with_relative_support(brand_rules(spark, sf))
-    return show_rules(rules, F.round("relative_support", 8).alias("relative_support"))
+    return show_rules(rules, F.round("relative_support", 10).alias("relative_support"))
 
 
 # ------------------------------------------------------------------ look-up
@@ -207,19 +207,19 @@ def rule_relative_support(spark: SparkSession, sf: str) -> DataFrame:
 
 def rules_by_antecedent(spark: SparkSession, sf: str) -> DataFrame:
     found = lookup.rules_by_antecedent(brand_rules(spark, sf), ["Brand#25", "Brand#4"], 0.5)
-    return show_rules(found, F.round("weight", 6).alias("weight"))
+    return show_rules(found, F.round("weight", 10).alias("weight"))
 
 
 def rules_by_consequent(spark: SparkSession, sf: str) -> DataFrame:
     found = lookup.rules_by_consequent(brand_rules(spark, sf), "Brand#25,Brand#4", 0.5)
-    return show_rules(found, F.round("weight", 6).alias("weight"))
+    return show_rules(found, F.round("weight", 10).alias("weight"))
 
 
 def classifier_rules(spark: SparkSession, sf: str) -> DataFrame:
     rules = lookup.classifier_rules(_all_attribute_rules(spark, sf))
     return rules.select(
         items_text("antecedent").alias("antecedent"), "consequent", "support",
-        F.round("confidence", 6).alias("confidence"), F.round("weight", 6).alias("weight"),
+        F.round("confidence", 10).alias("confidence"), F.round("weight", 10).alias("weight"),
     )
 
 
@@ -257,7 +257,7 @@ def rules_as_documents(spark: SparkSession, sf: str) -> DataFrame:
     documents = sinks.rules_as_documents(brand_rules(spark, sf), *RUN)
     return documents.select(
         "uid", "timestamp", items_text("antecedent").alias("antecedent"), items_text("consequent").alias("consequent"),
-        "support", F.round("confidence", 6).alias("confidence"), "total",
+        "support", F.round("confidence", 10).alias("confidence"), "total",
     )
 
 
@@ -279,7 +279,7 @@ def _user_rules(spark: SparkSession, sf: str, min_weight: float = 1.0) -> DataFr
 def user_rules(spark: SparkSession, sf: str) -> DataFrame:
     return _user_rules(spark, sf).select(
         "site", "user", items_text("antecedent").alias("antecedent"), items_text("consequent").alias("consequent"),
-        "support", F.round("confidence", 6).alias("confidence"), F.round("weight", 6).alias("weight"),
+        "support", F.round("confidence", 10).alias("confidence"), F.round("weight", 10).alias("weight"),
     )
 
 
@@ -289,7 +289,7 @@ def user_rules_partial(spark: SparkSession, sf: str) -> DataFrame:
     found = recommend.user_rules(last, rules, 0.5)
     return found.select(
         "site", "user", items_text("antecedent").alias("antecedent"), items_text("consequent").alias("consequent"),
-        "support", F.round("confidence", 6).alias("confidence"), F.round("weight", 6).alias("weight"),
+        "support", F.round("confidence", 10).alias("confidence"), F.round("weight", 10).alias("weight"),
     )
 
 
@@ -314,7 +314,7 @@ def recommend_items(spark: SparkSession, sf: str) -> DataFrame:
     last = materialize(_last(spark, sf), "last")
     matched = recommend.user_rules(last, brand_rules(spark, sf))
     best = recommend.recommend(matched, last, 3)
-    return best.select("site", "user", "item", F.round("confidence", 6).alias("confidence"), "support", "rank")
+    return best.select("site", "user", "item", F.round("confidence", 10).alias("confidence"), "support", "rank")
 
 
 # ---------------------------------------------------------------- use cases
@@ -333,14 +333,14 @@ def discount_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     )
     found = usecases.discount_conflicts(sales, mining.pair_support(fx.part_rows(spark, sf), 2), 0.05)
     return found.select(
-        "a", "b", "support", F.round("discount_a", 6).alias("discount_a"), F.round("discount_b", 6).alias("discount_b")
+        "a", "b", "support", F.round("discount_a", 10).alias("discount_a"), F.round("discount_b", 10).alias("discount_b")
     )
 
 
 def best_partner(spark: SparkSession, sf: str) -> DataFrame:
     rules = generate_rules(mining.frequent_itemsets(fx.part_rows(spark, sf), 2, 2), 0, 0.0)
     best = usecases.best_partner(rules, 1)
-    return best.select("item", "partner", "support", F.round("confidence", 6).alias("confidence"), "rank")
+    return best.select("item", "partner", "support", F.round("confidence", 10).alias("confidence"), "rank")
 
 
 def bundles(spark: SparkSession, sf: str) -> DataFrame:
@@ -435,7 +435,7 @@ def stream_recommend(spark: SparkSession, sf: str) -> DataFrame:
     _wait(streams.stream_recommend(_streamed_baskets(spark, sf), rules, path, scratch_path(spark, "ckpt")))
     offers = spark.read.parquet(path)
     return offers.select(
-        "user", _day().alias("day"), "item", F.round("confidence", 6).alias("confidence"), "support", "rank"
+        "user", _day().alias("day"), "item", F.round("confidence", 10).alias("confidence"), "support", "rank"
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,11 +40,15 @@ def discount_conflicts(items: DataFrame, pairs: DataFrame, min_discount: float)
 
     ``items`` has (item, discount) per sale, ``pairs`` is a pair support table
     (a, b, support); a pair is kept if both mean discounts reach the bound.
+    Discounts are summed as decimals: a mean on the bound must not depend on the
+    order in which tasks add.
     """
-    means = (
-        items.groupBy("item")
-        .agg(F.avg("discount").alias("discount"))
-        .where(F.col("discount") >= F.lit(float(min_discount)))
+    summed = items.groupBy("item").agg(
+        F.sum(F.col("discount").cast("decimal(18,6)")).alias("sum"), F.count("discount").alias("n")
+    )
+    bound = F.lit(Decimal(str(min_discount))) * F.col("n")
+    means = summed.where(F.col("sum") >= bound).select(
+        "item", (F.col("sum").cast("double") / F.col("n")).alias("discount")
     )
     left = means.select(F.col("item").alias("a"), F.col("discount").alias("discount_a"))
     right = means.select(F.col("item").alias("b"), F.col("discount").alias("discount_b"))
