@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.llm.langid import identify
+from basketry.llm.minhash import near_duplicates
 from basketry.llm.mixing import mix_sources
 from basketry.llm.quality import quality_rules
 from basketry.llm.urls import judge_urls
@@ -37,6 +38,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+@query
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near copies among all documents."""
+    return near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all documents, against references learned from all of them."""
