@@ -1,12 +1,18 @@
-"""Connected components of a link table, by alternating star steps."""
+"""Connected components of links, given as a table or to be found in inverted lists."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.plans.scratch import materialize, materialize_with
 
+#: lists up to this length are compared pair by pair, longer ones by rounds of one hub against all
+SHORT_LIST = 16
+HUB_ROUNDS = 3
+
 
 def _lowest(edges: DataFrame) -> DataFrame:
     return edges.groupBy("u").agg(F.min("v").alias("m"))
@@ -51,3 +57,53 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select("v", "v").distinct()
     )
+
+
+def shared_lists(lists: DataFrame) -> DataFrame:
+    """Rows of (value, code, n) whose value has several, with the list's ``length``; stored."""
+    lists = materialize(lists, "lists")
+    lengths = lists.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
+    return materialize(lists.join(lengths, "value"), "shared-lists")
+
+
+def _pairs(rows: DataFrame, others: DataFrame, percent: int, apart: str) -> DataFrame:
+    """Distinct (a, b), a < b, of two list tables that share a value and are of like size, where ``apart`` holds."""
+    like = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    met = rows.alias("x").join(others.alias("y"), "value").where(apart).where(like)
+    return met.select(F.least("x.code", "y.code").alias("a"), F.greatest("x.code", "y.code").alias("b")).where("a <> b").distinct()
+
+
+def groups_of_lists(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, component) of the links among members of one list that ``confirm`` finds true.
+
+    ``lists`` is a table (value, code, n, length); sizes n of linked members
+    differ by ``percent`` at most.  Short lists are compared pair by pair.  Of a
+    long list one hub a round is compared with all members outside its group,
+    so a group of n alike members costs n comparisons.  Lists that still hold
+    several groups after ``HUB_ROUNDS`` rounds are compared in full between
+    groups, so no link that joins two groups is left out.
+    """
+    short = lists.where(f"length <= {SHORT_LIST}").select("value", "code", "n")
+    long = lists.where(f"length > {SHORT_LIST}").select("value", "code", "n")
+    hub = long.groupBy("value").agg(F.min_by(F.struct("code", "n"), F.xxhash64("code")).alias("hub")).select("value", "hub.*")
+    pairs = _pairs(short, short, percent, "x.code < y.code").union(_pairs(hub, long, percent, "x.code <> y.code")).distinct()
+    links = materialize(confirm(pairs), "list-links")
+    groups = components(links)
+    for turn in range(1, HUB_ROUNDS + 1):
+        labelled = long.join(groups, long["code"] == groups["node"], "left").select(
+            "value", "code", "n", F.coalesce("component", "code").alias("label")
+        )
+        several = labelled.groupBy("value").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("value")
+        rest = materialize(labelled.join(several, "value"), "open-lists")
+        if rest.isEmpty():
+            break
+        if turn < HUB_ROUNDS:
+            chosen = F.min_by(F.struct("code", "n", "label"), F.xxhash64("code", F.lit(turn)))
+            hub = rest.groupBy("value").agg(chosen.alias("h")).select("value", "h.*")
+            pairs = _pairs(hub, rest, percent, "x.label <> y.label")
+        else:
+            pairs = _pairs(rest, rest, percent, "x.label < y.label")
+        links = materialize(links.union(confirm(pairs)), "list-links")
+        groups = components(links)
+        long = rest.select("value", "code", "n")
+    return groups

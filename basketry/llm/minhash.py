@@ -19,14 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.components import components
+from basketry.llm.components import groups_of_lists, shared_lists
 from basketry.llm.text import LOWER, U64, Words, map_pieces, mix64, packed, word_ngrams
 from basketry.plans.scratch import materialize
 
-#: lists up to this length are compared pair by pair, longer ones by rounds of one hub against all
-SHORT_LIST = 16
-HUB_ROUNDS = 3
-
 
 def needed(k: int, threshold: float) -> int:
     """Retained values that a pair at ``threshold`` shares, nearly surely, out of k."""
@@ -114,16 +110,6 @@ def rare_lists(classes: DataFrame, k: int, threshold: float) -> DataFrame:
     return own.select("code", "n", F.explode(prefix).alias("x")).select(F.col("x.value").alias("value"), "code", "n")
 
 
-def _like_size(a: str, b: str, percent: int) -> str:
-    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-
-
-def _pairs(rows: DataFrame, others: DataFrame, percent: int, apart: str) -> DataFrame:
-    """Distinct (a, b), a < b, of two list tables that share a value, where ``apart`` holds."""
-    met = rows.alias("x").join(others.alias("y"), "value").where(apart).where(_like_size("x.n", "y.n", percent))
-    return met.select(F.least("x.code", "y.code").alias("a"), F.greatest("x.code", "y.code").alias("b")).where("a <> b").distinct()
-
-
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs whose union's sketch allows ``percent``, and whose whole sets reach it."""
     side = lambda name: classes.select(F.col("code").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
@@ -146,11 +132,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     Rows are linked if 100 * shared shingles >= ``percent`` * all shingles of
     the two; ``component_id`` is the smallest key reachable over links, the row
     itself included, and ``kept`` whether that is the row's own.  Rows of one
-    shingle set are one node.  Short inverted lists are compared pair by pair.
-    Of a long list one hub a round is compared with all members outside its
-    group, so a group of n near copies costs n comparisons; lists still holding
-    several groups after ``HUB_ROUNDS`` are compared in full between groups, so
-    no link that would join two groups is left out.
+    shingle set are one node; see ``groups_of_lists`` for which pairs are
+    compared.  No link that would join two groups is left out.
 
     Null and empty texts, and texts without words, have no shingles and are
     groups of their own.  Null keys count as larger than all others; a group of
@@ -160,9 +143,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     """
     rows = materialize(sketches(df, key, text, k, size), "sketches")
     classes = rows.where("code IS NOT NULL").groupBy("code").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    lists = materialize(rare_lists(classes, k, percent / 100), "rare-lists")
-    lengths = lists.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
-    lists = materialize(lists.join(lengths, "value"), "shared-lists")
+    lists = shared_lists(rare_lists(classes, k, percent / 100))
     met = lists.select("code").distinct()
     picked = rows.join(met, "code", "left_semi")
     classes = materialize(picked.groupBy("code").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "met-classes")
@@ -171,29 +152,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     texts = texts.join(reps, texts["_key"].eqNullSafe(reps["rep"]), "left_semi")
     sets = materialize(whole_sets(texts, "text", size).join(met, "code", "left_semi"), "whole-sets")
 
-    short = lists.where(f"length <= {SHORT_LIST}").select("value", "code", "n")
-    long = materialize(lists.where(f"length > {SHORT_LIST}").select("value", "code", "n"), "long-lists")
-    pairs = _pairs(short, short, percent, "x.code < y.code")
-    hub = long.groupBy("value").agg(F.min_by(F.struct("code", "n"), F.xxhash64("code")).alias("hub")).select("value", "hub.*")
-    pairs = pairs.union(_pairs(hub, long, percent, "x.code <> y.code")).distinct()
-    links = materialize(confirmed(pairs, classes, sets, k, percent), "near-links")
-    groups = components(links)
-    for turn in range(1, HUB_ROUNDS + 1):
-        labelled = long.join(groups, long["code"] == groups["node"], "left").select(
-            "value", "code", "n", F.coalesce("component", "code").alias("label")
-        )
-        several = labelled.groupBy("value").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("value")
-        long = materialize(labelled.join(several, "value"), "open-lists")
-        if long.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            hub = long.groupBy("value").agg(F.min_by(F.struct("code", "n", "label"), F.xxhash64("code", F.lit(turn))).alias("h")).select("value", "h.*")
-            pairs = _pairs(hub, long, percent, "x.label <> y.label")
-        else:
-            pairs = _pairs(long, long, percent, "x.label < y.label")
-        links = materialize(links.union(confirmed(pairs, classes, sets, k, percent)), "near-links")
-        groups = components(links)
-        long = long.select("value", "code", "n")
+    groups = groups_of_lists(lists, lambda pairs: confirmed(pairs, classes, sets, k, percent), percent)
 
     rows = rows.select("key", "n", "code")
     named = rows.join(groups, rows["code"] == groups["node"], "left").select("key", "n", F.coalesce("component", "code").alias("label"))

@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.llm.fingerprint import with_edits
 from basketry.llm.langid import identify
 from basketry.llm.minhash import near_duplicates
 from basketry.llm.mixing import mix_sources
+from basketry.llm.pieces import encode_texts
 from basketry.llm.quality import quality_rules
 from basketry.llm.urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
+#: where the vocabulary is on the driver; executors get its tables
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: the rules that the query holds URLs against
 URL_RULES = {
     "org/": "allow",
@@ -44,6 +48,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+@query
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as pieces with merge dropout, and what they decode to."""
+    return encode_texts(documents(spark, sf_dir), PIECE_MODEL)
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality rules over all documents, against references learned from all of them."""
@@ -56,6 +66,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, and how like those of its edited text and of the next document are."""
+    return with_edits(documents(spark, sf_dir))
+
+
 @query
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document."""

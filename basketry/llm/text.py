@@ -128,8 +128,8 @@ def n_code_points(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     return heads[at[1:]] - heads[at[:-1]]
 
 
-def map_pieces(df, column: str, schema: str, work):
-    """``work(piece)`` -> dict of columns, over all rows of ``df`` by pieces; a lazy DataFrame.
+def map_pieces(df, column: str, schema: str, work, limit: int = PIECE_BYTES):
+    """``work(piece)`` -> dict of columns, over all rows of ``df`` by pieces of ``limit`` bytes; a lazy DataFrame.
 
     ``work`` gets Arrow record batches with the columns of ``df``.
     """
@@ -140,7 +140,7 @@ def map_pieces(df, column: str, schema: str, work):
 
     def run(batches):
         for batch in batches:
-            for piece in pieces(batch, column):
+            for piece in pieces(batch, column, limit):
                 made = work(piece)
                 if made is not None:
                     yield pa.RecordBatch.from_arrays(
