@@ -13,6 +13,7 @@ from basketry.llm.minhash import near_duplicates
 from basketry.llm.mixing import mix_sources
 from basketry.llm.pieces import encode_texts
 from basketry.llm.quality import quality_rules
+from basketry.llm.suffixes import remove_repeats
 from basketry.llm.urls import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +67,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document outside strings of 100 bytes that also start earlier."""
+    return remove_repeats(documents(spark, sf_dir)).drop("kept_text", "row")
+
+
 @query
 def op8_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document, and how like those of its edited text and of the next document are."""
