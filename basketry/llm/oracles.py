@@ -64,7 +64,8 @@ FROM counts LEFT JOIN best USING (page_id)
 
 NEAR = r"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w
   FROM documents
 ), shingles AS (
   SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
@@ -83,4 +84,32 @@ FROM (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) LEFT
 """
 
 
-ORACLES = {"op1_minhash_dedup": NEAR, "op9_mix_sources": MIX, "op10_url_filter": _url_sql()}
+REPEATS = """
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(0, length(h) // 2 - 99)) AS i,
+    unnest(list_transform(range(0, length(h) // 2 - 99), lambda i: hash(substr(h, 2 * i + 1, 200)))) AS s
+  FROM texts WHERE length(h) >= 200
+), later AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM starts) WHERE n > 1
+), steps AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS fresh FROM later
+), runs AS (
+  SELECT doc_id, min(i) AS low, max(i) + 100 AS high
+  FROM (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps) GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, low, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS since, high,
+    lead(low) OVER (PARTITION BY doc_id ORDER BY low) IS NULL AS last FROM runs
+), kept AS (
+  SELECT doc_id, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans,
+    string_agg(substr(h, 2 * since + 1, 2 * (low - since)) || CASE WHEN last THEN substr(h, 2 * high + 1) ELSE '' END, '' ORDER BY low) AS k
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)
+"""
+
+
+ORACLES = {"op7_suffix_dedup": REPEATS, "op1_minhash_dedup": NEAR, "op9_mix_sources": MIX, "op10_url_filter": _url_sql()}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.fingerprint import with_edits
 from basketry.llm.langid import identify
+from basketry.llm.lm import score_documents
 from basketry.llm.minhash import near_duplicates
 from basketry.llm.mixing import mix_sources
 from basketry.llm.pieces import encode_texts
@@ -67,6 +68,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@query
+def op6_gru_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document, by word counts and by a recurrent network."""
+    return score_documents(documents(spark, sf_dir))
+
+
 @query
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document outside strings of 100 bytes that also start earlier."""
