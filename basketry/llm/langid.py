@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -116,8 +116,10 @@ def score_texts(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     return names, np.where(known, share, 0.0)
 
 
-def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row (key, lang_pred, score): the language of the whole text and its posterior probability.
+def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
+    """Per row (key, lang_pred, score, row): the language of the whole text and its posterior probability.
+
+    ``row`` is a struct of the columns of ``keep``, and there only if some are named.
 
     A null text, or one without a letter, is ``und`` with score 0, as is every
     text if the model knows no language.  Of equally likely languages the first
@@ -125,14 +127,18 @@ def predict(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     empty table none.  Columns other than key and text are not read.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_NUMBERS numbers
-    given = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    kind = given.schema["key"].dataType.simpleString()
+    row = [F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []
+    given = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *row)
+    schema = f"key {given.schema['key'].dataType.simpleString()}, lang_pred string, score double"
+    if keep:
+        schema += f", row {given.schema['row'].dataType.simpleString()}"
 
     def work(piece):
         names, score = score_texts(piece.column("text"), shared.value)
-        return {"key": piece.column("key"), "lang_pred": names, "score": score}
+        out = {"key": piece.column("key"), "lang_pred": names, "score": score}
+        return out | ({"row": piece.column("row")} if keep else {})
 
-    return map_pieces(given, "text", f"key {kind}, lang_pred string, score double", work).withColumnRenamed("key", key)
+    return map_pieces(given, "text", schema, work).withColumnRenamed("key", key)
 
 
 def fold(key: str = "doc_id", folds: int = 4) -> Column:
@@ -140,8 +146,10 @@ def fold(key: str = "doc_id", folds: int = 4) -> Column:
     return F.crc32(F.col(key).cast("string").cast("binary")) % folds
 
 
-def identify(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
+def identify(
+    df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", keep: Sequence[str] = (), **options
+) -> DataFrame:
     """Learn from the labelled rows outside fold 2 of 4 and predict all rows; adds ``held_out``."""
     held_out = F.coalesce(fold(key) == 2, F.lit(False))
     model = fit(df.where(~held_out), text, lang, **options)
-    return predict(df, model, key, text).withColumn("held_out", held_out)
+    return predict(df, model, key, text, keep).withColumn("held_out", held_out)

@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.components import groups_of_lists, shared_lists
@@ -61,26 +61,32 @@ def set_code(values: np.ndarray) -> int:
     return int(mix64(np.array([total ^ U64(len(values))]), 6).view(np.int64)[0])
 
 
+def row_code(key: str, text: str) -> Column:
+    """Code of a row by its key and text."""
+    return F.xxhash64(F.col(key), F.col(text))
+
+
 def _lists(sets: list[np.ndarray]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))
 
 
 def sketches(df: DataFrame, key: str, text: str, k: int, size: int) -> DataFrame:
-    """(key, n, code, sketch) per row; ``code`` stands for the whole set and is null for an empty one."""
+    """(key, row, n, code, sketch) per row; ``code`` stands for the whole set and is null for an empty one."""
 
     def work(piece):
         sets = shingle_sets(piece.column("text"), size)
         return {
             "key": piece.column("key"),
+            "row": piece.column("row"),
             "n": [len(s) for s in sets],
             "code": [set_code(s) if len(s) else None for s in sets],
             "sketch": _lists([s[:k] for s in sets]),
         }
 
-    given = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    given = df.select(F.col(key).alias("key"), F.col(text).alias("text"), row_code(key, text).alias("row"))
     kind = given.schema["key"].dataType.simpleString()
-    return map_pieces(given, "text", f"key {kind}, n bigint, code bigint, sketch array<bigint>", work)
+    return map_pieces(given, "text", f"key {kind}, row bigint, n bigint, code bigint, sketch array<bigint>", work)
 
 
 def whole_sets(df: DataFrame, text: str, size: int) -> DataFrame:
@@ -127,11 +133,12 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, per
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, k: int = 64, size: int = 5) -> DataFrame:
-    """Per row (key, n_shingles, component_id, kept): its group of near copies.
+    """Per row (key, n_shingles, component_id, kept, group, row): its group of near copies.
 
     Rows are linked if 100 * shared shingles >= ``percent`` * all shingles of
     the two; ``component_id`` is the smallest key reachable over links, the row
-    itself included, and ``kept`` whether that is the row's own.  Rows of one
+    itself included, and ``kept`` whether that is the row's own.  ``group`` is a
+    code of the group, ``row`` the row's ``row_code``.  Rows of one
     shingle set are one node; see ``groups_of_lists`` for which pairs are
     compared.  No link that would join two groups is left out.
 
@@ -154,10 +161,25 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
 
     groups = groups_of_lists(lists, lambda pairs: confirmed(pairs, classes, sets, k, percent), percent)
 
-    rows = rows.select("key", "n", "code")
-    named = rows.join(groups, rows["code"] == groups["node"], "left").select("key", "n", F.coalesce("component", "code").alias("label"))
-    lowest = named.where("label IS NOT NULL").groupBy("label").agg(F.min("key").alias("first"))
-    out = named.join(lowest, "label", "left").withColumn("_id", F.when(F.col("label").isNull(), F.col("key")).otherwise(F.col("first")))
+    named = rows.join(groups, rows["code"] == groups["node"], "left").select(
+        "key", "row", "n", "code", F.coalesce("component", "code", "row").alias("label")
+    )
+    lowest = named.where("code IS NOT NULL").groupBy("label").agg(F.min("key").alias("first"))
+    out = named.join(lowest.withColumnRenamed("label", "_label"), (F.col("label") == F.col("_label")) & F.col("code").isNotNull(), "left")
+    out = out.withColumn("_id", F.when(F.col("code").isNull(), F.col("key")).otherwise(F.col("first")))
     return out.select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("_id").alias("component_id"), F.col("key").eqNullSafe(F.col("_id")).alias("kept")
+        F.col("key").alias(key),
+        F.col("n").alias("n_shingles"),
+        F.col("_id").alias("component_id"),
+        F.col("key").eqNullSafe(F.col("_id")).alias("kept"),
+        F.col("label").alias("group"),
+        "row",
     )
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """Rows of ``df``, one of each group: that of the smallest key; of several such, one by a hash of its text."""
+    found = near_duplicates(df, key, text, **options)
+    order = F.struct(F.col(key).isNull(), F.col(key), F.col("row"))
+    first = found.groupBy("group").agg(F.min_by("row", order).alias("_row")).select("_row").distinct()
+    return df.withColumn("_row", row_code(key, text)).join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

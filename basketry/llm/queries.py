@@ -48,7 +48,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near copies among all documents."""
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).drop("group", "row")
 
 
 @query
