@@ -74,19 +74,19 @@ RULE_COLUMNS = f"""{_text('antecedent')} AS antecedent, {_text('consequent')} AS
   antecedent_support, total, round(confidence, 10) AS confidence"""
 
 
-def _redundant(table: str) -> str:
-    return f"""EXISTS (SELECT 1 FROM {table} o WHERE o.support = r.support
+def _redundant(table: str, more: str = "") -> str:
+    return f"""EXISTS (SELECT 1 FROM {table} o WHERE {more}o.support = r.support
     AND o.antecedent_support = r.antecedent_support
     AND list_has_all(r.antecedent, o.antecedent) AND list_has_all(o.consequent, r.consequent)
     AND NOT (o.antecedent = r.antecedent AND o.consequent = r.consequent))"""
 
 
-def _match(rules: str, min_weight: float) -> str:
+def _match(rules: str, min_weight: float, side: str = "antecedent") -> str:
     """Rules that match the last transaction of each customer."""
     return f"""matched AS (SELECT 's1' AS site, u.o_custkey AS "user", r.*,
-    len(list_intersect(u.held, r.antecedent)) / len(r.antecedent) AS weight
-  FROM users u, {rules} r WHERE len(list_intersect(u.held, r.antecedent)) > 0
-    AND len(list_intersect(u.held, r.antecedent)) / len(r.antecedent) >= {min_weight})"""
+    len(list_intersect(u.held, r.{side})) / len(r.{side}) AS weight
+  FROM users u, {rules} r WHERE len(list_intersect(u.held, r.{side})) > 0
+    AND len(list_intersect(u.held, r.{side})) / len(r.{side}) >= {min_weight})"""
 
 
 BEST_BRANDS = f"{BRANDS}, {_rules(0.1)}, {_top(100)}"
@@ -128,25 +128,31 @@ SELECT no, line, no || ',' || line AS value FROM numbered""",
     "basket_profile": f"""WITH {PARTS} SELECT count(DISTINCT tid) AS n_baskets, count(DISTINCT item) AS n_items,
   count(*) AS n_pairs, min(item) AS min_item, max(item) AS max_item, max(item) - min(item) + 1 AS item_range FROM b""",
     "vertical_index": f"""WITH {PARTS} SELECT item, tid // 4096 AS block,
-  {_text('list(tid ORDER BY tid)')} AS tids, count(*) AS support FROM b GROUP BY 1, 2""",
+  {_text('list(tid ORDER BY tid)')} AS tids, count(*) AS n FROM b GROUP BY 1, 2""",
     "item_support": f"WITH {BRANDS} SELECT item, count(*) AS support FROM b GROUP BY item",
     "item_occurrences": "SELECT l_partkey AS item, count(*) AS occurrences FROM lineitem GROUP BY 1",
     "pair_support": f"WITH {BRANDS}, {PAIRS} SELECT a, b, support FROM pairs WHERE support >= 60",
     "pair_support_parts": f"WITH {PARTS}, {PAIRS} SELECT a, b, support FROM pairs WHERE support >= 2",
     "itemset_support": f"WITH {BRANDS}, {PAIRS} SELECT a || ',' || b AS items, support FROM pairs WHERE support >= 60",
-    "frequent_itemsets": f"""WITH {BRANDS}, {_sets(3)} SELECT {_text('items')} AS items,
+    "frequent_itemsets": f"""WITH {BRANDS}, {_sets()} SELECT {_text('items')} AS items,
   CAST(len(items) AS INTEGER) AS size, support FROM sets WHERE support >= 60""",
-    "generate_rules": f"WITH {BRANDS}, {_rules(0.1, 3, 60)} SELECT {RULE_COLUMNS} FROM rules",
+    "generate_rules": f"WITH {BRANDS}, {_rules(0.1, None, 60)} SELECT {RULE_COLUMNS} FROM rules",
     "top_k_rules_brand": f"WITH {BRANDS}, {_rules(0.1)}, {_top(20)} SELECT {RULE_COLUMNS} FROM best",
     "top_k_rules_multi": f"WITH {BRANDS}, {_rules(0.2)}, {_top(20)} SELECT {RULE_COLUMNS} FROM best",
     "top_k_rules_parts": f"WITH {PARTS}, {_rules(0.1)}, {_top(20)} SELECT {RULE_COLUMNS} FROM best",
-    "top_k_rules_ties": f"""WITH {BRANDS}, {_rules(0.1)}, {_top(10)} SELECT {RULE_COLUMNS} FROM rules
-WHERE support >= (SELECT min(support) FROM best)""",
+    "top_k_rules_ties": f"""WITH {BRANDS}, {_rules(0.1)} SELECT {RULE_COLUMNS} FROM rules
+QUALIFY rank() OVER (ORDER BY support DESC) <= 10""",
     "attribute_rules": f"WITH {PROFILE}, {_rules(0.2)}, {_top(20)} SELECT {RULE_COLUMNS} FROM best",
     "top_k_nr_rules": f"""WITH {ATTRIBUTES}, {_rules(0.3)},
 kept AS (SELECT * FROM rules r WHERE NOT {_redundant('rules')}), {_top(100, 'kept')} SELECT {RULE_COLUMNS} FROM best""",
-    "top_k_nr_buffer": f"""WITH {ATTRIBUTES}, {_rules(0.3)}, {_top(120, 'rules', 'buffer')},
-kept AS (SELECT * FROM buffer r WHERE NOT {_redundant('buffer')}), {_top(100, 'kept')} SELECT {RULE_COLUMNS} FROM best""",
+    # the buffer doubles until 100 rules are left in it
+    "top_k_nr_buffer": f"""WITH {ATTRIBUTES}, {_rules(0.3)},
+ranked AS (SELECT *, row_number() OVER (ORDER BY {RANK}) AS place FROM rules),
+rooms AS (SELECT unnest([120, 240, 480, 960]) AS room),
+buffer AS (SELECT * FROM rooms JOIN ranked ON place <= room),
+kept AS (SELECT * FROM buffer r WHERE NOT {_redundant('buffer', 'o.room = r.room AND ')}),
+enough AS (SELECT min(room) AS room FROM (SELECT room FROM kept GROUP BY room HAVING count(*) >= 100)),
+fitting AS (SELECT kept.* FROM kept JOIN enough USING (room)), {_top(100, 'fitting')} SELECT {RULE_COLUMNS} FROM best""",
     "drop_redundant": f"""WITH {ATTRIBUTES}, {_rules(0.3)}
 SELECT {RULE_COLUMNS} FROM rules r WHERE NOT {_redundant('rules')}""",
     "rule_relative_support": f"""WITH {BEST_BRANDS}
@@ -170,6 +176,8 @@ FROM parts GROUP BY side, item, support, total""",
   p_brand AS item FROM last""",
     "user_rules": f"WITH {BEST_BRANDS}, {LAST}, {_match('best', 1.0)} SELECT {USER_RULE_COLUMNS} FROM matched",
     "user_rules_partial": f"""WITH {BRANDS}, {_rules(0.2)}, {_top(20)}, {LAST}, {_match('best', 0.5)}
+SELECT {USER_RULE_COLUMNS} FROM matched""",
+    "matched_consequents": f"""WITH {BEST_BRANDS}, {LAST}, {_match('best', 0.5, 'consequent')}
 SELECT {USER_RULE_COLUMNS} FROM matched""",
     "nest_user_rules": f"""WITH {BEST_BRANDS}, {LAST}, {_match('best', 1.0)}
 SELECT site, "user", CAST(count(*) AS INTEGER) AS n, string_agg({_text('antecedent')} || '>' || {_text('consequent')}, ';'
@@ -202,13 +210,16 @@ ranked AS (SELECT antecedent[1] AS item, consequent[1] AS partner, support, conf
   (PARTITION BY antecedent ORDER BY confidence DESC, support DESC, consequent) AS INTEGER) AS rank
   FROM rules WHERE support >= 2)
 SELECT item, partner, support, round(confidence, 10) AS confidence, rank FROM ranked WHERE rank = 1""",
-    "bundles": f"""WITH {PARTS}, {_sets(3)},
+    "bundles": f"""WITH {PARTS}, {_sets()},
 members AS (SELECT unnest(items) AS item, items, support FROM sets WHERE len(items) > 1 AND support >= 2),
 ranked AS (SELECT *, CAST(row_number() OVER
   (PARTITION BY item ORDER BY support DESC, len(items), items) AS INTEGER) AS rank FROM members)
 SELECT item, {_text('items')} AS items, support, rank FROM ranked WHERE rank = 1""",
     "basket_item_counts": """SELECT l_orderkey AS tid, l_partkey AS item, count(*) AS n,
   l_partkey - (SELECT min(l_partkey) FROM lineitem) AS position FROM lineitem GROUP BY 1, 2""",
+    "cluster_baskets": "SELECT o_orderkey AS tid, min(o_orderkey) OVER (PARTITION BY o_orderstatus) AS cluster FROM orders",
+    "cluster_lines": """WITH lines AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS no, o_orderpriority[1] AS line FROM orders)
+SELECT min(no) || '|' || line AS value, count(*) AS n FROM lines GROUP BY line""",
     "user_day_baskets": f"""WITH {USER_DAYS} SELECT user_id AS "user", strftime(d, '%Y-%m-%d') AS day,
   {_text('list(DISTINCT event_type ORDER BY event_type)')} AS items FROM e GROUP BY user_id, d""",
     "user_session_baskets": f"""WITH gaps AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE

@@ -43,15 +43,9 @@ def show_rules(rules: DataFrame, *more: str | Column) -> DataFrame:
     )
 
 
-_rules: dict[tuple[str, str], DataFrame] = {}
-
-
 def brand_rules(spark: SparkSession, sf: str) -> DataFrame:
-    """The rule table the look-up queries start from, mined once per session."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _rules:
-        _rules[key] = mining.top_k_rules(fx.brand_rows(spark, sf), 100, 0.1)
-    return _rules[key]
+    """The rule table the look-up queries start from; every query mines its own."""
+    return mining.top_k_rules(fx.brand_rows(spark, sf), 100, 0.1)
 
 
 # ------------------------------------------------------ sources and baskets
@@ -120,7 +114,7 @@ def basket_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 def vertical_index(spark: SparkSession, sf: str) -> DataFrame:
     index = support.vertical_index(fx.part_rows(spark, sf), block=1 << 12)
-    return index.select("item", "block", items_text("tids").alias("tids"), "support")
+    return index.select("item", "block", items_text("tids").alias("tids"), "n")
 
 
 def item_support(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,7 +140,7 @@ def itemset_support(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frequent_itemsets(spark: SparkSession, sf: str) -> DataFrame:
-    sets = mining.frequent_itemsets(fx.brand_rows(spark, sf), 60, 3)
+    sets = mining.frequent_itemsets(fx.brand_rows(spark, sf), 60)
     return sets.select(items_text().alias("items"), "size", "support")
 
 
@@ -155,7 +149,7 @@ def frequent_itemsets(spark: SparkSession, sf: str) -> DataFrame:
 
 def generate(spark: SparkSession, sf: str) -> DataFrame:
     rows = fx.brand_rows(spark, sf)
-    sets = mining.frequent_itemsets(rows, 60, 3)
+    sets = mining.frequent_itemsets(rows, 60)
     total = rows.groupBy("tid").agg(F.lit(1)).count()
     return show_rules(generate_rules(sets, total, 0.1))
 
@@ -317,6 +311,15 @@ def recommend_items(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("site", "user", "item", F.round("confidence", 10).alias("confidence"), "support", "rank")
 
 
+def matched_consequents(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules whose consequent each customer's last order holds, in part at least."""
+    found = recommend.match_rules(_last(spark, sf), brand_rules(spark, sf), 0.5, side="consequent")
+    return found.select(
+        "site", "user", items_text("antecedent").alias("antecedent"), items_text("consequent").alias("consequent"),
+        "support", F.round("confidence", 10).alias("confidence"), F.round("weight", 10).alias("weight"),
+    )
+
+
 # ---------------------------------------------------------------- use cases
 
 
@@ -344,7 +347,7 @@ def best_partner(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bundles(spark: SparkSession, sf: str) -> DataFrame:
-    best = usecases.bundles(mining.frequent_itemsets(fx.part_rows(spark, sf), 2, 3), 1)
+    best = usecases.bundles(mining.frequent_itemsets(fx.part_rows(spark, sf), 2), 1)
     return best.select("item", items_text().alias("items"), "support", "rank")
 
 
@@ -355,16 +358,30 @@ def basket_item_counts(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.basket_item_counts(fx.part_rows(spark, sf))
 
 
+def _named(clusters: DataFrame) -> DataFrame:
+    """Clusters named by their smallest id, as K-means numbers them at random."""
+    names = clusters.groupBy("cluster").agg(F.min("tid").alias("name"))
+    return clusters.join(names, "cluster").select("tid", F.col("name").alias("cluster"))
+
+
 def cluster_baskets(spark: SparkSession, sf: str) -> DataFrame:
-    return clustering.cluster_baskets(fx.brand_rows(spark, sf), 3, 5)
+    """Orders by their status: three different baskets, so three clusters."""
+    rows = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("tid"), F.col("o_orderstatus").alias("item"))
+    return _named(clustering.cluster_baskets(rows, 3, 10))
 
 
 def cluster_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of one number each, the priority of an order: five clusters."""
     path = scratch_path(spark, "lines")
-    sinks.write_lines(sinks.basket_lines(_part_baskets(spark, sf).orderBy("tid"), None), path)
-    lines = text.index_lines(spark, path).select(F.col("no").alias("tid"), "line")
-    rows = lines.select("tid", F.explode(F.split("line", " ").cast("array<bigint>")).alias("item"))
-    return clustering.cluster_lines(clustering.cluster_baskets(rows, 3, 5), lines)
+    orders = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("tid"), F.array(F.substring("o_orderpriority", 1, 1).cast("bigint")).alias("items")
+    )
+    sinks.write_lines(sinks.basket_lines(orders.orderBy("tid"), None), path)
+    numbered = text.index_lines(spark, path).select(F.col("no").alias("tid"), "line")
+    read = text.read_basket_lines(spark, path).distinct()
+    rows = numbered.join(read, "line").select("tid", F.explode("items").alias("item"))
+    clusters = _named(clustering.cluster_baskets(rows, 5, 10))
+    return clustering.cluster_lines(clusters, numbered).groupBy("value").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- streaming
@@ -448,7 +465,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         top_k_rules_ties, attribute_rules, top_k_nr_rules, top_k_nr_buffer, rule_relative_support,
         rules_by_antecedent, rules_by_consequent, classifier_rules, get_rules, rules_json_roundtrip,
         rules_parquet_roundtrip, rules_norm_items, rules_as_documents, last_transaction, user_rules,
-        user_rules_partial, nest_user_rules, user_rules_json_roundtrip, recommend_items, expand_queries, discount_conflicts, best_partner,
+        user_rules_partial, nest_user_rules, user_rules_json_roundtrip, recommend_items, matched_consequents, expand_queries, discount_conflicts, best_partner,
         bundles, basket_item_counts, cluster_baskets, cluster_lines, user_day_baskets, user_session_baskets, stream_track,
         stream_baskets, stream_pair_support, stream_mine, stream_recommend,
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -21,30 +21,6 @@ def overlap(given: Column, side: Column) -> Column:
     return F.size(F.array_intersect(side, given)) / F.size(side)
 
 
-def subset_masks(df: DataFrame, items: str, mask: str = "mask", proper: bool = True) -> DataFrame:
-    """One row per non-empty subset of ``items``, as a bit mask.
-
-    ``proper`` leaves the full set out.  The masks come from two short sequences, high and low bits, so no row ever
-    holds the full list of subsets.
-    """
-    size = F.size(items)
-    low = F.least(size, F.lit(12))
-    rows = (
-        df.withColumn("_low", low)
-        .withColumn("_high", F.explode(F.expr(f"sequence(0L, shiftleft(1L, size({items}) - _low) - 1L)")))
-        .withColumn("_bits", F.explode(F.expr("sequence(0L, shiftleft(1L, _low) - 1L)")))
-        .withColumn(mask, F.expr("shiftleft(_high, _low) | _bits"))
-        .where(f"{mask} > 0")
-        .drop("_low", "_high", "_bits")
-    )
-    return rows.where(f"{mask} < shiftleft(1L, size({items})) - 1L") if proper else rows
-
-
-def masked(items: str, mask: str = "mask", bit: int = 1) -> Column:
-    """Items whose bit in ``mask`` equals ``bit``; keeps the item order."""
-    return F.expr(f"filter({items}, (x, i) -> (shiftright({mask}, i) & 1L) = {bit}L)")
-
-
 def rule_order() -> list[Column]:
     """Ranking of rules: support, confidence, length, then the item lists."""
     return [

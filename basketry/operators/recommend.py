@@ -15,56 +15,67 @@ USER = ("site", "user")
 def last_transaction(items: DataFrame, by: Sequence[str] = USER) -> DataFrame:
     """Item rows of the latest group of each user: (by..., group, item).
 
-    Latest is the largest (timestamp, group).  The latest group per user is an
-    aggregate combined before the exchange; only its rows are gathered.
+    Latest is the largest (timestamp, group).  Rows are first reduced to one per
+    (user, group, item) with the group's latest time, by hash aggregates that
+    combine before the exchange, and stored; the largest time of a user, then
+    the largest group at that time, are found on that table.
     """
     keys = list(by)
-    rows = items.where("item IS NOT NULL")
-    last = rows.groupBy(*keys).agg(F.max(F.struct("timestamp", "group")).alias("last"))
-    last = last.select(*keys, F.col("last.group").alias("group"))
-    return rows.select(*keys, "group", "item").join(last, [*keys, "group"], "left_semi").distinct()
+    rows = items.where("item IS NOT NULL").groupBy(*keys, "group", "item").agg(F.max("timestamp").alias("timestamp"))
+    rows = materialize(rows, "held-items")
+    groups = rows.groupBy(*keys, "group").agg(F.max("timestamp").alias("timestamp"))
+    newest = groups.groupBy(*keys).agg(F.max("timestamp").alias("timestamp"))
+    last = groups.join(newest, [*keys, "timestamp"]).groupBy(*keys).agg(F.max("group").alias("group"))
+    return rows.select(*keys, "group", "item").join(last, [*keys, "group"], "left_semi")
 
 
-def match_rules(held: DataFrame, rules: DataFrame, min_weight: float = 1.0, by: Sequence[str] = USER) -> DataFrame:
+def match_rules(
+    held: DataFrame, rules: DataFrame, min_weight: float = 1.0, by: Sequence[str] = USER, side: str = "antecedent"
+) -> DataFrame:
     """Rules matching each key's items: (by..., rule columns, weight).
 
-    ``held`` has item rows (by..., item).  The weight is the share of the
-    antecedent that is held; rows below ``min_weight`` are left out.
+    ``held`` has item rows (by..., item).  The weight is the share of the rule's
+    ``side``, antecedent or consequent, that is held; rows below ``min_weight``
+    are left out, as is a rule of which nothing is held.
 
-    With m of n antecedent items needed, at least one of any n - m + 1 must be
-    held.  Antecedents are therefore looked up by their n - m + 1 rarest items
-    only, and checked in full by a join on (key, item).
+    With m of n items needed, at least one of any n - m + 1 must be held.  Sides
+    are therefore looked up by their n - m + 1 rarest items only, and checked in
+    full by a join on (key, item).  Empty sides match nothing.
     """
+    if side not in ("antecedent", "consequent"):
+        raise ValueError("side must be 'antecedent' or 'consequent'")
+    if not 0 <= min_weight <= 1:
+        raise ValueError("min_weight must lie between 0 and 1")
     keys = list(by)
     rows = materialize(held.select(*keys, "item").where("item IS NOT NULL").distinct(), "held")
-    sides = rules.select("antecedent").distinct().withColumn("n", F.size("antecedent"))
+    sides = rules.select(side).where(F.size(side) > 0).distinct().withColumn("n", F.size(side))
     enough = F.filter(F.sequence(F.lit(1), F.col("n")), lambda m: m / F.col("n") >= F.lit(float(min_weight)))
     sides = sides.withColumn("need", F.element_at(enough, 1))
     freq = rows.groupBy("item").agg(F.count("*").alias("freq"))
     ranked = (
-        sides.select("antecedent", "n", "need", F.explode("antecedent").alias("item"))
+        sides.select(side, "n", "need", F.explode(side).alias("item"))
         .join(freq, "item", "left")
-        .groupBy("antecedent", "n", "need")
+        .groupBy(side, "n", "need")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "item"))).alias("parts"))
     )
     anchors = ranked.select(
-        "antecedent", "n", "need", F.explode(F.slice("parts", F.lit(1), F.col("n") - F.col("need") + 1)).alias("part")
-    ).select("antecedent", "n", "need", "part.item")
+        side, "n", "need", F.explode(F.slice("parts", F.lit(1), F.col("n") - F.col("need") + 1)).alias("part")
+    ).select(side, "n", "need", "part.item")
     anchors = materialize(anchors, "anchors")
     found = rows.join(anchors, "item")
-    whole = found.where("n = 1").select(*keys, "antecedent", F.lit(1.0).alias("weight"))
+    whole = found.where("n = 1").select(*keys, side, F.lit(1.0).alias("weight"))
     parts = (
         found.where("n > 1")
-        .select(*keys, "antecedent", "n", "need")
+        .select(*keys, side, "n", "need")
         .distinct()
-        .select(*keys, "antecedent", "n", "need", F.explode("antecedent").alias("item"))
+        .select(*keys, side, "n", "need", F.explode(side).alias("item"))
         .join(rows, [*keys, "item"])
-        .groupBy(*keys, "antecedent", "n", "need")
+        .groupBy(*keys, side, "n", "need")
         .agg(F.count("*").alias("hits"))
         .where("hits >= need")
-        .select(*keys, "antecedent", (F.col("hits") / F.col("n")).alias("weight"))
+        .select(*keys, side, (F.col("hits") / F.col("n")).alias("weight"))
     )
-    return whole.unionByName(parts).join(rules, "antecedent").select(*keys, *rules.columns, "weight")
+    return whole.unionByName(parts).join(rules, side).select(*keys, *rules.columns, "weight")
 
 
 def user_rules(last: DataFrame, rules: DataFrame, min_weight: float = 1.0, by: Sequence[str] = USER) -> DataFrame:

@@ -5,39 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.itemsets import masked, subset_masks
+from basketry.plans.scratch import materialize
 
 KEYS = ["support", "antecedent_support"]
 
 
-def _subsets(df: DataFrame, items: str, out: str) -> DataFrame:
-    """One row per non-empty subset of ``items``, the full set included."""
-    masks = subset_masks(df, items, "_mask", proper=False)
-    return masks.withColumn(out, masked(items, "_mask")).drop("_mask")
-
-
 def drop_redundant(rules: DataFrame) -> DataFrame:
     """Rules that no other rule of the table makes redundant.
 
     X -> Y is redundant if another rule X' -> Y' has the same support and the
     same antecedent support (hence confidence), X' within X and Y within Y'.
 
-    Rules are never compared pair by pair.  A rule X' -> Y' covers the keys
-    (X', subset of Y'); X -> Y looks up the keys (subset of X, Y).  The two meet
-    on equality, so many rules of one support do not form one large group, and
-    the work is linear in the number of rules.
+    Such a rule shares with X -> Y every item of Y and has all of X' in X.  So a
+    covering rule is entered under each item of its consequent together with
+    the rarest item of its antecedent, and X -> Y is looked up under the rarest
+    item of Y together with each item of X: |Y'| and |X| rows a rule, however
+    long it is.  What meets is compared in full.
     """
-    covers = (
-        _subsets(rules.select(*KEYS, "antecedent", "consequent"), "consequent", "part")
-        .groupBy(*KEYS, F.col("antecedent").alias("ante"), F.col("part").alias("cons"))
-        .agg(F.max(F.size("consequent")).alias("longest"))
+    table = materialize(rules.select(*KEYS, "antecedent", "consequent").distinct(), "rules")
+    sides = table.select("antecedent", "consequent")
+    rarity = (
+        sides.select(F.explode(F.concat("antecedent", "consequent")).alias("item")).groupBy("item").agg(F.count("*").alias("n"))
     )
-    looks = _subsets(rules.select(*KEYS, "antecedent", "consequent"), "antecedent", "ante").withColumn(
-        "cons", F.col("consequent")
+    rarity = materialize(rarity, "rarity")
+
+    def rarest(side: str) -> DataFrame:
+        items = sides.select(side).distinct().select(side, F.explode(side).alias("item")).join(rarity, "item")
+        return items.groupBy(side).agg(F.min_by("item", F.struct("n", "item")).alias(f"rare_{side}"))
+
+    covers = table.join(rarest("antecedent"), "antecedent").select(
+        *KEYS,
+        F.col("rare_antecedent").alias("a"),
+        F.explode("consequent").alias("c"),
+        F.col("antecedent").alias("less"),
+        F.col("consequent").alias("more"),
     )
-    redundant = (
-        looks.join(covers, [*KEYS, "ante", "cons"])
-        .where("size(ante) < size(antecedent) OR longest > size(consequent)")
-        .select("antecedent", "consequent")
+    looks = table.join(rarest("consequent"), "consequent").select(
+        *KEYS, F.explode("antecedent").alias("a"), F.col("rare_consequent").alias("c"), "antecedent", "consequent"
     )
+    inside = (F.size(F.array_except("less", "antecedent")) == 0) & (F.size(F.array_except("consequent", "more")) == 0)
+    other = (F.size("less") < F.size("antecedent")) | (F.size("more") > F.size("consequent"))
+    redundant = looks.join(covers, [*KEYS, "a", "c"]).where(other & inside).select("antecedent", "consequent")
     return rules.join(redundant, ["antecedent", "consequent"], "left_anti").select(*rules.columns)

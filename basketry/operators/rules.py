@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.functions.itemsets import masked, subset_masks
+from basketry.plans.scratch import materialize_with
+
+#: item cells that one step of growing consequents may hold before the job is refused
+MAX_CELLS = 500_000_000
 
 
 def generate_rules(
@@ -13,6 +16,8 @@ def generate_rules(
     total: int,
     minconf: float,
     antecedents: DataFrame | None = None,
+    longest: int | None = None,
+    max_cells: int = MAX_CELLS,
 ) -> DataFrame:
     """All rules X -> Y with X u Y in ``itemsets`` and enough confidence.
 
@@ -20,27 +25,57 @@ def generate_rules(
     supports of X come from, by default ``itemsets`` itself; X not found there
     gives no rule.  It is unique on ``items``, so a frequent X makes one side of
     the join skewed and the other not, which adaptive execution splits.
+    ``longest`` may give the size of the largest itemset.
+
+    Consequents grow item by item, in the order of the itemset.  As Y grows X
+    shrinks and the confidence can only fall, so a consequent of too little
+    confidence is not grown; one whose X is not in the table is.  A set of n
+    items can still have 2^n - 2 rules: a step that would hold more than
+    ``max_cells`` items in all is refused with a ``ValueError``, nothing is cut.
     """
-    if antecedents is None:
-        antecedents = itemsets
-    splits = subset_masks(itemsets.select("items", "support").where("size(items) > 1"), "items").select(
-        masked("items").alias("antecedent"),
-        masked("items", bit=0).alias("consequent"),
-        "support",
-    )
-    known = antecedents.select(
+    known = (itemsets if antecedents is None else antecedents).select(
         F.col("items").alias("antecedent"), F.col("support").alias("antecedent_support")
     )
-    return (
-        splits.join(known, "antecedent")
-        .withColumn("confidence", F.col("support") / F.col("antecedent_support"))
-        .where(F.col("confidence") >= F.lit(float(minconf)))
-        .select(
-            "antecedent",
-            "consequent",
-            "support",
-            "antecedent_support",
-            F.lit(total).cast("bigint").alias("total"),
-            "confidence",
-        )
+    sets = itemsets.select("items", "support").where(F.size("items") > 1)
+    if longest is None:
+        longest = sets.agg(F.max(F.size("items"))).first()[0] or 0
+    first = sets.select("items", "support", F.posexplode("items").alias("at", "y"))
+    grown = first.select(
+        "items", "support", "at", F.array("y").alias("consequent"), F.expr("filter(items, (x, i) -> i <> at)").alias("antecedent")
+    )
+    out = None
+    for size in range(1, longest):
+        rated = grown.join(known, "antecedent", "inner" if size == longest - 1 else "left")
+        rated = rated.withColumn("confidence", F.col("support") / F.col("antecedent_support"))
+        if size < longest - 1:
+            rated = rated.where(F.col("confidence").isNull() | (F.col("confidence") >= F.lit(float(minconf))))
+            more = F.when(F.size("antecedent") > 1, F.size("items") - F.col("at") - 1).otherwise(0)
+            cells = F.coalesce(F.sum(more.cast("bigint") * F.size("items")), F.lit(0)).alias("cells")
+            rated, seen = materialize_with(rated, "consequents", cells)
+            if seen["cells"] > max_cells:
+                raise ValueError(f"consequents of {size + 1} items would hold {seen['cells']} items, more than {max_cells}")
+        rules = rated.where(F.col("confidence") >= F.lit(float(minconf)))
+        out = rules if out is None else out.unionByName(rules)
+        if size < longest - 1:
+            if not seen["cells"]:
+                break
+            grown = (
+                rated.where(F.size("antecedent") > 1)
+                .select("items", "support", "consequent", "antecedent", F.col("at").alias("last"), F.posexplode("items").alias("at", "y"))
+                .where(F.col("at") > F.col("last"))
+                .select(
+                    "items", "support", "at",
+                    F.concat("consequent", F.array("y")).alias("consequent"),
+                    F.array_remove("antecedent", F.col("y")).alias("antecedent"),
+                )
+            )
+    if out is None:
+        out = grown.join(known, "antecedent").withColumn("confidence", F.lit(None).cast("double")).where("false")
+    return out.select(
+        "antecedent",
+        "consequent",
+        "support",
+        "antecedent_support",
+        F.lit(total).cast("bigint").alias("total"),
+        "confidence",
     )

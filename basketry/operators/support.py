@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions.itemsets import canonical
 from basketry.operators.baskets import basket_items, distinct_items
 
 
@@ -29,16 +30,16 @@ def item_occurrences(items: DataFrame, item: str = "item") -> DataFrame:
 
 
 def vertical_index(baskets: DataFrame, tid: str = "tid", block: int = 1 << 15) -> DataFrame:
-    """Item to transaction ids, in blocks: (item, block, tids, support).
+    """Item to transaction ids, in blocks: (item, block, tids, n).
 
     Block ``b`` of an item lists its ids in ``[b * block, (b + 1) * block)``, so
     no row or group is longer than ``block`` however frequent the item is.
-    ``support`` counts the ids of the block.
+    ``n`` counts the ids of the block; an item's support is the sum of its blocks' ``n``.
     """
     rows = distinct_items(baskets, tid).withColumn("block", F.expr(f"tid div {block}"))
     # exchanged as rows: gathering before the exchange would only sort them twice
     blocks = rows.repartition("item", "block").groupBy("item", "block")
-    return blocks.agg(F.array_sort(F.collect_list("tid")).alias("tids"), F.count("*").alias("support"))
+    return blocks.agg(F.array_sort(F.collect_list("tid")).alias("tids"), F.count("*").alias("n"))
 
 
 def itemset_support(
@@ -53,9 +54,13 @@ def itemset_support(
     then checked for the other items by a join on (basket, item).  So a
     frequent item costs nothing unless all items of a set are frequent.
     ``supports`` may give known item supports (item, support).
+
+    Order, repeats and nulls in a given itemset do not matter; the result has it
+    as it was given, once.  The empty set is in every basket.
     """
     rows = distinct_items(baskets, tid)
-    sets = itemsets.select("items").distinct()
+    given = itemsets.select("items").distinct().withColumn("set", canonical("items"))
+    sets = given.select(F.col("set").alias("items")).where(F.size("items") > 0).distinct()
     if supports is None:
         supports = rows.groupBy("item").agg(F.count("*").alias("support"))
     anchors = (
@@ -79,6 +84,9 @@ def itemset_support(
         .select("items", "tid")
     )
     counts = single.unionByName(full).groupBy("items").agg(F.count("*").alias("support"))
-    return sets.join(counts, "items", "left").select(
+    every = rows.select("tid").distinct().agg(F.count("*").alias("support"))
+    empty = given.where(F.size("set") == 0).select(F.col("set").alias("items")).distinct()
+    counts = counts.unionByName(empty.crossJoin(every))  # one row by one row
+    return given.join(counts.withColumnRenamed("items", "set"), "set", "left").select(
         "items", F.coalesce("support", F.lit(0).cast("bigint")).alias("support")
     )

@@ -262,7 +262,7 @@ def _seed(store: BasketStore, k: int, minconf: float, max_len: int | None, ties:
         if not tables:
             tables = [head.select(F.array("item").alias("items"), "support")]
             seed.start = seen["best"] or 1
-        rules = generate_rules(_union([*tables[1:], counts]), store.total, minconf, _union(tables))
+        rules = generate_rules(_union([*tables[1:], counts]), store.total, minconf, _union(tables), n)
         tables.append(counts)
         pool, found, support, confidence = _best(rules, k, ties)
         if support:
@@ -313,7 +313,7 @@ def _search(
     for n, level in _levels(store, tau, max_len, seed.known, spare):
         if not non_redundant:
             if seed.pool is None or n > seed.upto:
-                offer(generate_rules(level, store.total, minconf, _union(levels)))
+                offer(generate_rules(level, store.total, minconf, _union(levels), n))
             elif n == seed.upto:
                 pool, found = seed.pool, k
                 rise(*seed.last)
@@ -328,12 +328,12 @@ def _search(
         )
         if n > 2:
             closed = levels[-1].join(equal.select(F.col("inner").alias("items")), "items", "left_anti")
-            offer(generate_rules(closed, store.total, minconf, _union(minimal)))
+            offer(generate_rules(closed, store.total, minconf, _union(minimal), n - 1))
             minimal.append(last_minimal)
         last_minimal = level.join(equal, "items", "left_anti").select("items", "support")
         levels.append(level)
     if non_redundant and len(levels) > 1:
-        offer(generate_rules(levels[-1], store.total, minconf, _union(minimal)))
+        offer(generate_rules(levels[-1], store.total, minconf, _union(minimal), len(levels)))
     return pool, found
 
 
@@ -350,6 +350,7 @@ def _mine(
     non_redundant: bool,
 ) -> DataFrame:
     _check(k, minconf)
+    _check_search(min_count, start, width, max_len)
     store = prepare(baskets, tid, width)
     seed = _seed(store, k, minconf, max_len, ties)
     if start is not None:
@@ -368,7 +369,7 @@ def _mine(
             break
         tau, shrink = lower, max(0.25, shrink * 0.75)
     if rules is None:
-        rules = generate_rules(_singles(store, 1), store.total, minconf)
+        rules = generate_rules(_singles(store, 1), store.total, minconf, longest=1)
     return rules
 
 
@@ -411,16 +412,31 @@ def top_k_nr_rules(
     """The k best rules that no other valid rule makes redundant.
 
     ``exact=False`` looks for redundancy only among the first k + delta valid
-    rules, as a bounded buffer does, and may return fewer than k.
+    rules, as a bounded buffer does.  If fewer than k rules are left, the buffer
+    is doubled, until k are or all valid rules are in it; ``delta`` is its first
+    room and without meaning if ``exact``.
     """
     if delta < 0:
         raise ValueError("delta must not be negative")
     if not exact:
-        pool = top_k_rules(baskets, k + delta, minconf, "exact", max_len, tid, min_count, start, width)
-        return drop_redundant(pool).orderBy(*rule_order()).limit(k)
+        _check(k, minconf)
+        room = k + delta
+        while True:
+            pool = top_k_rules(baskets, room, minconf, "exact", max_len, tid, min_count, start, width)
+            pool, seen = materialize_with(pool, "buffer", F.count("*").alias("n"))
+            best, left = materialize_with(drop_redundant(pool), "kept", F.count("*").alias("n"))
+            if left["n"] >= k or seen["n"] < room:
+                return best.orderBy(*rule_order()).limit(k)
+            room *= 2
     return _mine(baskets, k, minconf, max_len, tid, width, min_count, start, False, True)
 
 
+def _check_search(min_count: int, start: int | None, width: int, max_len: int | None) -> None:
+    for name, value, least in (("min_count", min_count, 1), ("start", start, 1), ("width", width, 1), ("max_len", max_len, 2)):
+        if value is not None and value < least:
+            raise ValueError(f"{name} must be at least {least}")
+
+
 def _check(k: int, minconf: float) -> None:
     if not isinstance(k, int) or isinstance(k, bool) or k < 1:
         raise ValueError("k must be an integer of at least 1")

@@ -7,7 +7,6 @@ from datetime import datetime, timezone
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from basketry.plans.mining import mine
 
@@ -29,20 +28,24 @@ def store_rules(rules: DataFrame, root: str, site: str, uid: str) -> None:
 
 
 def get_rules(spark: SparkSession, root: str, site: str, uid: str) -> DataFrame:
-    """Rules of one run; only that run's files are read."""
+    """Rules of one run; no other run's folder is listed or read."""
+    folder = f"{root.rstrip('/')}/site={_escaped(site)}/uid={_escaped(uid)}"
     try:
-        table = spark.read.parquet(root)
+        rules = spark.read.parquet(folder)
     except AnalysisException as error:
-        raise LookupError(f"no rules stored at {root}") from error
-    # read the keys as text, or a run named "01" would be looked for as the number 1
-    fields = [T.StructField(f.name, T.StringType()) if f.name in ("site", "uid") else f for f in table.schema]
-    table = spark.read.schema(T.StructType(fields)).parquet(root)
-    rules = table.where((F.col("site") == F.lit(site)) & (F.col("uid") == F.lit(uid))).drop("site", "uid")
+        raise LookupError(f"no rules for run {uid!r} of site {site!r}") from error
     if rules.isEmpty():
         raise LookupError(f"no rules for run {uid!r} of site {site!r}")
     return rules
 
 
+def _escaped(value: str) -> str:
+    """A value as partition folders are named: reserved characters as % and two hex digits."""
+    reserved = "\"#%'*/:=?\\{}[]^"
+    named = "".join(f"%{ord(c):02X}" if c in reserved or ord(c) < 32 or ord(c) == 127 else c for c in value)
+    return named or "__HIVE_DEFAULT_PARTITION__"
+
+
 def log_run(spark: SparkSession, root: str, uid: str, status: str, **params) -> None:
     """Append one row to the run log: started, finished or failed, with parameters."""
     names = [part.split()[0] for part in RUN_SCHEMA.split(", ")]
@@ -70,7 +73,12 @@ def run_status(spark: SparkSession, root: str, uid: str) -> str | None:
 def train(
     baskets: DataFrame, algorithm: str, root: str, log: str, uid: str, site: str = "", name: str = "", **params
 ) -> DataFrame:
-    """Mine, store the rules and log the run; a run id can be used only once."""
+    """Mine, store the rules and log the run; a run id can be used only once.
+
+    The log is looked at before the start is written, so of two callers that
+    start one id at the same moment both may run; the rules of the one that
+    ends last stay.
+    """
     spark = baskets.sparkSession
     if run_status(spark, log, uid) is not None:
         raise ValueError(f"run {uid!r} has been started before")

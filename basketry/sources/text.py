@@ -38,7 +38,8 @@ def read_basket_lines(spark: SparkSession, path: str, item_type: str = "bigint")
 def index_lines(spark: SparkSession, path: str) -> DataFrame:
     """Non-empty lines of text files, numbered 0, 1, 2, ...: (no, line, value).
 
-    The order is that of the file names and of the lines within a file.
+    The order is that of the file names and of the lines within a file; the
+    number after ``part-`` in a name counts as a number.
     ``value`` is ``no,line``.  Lines are numbered within each split as it is
     read, and the number of lines in the splits before it is added, so the text
     is neither sorted nor brought together; one row per split is.
@@ -50,8 +51,10 @@ def index_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("seen"),
     )
     splits = rows.groupBy("file", "start").agg(F.min("seen").alias("first"), F.count("*").alias("n"))
+    name = F.regexp_extract("file", r"[^/]*$", 0)
+    order = [F.regexp_extract("file", "^(.*/)", 1), F.regexp_extract(name, r"^part-(\d+)", 1).try_cast("bigint"), F.col("file"), F.col("start")]
     # one row per file split, so this window does not grow with the text itself
-    before = F.sum("n").over(Window.orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     offsets = splits.select("file", "start", "first", F.coalesce(before, F.lit(0)).alias("offset"))
     return (
         rows.join(offsets, ["file", "start"])

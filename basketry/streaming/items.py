@@ -18,14 +18,20 @@ from basketry.plans.scratch import materialize
 from basketry.sources.items import Spec, map_fields
 
 
-def track_items(stream: DataFrame, path: str, checkpoint: str, spec: Spec | None = None) -> StreamingQuery:
+#: a job ends when all input present is worked off; {"processingTime": "10 seconds"} and the like run on
+UNTIL_DONE = {"availableNow": True}
+
+
+def track_items(
+    stream: DataFrame, path: str, checkpoint: str, spec: Spec | None = None, trigger: dict = UNTIL_DONE
+) -> StreamingQuery:
     """Append incoming records, mapped to item records, to a Parquet table."""
     items = map_fields(stream, spec)
     return (
         items.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .start()
     )
 
@@ -56,7 +62,9 @@ def stream_baskets(
         if event_id:
             events = events.dropDuplicatesWithinWatermark([event_id])
     elif event_id:
-        events = events.dropDuplicates([event_id])
+        # of copies the earliest counts, so the result does not depend on the run
+        first = events.groupBy(event_id).agg(F.min(F.struct(timestamp, user, item)).alias("e"))
+        events = first.select(event_id, "e.*")
     who = F.col(user).alias("user")
     if session:
         grouped = events.groupBy(F.session_window(timestamp, session).alias("w"), who)
@@ -72,12 +80,12 @@ def stream_baskets(
 
 
 def _each_batch(
-    frame: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]
+    frame: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], trigger: dict
 ) -> StreamingQuery:
     return (
         frame.writeStream.outputMode("append")
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**trigger)
         .foreachBatch(work)
         .start()
     )
@@ -87,23 +95,23 @@ def _part(root: str, batch: int) -> str:
     return f"{root.rstrip('/')}/batch_id={batch}"
 
 
-def store_baskets(baskets: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def store_baskets(baskets: DataFrame, root: str, checkpoint: str, trigger: dict = UNTIL_DONE) -> StreamingQuery:
     """Write closed baskets, one folder per batch."""
 
     def work(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(_part(root, number))
 
-    return _each_batch(baskets, checkpoint, work)
+    return _each_batch(baskets, checkpoint, work, trigger)
 
 
-def stream_pair_support(baskets: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
+def stream_pair_support(baskets: DataFrame, root: str, checkpoint: str, trigger: dict = UNTIL_DONE) -> StreamingQuery:
     """Keep pair counts of closed baskets, one folder per batch."""
 
     def work(batch: DataFrame, number: int) -> None:
         keyed = batch.select(F.struct("user", "start").alias("tid"), "items")
         pair_support(keyed, 1).write.mode("overwrite").parquet(_part(root, number))
 
-    return _each_batch(baskets, checkpoint, work)
+    return _each_batch(baskets, checkpoint, work, trigger)
 
 
 def running_pair_support(spark: SparkSession, root: str, min_count: int = 1) -> DataFrame:
@@ -113,7 +121,7 @@ def running_pair_support(spark: SparkSession, root: str, min_count: int = 1) ->
 
 
 def stream_mine(
-    baskets: DataFrame, store: str, rules_root: str, checkpoint: str, algorithm: str = "TOPK", **params
+    baskets: DataFrame, store: str, rules_root: str, checkpoint: str, algorithm: str = "TOPK", trigger: dict = UNTIL_DONE, **params
 ) -> StreamingQuery:
     """Add closed baskets to the store and mine it anew after each batch that has any.
 
@@ -130,7 +138,7 @@ def stream_mine(
         rules = mine(stored, algorithm, **params)
         rules.write.mode("overwrite").parquet(_part(rules_root, number))
 
-    return _each_batch(baskets, checkpoint, work)
+    return _each_batch(baskets, checkpoint, work, trigger)
 
 
 def latest_rules(spark: SparkSession, rules_root: str) -> DataFrame:
@@ -141,7 +149,8 @@ def latest_rules(spark: SparkSession, rules_root: str) -> DataFrame:
 
 
 def stream_recommend(
-    baskets: DataFrame, rules: DataFrame, root: str, checkpoint: str, n: int = 3, min_weight: float = 1.0
+    baskets: DataFrame, rules: DataFrame, root: str, checkpoint: str, n: int = 3, min_weight: float = 1.0,
+    trigger: dict = UNTIL_DONE,
 ) -> StreamingQuery:
     """Recommend items for each closed basket, one folder per batch."""
 
@@ -151,4 +160,4 @@ def stream_recommend(
         matched = match_rules(held, rules, min_weight, keys)
         recommend(matched, held, n, keys).write.mode("overwrite").parquet(_part(root, number))
 
-    return _each_batch(baskets, checkpoint, work)
+    return _each_batch(baskets, checkpoint, work, trigger)

@@ -69,7 +69,7 @@ def test_supports_and_index(spark):
     assert counts[7] == 100 and counts[0] == sum(t % 2 == 0 or t % 5 == 0 for t in range(100))
     assert {r.item: r.occurrences for r in support.item_occurrences(df).collect()}[7] == 101
     blocks = support.vertical_index(df, block=16).where("item = 7").collect()
-    assert len(blocks) == 7 and sum(r.support for r in blocks) == 100
+    assert len(blocks) == 7 and sum(r.n for r in blocks) == 100
     assert sorted(t for r in blocks for t in r.tids) == list(range(100))
     assert all(16 * r.block <= t < 16 * (r.block + 1) for r in blocks for t in r.tids)
 

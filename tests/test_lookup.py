@@ -100,3 +100,16 @@ def test_use_cases(spark, rules):
     assert {(r["item"], tuple(r["items"])) for r in usecases.bundles(sets).collect()} == {
         (1, (1, 2)), (2, (2, 3)), (3, (2, 3)),
     }
+
+
+def test_match_rules_by_consequent_and_its_parameters(spark):
+    rules = spark.createDataFrame(
+        [([1], [2, 3], 4, 0.5), ([2], [4], 3, 0.5), ([5], [2], 3, 0.9), ([5], [], 1, 0.1)],
+        "antecedent array<int>, consequent array<int>, support int, confidence double",
+    )
+    held = spark.createDataFrame([("s", "u", 2), ("s", "u", 9), ("s", "v", 4), ("s", "v", 4)], "site string, user string, item int")
+    got = recommend.match_rules(held, rules, 0.5, side="consequent").collect()
+    assert sorted((r.user, r.antecedent, r.weight) for r in got) == [("u", [1], 0.5), ("u", [5], 1.0), ("v", [2], 1.0)]
+    for bad in ({"min_weight": 1.5}, {"min_weight": -1}, {"side": "both"}):
+        with pytest.raises(ValueError):
+            recommend.match_rules(held, rules, **bad)

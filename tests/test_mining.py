@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from itertools import combinations
 
 import pytest
 
@@ -88,9 +89,11 @@ def test_ties_all(spark):
 
 def test_bounded_buffer(spark):
     baskets = random_baskets(10)
-    pool = brute.rules(baskets, 0.3)[:25]
+    table, room = brute.rules(baskets, 0.3), 25
+    while len(brute.non_redundant(table[:room])) < 20:
+        room *= 2
     found = brute.rows(top_k_nr_rules(item_rows(spark, baskets), 20, 0.3, delta=5, exact=False))
-    assert found == brute.non_redundant(pool)[:20]
+    assert found == brute.non_redundant(table[:room])[:20]
 
 
 def test_drop_redundant_on_a_partial_table(spark):
@@ -126,7 +129,7 @@ def test_pair_support_and_array_input(spark):
 
 def test_itemset_support(spark):
     baskets = random_baskets(14)
-    wanted = [(0,), (0, 1), (0, 1, 2), (3, 5), (7, 8), (0, 99), (99,)]
+    wanted = [(0,), (0, 1), (0, 1, 2), (3, 5), (7, 8), (0, 99), (99,), (1, 0, 1), (2, 2), ()]
     df = spark.createDataFrame([(list(w),) for w in wanted], "items array<bigint>")
     found = {tuple(r["items"]): r.support for r in itemset_support(item_rows(spark, baskets), df).collect()}
     assert found == {w: sum(set(w) <= b for b in baskets) for w in wanted}
@@ -172,3 +175,37 @@ def test_input_shape_does_not_matter(spark):
     plain = brute.ranked(brute.rows(top_k_rules(df, 12, 0.3)))
     shuffled = df.unionByName(df).repartition(7).orderBy("item")
     assert brute.ranked(brute.rows(top_k_rules(shuffled, 12, 0.3))) == plain
+
+
+def test_long_itemsets_give_all_rules_or_an_error(spark):
+    items = list(range(76))
+    # X of one item only is frequent enough for no rule but those with one item on the right
+    rows = [(items, 10)] + [([i for i in items if i != j], 10) for j in items]
+    sets = spark.createDataFrame(rows, "items array<bigint>, support bigint")
+    known = sets.unionByName(spark.createDataFrame([([0], 1000)], "items array<bigint>, support bigint"))
+    with pytest.raises(ValueError, match="more than 100000"):
+        generate_rules(sets, 20, 0.5, known, max_cells=100_000)
+    every = [(list(s), 10 if len(s) >= 4 else 100) for n in range(1, 6) for s in combinations(range(5), n)]
+    df = spark.createDataFrame(every, "items array<bigint>, support bigint")
+    got = {(tuple(r.antecedent), tuple(r.consequent)) for r in generate_rules(df, 100, 0.5).collect()}
+    counts = {tuple(s): c for s, c in every}
+    want = {
+        (a, tuple(i for i in s if i not in a))
+        for s in counts for n in range(1, len(s)) for a in combinations(s, n) if counts[s] / counts[a] >= 0.5
+    }
+    assert got == want
+
+
+def test_one_long_consequent(spark):
+    long = list(range(1, 25))
+    rules = [([0], long, 5, 5), ([0], long[:3], 5, 5), ([0, 30], long[2:9], 5, 5), ([0, 30], [31], 5, 5), ([30], [1], 5, 5)]
+    df = spark.createDataFrame(rules, "antecedent array<bigint>, consequent array<bigint>, support bigint, antecedent_support bigint")
+    left = sorted((r.antecedent, r.consequent) for r in drop_redundant(df).collect())
+    assert left == sorted([([0], long), ([0, 30], [31]), ([30], [1])])
+
+
+def test_search_parameters(spark):
+    df = item_rows(spark, brute.TOY)
+    for bad in ({"min_count": 0}, {"start": 0}, {"width": 0}, {"max_len": 1}):
+        with pytest.raises(ValueError):
+            top_k_rules(df, 2, 0.5, **bad)
