@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from basketry.plans.scratch import materialize, materialize_with
 
-#: lists up to this length are compared pair by pair, longer ones by rounds of one hub against all
+#: lists up to this length are compared pair by pair, longer ones with a hub
 SHORT_LIST = 16
-HUB_ROUNDS = 3
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -73,37 +72,79 @@ def _pairs(rows: DataFrame, others: DataFrame, percent: int, apart: str) -> Data
     return met.select(F.least("x.code", "y.code").alias("a"), F.greatest("x.code", "y.code").alias("b")).where("a <> b").distinct()
 
 
-def groups_of_lists(lists: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def groups_of_lists(
+    lists: DataFrame,
+    confirm: Callable[[DataFrame], DataFrame],
+    percent: int,
+    sets: DataFrame | None = None,
+) -> DataFrame:
     """(node, component) of the links among members of one list that ``confirm`` finds true.
 
     ``lists`` is a table (value, code, n, length); sizes n of linked members
-    differ by ``percent`` at most.  Short lists are compared pair by pair.  Of a
-    long list one hub a round is compared with all members outside its group,
-    so a group of n alike members costs n comparisons.  Lists that still hold
-    several groups after ``HUB_ROUNDS`` rounds are compared in full between
-    groups, so no link that joins two groups is left out.
+    differ by ``percent`` at most.  Short lists are compared pair by pair.  A
+    long list is compared with one hub, the member that stands in most long
+    lists, so a group of n alike members costs n comparisons.  What lists with
+    several groups still need is found by ``_around_hubs`` if ``sets``, a table
+    (code, shingles), is given and a link is a Jaccard similarity of ``percent``;
+    else their groups are compared in full.  No link that joins two groups is
+    left out.
     """
     short = lists.where(f"length <= {SHORT_LIST}").select("value", "code", "n")
     long = lists.where(f"length > {SHORT_LIST}").select("value", "code", "n")
-    hub = long.groupBy("value").agg(F.min_by(F.struct("code", "n"), F.xxhash64("code")).alias("hub")).select("value", "hub.*")
-    pairs = _pairs(short, short, percent, "x.code < y.code").union(_pairs(hub, long, percent, "x.code <> y.code")).distinct()
+    stands = long.groupBy("code").agg(F.count("*").alias("lists"))
+    best = F.max_by(F.struct("code", "n"), F.struct("lists", F.xxhash64("code")))
+    hubs = materialize(long.join(stands, "code").groupBy("value").agg(best.alias("hub")).select("value", "hub.*"), "hubs")
+    pairs = _pairs(short, short, percent, "x.code < y.code").union(_pairs(hubs, long, percent, "x.code <> y.code")).distinct()
     links = materialize(confirm(pairs), "list-links")
     groups = components(links)
-    for turn in range(1, HUB_ROUNDS + 1):
-        labelled = long.join(groups, long["code"] == groups["node"], "left").select(
-            "value", "code", "n", F.coalesce("component", "code").alias("label")
-        )
-        several = labelled.groupBy("value").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("value")
-        rest = materialize(labelled.join(several, "value"), "open-lists")
-        if rest.isEmpty():
-            break
-        if turn < HUB_ROUNDS:
-            chosen = F.min_by(F.struct("code", "n", "label"), F.xxhash64("code", F.lit(turn)))
-            hub = rest.groupBy("value").agg(chosen.alias("h")).select("value", "h.*")
-            pairs = _pairs(hub, rest, percent, "x.label <> y.label")
-        else:
-            pairs = _pairs(rest, rest, percent, "x.label < y.label")
-        links = materialize(links.union(confirm(pairs)), "list-links")
-        groups = components(links)
-        long = rest.select("value", "code", "n")
-    return groups
+    rest = _open_lists(long, groups)
+    if rest.isEmpty():
+        return groups
+    if sets is None:
+        pairs = _pairs(rest, rest, percent, "x.label < y.label")
+    else:
+        pairs = _around_hubs(rest, hubs, sets, percent)
+    return components(materialize(links.union(confirm(pairs)), "list-links"))
+
+
+def _around_hubs(lists: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct (a, b) that may be linked among members of one list, in different groups.
+
+    With D = a member's symmetric difference to the hub h of its list, the
+    difference of two members x and y is that of Dx and Dy.  A link allows it to
+    be r (|x| + |y|), with r = (100 - percent) / (100 + percent).  Of two members
+    in different groups one, x, is not linked to the hub, so |Dx| > r (|x| + |h|),
+    hence Dx and Dy share more than q = (|Dy| + r (|h| - |y|)) / 2 elements, and
+    one among the |Dy| - floor(q) elements of Dy that are in the fewest other
+    differences.  Members with edits of their own share none of these.
+    """
+    hub = hubs.select("value", F.col("code").alias("hub"), F.col("n").alias("n_hub"))
+    family = lists.join(hub, "value").select("hub", "n_hub", "code", "n", "label").distinct()
+    whole = sets.select(F.col("code").alias("hub"), F.col("shingles").alias("of_hub"))
+    both = family.join(sets.select("code", "shingles"), "code").join(whole, "hub")
+    change = F.concat(F.array_except("shingles", "of_hub"), F.array_except("of_hub", "shingles"))
+    changed = both.select("hub", "n_hub", "code", "n", "label", change.alias("change")).withColumn("size", F.size("change"))
+    changed = materialize(changed, "changes")
+    loose = F.col("size") * (100 + percent) > (100 - percent) * (F.col("n") + F.col("n_hub"))
+    items = changed.select("hub", "n_hub", "code", "n", "label", "size", loose.alias("loose"), F.explode("change").alias("item"))
+    often = items.groupBy("hub", "item").agg(F.count("*").alias("df")).where("df > 1")
+    items = items.join(often, ["hub", "item"])
+    keys = ["hub", "n_hub", "code", "n", "label", "size", "loose"]
+    own = materialize(items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items")), "common-changes")
+    # twice (100 + percent) times q, in whole numbers
+    q = F.col("size") * (100 + percent) + (100 - percent) * (F.col("n_hub") - F.col("n"))
+    first = F.col("size") - F.floor(q / (2 * (100 + percent))) - (F.col("size") - F.size("items"))
+    rare = own.select("hub", "code", "n", "label", F.explode(F.slice("items", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("x"))
+    rare = rare.select("hub", "code", "n", "label", F.col("x.item").alias("item"))
+    all_ = own.where("loose").select("hub", "code", "n", "label", F.explode("items.item").alias("item"))
+    met = rare.alias("y").join(all_.alias("x"), ["hub", "item"]).where("x.label <> y.label")
+    met = met.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    return met.select(F.least("x.code", "y.code").alias("a"), F.greatest("x.code", "y.code").alias("b")).distinct()
+
+
+def _open_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
+    """Lists that hold several groups, with each member's group as ``label``."""
+    label = F.coalesce("component", "code").alias("label")
+    labelled = lists.join(groups, lists["code"] == groups["node"], "left").select("value", "code", "n", label)
+    several = labelled.groupBy("value").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("value")
+    return materialize(labelled.join(several, "value"), "open-lists")

@@ -112,7 +112,7 @@ def rare_lists(classes: DataFrame, k: int, threshold: float) -> DataFrame:
     least = F.when(F.col("n") <= int(k * threshold), F.ceil(F.col("n") * threshold)).otherwise(F.lit(needed(k, threshold)))
     alone = F.col("held") - F.size("v")
     take = F.greatest(F.col("held") - least + 1 - alone, F.lit(0)).cast("int")
-    prefix = F.slice(F.array_sort("v"), F.lit(1), take)
+    prefix = F.slice(F.sort_array("v"), F.lit(1), take)
     return own.select("code", "n", F.explode(prefix).alias("x")).select(F.col("x.value").alias("value"), "code", "n")
 
 
@@ -120,16 +120,14 @@ def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, per
     """Pairs whose union's sketch allows ``percent``, and whose whole sets reach it."""
     side = lambda name: classes.select(F.col("code").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
-    union = F.array_sort(F.array_union("s_a", "s_b"))
-    near = near.withColumn("_last", F.element_at(union, F.least(F.size(union), F.lit(k))))
-    both = F.expr("size(filter(array_intersect(s_a, s_b), x -> x <= _last))")
-    whole = F.greatest("n_a", "n_b") <= k
-    near = near.where(F.when(whole, both * 100 >= percent * (F.col("n_a") + F.col("n_b") - both)).otherwise(both >= needed(k, percent / 100)))
-    near = near.select("a", "b", "n_a", "n_b")
+    least = F.when(F.greatest("n_a", "n_b") <= k, F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent)))
+    least = least.otherwise(needed(k, percent / 100))
+    shared = F.array_intersect("s_a", "s_b")
+    sketch = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k)  # of the union
+    near = near.where((F.size(shared) >= least) & (F.size(F.array_intersect(sketch, shared)) >= least)).select("a", "b", "n_a", "n_b")
     full = lambda name: sets.select(F.col("code").alias(name), F.col("shingles").alias(f"w_{name}"))
-    shared = F.size(F.array_intersect("w_a", "w_b"))
-    done = near.join(full("a"), "a").join(full("b"), "b").withColumn("_both", shared)
-    return done.where(f"100 * _both >= {percent} * (n_a + n_b - _both)").select("a", "b")
+    done = near.join(full("a"), "a").join(full("b"), "b")
+    return done.where(F.size(F.array_intersect("w_a", "w_b")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75, k: int = 64, size: int = 5) -> DataFrame:
@@ -159,8 +157,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     texts = texts.join(reps, texts["_key"].eqNullSafe(reps["rep"]), "left_semi")
     sets = materialize(whole_sets(texts, "text", size).join(met, "code", "left_semi"), "whole-sets")
 
-    groups = groups_of_lists(lists, lambda pairs: confirmed(pairs, classes, sets, k, percent), percent)
-
+    groups = groups_of_lists(lists, lambda pairs: confirmed(pairs, classes, sets, k, percent), percent, sets)
     named = rows.join(groups, rows["code"] == groups["node"], "left").select(
         "key", "row", "n", "code", F.coalesce("component", "code", "row").alias("label")
     )
