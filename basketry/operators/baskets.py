@@ -17,7 +17,6 @@ from basketry.plans.scratch import materialize, materialize_with
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 GATHER = 100_000  # rows of one key that may be brought together as they are
-BUCKETS = 1 << 16  # hash buckets in which hot keys are looked for
 
 
 def tid_column(by: str | Sequence[str]) -> Column:
@@ -47,19 +46,11 @@ def distinct_items(baskets: DataFrame, tid: str | Sequence[str] = "tid") -> Data
 def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int = GATHER) -> DataFrame | None:
     """Keys with more than ``limit`` rows as one struct column ``key``, None if there are none.
 
-    Rows are first counted by a hash bucket of the key, a small table; keys are
-    counted one by one only in buckets that exceed the limit, so no hot key is
-    missed and most keys are never exchanged.
+    Rows are counted by key before the exchange, which moves one number per key
+    and task.  Any limit gives the same baskets in the end.
     """
-    bucket = F.xxhash64(*keys).bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")
-    sized = rows.select(F.struct(*keys).alias("key"), bucket)
-    crowded = sized.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    found = F.count("*").alias("n")
-    crowded, seen = materialize_with(crowded.select("bucket"), "crowded", found)
-    if not seen["n"]:
-        return None
-    counts = sized.join(crowded, "bucket", "left_semi").groupBy("key").agg(F.count("*").alias("n"))
-    hot, seen = materialize_with(counts.where(F.col("n") > limit).select("key"), "hot", found)
+    counts = rows.groupBy(F.struct(*keys).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    hot, seen = materialize_with(counts.select("key"), "hot", F.count("*").alias("n"))
     return hot if seen["n"] else None
 
 
@@ -79,16 +70,23 @@ def gather(rows: DataFrame, keys: Sequence[str], item: str = "item") -> DataFram
     return rows.repartition(*keys).groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("items"))
 
 
-def to_baskets(items: DataFrame, by: str | Sequence[str] = ("site", "user", "group"), item: str = "item") -> DataFrame:
+def to_baskets(
+    items: DataFrame, by: str | Sequence[str] = ("site", "user", "group"), item: str = "item", limit: int = GATHER
+) -> DataFrame:
     """One row per transaction: the key columns and the sorted item array.
 
-    Transactions with very many rows are found first.  Their repeats are removed
-    by (key, item), which spreads each of them over many tasks, so that only
-    distinct items are brought together.
+    The source is read once, its keys and items are stored.  Transactions with
+    more than ``limit`` rows are found first; their repeats are removed by
+    (key, item), which spreads each of them over many tasks, so that only
+    distinct items are brought together.  Rows without an item, or with a null
+    single key, are dropped; in a key of several columns a null is a value.
     """
     keys = [by] if isinstance(by, str) else list(by)
     rows = items.select(*keys, F.col(item).alias("_item")).where("_item IS NOT NULL")
-    hot = hot_keys(rows, keys)
+    if len(keys) == 1:
+        rows = rows.where(F.col(keys[0]).isNotNull())
+    rows = materialize(rows, "item-rows")
+    hot = hot_keys(rows, keys, limit)
     if hot is None:
         return gather(rows, keys, "_item")
     ordinary, few = split_hot(rows, keys, hot)

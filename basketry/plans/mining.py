@@ -11,7 +11,7 @@ is lowered, with a new pass, if fewer than k exist above it.
 from __future__ import annotations
 
 import logging
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -31,8 +31,6 @@ log = logging.getLogger("basketry")
 # all counted.  Each gives at most about 20,000 itemsets.
 HEADS = {2: 200, 3: 50, 4: 27}
 
-SMALL_LEVEL = 1000  # itemsets up to which a level is tested for candidates of the next
-
 
 # ---------------------------------------------------------------- one level
 
@@ -66,7 +64,7 @@ def _frequent(
     if wide is None:
         level, seen = materialize_with(counts.where(F.col("support") >= tau), "level", size)
         return level, seen["n"]
-    # fewer than tau baskets are wide, so tau - n_wide >= 1 narrow ones hold the itemset
+    # at most half of tau baskets are wide, so tau - n_wide narrow ones hold the itemset
     candidates = materialize(counts.where(F.col("support") >= tau - n_wide), "candidates")
     extra = itemset_support(wide, candidates, supports=supports).withColumnRenamed("support", "extra")
     total = candidates.join(extra, "items").select("items", (F.col("support") + F.col("extra")).alias("support"))
@@ -74,31 +72,6 @@ def _frequent(
     return level, seen["n"]
 
 
-def _may_grow(level: DataFrame, n: int, size: int) -> bool:
-    """Whether some (n + 1)-itemset has all its n-subsets in ``level``.
-
-    Saves a pass over the baskets when the level is small.  A level of more than
-    ``SMALL_LEVEL`` itemsets is not looked at, the next pass decides.
-    """
-    if size > SMALL_LEVEL:
-        size = level.select("items").limit(SMALL_LEVEL + 1).count()
-    if size > SMALL_LEVEL or size <= n:
-        return size > n
-    split = level.select(
-        F.slice("items", 1, n - 1).alias("prefix"), F.element_at("items", -1).alias("last")
-    )
-    longer = (
-        split.join(split.withColumnRenamed("last", "next"), "prefix")
-        .where("last < next")
-        .select(F.concat("prefix", F.array("last", "next")).alias("longer"))
-    )
-    inner = longer.select("longer", F.explode(F.sequence(F.lit(0), F.lit(n))).alias("at")).select(
-        "longer", F.expr("filter(longer, (x, i) -> i <> at)").alias("items")
-    )
-    full = inner.join(level.select("items"), "items").groupBy("longer").agg(F.count("*").alias("n"))
-    return not full.where(F.col("n") == n + 1).isEmpty()
-
-
 class _Threshold:
     """Support threshold of a running search; it only rises."""
 
@@ -130,7 +103,7 @@ def _levels(
         n += 1
         if n in known and tau.value > known[n][0]:
             level = known[n][1].where(F.col("support") >= tau.value)
-            size = level.limit(SMALL_LEVEL + 1).count()
+            size = level.count()
         else:
             least = min(spare or tau.value, tau.value) if n == 2 else tau.value
             if baskets is None:
@@ -143,12 +116,12 @@ def _levels(
             if least < tau.value:
                 known[2] = (least - 1, level)
                 level = level.where(F.col("support") >= tau.value)
-                size = level.limit(SMALL_LEVEL + 1).count()
+                size = level.count()
         if not size:
             return
         yield n, level
         level = level.where(F.col("support") >= tau.value)
-        if n == max_len or not _may_grow(level, n, size):
+        if n == max_len or level.count() <= n:  # an (n + 1)-itemset has n + 1 subsets in the level
             return
         done[n] = level
         if baskets is not None:
@@ -245,10 +218,10 @@ class _Seed:
     upto: int = 1
 
 
-def _seed(store: BasketStore, k: int, minconf: float, max_len: int | None, ties: bool) -> _Seed:
+def _seed(store: BasketStore, k: int, minconf: float, max_len: int | None, ties: bool, heads: Mapping[int, int]) -> _Seed:
     seed = _Seed(1, {})
     tables = []
-    for n, size in HEADS.items():
+    for n, size in heads.items():
         if max_len is not None and n > max_len:
             break
         ranked = store.supports.orderBy(F.desc("support"), "item")
@@ -348,11 +321,12 @@ def _mine(
     start: int | None,
     ties: bool,
     non_redundant: bool,
+    heads: Mapping[int, int],
 ) -> DataFrame:
     _check(k, minconf)
     _check_search(min_count, start, width, max_len)
     store = prepare(baskets, tid, width)
-    seed = _seed(store, k, minconf, max_len, ties)
+    seed = _seed(store, k, minconf, max_len, ties, heads)
     if start is not None:
         seed.pool = None
     tau = max(start or seed.start, min_count)
@@ -383,18 +357,23 @@ def top_k_rules(
     min_count: int = 1,
     start: int | None = None,
     width: int = WIDTH,
+    heads: Mapping[int, int] = HEADS,
 ) -> DataFrame:
     """The k rules of highest support with confidence >= ``minconf``.
 
     ``baskets`` holds item rows (tid, item) or baskets (tid, items).  Rules of
     equal rank are ordered by ``rule_order``; ``ties='all'`` returns every rule
     with the support of the k-th as well.  ``max_len`` limits the items of a
-    rule, ``min_count`` its support.  ``start`` overrides the first threshold;
-    the result does not depend on it.
+    rule, ``min_count`` its support.
+
+    ``start`` overrides the first threshold; ``heads`` says for 2, 3, 4 items of
+    how many most frequent items all combinations are counted to find one;
+    ``width`` is the number of items above which a basket is looked up instead
+    of listed.  The result depends on none of the three.
     """
     if ties not in ("exact", "all"):
         raise ValueError("ties must be 'exact' or 'all'")
-    return _mine(baskets, k, minconf, max_len, tid, width, min_count, start, ties == "all", False)
+    return _mine(baskets, k, minconf, max_len, tid, width, min_count, start, ties == "all", False, heads)
 
 
 def top_k_nr_rules(
@@ -408,6 +387,7 @@ def top_k_nr_rules(
     min_count: int = 1,
     start: int | None = None,
     width: int = WIDTH,
+    heads: Mapping[int, int] = HEADS,
 ) -> DataFrame:
     """The k best rules that no other valid rule makes redundant.
 
@@ -422,13 +402,13 @@ def top_k_nr_rules(
         _check(k, minconf)
         room = k + delta
         while True:
-            pool = top_k_rules(baskets, room, minconf, "exact", max_len, tid, min_count, start, width)
+            pool = top_k_rules(baskets, room, minconf, "exact", max_len, tid, min_count, start, width, heads)
             pool, seen = materialize_with(pool, "buffer", F.count("*").alias("n"))
             best, left = materialize_with(drop_redundant(pool), "kept", F.count("*").alias("n"))
             if left["n"] >= k or seen["n"] < room:
                 return best.orderBy(*rule_order()).limit(k)
             room *= 2
-    return _mine(baskets, k, minconf, max_len, tid, width, min_count, start, False, True)
+    return _mine(baskets, k, minconf, max_len, tid, width, min_count, start, False, True, heads)
 
 
 def _check_search(min_count: int, start: int | None, width: int, max_len: int | None) -> None:

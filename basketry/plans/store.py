@@ -22,8 +22,6 @@ from basketry.operators.baskets import GATHER, basket_items, gather, hot_keys, s
 from basketry.plans.scratch import materialize, materialize_with
 
 WIDTH = 64  # items a basket may hold before it is treated as wide
-KEEP_SHARE = 0.9  # share of item rows that must survive for pruning to be skipped
-FEW_ITEMS = 2000  # items up to which arrays are filtered by a literal list, without an exchange
 
 
 @dataclass
@@ -36,7 +34,6 @@ class BasketStore:
     total: int
     supports: DataFrame
     n_items: int
-    n_rows: int
     width: int
 
     def item_rows(self) -> DataFrame:
@@ -55,7 +52,7 @@ def prepare(baskets: DataFrame, tid: str | Sequence[str] = "tid", width: int = W
         gathered = baskets.select(tid_column(tid).alias("tid"), canonical("items").alias("items"))
         gathered = gathered.where(F.size("items") > 0)
     else:
-        rows = basket_items(baskets, tid)
+        rows = materialize(basket_items(baskets, tid), "item-rows")
         hot = hot_keys(rows, ["tid"], limit)
         if hot is not None:
             rows, few = split_hot(rows, ["tid"], hot)
@@ -73,12 +70,10 @@ def prepare(baskets: DataFrame, tid: str | Sequence[str] = "tid", width: int = W
     if scattered is not None:
         n_hot = scattered.select("tid").distinct().count()
         total, n_wide = total + n_hot, n_wide + n_hot
-    store = BasketStore(narrow, wide, n_wide, total, narrow, 0, 0, width)
+    store = BasketStore(narrow, wide, n_wide, total, narrow, 0, width)
     counts = store.item_rows().groupBy("item").agg(F.count("*").alias("support"))
-    store.supports, seen = materialize_with(
-        counts, "supports", F.count("*").alias("n"), F.coalesce(F.sum("support"), F.lit(0)).alias("rows")
-    )
-    store.n_items, store.n_rows = seen["n"], seen["rows"]
+    store.supports, seen = materialize_with(counts, "supports", F.count("*").alias("n"))
+    store.n_items = seen["n"]
     return store
 
 
@@ -110,15 +105,15 @@ def restrict_to_head(store: BasketStore, head: DataFrame, size: int) -> DataFram
 def prune(store: BasketStore, tau: int) -> tuple[DataFrame, DataFrame | None, int]:
     """Baskets without the items below support ``tau``: narrow, wide, #wide.
 
-    Fewer than ``tau`` baskets are wide in the result: where too many are, the
-    width limit is doubled until the rest can be listed as narrow.
+    At most half of ``tau`` baskets are wide in the result: where more are, the
+    width limit is doubled until the rest can be listed as narrow.  So an itemset
+    to be counted lies in at least tau / 2 narrow baskets, which keeps the
+    candidates few.
     """
     frequent = store.supports.where(F.col("support") >= tau)
-    size = frequent.agg(F.count("*").alias("n"), F.coalesce(F.sum("support"), F.lit(0)).alias("rows")).first()
-    if size["rows"] >= KEEP_SHARE * store.n_rows:
+    size = frequent.agg(F.count("*").alias("n")).first()
+    if size["n"] == store.n_items:  # nothing to leave out
         narrow = store.narrow
-    elif size["n"] <= FEW_ITEMS:
-        narrow = _only(store.narrow, [row["item"] for row in frequent.select("item").collect()])
     else:
         rows = store.narrow.select("tid", F.explode("items").alias("item"))
         narrow = materialize(_regroup(rows.join(frequent.select("item"), "item", "left_semi"), 2), "pruned")
@@ -129,7 +124,7 @@ def prune(store: BasketStore, tau: int) -> tuple[DataFrame, DataFrame | None, in
     widths = wide.groupBy("tid").agg(F.count("*").alias("n"))
     limits = [store.width << step for step in range(40)]
     wider = widths.agg(*[F.count_if(F.col("n") > limit) for limit in limits]).first()
-    limit, n_wide = next((lim, n) for lim, n in zip(limits, wider) if n < tau)
+    limit, n_wide = next((lim, n) for lim, n in zip(limits, wider) if 2 * n <= tau)
     if n_wide:
         hot = materialize(widths.where(F.col("n") > limit).select("tid"), "hot")
         back, wide = wide.join(hot, "tid", "left_anti"), wide.join(hot, "tid", "left_semi")

@@ -25,10 +25,16 @@ def test_to_baskets(spark):
     }
 
 
-def test_to_baskets_with_hot_keys(spark, monkeypatch):
+def test_to_baskets_with_hot_keys(spark):
     plain = sorted(map(str, bk.to_baskets(records(spark)).collect()))
-    monkeypatch.setattr(bk.hot_keys, "__defaults__", (1,))
-    assert sorted(map(str, bk.to_baskets(records(spark)).collect())) == plain
+    for limit in (0, 1):  # with 0 every key is hot
+        assert sorted(map(str, bk.to_baskets(records(spark), limit=limit).collect())) == plain
+
+
+def test_a_null_single_key_is_no_basket(spark):
+    rows = spark.createDataFrame([(1, "a"), (None, "a"), (None, "b")], "tid bigint, item string")
+    assert [tuple(r) for r in bk.to_baskets(rows, "tid").collect()] == [(1, ["a"])]
+    assert bk.basket_profile(rows).first().n_baskets == 1
 
 
 def test_hot_keys_are_exact(spark):

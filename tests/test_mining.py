@@ -204,6 +204,15 @@ def test_one_long_consequent(spark):
     assert left == sorted([([0], long), ([0, 30], [31]), ([30], [1])])
 
 
+def test_start_values_do_not_matter(spark):
+    df = item_rows(spark, random_baskets(21, hot=1))
+    answers = [
+        brute.rows(top_k_rules(df, 25, 0.4, heads=heads, width=width, start=start))
+        for heads, width, start in (({2: 200, 3: 50}, 64, None), ({2: 2}, 4, None), ({}, 3, 9), ({2: 5, 3: 4}, 2, 1))
+    ]
+    assert all(a == answers[0] for a in answers)
+
+
 def test_search_parameters(spark):
     df = item_rows(spark, brute.TOY)
     for bad in ({"min_count": 0}, {"start": 0}, {"width": 0}, {"max_len": 1}):
