@@ -67,7 +67,10 @@ def unflat(values: np.ndarray, shape: Shape) -> dict[str, np.ndarray]:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _step(h, gates, model, size):
@@ -75,25 +78,36 @@ def _step(h, gates, model, size):
     rec = h @ model["w_rec"]
     zr = _sigmoid(gates[:, : 2 * size] + rec[:, : 2 * size])
     z, r = zr[:, :size], zr[:, size:]
-    n = np.tanh(gates[:, 2 * size :] + r * rec[:, 2 * size :])
-    return n + z * (h - n), z, r, n, rec[:, 2 * size :]
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    n = r * rec[:, 2 * size :]
+    n += gates[:, 2 * size :]
+    n *= 2
+    n = _sigmoid(n)  # tanh x = 2 sigmoid(2 x) - 1, and exp is the faster of the two
+    n *= 2
+    n -= 1
+    new = h - n
+    new *= z
+    new += n
+    return new, z, r, n, rec[:, 2 * size :]
+
+
+def _softmax_at(x: np.ndarray, place: np.ndarray, shares: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log-probability of one entry of each row of scores, and, if asked for, all probabilities; uses up ``x``."""
+    x -= x.max(axis=1, keepdims=True)
+    at = x[np.arange(len(x)), place]
+    np.exp(x, out=x)
+    total = x.sum(axis=1)
+    if shares:
+        x /= total[:, None]
+    return at - np.log(total), x if shares else None
 
 
 def _output(states, targets, model, shape, class_of, grads=None):
     """Log-probability (natural) of each target; adds gradients of the loss, and returns that of the states."""
     own = class_of[targets]
-    log_class = _log_softmax(states @ model["w_class"] + model["b_class"])
-    line = np.arange(len(targets))
-    out = log_class[line, own]
+    out, d = _softmax_at(states @ model["w_class"] + model["b_class"], own, grads is not None)
     back = None
     if grads is not None:
-        d = np.exp(log_class)
-        d[line, own] -= 1
+        d[np.arange(len(targets)), own] -= 1
         grads["w_class"] += states.T @ d
         grads["b_class"] += d.sum(axis=0)
         back = d @ model["w_class"].T
@@ -105,11 +119,10 @@ def _output(states, targets, model, shape, class_of, grads=None):
         if high - low < 2 or not len(here):
             continue
         mine = states[here]
-        log_word = _log_softmax(mine @ model["w_word"][low:high].T + model["b_word"][low:high])
         place = targets[here] - low
-        out[here] += log_word[np.arange(len(here)), place]
+        log_word, d = _softmax_at(mine @ model["w_word"][low:high].T + model["b_word"][low:high], place, grads is not None)
+        out[here] += log_word
         if grads is not None:
-            d = np.exp(log_word)
             d[np.arange(len(here)), place] -= 1
             grads["w_word"][low:high] += d.T @ mine
             grads["b_word"][low:high] += d.sum(axis=0)
@@ -172,7 +185,10 @@ def train(tokens: np.ndarray, first: np.ndarray, model, shape, rate=0.004, lanes
         grads["w_rec"] += before.reshape(-1, size).T @ d_rec.reshape(-1, 3 * size)
         grads["w_in"] += embedded.reshape(-1, shape.width).T @ wide
         grads["b_in"] += wide.sum(axis=0)
-        np.add.at(grads["embed"], ids.ravel(), wide @ model["w_in"].T)
+        order = np.argsort(ids, axis=None, kind="stable")
+        sorted_ids = ids.ravel()[order]
+        cut = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
+        grads["embed"][sorted_ids[cut]] = np.add.reduceat((wide @ model["w_in"].T)[order], cut, axis=0)
         _adam(model, grads, state, rate, count * lanes)
     return state
 
