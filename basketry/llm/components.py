@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.plans.scratch import materialize, materialize_with
 
+#: members of a block, and changes counted at a time, when members are held against each other
+BLOCK, COLUMNS = 256, 4096
 #: lists up to this length are compared pair by pair, longer ones with a hub
 SHORT_LIST = 16
 
@@ -108,38 +112,67 @@ def groups_of_lists(
 
 
 def _around_hubs(lists: DataFrame, hubs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Distinct (a, b) that may be linked among members of one list, in different groups.
+    """Distinct (a, b) that are linked among members of one list, in different groups.
 
     With D = a member's symmetric difference to the hub h of its list, the
     difference of two members x and y is that of Dx and Dy.  A link allows it to
     be r (|x| + |y|), with r = (100 - percent) / (100 + percent).  Of two members
-    in different groups one, x, is not linked to the hub, so |Dx| > r (|x| + |h|),
-    hence Dx and Dy share more than q = (|Dy| + r (|h| - |y|)) / 2 elements, and
-    one among the |Dy| - floor(q) elements of Dy that are in the fewest other
-    differences.  Members with edits of their own share none of these.
+    in different groups one, x, is not linked to the hub: these are held against
+    all members.  Members are dealt into blocks of about BLOCK, and a task gets
+    one block of either side; it counts shared changes as a matrix product, so
+    no pair is a row unless it is a link.
     """
     hub = hubs.select("value", F.col("code").alias("hub"), F.col("n").alias("n_hub"))
     family = lists.join(hub, "value").select("hub", "n_hub", "code", "n", "label").distinct()
     whole = sets.select(F.col("code").alias("hub"), F.col("shingles").alias("of_hub"))
     both = family.join(sets.select("code", "shingles"), "code").join(whole, "hub")
     change = F.concat(F.array_except("shingles", "of_hub"), F.array_except("of_hub", "shingles"))
-    changed = both.select("hub", "n_hub", "code", "n", "label", change.alias("change")).withColumn("size", F.size("change"))
-    changed = materialize(changed, "changes")
     loose = F.col("size") * (100 + percent) > (100 - percent) * (F.col("n") + F.col("n_hub"))
-    items = changed.select("hub", "n_hub", "code", "n", "label", "size", loose.alias("loose"), F.explode("change").alias("item"))
-    often = items.groupBy("hub", "item").agg(F.count("*").alias("df")).where("df > 1")
-    items = items.join(often, ["hub", "item"])
-    keys = ["hub", "n_hub", "code", "n", "label", "size", "loose"]
-    own = materialize(items.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("df", "item"))).alias("items")), "common-changes")
-    # twice (100 + percent) times q, in whole numbers
-    q = F.col("size") * (100 + percent) + (100 - percent) * (F.col("n_hub") - F.col("n"))
-    first = F.col("size") - F.floor(q / (2 * (100 + percent))) - (F.col("size") - F.size("items"))
-    rare = own.select("hub", "code", "n", "label", F.explode(F.slice("items", 1, F.greatest(first, F.lit(0)).cast("int"))).alias("x"))
-    rare = rare.select("hub", "code", "n", "label", F.col("x.item").alias("item"))
-    all_ = own.where("loose").select("hub", "code", "n", "label", F.explode("items.item").alias("item"))
-    met = rare.alias("y").join(all_.alias("x"), ["hub", "item"]).where("x.label <> y.label")
-    met = met.where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-    return met.select(F.least("x.code", "y.code").alias("a"), F.greatest("x.code", "y.code").alias("b")).distinct()
+    changed = both.select("hub", "n_hub", "code", "n", "label", F.sort_array(change).alias("change"))
+    changed = changed.withColumn("size", F.size("change")).withColumn("loose", loose)
+    changed = materialize(changed, "changes")
+    blocks = changed.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    dealt = changed.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("code"), "blocks"))
+    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
+    columns = ["hub", "code", "n", "label", "change"]
+    left = dealt.select(*columns, F.col("own").alias("left"), other.alias("right"))
+    right = dealt.where("loose").select(*columns, F.col("own").alias("right"), other.alias("left"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # other attributes than those of ``left``
+    keys = ["hub", "left", "right"]
+    ratio = (100 - percent, 100 + percent)
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        lambda x, y: _linked(x, y, *ratio), "a bigint, b bigint"
+    )
+    return met.distinct()
+
+
+def _linked(left: pd.DataFrame, right: pd.DataFrame, more: int, less: int) -> pd.DataFrame:
+    """Pairs of two blocks in different groups whose changes differ little enough."""
+    none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+    if not len(left) or not len(right):
+        return none
+    sides = []
+    for block in (left, right):
+        size = block["change"].map(len).to_numpy()
+        flat = np.concatenate([np.asarray(c, np.int64) for c in block["change"]]) if size.sum() else np.empty(0, np.int64)
+        sides.append((size, np.repeat(np.arange(len(block)), size), flat))
+    common = np.intersect1d(sides[0][2], sides[1][2])
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(common), COLUMNS):
+        part, tables = common[low : low + COLUMNS], []
+        for (_, row, flat), block in zip(sides, (left, right)):
+            place = np.minimum(np.searchsorted(part, flat), len(part) - 1)
+            hit = part[place] == flat
+            table = np.zeros((len(block), len(part)), np.float32)
+            table[row[hit], place[hit]] = 1
+            tables.append(table)
+        shared += tables[0] @ tables[1].T
+    apart = sides[0][0][:, None] + sides[1][0] - 2 * shared.astype(np.int64)
+    total = left["n"].to_numpy()[:, None] + right["n"].to_numpy()
+    near = (apart * less <= more * total) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy())
+    x, y = np.nonzero(near)
+    a, b = left["code"].to_numpy()[x], right["code"].to_numpy()[y]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}) if len(a) else none
 
 
 def _open_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:

@@ -153,3 +153,17 @@ def identify(
     held_out = F.coalesce(fold(key) == 2, F.lit(False))
     model = fit(df.where(~held_out), text, lang, **options)
     return predict(df, model, key, text, keep).withColumn("held_out", held_out)
+
+
+def known_rows(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
+    """Rows of ``df`` whose language is recognised, unchanged; learns as ``identify`` does."""
+    model = fit(df.where(~F.coalesce(fold(key) == 2, F.lit(False))), text, lang, **options)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_NUMBERS numbers
+
+    def run(batches):
+        for batch in batches:
+            for piece in pieces(batch, text):
+                names, _ = score_texts(piece.column(text), shared.value)
+                yield piece.filter(pa.array([name != UNKNOWN for name in names], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -27,7 +27,7 @@ SPACE_MARK = "▁"
 LONGEST = 64
 _SPACE = 0x20
 #: texts of so many bytes are encoded together, their equal units once
-TOGETHER = 6 << 20
+TOGETHER = 3 << 20
 _place = mix64(np.arange(1 << 12), 51) | U64(1)
 
 

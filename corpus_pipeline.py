@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm.langid import UNKNOWN, identify
+from basketry.llm.langid import known_rows
 from basketry.llm.minhash import keep_one
 from basketry.llm.mixing import take_mix
 from basketry.llm.pieces import encode_texts
@@ -16,7 +16,7 @@ from basketry.plans.scratch import materialize
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; null texts and texts without a letter go."""
-    return identify(docs, keep=docs.columns).where(f"lang_pred <> '{UNKNOWN}'").select("row.*")
+    return known_rows(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without passages that also start earlier; ``n_chars`` is that of the shorter text."""
-    cut = remove_repeats(docs, keep=tuple(docs.columns))
+    cut = remove_repeats(docs, keep=tuple(c for c in docs.columns if c != "text"))
     text = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text").cast("bigint")}
     return cut.select(*[text[c].alias(c) if c in text else F.col(f"row.{c}").alias(c) for c in docs.columns])
 
