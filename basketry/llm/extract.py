@@ -143,7 +143,10 @@ def train(pages: DataFrame, key: str = "page_id", source: str = "html", seed: in
     LENDER_CHARS characters; TRAINING_PAGES pages are built from its words.
     """
     short = pages.where(F.length(source) <= LENDER_CHARS).select(F.col(key).alias("key"), F.col(source).alias("html"))
-    lent = short.orderBy(F.xxhash64("key", F.lit(seed)), "html").limit(LENDERS).collect()
+    # keys are chosen first, so no task sends more than these pages
+    chosen = short.select("key", F.xxhash64("key", F.lit(seed)).alias("lot")).distinct().orderBy("lot").limit(LENDERS)
+    lent = short.join(F.broadcast(chosen), "key").limit(LENDERS).collect()
+    lent.sort(key=lambda r: (r["lot"], r["html"]))
     words = [w for r in lent for w in _WORD.findall(r["html"]) if not w.startswith("<")]
     builder = Builder([html.unescape(w) for w in words], seed)
     made = [labelled(builder.page()) for _ in range(TRAINING_PAGES)]
