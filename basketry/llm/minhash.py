@@ -117,14 +117,19 @@ def rare_lists(classes: DataFrame, k: int, threshold: float) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs whose union's sketch allows ``percent``, and whose whole sets reach it."""
+    """Pairs whose sketches allow ``percent``, and whose whole sets reach it.
+
+    Sketches of sets of at most ``k`` shingles are the sets, so what they share
+    is exact; else the sketch of the union is a sample of it.
+    """
     side = lambda name: classes.select(F.col("code").alias(name), F.col("n").alias(f"n_{name}"), F.col("sketch").alias(f"s_{name}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
-    least = F.when(F.greatest("n_a", "n_b") <= k, F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent)))
-    least = least.otherwise(needed(k, percent / 100))
     shared = F.array_intersect("s_a", "s_b")
     sketch = F.slice(F.sort_array(F.array_union("s_a", "s_b")), 1, k)  # of the union
-    near = near.where((F.size(shared) >= least) & (F.size(F.array_intersect(sketch, shared)) >= least)).select("a", "b", "n_a", "n_b")
+    whole = F.size(shared) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))
+    least = needed(k, percent / 100)
+    sampled = (F.size(shared) >= least) & (F.size(F.array_intersect(sketch, shared)) >= least)
+    near = near.where(F.when(F.greatest("n_a", "n_b") <= k, whole).otherwise(sampled)).select("a", "b", "n_a", "n_b")
     full = lambda name: sets.select(F.col("code").alias(name), F.col("shingles").alias(f"w_{name}"))
     done = near.join(full("a"), "a").join(full("b"), "b")
     return done.where(F.size(F.array_intersect("w_a", "w_b")) * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b"))).select("a", "b")

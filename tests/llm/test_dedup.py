@@ -65,6 +65,20 @@ def test_near_duplicates_of_awkward_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_about_as_large_as_a_sketch(spark):
+    rows = []
+    for n in range(56, 68):  # shingles of both; 8 differ, so 0.75 to 0.79 of all are shared
+        for copy in range(4):
+            words = [f"w{n}x{copy}x{i}" for i in range(n + 4)]
+            other = list(words)
+            other[2] = other[30] = "other"
+            rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(other))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    want = near_groups(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert sum(d != w[1] for d, w in want.items()) == len(rows) // 2
+
+
 def test_needed_is_below_the_expected_overlap():
     assert 0 < needed(64, 0.75) < 48
     assert needed(8, 0.75) == 1
