@@ -6,7 +6,9 @@ tie, until none is left.  A pair that comes up is skipped for good if a hash,
 keyed by the seed, says so; it can come up again only as a pair of other pieces.
 All units of a batch are merged side by side in numpy: a unit is a run of
 spaces with the characters up to the next space, as no piece reaches from a
-character into a following space.
+character into a following space.  Every occurrence of a unit has hashes of its
+own; occurrences share a row of the matrices as long as the same pairs of the
+unit were skipped in all of them.
 """
 
 from __future__ import annotations
@@ -127,68 +129,115 @@ def load_vocabulary(path: str) -> Vocabulary:
 
 @dataclass(frozen=True)
 class Dropout:
-    """A pair is skipped with probability ``share``; occurrences of a unit get one of ``variants`` segmentations."""
+    """A pair of pieces that comes up is skipped with probability ``share``."""
 
     share: float = 0.1
     seed: int = 0
-    variants: int = 8
 
-    def skips(self, unit: np.ndarray, place: np.ndarray, piece: np.ndarray) -> np.ndarray:
-        """Whether the pair at ``place`` of a unit that would become ``piece`` is skipped."""
+    def skips(self, key: np.ndarray, place: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Whether ``pair`` is skipped at ``place`` of the occurrence named ``key``."""
         if not self.share:
-            return np.zeros(np.broadcast(unit, place, piece).shape, bool)
-        code = mix64(unit ^ (place.astype(U64) << U64(32)) ^ piece.astype(U64), 52)
+            return np.zeros(np.broadcast(key, place, pair).shape, bool)
+        code = mix64(key ^ (place.astype(U64) << U64(32)) ^ pair.astype(U64), 52)
         return (code >> U64(11)).astype(np.float64) < self.share * 2.0**53
 
 
-def _segments(ids: np.ndarray, size: np.ndarray, keys: np.ndarray, vocab: Vocabulary, drop: Dropout) -> list[tuple]:
-    """Merge all rows of ``ids`` (units x longest, -1 padded); returns blocks of (rows, counts, pieces).
+class _Rows:
+    """Segmentations under way, as matrices of a row each, and the occurrences that have them.
 
-    ``rank`` holds the rank of the piece that each neighbouring pair would make, or ``none``.
+    ``ids`` is padded by -1; ``rank`` holds the rank of the piece that each
+    neighbouring pair would make, or ``NONE``; ``place`` where each piece starts.
     """
-    done, rows = [], np.arange(len(ids))
-    none = np.iinfo(np.int16).max
-    place = np.broadcast_to(np.arange(ids.shape[1], dtype=np.int8), ids.shape)
 
-    def ranks(left, right, unit, at):
-        merged = vocab.merged(left, right)
+    NONE = np.iinfo(np.int16).max
+
+    def __init__(self, ids: np.ndarray, size: np.ndarray, row: np.ndarray, keys: np.ndarray, vocab: Vocabulary, drop: Dropout):
+        self.ids, self.size, self.row, self.keys, self.vocab, self.drop = ids, size, row, keys, vocab, drop
+        self.number = np.arange(len(row))  # of the occurrences
+        self.place = np.broadcast_to(np.arange(ids.shape[1], dtype=np.int8), ids.shape)
+        self.rank = np.full((len(ids), ids.shape[1] - 1), self.NONE, np.int16)
+
+    def rate(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank the pair at ``at`` of each of ``rows``.
+
+        A row is split if only some of its occurrences skip the pair; returns
+        the rows from which new ones, added at the end, were split.
+        """
+        left, right = self.ids[rows, at], self.ids[rows, at + 1]
+        merged = self.vocab.merged(left, right)
         live = np.flatnonzero((merged >= 0) & (left >= 0) & (right >= 0))
-        live = live[~drop.skips(unit[live], at[live], merged[live])]
-        out = np.full(len(left), none, np.int16)
-        out[live] = vocab.ranks[merged[live]]
+        self.rank[rows, at] = self.NONE
+        rows, at, left, right = rows[live], at[live], left[live], right[live]
+        self.rank[rows, at] = self.vocab.ranks[merged[live]]
+        if not self.drop.share or not len(rows):
+            return rows[:0]
+        nth = np.full(len(self.ids), -1)
+        nth[rows] = np.arange(len(rows))
+        nth = nth[self.row]
+        here = np.flatnonzero(nth >= 0)
+        nth = nth[here]
+        pair = left.astype(np.int64) * len(self.vocab.pieces) + right
+        skipped = self.drop.skips(self.keys[here], self.place[rows, at][nth], pair[nth])
+        here, nth = here[skipped], nth[skipped]
+        n_skips, n = np.bincount(nth, minlength=len(rows)), np.bincount(self.row, minlength=len(self.ids))[rows]
+        self.rank[rows[n_skips == n], at[n_skips == n]] = self.NONE
+        both = np.flatnonzero((n_skips > 0) & (n_skips < n))
+        fresh = np.full(len(rows), -1)
+        fresh[both] = len(self.ids) + np.arange(len(both))
+        moved = fresh[nth] >= 0
+        self.row[here[moved]] = fresh[nth[moved]]
+        for name in ("ids", "size", "place", "rank"):
+            table = getattr(self, name)
+            setattr(self, name, np.concatenate((table, table[rows[both]])))
+        self.rank[fresh[both], at[both]] = self.NONE
+        return rows[both]
+
+    def take(self, on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Keep the rows that are ``on``; (occurrences, their rows, sizes, ids) of the others."""
+        new = np.where(on, np.cumsum(on), np.cumsum(~on)) - 1
+        stay = on[self.row]
+        out = self.number[~stay], new[self.row[~stay]], self.size[~on], self.ids[~on]
+        self.number, self.row, self.keys = self.number[stay], new[self.row[stay]], self.keys[stay]
+        self.ids, self.size, self.place, self.rank = self.ids[on], self.size[on], self.place[on], self.rank[on]
         return out
 
+
+def _segments(ids: np.ndarray, size: np.ndarray, row: np.ndarray, keys: np.ndarray, vocab: Vocabulary, drop: Dropout) -> list[tuple]:
+    """Merge units (rows of ``ids``, -1 padded) for occurrences named ``keys`` of the units ``row``.
+
+    Returns blocks of (occurrences, their rows, counts of the rows, pieces of the rows).
+    """
+    done = []
     if ids.shape[1] < 2:
-        return [(rows, size, ids)]
-    width = ids.shape[1] - 1
-    rank = ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel(), np.repeat(keys, width), place[:, :-1].ravel()).reshape(-1, width)
+        return [(np.arange(len(row)), row, size, ids)]
+    s = _Rows(ids, size, row, keys, vocab, drop)
+    for column in range(ids.shape[1] - 1):
+        rows = np.flatnonzero(s.ids[:, column + 1] >= 0)
+        s.rate(rows, np.full(len(rows), column))
     while True:
-        best = rank.argmin(axis=1)
-        on = rank[np.arange(len(rows)), best] < none
+        best = s.rank.argmin(axis=1)
+        on = s.rank[np.arange(len(best)), best] < s.NONE
         if not on.all():
-            off = ~on
-            done.append((rows[off], size[off], ids[off]))
-            rows, size, ids, place, keys, rank, best = rows[on], size[on], ids[on], place[on], keys[on], rank[on], best[on]
-        if not len(rows):
+            done.append(s.take(on))
+            best = best[on]
+        if not len(best):
             return done
-        line = np.arange(len(rows))
-        ids[line, best] = vocab.merged(ids[line, best], ids[line, best + 1])
-        size = size - 1
+        line = np.arange(len(best))
+        s.ids[line, best] = vocab.merged(s.ids[line, best], s.ids[line, best + 1])
+        s.size = s.size - 1
         # close the gap behind the merged pair, and drop columns that no row uses any more
-        used = int(size.max())
+        used = int(s.size.max())
         still = np.arange(used) <= best[:, None]
-        ids = np.where(still, ids[:, :used], ids[:, 1 : used + 1])
-        place = np.where(still, place[:, :used], place[:, 1 : used + 1])
+        s.ids = np.where(still, s.ids[:, :used], s.ids[:, 1 : used + 1])
+        s.place = np.where(still, s.place[:, :used], s.place[:, 1 : used + 1])
         if used < 2:
-            done.append((rows, size, ids))
+            done.append(s.take(np.zeros(len(best), bool)))
             return done
-        rank = np.where(still[:, 1:], rank[:, : used - 1], rank[:, 1:used])
-        for shift in (-1, 0):
-            at = best + shift
-            here = np.flatnonzero((at >= 0) & (at < used - 1))
-            if len(here):
-                at = at[here]
-                rank[here, at] = ranks(ids[here, at], ids[here, at + 1], keys[here], place[here, at])
+        s.rank = np.where(still[:, 1:], s.rank[:, : used - 1], s.rank[:, 1:used])
+        left = np.flatnonzero(best > 0)
+        best = np.concatenate((best, best[s.rate(left, best[left] - 1)]))
+        right = np.flatnonzero(best < used - 1)
+        s.rate(right, best[right])
 
 
 def _long_segment(ids: np.ndarray, key: np.uint64, vocab: Vocabulary, drop: Dropout) -> np.ndarray:
@@ -203,7 +252,7 @@ def _long_segment(ids: np.ndarray, key: np.uint64, vocab: Vocabulary, drop: Drop
             return
         a, b = np.array([symbol[i] for i in lefts]), np.array([symbol[after[i]] for i in lefts])
         merged = vocab.merged(a, b)
-        skipped = drop.skips(np.full(len(lefts), key), np.array(lefts), np.maximum(merged, 0))
+        skipped = drop.skips(np.full(len(lefts), key), np.array(lefts), a * len(vocab.pieces) + b)
         for i, x, y, m, skip in zip(lefts, a.tolist(), b.tolist(), merged.tolist(), skipped.tolist()):
             if m >= 0 and not skip:
                 heapq.heappush(agenda, (-float(vocab.scores[m]), i, x, y, m))
@@ -244,49 +293,61 @@ def encode(texts: list[str | None], keys: np.ndarray, vocab: Vocabulary, drop: D
     head[start[:-1][full]] = True
     unit = np.flatnonzero(head)
     length = np.diff(np.append(unit, len(points)))
-    # a unit's hash, its occurrence's variant, and one segmentation for each pair of the two
+    # a unit's hash, and each occurrence's name
     within = np.arange(len(points)) - np.repeat(unit, length)
     code = mix64(np.where(known, ids, -2 - points.astype(np.int64)).view(U64), 53) * _place[within & 0xFFF]
     code = mix64(np.add.reduceat(code, unit) + length.astype(U64) + (within[unit + length - 1] >> 12).astype(U64))
     doc = np.searchsorted(start, unit, "right") - 1
-    nth = unit - start[doc]
-    if drop.share:
-        turn = mix64(keys[doc] ^ mix64(nth, drop.seed + 54), 55) % U64(drop.variants)
-        code = mix64(code ^ mix64(turn, drop.seed + 56))
-    code, first, which = np.unique(code, return_index=True, return_inverse=True)
+    name = mix64(keys[doc] ^ mix64(unit - start[doc], drop.seed + 54), 55)
+    _, first, which, often = np.unique(code, return_index=True, return_inverse=True, return_counts=True)
+    by_unit, by_first = np.argsort(which, kind="stable"), np.cumsum(often) - often
     at, long = unit[first], length[first]
-    counts = np.zeros(len(first), np.int64)
-    blocks = []  # (unit numbers, counts, padded ids)
+
+    def occurrences(units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Occurrences of ``units``, and the place of their unit among these; one of each if they are all alike."""
+        if not drop.share:
+            return first[units], np.arange(len(units))
+        n = often[units]
+        row = np.repeat(np.arange(len(units)), n)
+        return by_unit[np.arange(len(row)) + (by_first[units] - (np.cumsum(n) - n))[row]], row
+
+    blocks = []  # (occurrences, their rows, counts, padded ids)
     strange = np.flatnonzero(~known[at])
     for u in strange.tolist():
-        raw = chr(points[at[u]]).encode()
-        blocks.append((np.array([u]), np.array([len(raw)]), vocab.byte_ids[list(raw)][None, :]))
+        raw = vocab.byte_ids[list(chr(points[at[u]]).encode())]
+        alike = by_unit[by_first[u] : by_first[u] + often[u]]
+        blocks.append((alike, np.zeros(len(alike), np.int64), np.array([len(raw)]), raw[None, :]))
     plain = known[at]
     low = 0
     for high in (2, 4, 6, 8, 10, 12, 14, 16, 20, 24, 32, LONGEST):
         here = np.flatnonzero(plain & (long > low) & (long <= high))
         low = high
-        for part in np.array_split(here, max(1, len(here) * high // (1 << 19))):
+        total = np.cumsum(often[here]) if drop.share else np.arange(len(here))
+        for part in np.split(here, np.flatnonzero(np.diff(total * high >> 19)) + 1):
             if len(part):
                 column = np.arange(high)
                 inside = column < long[part][:, None]
                 matrix = np.where(inside, ids[np.minimum(at[part][:, None] + column, len(ids) - 1)], -1).astype(np.int16)
-                for rows, n, made in _segments(matrix, long[part], code[part], vocab, drop):
-                    blocks.append((part[rows], n, made))
-    for u in np.flatnonzero(plain & (long > LONGEST)).tolist():
-        made = _long_segment(ids[at[u] : at[u] + long[u]], code[u], vocab, drop)
-        blocks.append((np.array([u]), np.array([len(made)]), made[None, :]))
-    for units, n, _ in blocks:
-        counts[units] = n
-    flat_at = np.concatenate(([0], np.cumsum(counts)))
-    flat = np.empty(flat_at[-1], np.int32)
-    for units, n, made in blocks:
-        inside = np.arange(made.shape[1]) < n[:, None]
-        flat[(flat_at[units][:, None] + np.arange(made.shape[1]))[inside]] = made[inside]
-    # every occurrence
-    n = counts[which]
+                own, row = occurrences(part)
+                for n, rows, counts, made in _segments(matrix, long[part], row, name[own], vocab, drop):
+                    blocks.append((own[n], rows, counts, made))
+    for n in occurrences(np.flatnonzero(plain & (long > LONGEST)))[0].tolist():
+        made = _long_segment(ids[unit[n] : unit[n] + length[n]], name[n], vocab, drop)
+        blocks.append((np.array([n]), np.zeros(1, np.int64), np.array([len(made)]), made[None, :]))
+    # pieces of all rows one after the other, then those of every occurrence
+    row_of = np.empty(len(unit), np.int64)
+    held, counts = 0, []
+    for n, rows, size, _ in blocks:
+        row_of[n] = held + rows
+        held += len(size)
+        counts.append(size)
+    counts = np.concatenate(counts)
+    flat = np.concatenate([made[np.arange(made.shape[1]) < size[:, None]] for _, _, size, made in blocks]).astype(np.int32)
+    if not drop.share:
+        row_of = row_of[first][which]
+    n = counts[row_of]
     ends = np.cumsum(n)
-    out = flat[np.arange(ends[-1]) + np.repeat(flat_at[which] - (ends - n), n)]
+    out = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(counts) - counts)[row_of] - (ends - n), n)]
     total = np.concatenate(([0], ends))
     bounds = total[np.searchsorted(unit, start)]
     return out, bounds
@@ -303,22 +364,21 @@ def decode(ids: np.ndarray, at: np.ndarray, vocab: Vocabulary) -> list[bytes]:
 
 
 def encode_texts(
-    df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", share: float = 0.1, seed: int = 0, variants: int = 8
+    df: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", share: float = 0.1, seed: int = 0
 ) -> DataFrame:
     """Per row (key, n_tokens, ids, decoded_sha256, lossless): its pieces, and whether they decode to its text.
 
     ``share`` is the probability with which a merge is skipped, 0 gives the
     model's own segmentation.  Which merges are skipped depends on ``seed``, the
-    key, the place in the text and the pair, so reruns agree, and each unit
-    comes in at most ``variants`` segmentations.  ``decoded_sha256`` is that of
-    the text decoded from ``ids``, as UTF-8.
+    key, the place in the text and the pair, so reruns agree.
+    ``decoded_sha256`` is that of the text decoded from ``ids``, as UTF-8.
 
     A null or empty text has no ids and decodes to an empty text.  The literal
     space mark and characters outside the vocabulary become their bytes' pieces.
     Null keys are one name; repeated rows are encoded alike; an empty table
     gives no rows.  Other columns are not read.
     """
-    drop = Dropout(share, seed, variants)
+    drop = Dropout(share, seed)
     shared = df.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))  # as large as the vocabulary
     given = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("name"))
     kind = given.schema["key"].dataType.simpleString()

@@ -76,6 +76,25 @@ def test_long_units_are_merged_alike(monkeypatch):
     assert np.array_equal(wide, heaped)
 
 
+def test_every_occurrence_is_dropped_by_itself(monkeypatch):
+    import basketry.llm.pieces as module
+
+    vocab, n = load_vocabulary(MODEL), 2000
+    for letter in "abcde":  # units of a single candidate merge
+        keys = mix64(np.arange(4))
+        ids, at = encode([" ".join(letter * n)] * 4, keys, vocab, Dropout(0.1, 5))
+        split = (np.diff(at) - n) / n
+        assert all(abs(s - 0.1) < 0.03 for s in split) and len(set(split)) > 1
+    texts = [" ".join(["international", "understanding", "bb"] * 100)] * 2
+    wide, at = encode(texts, mix64(np.arange(2)), vocab, Dropout(0.1))
+    starts = np.flatnonzero([vocab.pieces[i].startswith("▁") for i in wide])
+    forms = {tuple(x) for x in np.split(wide, starts)}
+    assert len(forms) > 3 * 8
+    monkeypatch.setattr(module, "LONGEST", 0)
+    heaped, _ = encode(texts, mix64(np.arange(2)), vocab, Dropout(0.1))
+    assert np.array_equal(wide, heaped)
+
+
 def test_piece_tables(spark, docs):
     got = encode_texts(docs, MODEL)
     rows = got.collect()
