@@ -18,15 +18,19 @@ where names leave the answer open.
 
 Names are 64-bit hashes.  Samples repeated within a task's piece are settled
 there, so a name that a third of all documents holds sends a row for each piece.
+What was settled leaves in the same pass as the rest: a second pass may find
+other pieces.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,46 +134,51 @@ ROWS = "gram bigint, name bigint, doc bigint, row bigint, low int, more int"
 
 
 def sampled(given: DataFrame) -> DataFrame:
-    """Samples of all texts, the first of each name in its piece."""
+    """Samples of all texts, the first of each name in its piece; the others are settled.
+
+    Settled samples side by side are one row: a null name, and all their starts.
+    """
 
     def work(piece):
         s, doc, row, low = _piece(piece)
-        on = ~_later(s.gram, s.name, doc, low)
+        later = _later(s.gram, s.name, doc, low)
+        on, off = np.flatnonzero(~later), np.flatnonzero(later)
+        fresh = np.ones(len(off), bool)
+        fresh[1:] = (np.diff(off) != 1) | (s.doc[off[1:]] != s.doc[off[:-1]]) | (s.low[off[1:]] != s.high[off[:-1]] + 1)
+        begin = off[fresh]
+        end = off[np.append(np.flatnonzero(fresh)[1:], len(off)) - 1] if len(off) else off
+        both = np.concatenate((on, begin))
+        code = _sample_code(row[begin], low[begin])  # deals them evenly
         return {
-            "gram": s.gram.view(np.int64)[on],
-            "name": s.name.view(np.int64)[on],
-            "doc": doc[on],
-            "row": row[on],
-            "low": low[on].astype(np.int32),
-            "more": (s.high - s.low)[on].astype(np.int32),
+            "gram": np.concatenate((s.gram[on], code)).view(np.int64),
+            "name": pa.array(s.name[both].view(np.int64), mask=np.arange(len(both)) >= len(on)),
+            "doc": doc[both],
+            "row": row[both],
+            "low": low[both].astype(np.int32),
+            "more": (np.concatenate((s.high[on], s.high[end])) - s.low[both]).astype(np.int32),
         }
 
     return map_pieces(given, "text", ROWS, work)
 
 
-def settled_in_piece(given: DataFrame) -> DataFrame:
-    """(row, low, more) of the samples that ``sampled`` leaves out, as they repeat one of their piece."""
-
-    def work(piece):
-        s, doc, row, low = _piece(piece)
-        on = _later(s.gram, s.name, doc, low)
-        return {"row": row[on], "low": low[on].astype(np.int32), "more": (s.high - s.low)[on].astype(np.int32)}
-
-    return map_pieces(given, "text", "row bigint, low int, more int", work)
-
-
 def compared(rows: DataFrame) -> DataFrame:
     """(open, gram, name, doc, row, low, more): sorted by name and compared with the neighbours before.
 
     A row that repeats an earlier one of its name comes with ``open`` false.
     The first of a name comes with ``open`` true if its gram has other names;
-    else it is left out.
+    else it is left out.  Rows of a null name are settled and come with ``open``
+    false as they are.
     """
     dealt = rows.repartition("gram").sortWithinPartitions("gram", "name", "doc", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # the open gram's firsts; ``told`` if they have been given out
         for batch in batches:
+            settled = batch.column("name").is_null()
+            if batch.column("name").null_count:
+                done = batch.filter(settled)
+                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(done.num_rows, bool)), *done.columns], names=["open", *done.schema.names])
+                batch = batch.filter(pc.invert(settled))
             if not batch.num_rows:
                 continue
             table = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}
@@ -274,11 +283,13 @@ def repeated_starts(df: DataFrame, key: str = "doc_id", text: str = "text") -> t
     given = df.select(
         F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("row")
     )
+    if re.search("Exchange|RDD", df._jdf.queryExecution().executedPlan().toString()):
+        given = materialize(given, "texts")  # a task run again may get its rows in another order, and cut other pieces
     found = materialize(compared(sampled(given)), "repeated-samples")
     bits = df.sparkSession.sparkContext.broadcast(_filter(found.where("open")))  # FILTER_BITS bits
     strings = compared(opened_strings(given, bits))
     columns = ["row", "low", "more"]
-    starts = found.where("NOT open").select(*columns).union(strings.select(*columns)).union(settled_in_piece(given))
+    starts = found.where("NOT open").select(*columns).union(strings.select(*columns))
     return given, starts.groupBy("row").agg(F.collect_list(F.struct("low", "more")).alias("starts"))
 
 

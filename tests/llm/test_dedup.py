@@ -121,3 +121,19 @@ def test_repeats_of_awkward_rows(spark):
     assert by_id[0].kept_text == unique[0] and by_id[3].kept_text == ""
     assert by_id[3].row == (3, "de", None)
     assert remove_repeats(df.limit(0)).count() == 0
+
+
+def test_repeats_do_not_depend_on_later_pieces(spark):
+    rng = random.Random(3)
+    text = lambda: "".join(rng.choice("abcdefgh ") for _ in range(400))
+    passage = text()
+    rows = [(d, text() + passage if d % 2 else text()) for d in range(30)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    cut = remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2))
+    try:
+        spark.conf.set(name, "1")  # from here on every row is a piece of its own
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in cut.collect()}
+    finally:
+        spark.conf.set(name, before)
+    assert got == without_repeats(rows)
