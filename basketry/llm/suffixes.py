@@ -6,7 +6,7 @@ where names leave the answer open.
 
 * **Sample.** A cover by position (every start modulo 3, or a sparser
   difference cover) would send at least one row for each seventh byte through
-  the sort; README gives the measured size.  The cover here is taken from the
+  the sort; README gives computed sizes, none was run.  The cover here is taken from the
   text itself: of the grams of ``GRAM`` bytes in a string, the one of lowest
   hash, the leftmost on a tie.  Equal strings have it at equal places, and
   neighbouring strings share it, so one sample in about 35 bytes covers all.
