@@ -323,13 +323,23 @@ def matched_consequents(spark: SparkSession, sf: str) -> DataFrame:
 # ---------------------------------------------------------------- use cases
 
 
-def expand_queries(spark: SparkSession, sf: str) -> DataFrame:
+def _expanded(spark: SparkSession, sf: str, **options) -> DataFrame:
     terms = materialize(fx.query_terms(spark, sf), "terms")
     keyed = terms.select(F.struct("conv_id", "turn").alias("tid"), "item")
-    rules = mining.top_k_rules(keyed, 200, 0.3, max_len=2)
+    rules = mining.top_k_rules(keyed, 200, 0.3, **options)
     return usecases.expand_queries(terms, rules, ["conv_id", "turn"])
 
 
+def expand_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """By rules of one word each, as its SQL twin lists these only."""
+    return _expanded(spark, sf, max_len=2)
+
+
+def expand_queries_all(spark: SparkSession, sf: str) -> DataFrame:
+    """By rules of any number of words."""
+    return _expanded(spark, sf)
+
+
 def discount_conflicts(spark: SparkSession, sf: str) -> DataFrame:
     sales = fx.table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("item"), F.col("l_discount").alias("discount")
@@ -465,7 +475,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         top_k_rules_ties, attribute_rules, top_k_nr_rules, top_k_nr_buffer, rule_relative_support,
         rules_by_antecedent, rules_by_consequent, classifier_rules, get_rules, rules_json_roundtrip,
         rules_parquet_roundtrip, rules_norm_items, rules_as_documents, last_transaction, user_rules,
-        user_rules_partial, nest_user_rules, user_rules_json_roundtrip, recommend_items, matched_consequents, expand_queries, discount_conflicts, best_partner,
+        user_rules_partial, nest_user_rules, user_rules_json_roundtrip, recommend_items, matched_consequents, expand_queries, expand_queries_all, discount_conflicts, best_partner,
         bundles, basket_item_counts, cluster_baskets, cluster_lines, user_day_baskets, user_session_baskets, stream_track,
         stream_baskets, stream_pair_support, stream_mine, stream_recommend,
     )

@@ -2,7 +2,9 @@ from __future__ import annotations
 
 import pytest
 
+from basketry.catalog.queries import QUERIES
 from basketry.operators import lookup, recommend, usecases
+from tests import brute
 
 SCHEMA = (
     "antecedent array<bigint>, consequent array<bigint>, support bigint, antecedent_support bigint, "
@@ -113,3 +115,21 @@ def test_match_rules_by_consequent_and_its_parameters(spark):
     for bad in ({"min_weight": 1.5}, {"min_weight": -1}, {"side": "both"}):
         with pytest.raises(ValueError):
             recommend.match_rules(held, rules, **bad)
+
+
+def test_queries_are_expanded_by_rules_of_several_words(spark, tmp_path):
+    said = ["red wine glass", "red wine glass", "red wine", "red shoes", "red hat", "red car", "wine bar", "wine shop",
+            "wine list", "Wine  cellar", "glass door", "red", "blue"]
+    rows = [(c, 0, "user", t) for c, t in enumerate(said)] + [(0, 1, "assistant", "wine blue")]
+    spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    baskets = [set(t.lower().split()) for t in said]
+
+    def expanded(rules):
+        return {(c, i) for c, b in enumerate(baskets) for a, x, *_ in rules if set(a) <= b for i in x if i not in b}
+
+    want = expanded(brute.rules(baskets, 0.3)[:200])
+    got = QUERIES["expand_queries_all"](spark, str(tmp_path)).collect()
+    assert {(r.conv_id, r.term) for r in got if r.added} == want
+    assert {(r.conv_id, r.term) for r in got if not r.added} == {(c, i) for c, b in enumerate(baskets) for i in b}
+    pairs = QUERIES["expand_queries"](spark, str(tmp_path)).where("added").collect()
+    assert want - {(r.conv_id, r.term) for r in pairs}  # words that take a rule of several
