@@ -95,10 +95,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", n_max: int
     return Model(languages, np.log(prior / prior.sum()), log_prob.astype(np.float32), n_max)
 
 
+def lettered(texts: pa.Array) -> np.ndarray:
+    """Whether each text has a letter."""
+    return np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
+
+
 def score_texts(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     """Best language and its posterior probability for each text."""
     n_docs, n_langs = len(texts), len(model.languages)
-    known = np.array([bool(t and LETTER.search(t)) for t in texts.to_pylist()], bool)
+    known = lettered(texts)
     if not n_langs:
         return [UNKNOWN] * n_docs, np.zeros(n_docs)
     total = np.tile(model.log_prior, (n_docs, 1))
@@ -156,7 +161,11 @@ def identify(
 
 
 def known_rows(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", **options) -> DataFrame:
-    """Rows of ``df`` whose language is recognised, unchanged; learns as ``identify`` does."""
+    """Rows of ``df`` whose language is recognised, unchanged; learns as ``identify`` does.
+
+    Any text with a letter gets a language, so null texts and those without a
+    letter go, no others; so too if no language could be learned.
+    """
     model = fit(df.where(~F.coalesce(fold(key) == 2, F.lit(False))), text, lang, **options)
     shared = df.sparkSession.sparkContext.broadcast(model)  # at most MAX_NUMBERS numbers
 
@@ -164,6 +173,7 @@ def known_rows(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         for batch in batches:
             for piece in pieces(batch, text):
                 names, _ = score_texts(piece.column(text), shared.value)
-                yield piece.filter(pa.array([name != UNKNOWN for name in names], pa.bool_()))
+                known = [name != UNKNOWN for name in names] if shared.value.languages else lettered(piece.column(text))
+                yield piece.filter(pa.array(known, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm import gru
 from basketry.llm.fingerprint import embed, fingerprints, likeness, near_groups, with_edits
-from basketry.llm.langid import UNKNOWN, identify
+from basketry.llm.langid import UNKNOWN, identify, known_rows
 from basketry.llm.lm import Settings, score_documents
 from basketry.llm.pieces import Dropout, decode, decode_ids, encode, encode_texts, load_vocabulary
 from basketry.llm.quality import References, js_distance, quality_rules
@@ -162,6 +162,12 @@ def test_language_of_awkward_rows(docs):
     assert identify(docs.limit(0)).count() == 0
 
 
+def test_rows_stay_if_no_language_could_be_learned(docs):
+    rows = docs.withColumn("lang", F.lit(None).cast("string"))
+    want = {r.doc_id for r in known_rows(docs).collect()}
+    assert {r.doc_id for r in known_rows(rows).collect()} == want == {d for d, *_ in awkward()} - {4, 5, 6, 9}
+
+
 # language model
 
 
