@@ -380,6 +380,20 @@ def cluster_baskets(spark: SparkSession, sf: str) -> DataFrame:
     return _named(clustering.cluster_baskets(rows, 3, 10))
 
 
+def cluster_brand_baskets(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders by all brands they hold."""
+    return _named(clustering.cluster_baskets(fx.brand_rows(spark, sf), 3, 5))
+
+
+def cluster_part_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of all parts of an order, with their cluster."""
+    path = scratch_path(spark, "lines")
+    sinks.write_lines(sinks.basket_lines(_part_baskets(spark, sf).orderBy("tid"), None), path)
+    lines = text.index_lines(spark, path).select(F.col("no").alias("tid"), "line")
+    rows = lines.select("tid", F.explode(F.split("line", " ").cast("array<bigint>")).alias("item"))
+    return clustering.cluster_lines(_named(clustering.cluster_baskets(rows, 3, 5)), lines)
+
+
 def cluster_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of one number each, the priority of an order: five clusters."""
     path = scratch_path(spark, "lines")
@@ -476,7 +490,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rules_by_antecedent, rules_by_consequent, classifier_rules, get_rules, rules_json_roundtrip,
         rules_parquet_roundtrip, rules_norm_items, rules_as_documents, last_transaction, user_rules,
         user_rules_partial, nest_user_rules, user_rules_json_roundtrip, recommend_items, matched_consequents, expand_queries, expand_queries_all, discount_conflicts, best_partner,
-        bundles, basket_item_counts, cluster_baskets, cluster_lines, user_day_baskets, user_session_baskets, stream_track,
+        bundles, basket_item_counts, cluster_baskets, cluster_brand_baskets, cluster_lines, cluster_part_lines, user_day_baskets, user_session_baskets, stream_track,
         stream_baskets, stream_pair_support, stream_mine, stream_recommend,
     )
 }

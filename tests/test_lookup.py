@@ -133,3 +133,12 @@ def test_queries_are_expanded_by_rules_of_several_words(spark, tmp_path):
     assert {(r.conv_id, r.term) for r in got if not r.added} == {(c, i) for c, b in enumerate(baskets) for i in b}
     pairs = QUERIES["expand_queries"](spark, str(tmp_path)).where("added").collect()
     assert want - {(r.conv_id, r.term) for r in pairs}  # words that take a rule of several
+
+
+def test_clusters_of_baskets_of_several_items(spark):
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey").distinct().count()
+    got = QUERIES["cluster_brand_baskets"](spark, sf).collect()
+    assert len(got) == len({r.tid for r in got}) == lines and len({r.cluster for r in got}) == 3
+    values = [r.value.split("|") for r in QUERIES["cluster_part_lines"](spark, sf).collect()]
+    assert len(values) == lines and max(len(line.split(" ")) for _, line in values) > 1
