@@ -43,3 +43,11 @@ def materialize_with(df: DataFrame, label: str, *metrics: Column) -> tuple[DataF
     seen = Observation()
     table = materialize(df.observe(seen, *metrics), label)
     return table, seen.get
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that no further step reads."""
+    if not path.startswith(f"{scratch_root(spark)}/basketry/"):
+        raise ValueError(f"{path} is not a scratch table")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
