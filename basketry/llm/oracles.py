@@ -112,4 +112,99 @@ FROM texts LEFT JOIN kept USING (doc_id)
 """
 
 
-ORACLES = {"op7_suffix_dedup": REPEATS, "op1_minhash_dedup": NEAR, "op9_mix_sources": MIX, "op10_url_filter": _url_sql()}
+LEAKS = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS s
+  FROM (SELECT *, unnest(generate_series(1, len(w) - size + 1)) AS i FROM (SELECT *, least(len(w), 10) AS size FROM items WHERE len(w) > 0))
+), runs AS (
+  SELECT row, i, size, array_to_string(w[i:i + size - 1], ' ') AS s
+  FROM (SELECT row, w, size, unnest(generate_series(1, len(w) - size + 1)) AS i FROM texts, (SELECT DISTINCT size FROM windows))
+), hits AS (
+  SELECT row, i, size, item_id FROM runs JOIN windows USING (size, s)
+), covered AS (
+  SELECT row, count(DISTINCT place) AS n_hit FROM (SELECT row, unnest(generate_series(i, i + size - 1)) AS place FROM hits) GROUP BY row
+), held AS (
+  SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT row, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM texts LEFT JOIN covered USING (row) LEFT JOIN held USING (row)
+"""
+
+KEPT_VECTORS = """kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+
+
+def _nearest_sql(points: str, entries: str, keys: str) -> str:
+    """The lowest squared distance of each point, times 1024, plus its entry: whole numbers that DOUBLE holds exactly."""
+    using = f"USING ({keys})" if keys else "ON true"
+    by = f"row, {keys}" if keys else "row"
+    apart = "list_inner_product(a.x, a.x) - 2 * list_inner_product(a.x, b.x) + list_inner_product(b.x, b.x)"
+    return f"SELECT {by}, min(({apart})::BIGINT * 1024 + entry) AS best FROM {points} a JOIN {entries} b {using} GROUP BY ALL"
+
+
+def _means_sql(points: str, nearest: str, entries: str, keys: str) -> str:
+    """Entries at the floor of the mean of their points, or where they were."""
+    by, both = (f"{keys}, entry", f"row, {keys}") if keys else ("entry", "row")
+    return f"""
+  SELECT {by}, coalesce(m.x, e.x) AS x FROM {entries} e LEFT JOIN (
+    SELECT {by}, list(mean ORDER BY i) AS x FROM (
+      SELECT {by}, i, floor(sum(c) / count(*)) AS mean
+      FROM (SELECT {by}, unnest(x) AS c, unnest(range(len(x))) AS i FROM (SELECT {by}, x FROM {points} JOIN (SELECT *, best % 1024 AS entry FROM {nearest}) USING ({both})))
+      GROUP BY ALL) GROUP BY ALL) m USING ({by})"""
+
+
+def _rounds_sql(rounds: int, keys: str) -> str:
+    steps = []
+    for n in range(rounds):
+        steps.append(f"near{n} AS MATERIALIZED ({_nearest_sql('points', f'book{n}', keys)})")
+        steps.append(f"book{n + 1} AS MATERIALIZED ({_means_sql('points', f'near{n}', f'book{n}', keys)})")
+    steps.append(f"last AS MATERIALIZED ({_nearest_sql('points', f'book{rounds}', keys)})")
+    return ",\n".join(steps)
+
+
+CODES = f"""
+WITH {KEPT_VECTORS}, points AS MATERIALIZED (
+  SELECT row, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x FROM kept, (SELECT unnest(range(4)) AS part)
+), book0 AS MATERIALIZED (
+  SELECT part, entry, x FROM points JOIN (SELECT row, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept) USING (row) WHERE entry < 256
+), {_rounds_sql(4, "part")}, coded AS (
+  SELECT row, string_agg(lower(format('{{:02x}}', best % 1024)), '' ORDER BY part) AS code, sum(best // 1024)::BIGINT AS error FROM last GROUP BY row
+), digest AS (
+  SELECT sha256(string_agg(array_to_string(list_transform(x, lambda c: c::BIGINT::VARCHAR), ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book4
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row), digest
+"""
+
+CENTROIDS = f"""
+WITH {KEPT_VECTORS}, points AS MATERIALIZED (
+  SELECT row, v AS x FROM kept WHERE len(v) = 64
+), book0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id::VARCHAR)) - 1 AS entry, x FROM points JOIN kept USING (row) ORDER BY entry LIMIT 8
+), {_rounds_sql(10, "")}
+SELECT vec_id, (best % 1024)::INT AS cluster, (best // 1024)::BIGINT AS distance,
+  (sum(best // 1024) OVER (PARTITION BY best % 1024))::BIGINT AS cluster_inertia, (sum(best // 1024) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(book10.x, lambda c: c::BIGINT::VARCHAR), ',')) AS centroid_sha256
+FROM last JOIN kept USING (row) JOIN book10 ON entry = best % 1024
+"""
+
+ORACLES = {
+    "op7_suffix_dedup": REPEATS,
+    "op1_minhash_dedup": NEAR,
+    "op9_mix_sources": MIX,
+    "op10_url_filter": _url_sql(),
+    "op11_decontamination": LEAKS,
+    "op12_vector_codes": CODES,
+    "op13_centroids": CENTROIDS,
+}

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.llm.centroids import cluster_vectors
+from basketry.llm.codes import code_text, encode_vectors
+from basketry.llm.decontaminate import find_leaks
 from basketry.llm.extract import main_text
 from basketry.llm.fingerprint import with_edits
 from basketry.llm.langid import identify
@@ -106,3 +109,39 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL."""
     return judge_urls(pages(spark, sf_dir), URL_RULES)
+
+
+@query
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside passages of the benchmark, and the items they come from."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = find_leaks(documents(spark, sf_dir), benchmark, keep=["doc_id"])
+    return found.select(
+        "row.doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as the nearest entries of four codebooks."""
+    coded, books = encode_vectors(embeddings(spark, sf_dir))
+    digest = books.digest() if books else None
+    return coded.select(
+        F.col("key").alias("vec_id"), code_text().alias("code"), "error", "label_error",
+        F.lit(digest).cast("string").alias("codebooks_sha256"),
+    )
+
+
+@query
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's cluster after ten rounds."""
+    return cluster_vectors(embeddings(spark, sf_dir)).drop("centroid").withColumnRenamed("key", "vec_id")
