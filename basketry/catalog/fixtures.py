@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.operators.usecases import attributes_to_items
+from basketry.plans.scratch import materialize, scratch_path
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -85,6 +86,34 @@ def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def event_batches(spark: SparkSession, sf: str, parts: int = 4) -> DataFrame:
+    """The events as a stream of ``parts`` batches in the order of time, some late and some repeated.
+
+    Of the last half hour before a cut every other event comes with the next
+    batch; every tenth event of the last hour comes with both.
+    """
+    path = scratch_path(spark, "event-batches")
+    rows = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    ends = rows.agg(F.min("us").alias("low"), F.max("us").alias("high")).first()
+    half_hour, width = 1_800_000_000, (ends["high"] - ends["low"]) // parts + 1
+    part = F.floor((F.col("us") - ends["low"]) / width)
+    left = (part + 1) * width + ends["low"] - F.col("us")  # until the cut
+    late = (left < half_hour) & (F.col("event_id") % 2 == 0)
+    twice = (left < 2 * half_hour) & (F.col("event_id") % 10 == 1)
+    first = F.when(late, part + 1).otherwise(part)
+    dealt = rows.withColumn("_part", F.explode(F.when(twice, F.array(part, part + 1)).otherwise(F.array(first))))
+    dealt = materialize(dealt.withColumn("_part", F.least("_part", F.lit(parts - 1)).cast("int")).drop("us"), "dealt")
+    for number in range(parts):  # a file stream takes files in the order in which they were written
+        one = dealt.where(F.col("_part") == number).drop("_part")
+        one.coalesce(1).write.mode("append").parquet(path)
+    schema = one.schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return stream.select(
+        "event_id", F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").alias("user"),
+        F.col("event_type").alias("item"),
+    )
+
+
 def query_terms(spark: SparkSession, sf: str) -> DataFrame:
     """Words of what users wrote, lower case, one row per turn and word."""
     said = table(spark, sf, "conversations").where(F.col("role") == "user")

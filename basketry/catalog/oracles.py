@@ -246,3 +246,7 @@ SELECT user_id AS "user", strftime(d, '%Y-%m-%d') AS day, item, round(confidence
 FROM ranked WHERE rank <= 3""",
 }
 ORACLES["user_rules_json_roundtrip"] = ORACLES["nest_user_rules"]
+# how the events were dealt to batches does not show in the result
+ORACLES["stream_pair_support_batches"] = ORACLES["stream_pair_support"]
+ORACLES["stream_mine_batches"] = ORACLES["stream_mine"]
+ORACLES["incremental_rules"] = ORACLES["top_k_rules_brand"]

@@ -19,6 +19,7 @@ from basketry.operators import clustering, lookup, recommend, support, usecases
 from basketry.operators.redundancy import drop_redundant
 from basketry.operators.rules import generate_rules
 from basketry.plans import mining
+from basketry.plans.border import IncrementalMiner
 from basketry.plans.scratch import materialize, scratch_path
 from basketry.sources import items as source_items
 from basketry.sources import sinks, text
@@ -480,6 +481,33 @@ def stream_recommend(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_pair_support_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Pair counts of events that come in six batches, some late and some twice; tables merged by twos."""
+    path = scratch_path(spark, "pairs")
+    baskets = streams.stream_baskets(fx.event_batches(spark, sf, 6), event_id="event_id")
+    _wait(streams.stream_pair_support(baskets, path, scratch_path(spark, "ckpt"), fan=2))
+    return streams.running_pair_support(spark, path)
+
+
+def stream_mine_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules kept up to date over four batches of events, some late and some twice."""
+    root = scratch_path(spark, "mined")
+    baskets = streams.stream_baskets(fx.event_batches(spark, sf), event_id="event_id")
+    _wait(streams.stream_mine(baskets, f"{root}/baskets", f"{root}/rules", f"{root}/ckpt", k=20, minconf=0.3))
+    return show_rules(streams.latest_rules(spark, f"{root}/rules"))
+
+
+def incremental_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules over brand baskets that come in four batches by customer."""
+    orders = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("tid"), "o_custkey")
+    rows = bk.to_baskets(fx.brand_rows(spark, sf), "tid").join(orders, "tid")
+    rows = materialize(rows.withColumn("part", F.pmod("o_custkey", F.lit(4))), "dealt")
+    miner = IncrementalMiner(spark, scratch_path(spark, "kept"), 20, 0.1)
+    for part in range(4):
+        rules = miner.add(part, rows.where(F.col("part") == part).select("tid", "items"))
+    return show_rules(rules)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -491,7 +519,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         rules_parquet_roundtrip, rules_norm_items, rules_as_documents, last_transaction, user_rules,
         user_rules_partial, nest_user_rules, user_rules_json_roundtrip, recommend_items, matched_consequents, expand_queries, expand_queries_all, discount_conflicts, best_partner,
         bundles, basket_item_counts, cluster_baskets, cluster_brand_baskets, cluster_lines, cluster_part_lines, user_day_baskets, user_session_baskets, stream_track,
-        stream_baskets, stream_pair_support, stream_mine, stream_recommend,
+        stream_baskets, stream_pair_support, stream_mine, stream_recommend, stream_pair_support_batches,
+        stream_mine_batches, incremental_rules,
     )
 }
 QUERIES["generate_rules"] = generate

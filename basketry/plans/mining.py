@@ -427,13 +427,18 @@ def _check(k: int, minconf: float) -> None:
 ALGORITHMS = {"TOPK": ("k", "minconf"), "TOPKNR": ("k", "minconf", "delta")}
 
 
-def mine(baskets: DataFrame, algorithm: str, **params) -> DataFrame:
-    """Mine with the algorithm of the given name, ``TOPK`` or ``TOPKNR``."""
+def check_parameters(algorithm: str, params: Mapping) -> None:
+    """Refuse an unknown algorithm name, or one without all it needs."""
     if algorithm not in ALGORITHMS:
         raise ValueError(f"unknown algorithm {algorithm!r}, expected one of {sorted(ALGORITHMS)}")
     missing = [name for name in ALGORITHMS[algorithm] if params.get(name) is None]
     if missing:
         raise ValueError(f"missing parameters for {algorithm}: {', '.join(missing)}")
+
+
+def mine(baskets: DataFrame, algorithm: str, **params) -> DataFrame:
+    """Mine with the algorithm of the given name, ``TOPK`` or ``TOPKNR``."""
+    check_parameters(algorithm, params)
     if algorithm == "TOPK":
         params.pop("delta", None)
         return top_k_rules(baskets, **params)

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from basketry.operators.recommend import match_rules, recommend
-from basketry.plans.mining import mine, pair_support
+from basketry.plans.border import IncrementalMiner
+from basketry.plans.generations import Generations
+from basketry.plans.mining import ALGORITHMS, check_parameters, mine, pair_support
 from basketry.plans.scratch import materialize
 from basketry.sources.items import Spec, map_fields
 
@@ -104,40 +106,61 @@ def store_baskets(baskets: DataFrame, root: str, checkpoint: str, trigger: dict
     return _each_batch(baskets, checkpoint, work, trigger)
 
 
-def stream_pair_support(baskets: DataFrame, root: str, checkpoint: str, trigger: dict = UNTIL_DONE) -> StreamingQuery:
-    """Keep pair counts of closed baskets, one folder per batch."""
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("a", "b").agg(F.sum("support").alias("support"))
+
+
+def stream_pair_support(
+    baskets: DataFrame, root: str, checkpoint: str, trigger: dict = UNTIL_DONE, fan: int = 4
+) -> StreamingQuery:
+    """Keep pair counts of closed baskets: one folder per batch, merged in generations of ``fan`` tables."""
 
     def work(batch: DataFrame, number: int) -> None:
         keyed = batch.select(F.struct("user", "start").alias("tid"), "items")
-        pair_support(keyed, 1).write.mode("overwrite").parquet(_part(root, number))
+        counts = Generations(batch.sparkSession, root, fan)
+        if not counts.covers(number):  # a batch that is run again may have been merged before
+            counts.add(number, pair_support(keyed, 1), _summed)
 
     return _each_batch(baskets, checkpoint, work, trigger)
 
 
 def running_pair_support(spark: SparkSession, root: str, min_count: int = 1) -> DataFrame:
-    """Pair supports over all batches so far."""
-    counts = spark.read.parquet(root).groupBy("a", "b").agg(F.sum("support").alias("support"))
-    return counts.where(F.col("support") >= min_count)
+    """Pair supports over all batches so far, from a number of tables that grows with their logarithm."""
+    return _summed(Generations(spark, root).read()).where(F.col("support") >= min_count)
 
 
 def stream_mine(
     baskets: DataFrame, store: str, rules_root: str, checkpoint: str, algorithm: str = "TOPK", trigger: dict = UNTIL_DONE, **params
 ) -> StreamingQuery:
-    """Add closed baskets to the store and mine it anew after each batch that has any.
+    """Add closed baskets to the store and bring the rules up to date after each batch that has any.
 
-    The rules of batch n are in ``rules_root/batch_id=n``.
+    The rules of batch n are in ``rules_root/batch_id=n``.  Supports are kept
+    from batch to batch (``plans.border``), below ``store`` in a folder that
+    readers of the store do not see.  With parameters beyond k, minconf, delta,
+    max_len and min_count, or redundancy in a bounded buffer, the whole store is
+    mined anew each time.
     """
+    kept = set(params) <= {"k", "minconf", "delta", "max_len", "min_count"} and algorithm in ALGORITHMS
 
     def work(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(_part(store, number))
-        if spark.read.schema(batch.schema).parquet(_part(store, number)).isEmpty():
-            return  # nothing new
-        stored = spark.read.schema(batch.schema).parquet(store)
-        stored = stored.select(F.struct("user", "start").alias("tid"), "items")
-        rules = mine(stored, algorithm, **params)
-        rules.write.mode("overwrite").parquet(_part(rules_root, number))
-
+        stored = spark.read.schema(batch.schema).parquet(_part(store, number))
+        if kept:
+            sizes = {name: params[name] for name in ("max_len", "min_count") if name in params}
+            miner = IncrementalMiner(
+                spark, f"{store.rstrip('/')}/_supports", params["k"], params["minconf"], algorithm == "TOPKNR", **sizes
+            )
+            rules = miner.add(number, stored.select(F.struct("user", "start").alias("tid"), "items"))
+        elif stored.isEmpty():
+            rules = None
+        else:
+            every = spark.read.schema(batch.schema).parquet(store)
+            rules = mine(every.select(F.struct("user", "start").alias("tid"), "items"), algorithm, **params)
+        if rules is not None:
+            rules.write.mode("overwrite").parquet(_part(rules_root, number))
+
+    check_parameters(algorithm, params)
     return _each_batch(baskets, checkpoint, work, trigger)
 
 
