@@ -250,3 +250,26 @@ ORACLES["user_rules_json_roundtrip"] = ORACLES["nest_user_rules"]
 ORACLES["stream_pair_support_batches"] = ORACLES["stream_pair_support"]
 ORACLES["stream_mine_batches"] = ORACLES["stream_mine"]
 ORACLES["incremental_rules"] = ORACLES["top_k_rules_brand"]
+# id t > 0 is bit (t - 1) % 32768 of block 1 + (t - 1) // 32768, the lowest bit of a byte first
+ORACLES["vertical_bitmap"] = f"""WITH {PARTS}, spots AS (
+  SELECT item, CASE WHEN tid > 0 THEN 1 + (tid - 1) // 32768 ELSE -(-tid // 32768) END AS block,
+    CASE WHEN tid > 0 THEN (tid - 1) % 32768 ELSE -tid % 32768 END AS spot FROM b
+), bits AS (
+  SELECT item, block, spot // 8 AS byte, sum(1 << (spot % 8))::INT AS value, count(*) AS n FROM spots GROUP BY ALL
+), cells AS (
+  SELECT item, block, sum(n)::BIGINT AS n, list(byte ORDER BY byte) AS places, list(format('{{:02x}}', value) ORDER BY byte) AS hex FROM bits GROUP BY ALL
+)
+SELECT item, block, n, sha256(unhex(array_to_string(list_transform(range(len(places)),
+  lambda i: repeat('00', places[i + 1] - CASE WHEN i = 0 THEN 0 ELSE places[i] + 1 END) || hex[i + 1]), '') || repeat('00', 4095 - places[-1]))) AS bits_sha256
+FROM cells"""
+ORACLES["itemset_support_bitmap"] = f"""WITH {BRANDS}, {_sets(3)} SELECT {_text('items')} AS items, support
+FROM sets WHERE len(items) > 1 AND support >= 60"""
+# the subsets are counted once and rare ones dropped before they are split
+ORACLES["generate_rules"] = ORACLES["generate_rules"].replace(
+    "sets AS (SELECT items", "sets AS MATERIALIZED (SELECT items", 1
+).replace("FROM lists)) GROUP BY items)", "FROM lists)) GROUP BY items HAVING count(*) >= 60)", 1)
+ORACLES["stream_last_transaction"] = f"""WITH days AS (
+  SELECT user_id, date_trunc('day', ts) AS d, max(ts) AS ts, {_text('list(DISTINCT event_type ORDER BY event_type)')} AS items FROM events GROUP BY ALL
+)
+SELECT user_id AS "user", strftime(d, '%Y-%m-%d') AS day, epoch_us(ts) AS ts_us, items FROM days
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"""

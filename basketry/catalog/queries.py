@@ -15,7 +15,7 @@ from basketry import runs
 from basketry.catalog import fixtures as fx
 from basketry.functions.itemsets import itemset_text
 from basketry.operators import baskets as bk
-from basketry.operators import clustering, lookup, recommend, support, usecases
+from basketry.operators import bitmaps, clustering, lookup, recommend, support, usecases
 from basketry.operators.redundancy import drop_redundant
 from basketry.operators.rules import generate_rules
 from basketry.plans import mining
@@ -24,6 +24,7 @@ from basketry.plans.scratch import materialize, scratch_path
 from basketry.sources import items as source_items
 from basketry.sources import sinks, text
 from basketry.streaming import items as streams
+from basketry.streaming import users as user_streams
 
 RUN = ("run-1", 1700000000000)  # run id and time used where a query needs one
 
@@ -481,6 +482,29 @@ def stream_recommend(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_last_transaction(spark: SparkSession, sf: str) -> DataFrame:
+    """The last day of each user and its items, from events that come in four batches, some late and some twice."""
+    path = scratch_path(spark, "last")
+    stream = fx.event_batches(spark, sf).withColumn("group", F.date_format("timestamp", "yyyy-MM-dd"))
+    _wait(user_streams.stream_last_transactions(stream, path, scratch_path(spark, "ckpt")))
+    last = user_streams.read_last_transactions(spark, path)
+    return last.select("user", F.col("group").alias("day"), F.unix_micros("timestamp").alias("ts_us"), items_text().alias("items"))
+
+
+def vertical_bitmap(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts to orders as bits; their number and a digest of the bits of each block."""
+    index = bitmaps.vertical_bitmap(fx.part_rows(spark, sf))
+    return index.select("item", F.col("block").cast("bigint").alias("block"), "n", F.sha2("bits", 256).alias("bits_sha256"))
+
+
+def itemset_support_bitmap(spark: SparkSession, sf: str) -> DataFrame:
+    """Supports of all pairs and triples of brands that 60 orders hold, from bits."""
+    rows = fx.brand_rows(spark, sf)
+    sets = mining.frequent_itemsets(rows, 60, 3).where("size > 1")
+    found = bitmaps.itemset_support_bitmap(bitmaps.store_bitmap(rows), sets.select("items"))
+    return found.select(items_text().alias("items"), "support")
+
+
 def stream_pair_support_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Pair counts of events that come in six batches, some late and some twice; tables merged by twos."""
     path = scratch_path(spark, "pairs")
@@ -520,7 +544,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         user_rules_partial, nest_user_rules, user_rules_json_roundtrip, recommend_items, matched_consequents, expand_queries, expand_queries_all, discount_conflicts, best_partner,
         bundles, basket_item_counts, cluster_baskets, cluster_brand_baskets, cluster_lines, cluster_part_lines, user_day_baskets, user_session_baskets, stream_track,
         stream_baskets, stream_pair_support, stream_mine, stream_recommend, stream_pair_support_batches,
-        stream_mine_batches, incremental_rules,
+        stream_mine_batches, incremental_rules, stream_last_transaction, vertical_bitmap, itemset_support_bitmap,
     )
 }
 QUERIES["generate_rules"] = generate

@@ -1,13 +1,16 @@
-"""Rule store and run log, as partitioned tables."""
+"""Rule store and run log."""
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.plans import files
 from basketry.plans.mining import mine
 
 RUN_SCHEMA = (
@@ -16,24 +19,34 @@ RUN_SCHEMA = (
 )
 
 
+def _pointer(root: str, site: str, uid: str) -> str:
+    return f"{root.rstrip('/')}/_current/site={_escaped(site)}/uid={_escaped(uid)}"
+
+
 def store_rules(rules: DataFrame, root: str, site: str, uid: str) -> None:
-    """Keep a run's rules under (site, uid); storing again replaces them."""
-    tagged = rules.withColumn("site", F.lit(site)).withColumn("uid", F.lit(uid))
-    (
-        tagged.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("site", "uid")
-        .parquet(root)
-    )
+    """Keep a run's rules under (site, uid); storing again replaces them.
+
+    The rules are written to a folder of their own, then a pointer to it is
+    published in one step, so a reader gets the rules before or those after, all
+    of them.  A folder is deleted when the second after it follows, which leaves
+    readers of the one before their files.
+    """
+    spark, pointer, name = rules.sparkSession, _pointer(root, site, uid), uuid.uuid4().hex
+    folder = f"{root.rstrip('/')}/_versions"
+    rules.write.parquet(f"{folder}/{name}")
+    before = json.loads(files.read_text(spark, pointer)) if files.exists(spark, pointer) else []
+    files.publish(spark, pointer, json.dumps([name, *before[:1]]))
+    for old in before[1:]:
+        files.delete(spark, f"{folder}/{old}")
 
 
 def get_rules(spark: SparkSession, root: str, site: str, uid: str) -> DataFrame:
     """Rules of one run; no other run's folder is listed or read."""
-    folder = f"{root.rstrip('/')}/site={_escaped(site)}/uid={_escaped(uid)}"
-    try:
-        rules = spark.read.parquet(folder)
-    except AnalysisException as error:
-        raise LookupError(f"no rules for run {uid!r} of site {site!r}") from error
+    pointer = _pointer(root, site, uid)
+    if not files.exists(spark, pointer):
+        raise LookupError(f"no rules for run {uid!r} of site {site!r}")
+    name = json.loads(files.read_text(spark, pointer))[0]
+    rules = spark.read.parquet(f"{root.rstrip('/')}/_versions/{name}")
     if rules.isEmpty():
         raise LookupError(f"no rules for run {uid!r} of site {site!r}")
     return rules
@@ -75,12 +88,12 @@ def train(
 ) -> DataFrame:
     """Mine, store the rules and log the run; a run id can be used only once.
 
-    The log is looked at before the start is written, so of two callers that
-    start one id at the same moment both may run; the rules of the one that
-    ends last stay.
+    The id is claimed by creating a file that must not exist yet, beside the log:
+    of callers that start one id at the same moment one runs.
     """
     spark = baskets.sparkSession
-    if run_status(spark, log, uid) is not None:
+    claimed = run_status(spark, log, uid) is None and files.create(spark, f"{log.rstrip('/')}/_claims/{_escaped(uid)}", uid)
+    if not claimed:
         raise ValueError(f"run {uid!r} has been started before")
     logged = {key: params[key] for key in ("k", "minconf", "delta") if key in params}
     logged.update(algorithm=algorithm, site=site, name=name)

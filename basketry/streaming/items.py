@@ -82,10 +82,10 @@ def stream_baskets(
 
 
 def _each_batch(
-    frame: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], trigger: dict
+    frame: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], trigger: dict, mode: str = "append"
 ) -> StreamingQuery:
     return (
-        frame.writeStream.outputMode("append")
+        frame.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger)
         .foreachBatch(work)
