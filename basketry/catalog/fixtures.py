@@ -68,22 +68,23 @@ PURCHASE_SPEC = {
 }
 
 
-def events(spark: SparkSession, sf: str) -> DataFrame:
-    """Events with a time stamp type that streams accept."""
-    return table(spark, sf, "events").select(
+def as_events(rows: DataFrame) -> DataFrame:
+    """Rows of the events table with the names the streams use, and a time stamp type that they accept."""
+    return rows.select(
         "event_id", F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").alias("user"),
         F.col("event_type").alias("item"),
     )
 
 
+def events(spark: SparkSession, sf: str) -> DataFrame:
+    return as_events(table(spark, sf, "events"))
+
+
 def event_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The events table read as a stream of files."""
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    return stream.select(
-        "event_id", F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").alias("user"),
-        F.col("event_type").alias("item"),
-    )
+    return as_events(stream)
 
 
 def event_batches(spark: SparkSession, sf: str, parts: int = 4) -> DataFrame:
@@ -108,10 +109,15 @@ def event_batches(spark: SparkSession, sf: str, parts: int = 4) -> DataFrame:
         one.coalesce(1).write.mode("append").parquet(path)
     schema = one.schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return stream.select(
-        "event_id", F.col("ts").cast("timestamp").alias("timestamp"), F.col("user_id").alias("user"),
-        F.col("event_type").alias("item"),
-    )
+    return as_events(stream)
+
+
+def event_halves(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, str]:
+    """The events before and from the middle of their time, as tables, and a folder for a stream of them."""
+    rows = table(spark, sf, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    ends = rows.agg(F.min("us").alias("low"), F.max("us").alias("high")).first()
+    middle = (ends["low"] + ends["high"]) // 2
+    return rows.where(F.col("us") < middle).drop("us"), rows.where(F.col("us") >= middle).drop("us"), scratch_path(spark, "halves")
 
 
 def query_terms(spark: SparkSession, sf: str) -> DataFrame:

@@ -273,3 +273,21 @@ ORACLES["stream_last_transaction"] = f"""WITH days AS (
 )
 SELECT user_id AS "user", strftime(d, '%Y-%m-%d') AS day, epoch_us(ts) AS ts_us, items FROM days
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1"""
+ORACLES["indexed_user_rules"] = ORACLES["user_rules"]
+ORACLES["indexed_consequents"] = ORACLES["matched_consequents"]
+# the first half of the events closes days while version 0 is the latest, the second half the others with version 1
+ORACLES["stream_recommend_versions"] = f"""WITH {USER_DAYS}, {_rules(0.3)}, {_top(20, name='best_0')},
+{_top(20, '(SELECT * FROM rules WHERE confidence >= 0.5)', 'best_1')},
+best AS (SELECT *, 0 AS rules_version FROM best_0 UNION ALL SELECT *, 1 FROM best_1),
+half AS (SELECT max(ts) AS upto FROM events WHERE epoch_us(ts) < (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 FROM events)),
+closed AS (SELECT user_id, d, list(DISTINCT event_type) AS held,
+    CASE WHEN d + INTERVAL 1 DAY <= (SELECT upto - INTERVAL 1 HOUR FROM half) THEN 0 ELSE 1 END AS rules_version FROM e
+  WHERE d + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY user_id, d),
+offers AS (SELECT user_id, d, held, unnest(consequent) AS item, confidence, support, rules_version
+  FROM closed JOIN best USING (rules_version) WHERE list_has_all(held, antecedent)),
+one AS (SELECT *, row_number() OVER (PARTITION BY user_id, d, item ORDER BY confidence DESC, support DESC) AS rn
+  FROM offers WHERE NOT list_contains(held, item)),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, d
+  ORDER BY confidence DESC, support DESC, item) AS INTEGER) AS rank FROM one WHERE rn = 1)
+SELECT user_id AS "user", strftime(d, '%Y-%m-%d') AS day, item, round(confidence, 10) AS confidence, support, rank, rules_version
+FROM ranked WHERE rank <= 3"""

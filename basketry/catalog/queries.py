@@ -15,8 +15,9 @@ from basketry import runs
 from basketry.catalog import fixtures as fx
 from basketry.functions.itemsets import itemset_text
 from basketry.operators import baskets as bk
-from basketry.operators import bitmaps, clustering, lookup, recommend, support, usecases
+from basketry.operators import bitmaps, clustering, lookup, recommend, ruleindex, support, usecases
 from basketry.operators.redundancy import drop_redundant
+from basketry.operators.ruleindex import RuleIndex
 from basketry.operators.rules import generate_rules
 from basketry.plans import mining
 from basketry.plans.border import IncrementalMiner
@@ -482,6 +483,46 @@ def stream_recommend(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stream_recommend_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Offers from rules that change while the stream stands between its first and second half of events."""
+    first, second, path = fx.event_halves(spark, sf)
+    root = scratch_path(spark, "offers")
+    every = streams.stream_baskets(fx.events(spark, sf), event_id="event_id")
+    for half, minconf in ((first, 0.3), (second, 0.5)):
+        half.coalesce(1).write.mode("append").parquet(path)
+        sinks.write_rules_parquet(mining.top_k_rules(every, 20, minconf, tid=("user", "start")), f"{root}/rules")
+        baskets = streams.stream_baskets(fx.as_events(spark.readStream.schema(half.schema).parquet(path)), event_id="event_id")
+        _wait(streams.stream_recommend(baskets, f"{root}/rules", f"{root}/offers", f"{root}/ckpt"))
+    offers = spark.read.parquet(f"{root}/offers")
+    return offers.select(
+        "user", _day().alias("day"), "item", F.round("confidence", 10).alias("confidence"), "support", "rank", "rules_version"
+    )
+
+
+def _show_user_rules(found: DataFrame) -> DataFrame:
+    return found.select(
+        "site", "user", items_text("antecedent").alias("antecedent"), items_text("consequent").alias("consequent"),
+        "support", F.round("confidence", 10).alias("confidence"), F.round("weight", 10).alias("weight"),
+    )
+
+
+def _brand_index(spark: SparkSession, sf: str) -> RuleIndex:
+    path = scratch_path(spark, "rule-index")
+    name = f"rules_{path.rsplit('-', 1)[1]}"
+    return ruleindex.write_rule_index(brand_rules(spark, sf), path, name, buckets=8)
+
+
+def indexed_user_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules that apply to each user's last transaction, from the stored index."""
+    return _show_user_rules(ruleindex.match_index(_last(spark, sf), _brand_index(spark, sf)))
+
+
+def indexed_consequents(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules half of whose consequent is in each user's last transaction, from the stored index."""
+    matched = ruleindex.match_index(_last(spark, sf), _brand_index(spark, sf), 0.5, side="consequent")
+    return _show_user_rules(matched)
+
+
 def stream_last_transaction(spark: SparkSession, sf: str) -> DataFrame:
     """The last day of each user and its items, from events that come in four batches, some late and some twice."""
     path = scratch_path(spark, "last")
@@ -544,7 +585,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         user_rules_partial, nest_user_rules, user_rules_json_roundtrip, recommend_items, matched_consequents, expand_queries, expand_queries_all, discount_conflicts, best_partner,
         bundles, basket_item_counts, cluster_baskets, cluster_brand_baskets, cluster_lines, cluster_part_lines, user_day_baskets, user_session_baskets, stream_track,
         stream_baskets, stream_pair_support, stream_mine, stream_recommend, stream_pair_support_batches,
-        stream_mine_batches, incremental_rules, stream_last_transaction, vertical_bitmap, itemset_support_bitmap,
+        stream_mine_batches, incremental_rules, stream_last_transaction, stream_recommend_versions, indexed_user_rules, indexed_consequents, vertical_bitmap, itemset_support_bitmap,
     )
 }
 QUERIES["generate_rules"] = generate

@@ -6,30 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import itemset_text
+from basketry.plans import files
 
 SINKS = ("ELASTIC", "JDBC", "PARQUET")
 
 
-def _versions(spark: SparkSession, base: str) -> list[int]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(path):
-        return []
-    names = [status.getPath().getName() for status in files.listStatus(path)]
-    return [int(name) for name in names if name.isdigit()]
+def rule_versions(spark: SparkSession, base: str) -> list[int]:
+    """Versions below ``base`` that are complete, oldest first."""
+    base = base.rstrip("/")
+    found = [int(name) for name in files.names(spark, base) if name.isdigit()]
+    return sorted(n for n in found if files.exists(spark, f"{base}/{n}/_SUCCESS"))
 
 
 def write_rules_parquet(rules: DataFrame, base: str) -> int:
-    """Write the rules below ``base`` as the next numbered version; return it."""
-    version = max(_versions(rules.sparkSession, base), default=-1) + 1
-    rules.write.mode("errorifexists").parquet(f"{base.rstrip('/')}/{version}")
+    """Write the rules below ``base`` as the next numbered version; return it.
+
+    A number is claimed before it is written, so of several writers each gets its own.
+    """
+    spark, base = rules.sparkSession, base.rstrip("/")
+    taken = [int(name) for name in files.names(spark, base) + files.names(spark, f"{base}/_claims") if name.isdigit()]
+    version = max(taken, default=-1) + 1
+    while not files.create(spark, f"{base}/_claims/{version}", ""):
+        version += 1
+    rules.write.mode("errorifexists").parquet(f"{base}/{version}")
     return version
 
 
 def read_rules_parquet(spark: SparkSession, base: str, version: int | None = None) -> DataFrame:
-    """Rules of a version, by default the latest."""
+    """Rules of a version, by default the latest complete one."""
     if version is None:
-        version = max(_versions(spark, base), default=None)
+        version = max(rule_versions(spark, base), default=None)
         if version is None:
             raise LookupError(f"no rules below {base}")
     return spark.read.parquet(f"{base.rstrip('/')}/{version}")

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from basketry.operators.recommend import match_rules, recommend
+from basketry.plans import files
 from basketry.plans.border import IncrementalMiner
 from basketry.plans.generations import Generations
 from basketry.plans.mining import ALGORITHMS, check_parameters, mine, pair_support
 from basketry.plans.scratch import materialize
 from basketry.sources.items import Spec, map_fields
+from basketry.sources.sinks import read_rules_parquet, rule_versions
 
 
 #: a job ends when all input present is worked off; {"processingTime": "10 seconds"} and the like run on
@@ -171,16 +173,40 @@ def latest_rules(spark: SparkSession, rules_root: str) -> DataFrame:
     return table.where(F.col("batch_id") == F.lit(last)).drop("batch_id")
 
 
+def _version_for(spark: SparkSession, rules: str, root: str, batch: int) -> int:
+    """The rule version of a batch: the latest when it first ran, noted so that a repeat takes the same."""
+    note = f"{root.rstrip('/')}/_rules/{batch}"
+    if not files.exists(spark, note):
+        versions = rule_versions(spark, rules)
+        if not versions:
+            raise LookupError(f"no rules below {rules}")
+        files.publish(spark, note, str(versions[-1]))
+    return int(files.read_text(spark, note))
+
+
 def stream_recommend(
-    baskets: DataFrame, rules: DataFrame, root: str, checkpoint: str, n: int = 3, min_weight: float = 1.0,
+    baskets: DataFrame, rules: DataFrame | str, root: str, checkpoint: str, n: int = 3, min_weight: float = 1.0,
     trigger: dict = UNTIL_DONE,
 ) -> StreamingQuery:
-    """Recommend items for each closed basket, one folder per batch."""
+    """Recommend items for each closed basket, one folder per batch.
+
+    ``rules`` is a rule table, or a folder of versions that ``write_rules_parquet``
+    writes while the stream runs.  Then each batch takes the latest version, which
+    column ``rules_version`` tells; the choice is noted first, so that a batch that
+    is run again gives the same rows.
+    """
 
     def work(batch: DataFrame, number: int) -> None:
         keys = ["user", "start"]
+        spark, table, version = batch.sparkSession, rules, None
+        if isinstance(rules, str):
+            version = _version_for(spark, rules, root, number)
+            table = read_rules_parquet(spark, rules, version)
         held = materialize(batch.select(*keys, F.explode("items").alias("item")), "held")
-        matched = match_rules(held, rules, min_weight, keys)
-        recommend(matched, held, n, keys).write.mode("overwrite").parquet(_part(root, number))
+        matched = match_rules(held, table, min_weight, keys)
+        offers = recommend(matched, held, n, keys)
+        if version is not None:
+            offers = offers.withColumn("rules_version", F.lit(version))
+        offers.write.mode("overwrite").parquet(_part(root, number))
 
     return _each_batch(baskets, checkpoint, work, trigger)
