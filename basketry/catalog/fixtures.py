@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.operators.usecases import attributes_to_items
+from basketry.operators.usecases import Attributes, attributes_to_items, bag_of_attributes
 from basketry.plans.scratch import materialize, scratch_path
 
 
@@ -47,6 +47,31 @@ def order_profile(spark: SparkSession, sf: str) -> DataFrame:
     return attributes_to_items(joined, names, "o_orderkey")
 
 
+def customer_bags(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as bags of their attributes, their balance's quarter, and of all their orders."""
+    orders = table(spark, sf, "orders")
+    return bag_of_attributes([
+        Attributes(table(spark, sf, "customer"), "c_custkey", {"seg": "c_mktsegment", "balance": "c_acctbal"}, {"balance": 4}),
+        Attributes(orders, "o_custkey", {"status": "o_orderstatus", "prio": "o_orderpriority"}),
+    ])
+
+
+def dirty_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines ``order,part part``, one in ten with a semicolon, one with a word for a part, one with a huge id, one without an id."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    items = F.array_join(F.sort_array(F.collect_set("l_partkey")).cast("array<string>"), " ")
+    lines = rows.groupBy("l_orderkey").agg(items.alias("items"))
+    case, key = F.pmod("l_orderkey", F.lit(10)), F.col("l_orderkey").cast("string")
+    line = (
+        F.when(case == 3, F.concat(key, F.lit(";"), F.col("items")))
+        .when(case == 5, F.concat(key, F.lit(",p "), F.col("items")))
+        .when(case == 7, F.concat(F.lit("99999999999999999999"), key, F.lit(","), F.col("items")))
+        .when(case == 9, F.concat(F.lit(" ,"), F.col("items")))
+        .otherwise(F.concat(key, F.lit(","), F.col("items")))
+    )
+    return lines.select(line.alias("value"))
+
+
 def purchases(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines with customer, order, date and brand, unmapped."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")

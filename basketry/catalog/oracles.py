@@ -291,3 +291,41 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id, d
   ORDER BY confidence DESC, support DESC, item) AS INTEGER) AS rank FROM one WHERE rn = 1)
 SELECT user_id AS "user", strftime(d, '%Y-%m-%d') AS day, item, round(confidence, 10) AS confidence, support, rank, rules_version
 FROM ranked WHERE rank <= 3"""
+ORACLES["joined_attribute_rules"] = f"""WITH cuts AS (SELECT quantile_disc(c_acctbal, [0.25, 0.5, 0.75]) AS q FROM customer),
+b AS (SELECT c_custkey AS tid, 'seg=' || c_mktsegment AS item FROM customer
+  UNION SELECT c_custkey, 'balance~' || len(list_filter(q, lambda x: x < c_acctbal)) FROM customer, cuts
+  UNION SELECT o_custkey, 'status=' || o_orderstatus FROM orders
+  UNION SELECT o_custkey, 'prio=' || o_orderpriority FROM orders),
+{_rules(0.3)}, {_top(100)} SELECT {RULE_COLUMNS} FROM best"""
+ORACLES["checked_lines"] = f"""WITH {PARTS}, {LISTS}, lines AS (
+  SELECT tid, l, tid % 10 AS c, array_to_string(l, ' ') AS rest FROM lists)
+SELECT CASE WHEN c NOT IN (3, 5, 7, 9) THEN tid END AS tid, CASE WHEN c NOT IN (3, 5, 7, 9) THEN {_text('l')} END AS items,
+  CASE c WHEN 3 THEN tid || ';' || rest WHEN 5 THEN tid || ',p ' || rest WHEN 7 THEN '99999999999999999999' || tid || ',' || rest
+    WHEN 9 THEN ' ,' || rest END AS record,
+  CASE c WHEN 3 THEN 'no comma;cast: tid' WHEN 5 THEN 'cast: item' WHEN 7 THEN 'cast: tid' WHEN 9 THEN 'null: tid' END AS reasons
+FROM lines"""
+ORACLES["checked_items"] = """SELECT 'good' AS reason, count(*) AS n, sum(event_id)::BIGINT AS items FROM events WHERE event_id % 3 = 1
+UNION ALL SELECT CASE WHEN event_id % 3 = 0 THEN 'cast: item' ELSE 'null: item' END, count(*), NULL FROM events WHERE event_id % 3 <> 1 GROUP BY 1"""
+
+
+def _lloyd(rounds: int, k: int) -> str:
+    """Rounds of nearest centre and mean over (tid, item, n); a centre is its baskets' summed counts and their number."""
+    steps = [f"""points AS MATERIALIZED (SELECT l_orderkey AS tid, p_brand AS item, count(*) AS n
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL),
+starts AS (SELECT tid, row_number() OVER (ORDER BY md5('start:' || tid), tid) - 1 AS cluster FROM (SELECT DISTINCT tid FROM points)),
+centre0 AS (SELECT cluster, item, n AS s, 1 AS m FROM points JOIN starts USING (tid) WHERE cluster < {k})"""]
+    for n in range(rounds + 1):
+        steps.append(f"""near{n} AS MATERIALIZED (SELECT tid, cluster, away FROM (
+  SELECT tid, cluster, ss / (m::DOUBLE * m) - 2 * coalesce(xs, 0)::DOUBLE / m AS away
+  FROM (SELECT DISTINCT tid FROM points) CROSS JOIN (SELECT cluster, m, sum(s * s)::DOUBLE AS ss FROM centre{n} GROUP BY ALL)
+    LEFT JOIN (SELECT tid, cluster, sum(n * s) AS xs FROM points JOIN centre{n} USING (item) GROUP BY ALL) USING (tid, cluster))
+  QUALIFY row_number() OVER (PARTITION BY tid ORDER BY away, cluster) = 1)""")
+        steps.append(f"""centre{n + 1} AS MATERIALIZED (SELECT cluster, item, sum(n) AS s, m FROM points JOIN near{n} USING (tid)
+    JOIN (SELECT cluster, count(*) AS m FROM near{n} GROUP BY cluster) USING (cluster) GROUP BY ALL
+  UNION ALL SELECT * FROM centre{n} WHERE cluster NOT IN (SELECT cluster FROM near{n}))""")
+    return ",\n".join(steps[:-1])
+
+
+ORACLES["cluster_brand_counts"] = f"""WITH {_lloyd(5, 3)}
+SELECT tid, cluster::INT AS cluster, round(greatest(xx::DOUBLE + away, 0), 6) AS distance
+FROM near5 JOIN (SELECT tid, sum(n * n) AS xx FROM points GROUP BY tid) USING (tid)"""

@@ -15,7 +15,7 @@ from basketry import runs
 from basketry.catalog import fixtures as fx
 from basketry.functions.itemsets import itemset_text
 from basketry.operators import baskets as bk
-from basketry.operators import bitmaps, clustering, lookup, recommend, ruleindex, support, usecases
+from basketry.operators import bitmaps, clustering, lookup, recommend, ruleindex, sparse_clustering, support, usecases
 from basketry.operators.redundancy import drop_redundant
 from basketry.operators.ruleindex import RuleIndex
 from basketry.operators.rules import generate_rules
@@ -23,7 +23,7 @@ from basketry.plans import mining
 from basketry.plans.border import IncrementalMiner
 from basketry.plans.scratch import materialize, scratch_path
 from basketry.sources import items as source_items
-from basketry.sources import sinks, text
+from basketry.sources import rejects, sinks, text
 from basketry.streaming import items as streams
 from basketry.streaming import users as user_streams
 
@@ -523,6 +523,41 @@ def indexed_consequents(spark: SparkSession, sf: str) -> DataFrame:
     return _show_user_rules(matched)
 
 
+def cluster_brand_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders by how often they hold each brand: three clusters after five rounds, centres as a table."""
+    clusters, _ = sparse_clustering.cluster_sparse(fx.brand_rows(spark, sf), 3, 5)
+    return clusters.select("tid", "cluster", F.round("distance", 6).alias("distance"))
+
+
+def joined_attribute_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules between attributes of customers, the quarters of their balance, and what their orders are like."""
+    return show_rules(mining.top_k_rules(fx.customer_bags(spark, sf), 100, 0.3))
+
+
+def checked_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Good baskets of dirty lines, and the bad lines with the reason."""
+    path = scratch_path(spark, "dirty")
+    fx.dirty_lines(spark, sf).write.text(path)
+    checked = rejects.check_spmf(spark.read.text(path))
+    none = F.lit(None).cast("string")
+    good = checked.good.select("tid", items_text().alias("items"), none.alias("record"), none.alias("reasons"))
+    bad = checked.rejected.select(
+        F.lit(None).cast("bigint").alias("tid"), none.alias("items"), "record", F.array_join("reasons", ";").alias("reasons")
+    )
+    return good.unionByName(bad)
+
+
+def checked_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Item records of events whose kind should be a number: how many fail, and why."""
+    rows = fx.table(spark, sf, "events").withColumn("shop", F.lit("s1"))
+    kind = F.when(F.col("event_id") % 3 == 0, F.col("event_type")).when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string"))
+    rows = rows.withColumn("kind", kind).withColumn("ts", F.col("ts").cast("timestamp"))
+    spec = {"site": "shop", "user": "user_id", "group": ("event_id", "string"), "item": "kind", "timestamp": ("ts", "timestamp")}
+    checked = rejects.check_fields(rows, spec)
+    good = checked.good.agg(F.lit("good").alias("reason"), F.count("*").alias("n"), F.sum("item").alias("items"))
+    return good.unionByName(checked.by_reason().withColumn("items", F.lit(None).cast("bigint")))
+
+
 def stream_last_transaction(spark: SparkSession, sf: str) -> DataFrame:
     """The last day of each user and its items, from events that come in four batches, some late and some twice."""
     path = scratch_path(spark, "last")
@@ -585,7 +620,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         user_rules_partial, nest_user_rules, user_rules_json_roundtrip, recommend_items, matched_consequents, expand_queries, expand_queries_all, discount_conflicts, best_partner,
         bundles, basket_item_counts, cluster_baskets, cluster_brand_baskets, cluster_lines, cluster_part_lines, user_day_baskets, user_session_baskets, stream_track,
         stream_baskets, stream_pair_support, stream_mine, stream_recommend, stream_pair_support_batches,
-        stream_mine_batches, incremental_rules, stream_last_transaction, stream_recommend_versions, indexed_user_rules, indexed_consequents, vertical_bitmap, itemset_support_bitmap,
+        stream_mine_batches, incremental_rules, stream_last_transaction, stream_recommend_versions, indexed_user_rules, indexed_consequents, joined_attribute_rules, cluster_brand_counts, checked_lines, checked_items, vertical_bitmap, itemset_support_bitmap,
     )
 }
 QUERIES["generate_rules"] = generate

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +23,62 @@ def attributes_to_items(df: DataFrame, cols: dict[str, str] | Sequence[str], tid
     return df.select(key.alias("tid"), F.array_sort(F.array_compact(F.array(*parts))).alias("items"))
 
 
+@dataclass(frozen=True)
+class Attributes:
+    """A table that tells something of each key: ``names`` maps item names to columns.
+
+    Columns of ``bins`` are numbers and become quantile bins, so many as given;
+    the others are taken as they are.  A key may have one row or many: each row
+    adds to its bag of items.
+    """
+
+    rows: DataFrame
+    key: str
+    names: Mapping[str, str]
+    bins: Mapping[str, int] = field(default_factory=dict)
+
+
+def quantile_cuts(rows: DataFrame, columns: Mapping[str, int], accuracy: int = 100_000) -> dict[str, list[float]]:
+    """Per column the inner borders of its quantile bins, from one pass and a bounded summary a task.
+
+    A border is a value of the column; its share of smaller values is off by at
+    most 1 / ``accuracy``.
+    """
+    if not columns:
+        return {}
+    if any(n < 2 for n in columns.values()):
+        raise ValueError("a column needs at least two bins")
+    shares = {c: [k / n for k in range(1, n)] for c, n in columns.items()}
+    cuts = [F.percentile_approx(F.col(c).cast("double"), shares[c], accuracy).alias(c) for c in columns]
+    found = rows.agg(*cuts).first()
+    return {c: sorted(set(found[c] or [])) for c in columns}
+
+
+def bag_of_attributes(tables: Sequence[Attributes]) -> DataFrame:
+    """Item rows (tid, item) of all that several tables tell of a key.
+
+    Values become ``name=value``, numbers with bins ``name~k`` where k borders lie
+    below the value.  The tables are put one below the other by key: a key's rows
+    of one table never meet those of another, so nothing multiplies.  Null keys
+    and values give no item; repeats within a key count once.
+    """
+    rows = None
+    for table in tables:
+        cuts = quantile_cuts(table.rows, {table.names[name]: n for name, n in table.bins.items()})
+        items = []
+        for name, column in table.names.items():
+            value = F.col(column)
+            if name in table.bins:
+                below = [F.when(value.cast("double") > F.lit(cut), 1).otherwise(0) for cut in cuts[column]]
+                value = F.when(value.isNotNull(), sum(below, F.lit(0)))
+            items.append(F.concat(F.lit(f"{name}~" if name in table.bins else f"{name}="), value.cast("string")))
+        one = table.rows.select(F.col(table.key).alias("tid"), F.explode(F.array_compact(F.array(*items))).alias("item"))
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is None:
+        raise ValueError("no tables given")
+    return rows.where("tid IS NOT NULL").distinct()
+
+
 def expand_queries(terms: DataFrame, rules: DataFrame, by: Sequence[str], min_weight: float = 1.0) -> DataFrame:
     """Queries with terms added from matching rules: (by..., term, added).
 

@@ -28,13 +28,8 @@ FIELDS = {"site": "string", "user": "string", "group": "string", "item": "int",
 Spec = Mapping[str, "str | tuple[str, str]"]
 
 
-def map_fields(df: DataFrame, spec: Spec | None = None) -> DataFrame:
-    """Item records (site, user, group, item, timestamp) from any table.
-
-    ``spec`` maps a field to a source column or to (source column, type).  A
-    field it leaves out is taken from the column of the same name.  An unknown
-    field or a missing column is an error.
-    """
+def chosen_fields(df: DataFrame, spec: Spec | None = None) -> dict[str, tuple[str, str]]:
+    """The source column and type of each field; an unknown field or a missing column is an error."""
     chosen = {name: (name, kind) for name, kind in FIELDS.items()}
     for name, value in (spec or {}).items():
         if name not in FIELDS:
@@ -43,7 +38,19 @@ def map_fields(df: DataFrame, spec: Spec | None = None) -> DataFrame:
     missing = [source for source, _ in chosen.values() if source not in df.columns]
     if missing:
         raise ValueError(f"columns not found: {', '.join(missing)}")
-    return df.select(*[F.col(f"`{source}`").cast(kind).alias(name) for name, (source, kind) in chosen.items()])
+    return chosen
+
+
+def map_fields(df: DataFrame, spec: Spec | None = None) -> DataFrame:
+    """Item records (site, user, group, item, timestamp) from any table.
+
+    ``spec`` maps a field to a source column or to (source column, type).  A
+    field it leaves out is taken from the column of the same name.  An unknown
+    field or a missing column is an error.  ``rejects.check_fields`` takes dirty
+    values.
+    """
+    fields = chosen_fields(df, spec).items()
+    return df.select(*[F.col(f"`{source}`").cast(kind).alias(name) for name, (source, kind) in fields])
 
 
 def read_items(spark: SparkSession, format: str, mapping: Spec | None = None, **options) -> DataFrame:
