@@ -12,6 +12,7 @@ from basketry.operators.baskets import (
     sort_items,
     to_baskets,
 )
+from basketry.operators.bitmaps import itemset_support_bitmap, vertical_bitmap
 from basketry.operators.clustering import (
     basket_item_counts,
     cluster_baskets,
@@ -36,7 +37,9 @@ from basketry.operators.recommend import (
     user_rules_to_json,
 )
 from basketry.operators.redundancy import drop_redundant
+from basketry.operators.ruleindex import match_index, open_rule_index, write_rule_index
 from basketry.operators.rules import generate_rules
+from basketry.operators.sparse_clustering import cluster_sparse
 from basketry.operators.support import (
     item_occurrences,
     item_support,
@@ -44,12 +47,15 @@ from basketry.operators.support import (
     vertical_index,
 )
 from basketry.operators.usecases import (
+    Attributes,
     attributes_to_items,
+    bag_of_attributes,
     best_partner,
     bundles,
     discount_conflicts,
     expand_queries,
 )
+from basketry.plans.border import IncrementalMiner
 from basketry.plans.mining import (
     frequent_itemsets,
     mine,
@@ -60,6 +66,7 @@ from basketry.plans.mining import (
 from basketry.runs import get_rules, log_run, run_status, store_rules
 from basketry.session import build_session
 from basketry.sources.items import map_fields, read_items
+from basketry.sources.rejects import check_fields, check_spmf, read_items_checked
 from basketry.sources.sinks import (
     normalize_rules,
     rules_as_documents,
