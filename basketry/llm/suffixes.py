@@ -16,10 +16,13 @@ where names leave the answer open.
 * **Remaining.** Where one gram has several names, strings may agree in part.
   Only these strings are named one by one and sorted in the same way.
 
-Names are 64-bit hashes.  Samples repeated within a task's piece are settled
-there, so a name that a third of all documents holds sends a row for each piece.
-What was settled leaves in the same pass as the rest: a second pass may find
-other pieces.
+Names are 64-bit hashes.  Samples and strings repeated within a task's piece are
+settled there, so a name that a third of all documents holds sends a row for each
+piece, and a gram a few rows.  What was settled leaves in the same pass as the
+rest: a second pass may find other pieces.
+
+The samples whose strings are to be named are a table, gathered per text and
+joined to the texts, so the strings named are in proportion to them at any size.
 """
 
 from __future__ import annotations
@@ -42,9 +45,8 @@ GRAM = 32
 BLOCK = 64
 #: bits of a sampling key that hold the position in a piece
 POSITION = U64((1 << 31) - 1)
-#: bits of the filter of samples to be resolved, a fixed 8 MB; false hits cost rows, never results
-FILTER_BITS = 1 << 26
-FILTER_HASHES = 3
+#: names of one gram that a piece sends to be compared; the samples of further ones are opened at once
+NAMES_SENT = 8
 
 
 def block_hashes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,10 +102,6 @@ class Samples:
             name = mix64(name ^ self.block[part], 62)
         self.name = name
 
-    def strings(self, start: np.ndarray) -> np.ndarray:
-        """Name of the string at each start."""
-        return mix64(mix64(self.block[start], 63) ^ self.block[start + LENGTH - BLOCK], 64)
-
 
 def _later(gram: np.ndarray, name: np.ndarray, doc: np.ndarray, low: np.ndarray) -> np.ndarray:
     """Whether a sample's name stands at a smaller (doc, low) in the same arrays."""
@@ -133,30 +131,63 @@ def _piece(piece: pa.RecordBatch):
 ROWS = "gram bigint, name bigint, doc bigint, row bigint, low int, more int"
 
 
+def _rows(gram, name, doc, row, owner, low, high, on, off, opened=None) -> dict:
+    """ROWS of the samples ``on`` as they are, and of ``off`` and ``opened`` with a null name.
+
+    Samples of ``off`` that cover neighbouring strings of one ``owner`` are one row.
+    ``more`` of those ``opened`` is -1 less what it was.
+    """
+    on, off = np.flatnonzero(on), np.flatnonzero(off)
+    opened = np.flatnonzero(opened) if opened is not None else off[:0]
+    fresh = np.ones(len(off), bool)
+    fresh[1:] = (np.diff(off) != 1) | (owner[off[1:]] != owner[off[:-1]]) | (low[off[1:]] != high[off[:-1]] + 1)
+    begin = off[fresh]
+    end = off[np.append(np.flatnonzero(fresh)[1:], len(off)) - 1] if len(off) else off
+    alone = np.concatenate((begin, opened))
+    both = np.concatenate((on, alone))
+    more = np.concatenate((high[on], high[end], high[opened])) - low[both]
+    more[len(both) - len(opened) :] = -1 - more[len(both) - len(opened) :]
+    return {
+        "gram": np.concatenate((gram[on], _sample_code(row[alone], low[alone]))).view(np.int64),  # deals them evenly
+        "name": pa.array(name[both].view(np.int64), mask=np.arange(len(both)) >= len(on)),
+        "doc": doc[both],
+        "row": row[both],
+        "low": low[both].astype(np.int32),
+        "more": more.astype(np.int32),
+    }
+
+
+def _beyond(gram: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Whether a sample's name is not one of the NAMES_SENT lowest of its gram in the same arrays."""
+    order = np.lexsort((name, gram))
+    g, n = gram[order], name[order]
+    new_gram = np.ones(len(order), bool)
+    new_gram[1:] = g[1:] != g[:-1]
+    new_name = new_gram.copy()
+    new_name[1:] |= n[1:] != n[:-1]
+    number = np.cumsum(new_name)
+    number -= number[np.maximum.accumulate(np.where(new_gram, np.arange(len(order)), 0))]
+    out = np.empty(len(order), bool)
+    out[order] = number >= NAMES_SENT
+    return out
+
+
 def sampled(given: DataFrame) -> DataFrame:
     """Samples of all texts, the first of each name in its piece; the others are settled.
 
     Settled samples side by side are one row: a null name, and all their starts.
+    Of a gram with more than NAMES_SENT names in the piece only so many are
+    sent, which show that it has several; the others are opened as they are:
+    a null name, and a negative ``more``.  So a piece sends a bounded number of
+    rows for each gram, however common that is.
     """
 
     def work(piece):
         s, doc, row, low = _piece(piece)
         later = _later(s.gram, s.name, doc, low)
-        on, off = np.flatnonzero(~later), np.flatnonzero(later)
-        fresh = np.ones(len(off), bool)
-        fresh[1:] = (np.diff(off) != 1) | (s.doc[off[1:]] != s.doc[off[:-1]]) | (s.low[off[1:]] != s.high[off[:-1]] + 1)
-        begin = off[fresh]
-        end = off[np.append(np.flatnonzero(fresh)[1:], len(off)) - 1] if len(off) else off
-        both = np.concatenate((on, begin))
-        code = _sample_code(row[begin], low[begin])  # deals them evenly
-        return {
-            "gram": np.concatenate((s.gram[on], code)).view(np.int64),
-            "name": pa.array(s.name[both].view(np.int64), mask=np.arange(len(both)) >= len(on)),
-            "doc": doc[both],
-            "row": row[both],
-            "low": low[both].astype(np.int32),
-            "more": (np.concatenate((s.high[on], s.high[end])) - s.low[both]).astype(np.int32),
-        }
+        opened = ~later
+        opened[opened] = _beyond(s.gram[opened], s.name[opened])
+        return _rows(s.gram, s.name, doc, row, s.doc, low, low + s.high - s.low, ~later & ~opened, later, opened)
 
     return map_pieces(given, "text", ROWS, work)
 
@@ -166,8 +197,8 @@ def compared(rows: DataFrame) -> DataFrame:
 
     A row that repeats an earlier one of its name comes with ``open`` false.
     The first of a name comes with ``open`` true if its gram has other names;
-    else it is left out.  Rows of a null name are settled and come with ``open``
-    false as they are.
+    else it is left out.  Rows of a null name are not compared: they come with
+    ``open`` false as they are, or with ``open`` true if ``more`` is negative.
     """
     dealt = rows.repartition("gram").sortWithinPartitions("gram", "name", "doc", "low")
 
@@ -177,7 +208,9 @@ def compared(rows: DataFrame) -> DataFrame:
             settled = batch.column("name").is_null()
             if batch.column("name").null_count:
                 done = batch.filter(settled)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(done.num_rows, bool)), *done.columns], names=["open", *done.schema.names])
+                more = done.column("more").to_numpy()
+                columns = [*done.columns[:-1], pa.array(np.where(more < 0, -1 - more, more).astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array(more < 0), *columns], names=["open", *done.schema.names])
                 batch = batch.filter(pc.invert(settled))
             if not batch.num_rows:
                 continue
@@ -227,81 +260,80 @@ def _sample_code(row: np.ndarray, low: np.ndarray) -> np.ndarray:
     return mix64(row.view(U64) ^ mix64(low.astype(np.int64), 65), 66)
 
 
-def _filter_places(code: np.ndarray) -> np.ndarray:
-    return np.stack([mix64(code, 67 + k) % U64(FILTER_BITS) for k in range(FILTER_HASHES)])
-
-
-def _filter(opened: DataFrame) -> np.ndarray:
-    """Bits of the samples in ``opened``: at most FILTER_BITS / 64 numbers reach the driver."""
-
-    def run(batches):
-        for batch in batches:
-            code = _sample_code(batch.column("row").to_numpy(), batch.column("low").to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_filter_places(code)).astype(np.int64))], names=["bit"])
+def _spread(piece: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The spans in a list column: row of each, its ``low`` and its ``more``."""
+    spans = piece.column(column)
+    many = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
+    flat = spans.flatten()
+    low, more = (flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("low", "more"))
+    return np.repeat(np.arange(len(many)), many), low, more
 
-    bits = opened.select("row", "low").mapInArrow(run, "bit bigint")
-    words = bits.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 AS int))")).alias("bits"))
-    found = words.toArrow()
-    out = np.zeros(FILTER_BITS // 64, np.int64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return out.view(np.uint8)
 
+def opened_strings(texts: DataFrame) -> DataFrame:
+    """The strings that start in ``spans`` of (doc, text, row, spans), each as a sample of its own.
 
-def opened_strings(given: DataFrame, bits) -> DataFrame:
-    """The strings of the samples in the filter, each as a sample of its own."""
+    Only the bytes of the spans are read.  A string that repeats one of its
+    piece is settled there.
+    """
 
     def work(piece):
-        s, doc, row, low = _piece(piece)
-        places = _filter_places(_sample_code(row, low))
-        packed_bits = bits.value
-        hit = np.ones(len(low), bool)
-        for p in places:
-            hit &= (packed_bits[(p >> U64(3)).astype(np.int64)] >> (p & U64(7)).astype(np.uint8)) & 1 > 0
-        chosen = np.flatnonzero(hit)
-        n = (s.high - s.low + 1)[chosen]
-        which = np.repeat(chosen, n)
+        buf, at = packed(piece.column("text"))
+        doc, row = piece.column("doc").fill_null(NO_DOC).to_numpy(), piece.column("row").to_numpy()
+        owner, low, more = _spread(piece, "spans")
+        order = np.lexsort((low, owner))
+        owner, low, more = owner[order], low[order], more[order]
+        # spans whose bytes meet are read as one run
+        fresh = np.ones(len(low), bool)
+        fresh[1:] = (owner[1:] != owner[:-1]) | (low[1:] > (low + more)[:-1] + LENGTH)
+        run = np.flatnonzero(fresh)
+        end = np.append(run[1:], len(low)) - 1
+        size = low[end] + more[end] + LENGTH - low[run]
+        head = np.cumsum(size) - size
+        total = int(size.sum())
+        _, block = block_hashes(buf[np.arange(total) + np.repeat(at[owner[run]] + low[run] - head, size)])
+        number = np.cumsum(fresh) - 1
+        begin = head[number] + low - low[run[number]]
+        order = np.lexsort((low, doc[owner]))  # mostly earlier strings first
+        owner, low, begin, n = owner[order], low[order], begin[order], more[order] + 1
+        which = np.repeat(np.arange(len(n)), n)
         step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        name = s.strings(s.low[which] + step).view(np.int64)
-        return {
-            "gram": name,
-            "name": name,
-            "doc": doc[which],
-            "row": row[which],
-            "low": (low[which] + step).astype(np.int32),
-            "more": np.zeros(len(which), np.int32),
-        }
-
-    return map_pieces(given, "text", ROWS, work)
-
-
-def repeated_starts(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """The rows of ``df`` as (doc, text, row), and per ``row`` its repeated starts.
-
-    The second table has (row, low, more): arrays of first starts, and of how
-    many further starts follow each.
+        start = begin[which] + step
+        name = mix64(mix64(block[start], 63) ^ block[start + LENGTH - BLOCK], 64)
+        which, place = owner[which], low[which] + step
+        order = np.argsort(name, kind="stable")
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = name[order[1:]] != name[order[:-1]]
+        first = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+        d, d_first = doc[which[order]], doc[which[first]]
+        later = np.empty(len(order), bool)
+        later[order] = (d > d_first) | (d == d_first) & (place[order] > place[first])
+        return _rows(name, name, doc[which], row[which], which, place, place, ~later, later)
+
+    return map_pieces(texts, "text", ROWS, work)
+
+
+def repeated_starts(texts: DataFrame) -> DataFrame:
+    """Per ``row`` of (doc, text, row, ...) its repeated starts: (row, starts).
+
+    ``starts`` are structs of a first start, ``low``, and of how many further
+    starts follow it, ``more``.  ``texts`` is dealt by ``row`` with all its
+    columns, so that a caller who joins the result to it needs no second exchange.
     """
-    given = df.select(
-        F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("row")
-    )
-    if re.search("Exchange|RDD", df._jdf.queryExecution().executedPlan().toString()):
-        given = materialize(given, "texts")  # a task run again may get its rows in another order, and cut other pieces
-    found = materialize(compared(sampled(given)), "repeated-samples")
-    bits = df.sparkSession.sparkContext.broadcast(_filter(found.where("open")))  # FILTER_BITS bits
-    strings = compared(opened_strings(given, bits))
+    found = materialize(compared(sampled(texts.select("doc", "text", "row"))), "repeated-samples")
+    span = F.struct("low", "more")
+    spans = found.where("open").groupBy("row").agg(F.collect_set(span).alias("spans"))
+    strings = compared(opened_strings(texts.join(spans, "row")))
     columns = ["row", "low", "more"]
     starts = found.where("NOT open").select(*columns).union(strings.select(*columns))
-    return given, starts.groupBy("row").agg(F.collect_list(F.struct("low", "more")).alias("starts"))
+    return starts.groupBy("row").agg(F.collect_set(span).alias("starts"))
 
 
-def _cut(raw: bytes, starts: list[dict] | None) -> tuple[bytes, int]:
-    """Bytes outside all strings at ``starts``, and the number of removed runs."""
-    if not starts:
+def _cut(raw: bytes, low: np.ndarray, more: np.ndarray) -> tuple[bytes, int]:
+    """Bytes outside all strings that start at ``low`` and the ``more`` places after, and the number of removed runs."""
+    if not len(low):
         return raw, 0
-    low = np.array([s["low"] for s in starts])
-    high = low + np.array([s["more"] for s in starts]) + LENGTH
-    change = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(change, low, 1)
-    np.subtract.at(change, high, 1)
+    n = len(raw) + 1
+    change = np.bincount(low, minlength=n) - np.bincount(low + more + LENGTH, minlength=n)
     gone = np.cumsum(change[:-1]) > 0
     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
     return np.frombuffer(raw, np.uint8)[~gone].tobytes(), spans
@@ -321,23 +353,28 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep:
     equal places, so repeated rows give equal results.  An empty table gives no
     rows.  Other columns are not read.
     """
-    given, starts = repeated_starts(df, key, text)
     texts = df.select(
-        F.col(key).alias("key"),
+        F.col(key).cast("bigint").alias("doc"),
         F.col(text).alias("text"),
-        F.xxhash64(F.col(key), F.col(text)).alias("code"),
-        (F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("boolean")).alias("row"),
+        F.xxhash64(F.col(key), F.col(text)).alias("row"),
+        F.col(key).alias("key"),
+        (F.struct(*[F.col(c) for c in keep]) if keep else F.lit(None).cast("boolean")).alias("kept"),
     )
-    both = texts.join(starts.withColumnRenamed("row", "code"), "code", "left").select("key", "text", "starts", "row")
+    if re.search("Exchange|RDD", df._jdf.queryExecution().executedPlan().toString()):
+        texts = materialize(texts, "texts")  # a task run again may get its rows in another order, and cut other pieces
+        texts = texts.where("row IS NOT NULL")  # as the inner join asks, so that both joins read one exchange
+    both = texts.join(repeated_starts(texts), "row", "left")
     kinds = {f.name: f.dataType.simpleString() for f in both.schema}
     schema = (
         f"key {kinds['key']}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, "
-        f"kept_text string, row {kinds['row']}"
+        f"kept_text string, row {kinds['kept']}"
     )
 
     def work(piece):
         texts = [(t or "").encode() for t in piece.column("text").to_pylist()]
-        cut = [_cut(raw, s) for raw, s in zip(texts, piece.column("starts").to_pylist())]
+        owner, low, more = _spread(piece, "starts")
+        at = np.searchsorted(owner, np.arange(len(texts) + 1))
+        cut = [_cut(raw, low[a:b], more[a:b]) for raw, a, b in zip(texts, at[:-1], at[1:])]
         return {
             "key": piece.column("key"),
             "n_bytes": [len(raw) for raw in texts],
@@ -345,7 +382,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep:
             "n_spans": [n for _, n in cut],
             "kept_sha256": [hashlib.sha256(left).hexdigest() for left, _ in cut],
             "kept_text": [left.decode("utf-8", "ignore") for left, _ in cut],
-            "row": piece.column("row"),
+            "row": piece.column("kept"),
         }
 
     return map_pieces(both, "text", schema, work).withColumnRenamed("key", key)

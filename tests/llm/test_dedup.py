@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from basketry.llm.components import components
 from basketry.llm.minhash import keep_one, near_duplicates, needed
-from basketry.llm.suffixes import remove_repeats
+from basketry.llm.suffixes import NAMES_SENT, compared, opened_strings, remove_repeats, sampled
 from tests.llm.plain import SCHEMA, awkward, near_groups, without_repeats
 
 
@@ -137,3 +138,31 @@ def test_repeats_do_not_depend_on_later_pieces(spark):
     finally:
         spark.conf.set(name, before)
     assert got == without_repeats(rows)
+
+
+def test_repeats_within_equal_keys(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(140)
+    # texts of one key come at different places: the passage is earlier in the second
+    rows = [(1, text(90) + passage + text(60)), (1, text(20) + passage + text(70)), (2, passage + text(30)), (0, text(200))]
+    got = {r.row.text: r.n_removed for r in remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"), keep=("text",)).collect()}
+    assert [got[t] for _, t in rows] == [140, 0, 140, 0]
+
+
+def test_a_passage_in_differing_surroundings(spark):
+    """One gram has as many names as documents; every piece sends a few, and the strings are named once a piece."""
+    rng = random.Random(7)
+    text = lambda: "".join(rng.choice("abcdefghijklmnop ") for _ in range(120))
+    passage = text() + text()
+    rows = [(d, text() + passage + text()) for d in range(600)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    given = df.selectExpr("doc_id AS doc", "text", "xxhash64(doc_id, text) AS row").persist()
+    dealt = sampled(given)
+    assert dealt.where("name IS NOT NULL").groupBy("gram").count().agg({"count": "max"}).first()[0] <= 3 * NAMES_SENT
+    spans = compared(dealt).where("open").groupBy("row").agg(F.collect_set(F.struct("low", "more")).alias("spans"))
+    strings = opened_strings(given.join(spans, "row").repartition(3, "row"))
+    assert strings.where("name IS NOT NULL").groupBy("name").count().agg({"count": "max"}).first()[0] <= 3 * 4
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(df).collect()}
+    assert got == without_repeats(rows)
+    given.unpersist()
