@@ -73,13 +73,13 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _step(h, gates, model, size):
-    """One step of all lanes from state ``h``; ``gates`` is the input's part."""
-    rec = h @ model["w_rec"]
-    zr = _sigmoid(gates[:, : 2 * size] + rec[:, : 2 * size])
-    z, r = zr[:, :size], zr[:, size:]
-    n = r * rec[:, 2 * size :]
-    n += gates[:, 2 * size :]
+def _step(h, gates, w_rec, size):
+    """One step of all lanes from state ``h``; ``gates`` is the input's part.  A column is a lane."""
+    rec = w_rec.T @ h
+    zr = _sigmoid(gates[: 2 * size] + rec[: 2 * size])
+    z, r = zr[:size], zr[size:]
+    n = r * rec[2 * size :]
+    n += gates[2 * size :]
     n *= 2
     n = _sigmoid(n)  # tanh x = 2 sigmoid(2 x) - 1, and exp is the faster of the two
     n *= 2
@@ -87,46 +87,52 @@ def _step(h, gates, model, size):
     new = h - n
     new *= z
     new += n
-    return new, z, r, n, rec[:, 2 * size :]
+    return new, z, r, n, rec[2 * size :]
 
 
 def _softmax_at(x: np.ndarray, place: np.ndarray, shares: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log-probability of one entry of each row of scores, and, if asked for, all probabilities; uses up ``x``."""
-    x -= x.max(axis=1, keepdims=True)
-    at = x[np.arange(len(x)), place]
+    """Log-probability of one entry of each column of scores, and, if asked for, all probabilities; uses up ``x``."""
+    x -= x.max(axis=0)
+    at = x[place, np.arange(x.shape[1])]
     np.exp(x, out=x)
-    total = x.sum(axis=1)
+    total = x.sum(axis=0)
     if shares:
-        x /= total[:, None]
+        x /= total
     return at - np.log(total), x if shares else None
 
 
 def _output(states, targets, model, shape, class_of, grads=None):
     """Log-probability (natural) of each target; adds gradients of the loss, and returns that of the states."""
     own = class_of[targets]
-    out, d = _softmax_at(states @ model["w_class"] + model["b_class"], own, grads is not None)
+    out, d = _softmax_at(model["w_class"].T @ states + model["b_class"][:, None], own, grads is not None)
     back = None
     if grads is not None:
-        d[np.arange(len(targets)), own] -= 1
-        grads["w_class"] += states.T @ d
-        grads["b_class"] += d.sum(axis=0)
-        back = d @ model["w_class"].T
+        d[own, np.arange(len(targets))] -= 1
+        grads["w_class"] += states @ d.T
+        grads["b_class"] += d.sum(axis=1)
+        back = model["w_class"] @ d
     order = np.argsort(own, kind="stable")
     cuts = np.searchsorted(own[order], np.arange(len(shape.bounds)))
+    states, targets = states[:, order], targets[order]
+    word_out, word_back = np.zeros_like(out), np.zeros_like(states) if grads is not None else None
     for k in range(len(shape.bounds) - 1):
         low, high = shape.bounds[k], shape.bounds[k + 1]
-        here = order[cuts[k] : cuts[k + 1]]
-        if high - low < 2 or not len(here):
+        here = slice(cuts[k], cuts[k + 1])
+        if high - low < 2 or cuts[k] == cuts[k + 1]:
             continue
-        mine = states[here]
+        mine = states[:, here]
         place = targets[here] - low
-        log_word, d = _softmax_at(mine @ model["w_word"][low:high].T + model["b_word"][low:high], place, grads is not None)
-        out[here] += log_word
+        word_out[here], d = _softmax_at(
+            model["w_word"][low:high] @ mine + model["b_word"][low:high, None], place, grads is not None
+        )
         if grads is not None:
-            d[np.arange(len(here)), place] -= 1
-            grads["w_word"][low:high] += d.T @ mine
-            grads["b_word"][low:high] += d.sum(axis=0)
-            back[here] += d @ model["w_word"][low:high]
+            d[place, np.arange(len(place))] -= 1
+            grads["w_word"][low:high] += d @ mine.T
+            grads["b_word"][low:high] += d.sum(axis=1)
+            word_back[:, here] = model["w_word"][low:high].T @ d
+    out[order] += word_out
+    if grads is not None:
+        back[:, order] += word_back
     return out, back
 
 
@@ -135,61 +141,81 @@ def train(tokens: np.ndarray, first: np.ndarray, model, shape, rate=0.004, lanes
 
     ``first`` marks the first id of each document; the id before it, as input,
     is the end mark 0.  The stream is cut into ``lanes`` side by side, whose
-    states go on from window to window.
+    states go on from window to window; a lane that starts inside a document
+    knows the id before it, but no state.  Every id is a target once: the last
+    lane may be shorter, and what it lacks has no loss.
     """
-    steps = len(tokens) // lanes
-    if steps < 1:
-        lanes, steps = max(1, len(tokens)), 1 if len(tokens) else 0
-    if not steps:
+    total = len(tokens)
+    if not total:
         return state
-    y = tokens[: lanes * steps].reshape(lanes, steps).T.astype(np.int64)
-    begin = first[: lanes * steps].reshape(lanes, steps).T.copy()
-    begin[0] = True
+    steps = -(-total // min(lanes, total))
+    lanes = -(-total // steps)
+    y = np.zeros(lanes * steps, np.int64)
+    y[:total] = tokens
+    y = y.reshape(lanes, steps).T
+    begin = np.zeros(lanes * steps, bool)
+    begin[:total] = first
+    begin = begin.reshape(lanes, steps).T.copy()
+    begin[0, 0] = True
+    live = (np.arange(lanes * steps) < total).reshape(lanes, steps).T
     x = np.zeros_like(y)
     x[1:] = y[:-1]
+    x[0, 1:] = y[-1, :-1]
     x[begin] = 0
-    keep = (~begin).astype(np.float32)[:, :, None]
+    keep = (~begin).astype(np.float32)
     size, class_of = shape.hidden, shape.class_of()
     if state is None:
         state = {"t": 0, "m": {n: np.zeros_like(v) for n, v in model.items()}, "v": {n: np.zeros_like(v) for n, v in model.items()}}
-    h = np.zeros((lanes, size), np.float32)
+    h = np.zeros((size, lanes), np.float32)
     for low in range(0, steps, window):
-        ids = x[low : low + window]
-        count = len(ids)
-        embedded = model["embed"][ids]
-        gates = embedded @ model["w_in"] + model["b_in"]
-        memory, before = [], np.empty((count, lanes, size), np.float32)
-        states = np.empty_like(before)
-        for t in range(count):
+        ids = x[low : low + window].ravel()
+        count = len(ids) // lanes
+        targets = y[low : low + window].ravel()
+        cuts = [slice(t * lanes, (t + 1) * lanes) for t in range(count)]  # a column is a lane at a step
+        table = np.ascontiguousarray((model["embed"] @ model["w_in"] + model["b_in"]).T)
+        gates = np.take(table, ids, axis=1)
+        before, states, z, r, n, rec = (np.empty((size, len(ids)), np.float32) for _ in range(6))
+        for t, cut in enumerate(cuts):
             h = h * keep[low + t]
-            before[t] = h
-            h, *rest = _step(h, gates[t], model, size)
-            states[t] = h
-            memory.append(rest)
-        grads = {n: np.zeros_like(v) for n, v in model.items()}
-        _, back = _output(states.reshape(-1, size), y[low : low + window].ravel(), model, shape, class_of, grads)
-        back = back.reshape(states.shape)
-        d_rec, d_gates = np.empty((count, lanes, 3 * size), np.float32), np.empty((count, lanes, 3 * size), np.float32)
-        carry = np.zeros((lanes, size), np.float32)
+            before[:, cut] = h
+            h, z[:, cut], r[:, cut], n[:, cut], rec[:, cut] = _step(h, gates[:, cut], model["w_rec"], size)
+            states[:, cut] = h
+        grads = {name: np.zeros_like(v) for name, v in model.items()}
+        here = live[low : low + window].ravel()
+        if here.all():
+            _, back = _output(states, targets, model, shape, class_of, grads)
+        else:
+            back = np.zeros_like(states)
+            back[:, here] = _output(states[:, here], targets[here], model, shape, class_of, grads)[1]
+        by_z = (before - n) * z * (1 - z)
+        by_n = (1 - z) * (1 - n * n)
+        by_r = rec * r * (1 - r)
+        d_rec, d_n = np.empty((3 * size, len(ids)), np.float32), np.empty((size, len(ids)), np.float32)
+        carry = np.zeros((size, lanes), np.float32)
         for t in range(count - 1, -1, -1):
-            z, r, n, rec_n = memory[t]
-            d = back[t] + carry
-            d_n = d * (1 - z) * (1 - n * n)
-            d_gates[t, :, :size] = d * (before[t] - n) * z * (1 - z)
-            d_gates[t, :, size : 2 * size] = d_n * rec_n * r * (1 - r)
-            d_gates[t, :, 2 * size :] = d_n
-            d_rec[t] = d_gates[t]
-            d_rec[t, :, 2 * size :] *= r
-            carry = (d * z + d_rec[t] @ model["w_rec"].T) * keep[low + t]
-        wide = d_gates.reshape(-1, 3 * size)
-        grads["w_rec"] += before.reshape(-1, size).T @ d_rec.reshape(-1, 3 * size)
-        grads["w_in"] += embedded.reshape(-1, shape.width).T @ wide
-        grads["b_in"] += wide.sum(axis=0)
-        order = np.argsort(ids, axis=None, kind="stable")
-        sorted_ids = ids.ravel()[order]
-        cut = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
-        grads["embed"][sorted_ids[cut]] = np.add.reduceat((wide @ model["w_in"].T)[order], cut, axis=0)
-        _adam(model, grads, state, rate, count * lanes)
+            cut = cuts[t]
+            d = back[:, cut] + carry
+            step = np.empty((3 * size, lanes), d.dtype)
+            own = d * by_n[:, cut]
+            np.multiply(d, by_z[:, cut], out=step[:size])
+            np.multiply(own, by_r[:, cut], out=step[size : 2 * size])
+            np.multiply(own, r[:, cut], out=step[2 * size :])
+            d_n[:, cut], d_rec[:, cut] = own, step
+            carry = model["w_rec"] @ step
+            d *= z[:, cut]
+            carry += d
+            carry *= keep[low + t]
+        grads["w_rec"] += before @ d_rec.T
+        wide = np.concatenate((d_rec[: 2 * size], d_n))
+        grads["b_in"] += wide.sum(axis=1)
+        order = np.argsort(ids, kind="stable")
+        sorted_ids = ids[order]
+        fresh = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
+        seen = sorted_ids[fresh]
+        sums = np.add.reduceat(np.ascontiguousarray(wide.T)[order], fresh, axis=0)
+        grads["w_in"] += model["embed"][seen].T @ sums
+        grads["embed"][seen] = sums @ model["w_in"].T
+        _adam(model, grads, state, rate, int(np.count_nonzero(here)))
     return state
 
 
@@ -226,13 +252,13 @@ def log_likelihoods(tokens: np.ndarray, at: np.ndarray, model, shape, lanes=384,
             dealt[k].append(d)
     dealt.sort(key=lambda docs: -sum(int(size[d]) for d in docs))
     loads = np.array([sum(int(size[d]) for d in docs) for docs in dealt])
-    table = (model["embed"] @ model["w_in"] + model["b_in"]).astype(np.float32)
+    table = np.ascontiguousarray((model["embed"] @ model["w_in"] + model["b_in"]).astype(np.float32).T)
     class_of = shape.class_of()
     cursor = [iter(docs) for docs in dealt]
     now = np.full(lanes, -1)  # document of each lane, next token, its last
     place, stop = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
     last = np.zeros(lanes, np.int64)
-    h = np.zeros((lanes, shape.hidden), np.float32)
+    h = np.zeros((shape.hidden, lanes), np.float32)
     steps = int(loads.max()) if len(loads) else 0
     for low in range(0, steps, window):
         states, targets, owner = [], [], []
@@ -241,15 +267,15 @@ def log_likelihoods(tokens: np.ndarray, at: np.ndarray, model, shape, lanes=384,
             for k in np.flatnonzero(place[:live] == stop[:live]).tolist():
                 d = next(cursor[k])
                 now[k], place[k], stop[k], last[k] = d, at[d], at[d + 1], 0
-                h[k] = 0
-            state, *_ = _step(h[:live], table[last[:live]], model, shape.hidden)
-            h[:live] = state
+                h[:, k] = 0
+            state, *_ = _step(h[:, :live], np.take(table, last[:live], axis=1), model["w_rec"], shape.hidden)
+            h[:, :live] = state
             word = tokens[place[:live]]
             states.append(state)
             targets.append(word)
             owner.append(now[:live].copy())
             last[:live] = word
             place[:live] += 1
-        out, _ = _output(np.concatenate(states), np.concatenate(targets).astype(np.int64), model, shape, class_of)
+        out, _ = _output(np.concatenate(states, axis=1), np.concatenate(targets).astype(np.int64), model, shape, class_of)
         total += np.bincount(np.concatenate(owner), weights=out, minlength=n_docs)
     return total

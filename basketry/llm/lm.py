@@ -178,8 +178,11 @@ def _joined(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return stream, begin
 
 
-def _near_part(given: DataFrame, shared) -> DataFrame:
-    """Per row: tokens, those near, their base score and the network's score."""
+def _document_parts(given: DataFrame, shared) -> DataFrame:
+    """Per row: tokens, those near, their base score, the network's score, and the words that are not near.
+
+    ``far`` has a struct (code, n) for each distinct word of the row that is not near.
+    """
 
     def work(piece):
         model = shared.value
@@ -189,6 +192,15 @@ def _near_part(given: DataFrame, shared) -> DataFrame:
         part = np.log10((model.counts[place[known]] + ALPHA) / model.mass)
         ids = np.where(known, model.ids[place], RARE) if len(model.codes) else _network_ids(code, model.codes, model.ids)
         docs = len(at) - 1
+        far_doc, far = doc[~known], code[~known]
+        order = np.lexsort((far, far_doc))
+        far_doc, far = far_doc[order], far[order]
+        fresh = np.ones(len(far), bool)
+        fresh[1:] = (far_doc[1:] != far_doc[:-1]) | (far[1:] != far[:-1])
+        first = np.flatnonzero(fresh)
+        words = pa.StructArray.from_arrays(
+            [pa.array(far[first]), pa.array(np.diff(np.append(first, len(far))))], names=["code", "n"]
+        )
         return {
             "key": piece.column("key"),
             "row": piece.column("row"),
@@ -201,12 +213,15 @@ def _near_part(given: DataFrame, shared) -> DataFrame:
                 doc[known & (ids == RARE)], weights=part[ids[known] == RARE], minlength=docs
             ),
             "network": gru.log_likelihoods(ids, at, model.weights, model.shape) / np.log(10),
+            "far": pa.ListArray.from_arrays(
+                pa.array(np.searchsorted(far_doc[first], np.arange(docs + 1)).astype(np.int32)), words
+            ),
         }
 
     kind = given.schema["key"].dataType.simpleString()
     schema = (
         f"key {kind}, row bigint, held_out boolean, n_tokens bigint, near bigint, near_base double, n_rare bigint, "
-        "rare_base double, network double"
+        "rare_base double, network double, far array<struct<code: bigint, n: bigint>>"
     )
     return map_pieces(given, "text", schema, work, TOGETHER)
 
@@ -218,31 +233,6 @@ def _places(code: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return place, model.codes[place] == code
 
 
-def _far_tokens(given: DataFrame, shared) -> DataFrame:
-    """(row, code, n): a row's words that are not near, and with a null code the row itself."""
-
-    def work(piece):
-        model = shared.value
-        code, at = token_codes(piece.column("text"))
-        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        far = ~_places(code, model)[1]
-        doc, code = doc[far], code[far]
-        order = np.lexsort((code, doc))
-        doc, code = doc[order], code[order]
-        fresh = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])))) if len(doc) else doc
-        n = np.diff(np.append(fresh, len(doc)))
-        row = piece.column("row").to_numpy()
-        marks = np.unique(doc)
-        blank = pa.nulls(len(marks), pa.int64())
-        return {
-            "row": np.concatenate((row[doc[fresh]], row[marks])),
-            "code": pa.concat_arrays([pa.array(code[fresh]), blank]),
-            "n": np.concatenate((n, np.ones(len(marks), np.int64))),
-        }
-
-    return map_pieces(given, "text", "row bigint, code bigint, n bigint", work)
-
-
 def score_documents(
     df: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 10, settings: Settings = Settings()
 ) -> DataFrame:
@@ -269,15 +259,15 @@ def score_documents(
     counts = materialize(count_tokens(training), "token-counts")
     model = fit(training, counts, settings)
     shared = df.sparkSession.sparkContext.broadcast(model)  # NEAR_WORDS counts and the weights
-    near = _near_part(given, shared)
-    far = _far_tokens(given, shared)
+    near = materialize(_document_parts(given, shared), "document-parts")  # read twice: a text is run once
+    far = near.select("row", F.posexplode("far").alias("place", "word")).select("row", "place", "word.code", "word.n")
     part = F.log10((F.coalesce("c", F.lit(0)) + F.lit(ALPHA)) / F.lit(model.mass)) * F.col("n")
     words = far.join(counts.select("code", F.col("n").alias("c")), "code", "left")
     # equal rows come several times: all their sums are divided by their number
     sums = words.groupBy("row").agg(
-        F.sum(F.when(F.col("code").isNotNull(), part)).alias("far_base"),
+        F.sum(part).alias("far_base"),
         F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("far_known"),
-        F.sum(F.when(F.col("code").isNull(), F.col("n"))).alias("rows"),
+        F.count(F.when(F.col("place") == 0, 1)).alias("rows"),
     )
     both = near.join(sums.withColumnRenamed("row", "_row"), F.col("row") == F.col("_row"), "left")
     far_base = F.coalesce(F.col("far_base") / F.col("rows"), F.lit(0.0))

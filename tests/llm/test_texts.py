@@ -191,6 +191,54 @@ def test_gradients_of_the_network(monkeypatch):
         assert (loss[0] - loss[1]) / 2e-3 == pytest.approx(grads[name][place], rel=1e-3, abs=1e-5)
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 16, 17, 300, 511, 512])
+def test_every_token_is_learned_once(monkeypatch, n):
+    rng = np.random.default_rng(n)
+    shape = gru.Shape(gru.class_bounds(np.arange(40, 0, -1), 5), hidden=4, width=3)
+    tokens, seen, steps = rng.integers(0, 40, n), [], []
+    plain = gru._output
+
+    def output(states, targets, *rest):
+        assert states.shape[1] == len(targets)
+        seen.append(targets.copy())
+        return plain(states, targets, *rest)
+
+    monkeypatch.setattr(gru, "_output", output)
+    monkeypatch.setattr(gru, "_adam", lambda model, grads, state, rate, tokens: steps.append(tokens))
+    gru.train(tokens, np.arange(n) % 50 == 0, gru.start(shape, np.arange(40, 0, -1.0)), shape, lanes=16, window=6)
+    assert np.array_equal(np.sort(np.concatenate(seen)), np.sort(tokens))
+    assert sum(steps) == n
+
+
+def plain_log_likelihood(ids, model, shape):
+    """A document's natural log-probability, a token and a number at a time."""
+    size, h, before, total = shape.hidden, np.zeros(shape.hidden), 0, 0.0
+    of = shape.class_of()
+    for word in ids:
+        gates = model["embed"][before] @ model["w_in"] + model["b_in"]
+        rec = h @ model["w_rec"]
+        z, r = (1 / (1 + np.exp(-(gates + rec)[k * size : (k + 1) * size])) for k in (0, 1))
+        n = np.tanh(gates[2 * size :] + r * rec[2 * size :])
+        h = z * h + (1 - z) * n
+        low, high = shape.bounds[of[word]], shape.bounds[of[word] + 1]
+        classes = np.exp(h @ model["w_class"] + model["b_class"])
+        words = np.exp(model["w_word"][low:high] @ h + model["b_word"][low:high])
+        total += np.log(classes[of[word]] / classes.sum()) + np.log(words[word - low] / words.sum())
+        before = word
+    return total
+
+
+def test_scores_against_plain_steps():
+    rng = np.random.default_rng(4)
+    shape = gru.Shape(np.concatenate(([0, 1], 2 + gru.class_bounds(np.arange(30, 0, -1), 4))), hidden=6, width=5)
+    model = gru.start(shape, np.arange(32, 0, -1.0))
+    docs = [rng.integers(0, 32, n) for n in (1, 40, 3, 77, 12)]
+    tokens, at = np.concatenate(docs), np.concatenate(([0], np.cumsum([len(d) for d in docs])))
+    gru.train(tokens, np.isin(np.arange(len(tokens)), at), model, shape, lanes=4, window=8)
+    got = gru.log_likelihoods(tokens, at, model, shape, lanes=3, window=10)
+    assert got == pytest.approx([plain_log_likelihood(d, model, shape) for d in docs], rel=1e-4)
+
+
 def test_network_is_a_distribution_and_carries_its_state():
     shape = gru.Shape(np.array([0, 1, 2, 4, 7]), hidden=4, width=3)
     model = gru.start(shape, np.array([5, 4, 3, 2, 2, 1, 1.0]))
