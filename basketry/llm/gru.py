@@ -101,6 +101,11 @@ def _softmax_at(x: np.ndarray, place: np.ndarray, shares: bool) -> tuple[np.ndar
     return at - np.log(total), x if shares else None
 
 
+def _order(numbers: np.ndarray, bound: int) -> np.ndarray:
+    """A stable order of numbers below ``bound``; short ones are sorted by their digits."""
+    return np.argsort(numbers.astype(np.int16) if bound < 1 << 15 else numbers, kind="stable")
+
+
 def _output(states, targets, model, shape, class_of, grads=None):
     """Log-probability (natural) of each target; adds gradients of the loss, and returns that of the states."""
     own = class_of[targets]
@@ -111,9 +116,9 @@ def _output(states, targets, model, shape, class_of, grads=None):
         grads["w_class"] += states @ d.T
         grads["b_class"] += d.sum(axis=1)
         back = model["w_class"] @ d
-    order = np.argsort(own, kind="stable")
+    order = _order(own, len(shape.bounds))
     cuts = np.searchsorted(own[order], np.arange(len(shape.bounds)))
-    states, targets = states[:, order], targets[order]
+    states, targets = np.take(states, order, axis=1), targets[order]
     word_out, word_back = np.zeros_like(out), np.zeros_like(states) if grads is not None else None
     for k in range(len(shape.bounds) - 1):
         low, high = shape.bounds[k], shape.bounds[k + 1]
@@ -132,7 +137,9 @@ def _output(states, targets, model, shape, class_of, grads=None):
             word_back[:, here] = model["w_word"][low:high].T @ d
     out[order] += word_out
     if grads is not None:
-        back[:, order] += word_back
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        back += np.take(word_back, place, axis=1)
     return out, back
 
 
@@ -208,7 +215,7 @@ def train(tokens: np.ndarray, first: np.ndarray, model, shape, rate=0.004, lanes
         grads["w_rec"] += before @ d_rec.T
         wide = np.concatenate((d_rec[: 2 * size], d_n))
         grads["b_in"] += wide.sum(axis=1)
-        order = np.argsort(ids, kind="stable")
+        order = _order(ids, shape.words)
         sorted_ids = ids[order]
         fresh = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
         seen = sorted_ids[fresh]

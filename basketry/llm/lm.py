@@ -72,18 +72,23 @@ def token_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def count_tokens(df: DataFrame, text: str = "text") -> DataFrame:
     """(code, n) of all tokens; a task adds up its own first."""
 
+    def merged(parts):
+        codes, where = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return codes, np.bincount(where, weights=np.concatenate([n for _, n in parts]), minlength=len(codes)).astype(np.int64)
+
     def run(batches):
-        codes, sums = np.empty(0, np.int64), np.empty(0, np.int64)
+        parts, size = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
         for batch in batches:
             for piece in pieces(batch, "text"):
-                new, n = np.unique(token_codes(piece.column("text"))[0], return_counts=True)
-                both, where = np.unique(np.concatenate((codes, new)), return_inverse=True)
-                sums = np.bincount(where, weights=np.concatenate((sums, n)), minlength=len(both)).astype(np.int64)
-                codes = both
-                if len(codes) > 1 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums)], names=["code", "n"])
-                    codes, sums = codes[:0], sums[:0]
-        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(sums)], names=["code", "n"])
+                parts.append(np.unique(token_codes(piece.column("text"))[0], return_counts=True))
+                size += len(parts[-1][0])
+                if size > 1 << 20:
+                    parts = [merged(parts)]
+                    size = len(parts[0][0])
+                    if size > 1 << 19:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names=["code", "n"])
+                        parts, size = [(np.empty(0, np.int64), np.empty(0, np.int64))], 0
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(parts)], names=["code", "n"])
 
     found = df.select(F.col(text).alias("text")).mapInArrow(run, "code bigint, n bigint")
     return found.groupBy("code").agg(F.sum("n").alias("n"))
@@ -143,7 +148,9 @@ def fit(training: DataFrame, counts: DataFrame, settings: Settings) -> Model:
         state = None
         for _ in range(settings.first_passes):
             state = gru.train(stream, begin, weights, shape, settings.rate, state=state)
-    shared = spark.sparkContext.broadcast((codes, ids, gru.flat(weights)))  # NEAR_WORDS codes and the weights
+    own_words = ids != RARE
+    # the network's own words and the weights
+    shared = spark.sparkContext.broadcast((codes[own_words], ids[own_words], gru.flat(weights)))
 
     def learn(batches):
         codes, ids, values = shared.value
