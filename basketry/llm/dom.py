@@ -6,6 +6,7 @@ import html
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,6 +35,12 @@ ENDS_BEFORE = {
 }
 #: elements that an end tag or an implied end does not reach across
 SCOPE = frozenset("table td th caption button object template".split())
+ENDED_BY = {name: tuple(e for e, before in ENDS_BEFORE.items() if name in before) for name in frozenset().union(*ENDS_BEFORE.values())}
+FAR_ENDS = frozenset("table tr tbody thead tfoot body html".split())
+ITEMS = frozenset("li dt dd option".split())
+#: elements that stop an implied end, and those that stop that of an item as well
+BORDER = tuple(sorted(SCOPE - {"td", "th"}))
+LISTS = ("ul", "ol", "dl", "select")
 
 TAG = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -45,6 +52,8 @@ TOKEN = re.compile(r"[a-z]{2,}")
 MARKS = re.compile(r"[.,;:!?]")
 
 BUCKETS = 96
+#: nodes whose features are held at a time, about 830 bytes each
+NODES = 1 << 14
 NUMERIC = (
     "depth", "children", "siblings", "place among siblings", "siblings of its tag", "chars", "words", "chars a node",
     "share of link text", "marks a word", "share of the page's text", "share of its parent's text", "nodes", "own chars",
@@ -66,12 +75,16 @@ class Page:
 def parse(source: str | None) -> Page:
     """Read a page; malformed markup gives some tree, never an error.
 
-    Elements inside running text become nodes only if they carry names.
+    Elements inside running text become nodes only if they carry names.  The
+    places of the open elements are kept by name, so no tag walks the stack, and
+    nothing is looked for past the last ``>``: time grows with the page only.
     """
     source = source or ""
     page = Page(["#page"], [-1], [[]])
     stack: list[tuple[str, int]] = [("#page", 0)]
+    open_at: dict[str, list[int]] = {}
     block, links, at, n = 0, 0, 0, len(source)
+    last = source.rfind(">") + 1
 
     def text(raw: str) -> None:
         if raw and not raw.isspace():
@@ -82,43 +95,45 @@ def parse(source: str | None) -> Page:
     def pop(to: int) -> None:
         nonlocal links
         while len(stack) > to:
-            links -= stack.pop()[0] == "a"
+            name = stack.pop()[0]
+            open_at[name].pop()
+            links -= name == "a"
 
-    while at < n:
-        found = TAG.search(source, at)
+    def top(names) -> int:
+        return max((places[-1] for places in map(open_at.get, names) if places), default=0)
+
+    while at < last:
+        found = TAG.search(source, at, last)
         if not found:
-            text(source[at:])
             break
         if found.start() > at:
             text(source[at : found.start()])
         at = found.end()
         name = found["name"]
         if name is None:
+            if found["comment"] is not None and found.end("comment") == at:
+                at = n  # never closed
             continue
         name = name.lower()
         if found["end"]:
             if name not in INLINE:
                 block += 1
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-                if stack[k][0] in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            place = top((name,))
+            if place and (name in FAR_ENDS or place >= top(SCOPE)):
+                pop(place)
             continue
         if name not in INLINE:
             block += 1
-        for k in range(len(stack) - 1, 0, -1):
-            if name in ENDS_BEFORE.get(stack[k][0], ()):
-                pop(k)
-                break
-            if stack[k][0] in SCOPE and not stack[k][0] in ("td", "th") or stack[k][0] in ("ul", "ol", "dl", "select") and name in ("li", "dt", "dd", "option"):
-                break
+        place = top(ENDED_BY.get(name, ()))
+        if place and place > top(BORDER + LISTS if name in ITEMS else BORDER):
+            pop(place)
         if name in VOID:
             continue
         rest = found["rest"]
         names = [a or b or c for a, b, c in NAMES.findall(rest)] if "=" in rest else []
         tokens = [t for value in names for t in TOKEN.findall(value.lower())]
+        if not rest.endswith("/") or name not in ("svg", "path", "iframe"):
+            open_at.setdefault(name, []).append(len(stack))
         if name not in INLINE or tokens:
             page.tags.append(name)
             page.parents.append(stack[-1][1])
@@ -128,10 +143,14 @@ def parse(source: str | None) -> Page:
             stack.append((name, stack[-1][1]))
         links += name == "a"
         if rest.endswith("/") and name in ("svg", "path", "iframe"):
-            pop(len(stack) - 1)
+            stack.pop()
         if name in RAW:
             close = re.compile(rf"</{name}[\s/>]", re.I).search(source, at)
             at = close.start() if close else n
+    if at < n:
+        # no tag can end any more; an open comment or declaration hides what follows it
+        found = re.compile("<[!?]").search(source, at)
+        text(source[at : found.start() if found else n])
     return page
 
 
@@ -139,51 +158,60 @@ def bucket(token: str) -> int:
     return zlib.crc32(token.encode()) % BUCKETS
 
 
-def features(page: Page) -> np.ndarray:
-    """A row of numbers per node: NUMERIC, then token buckets of the node and of the nodes above it."""
+def feature_blocks(page: Page, size: int = NODES) -> Iterator[np.ndarray]:
+    """A row of numbers per node, ``size`` nodes at a time: NUMERIC, then token buckets of the node and of those above it."""
     n = len(page.tags)
     parent = np.array(page.parents)
     chars, words, marks, linked, own = (np.zeros(n) for _ in range(5))
     for _, node, text, link in page.runs:
-        size = len(text.strip())
-        own[node] += size
-        linked[node] += size if link else 0
-        words[node] += text.count(" ") + 1 if size else 0
-        marks[node] += len(MARKS.findall(text)) if size else 0
+        length = len(text.strip())
+        own[node] += length
+        linked[node] += length if link else 0
+        words[node] += text.count(" ") + 1 if length else 0
+        marks[node] += len(MARKS.findall(text)) if length else 0
     chars[:] = own
     nodes = np.ones(n)
     depth, children = np.zeros(n), np.zeros(n)
     place, kin = np.zeros(n), Counter()
+    mine, above = [0] * n, [0] * n  # buckets as bits
     for k in range(1, n):  # parents come before their children
-        p = parent[k]
+        p = page.parents[k]
         depth[k] = depth[p] + 1
         place[k] = children[p]
         children[p] += 1
         kin[p, page.tags[k]] += 1
+        bits = 1 << bucket("<" + page.tags[k])
+        for token in page.tokens[k]:
+            bits |= 1 << bucket(token)
+        mine[k], above[k] = bits, mine[p] | above[p]
     for k in range(n - 1, 0, -1):
         p = parent[k]
         for a in (chars, words, marks, linked, nodes):
             a[p] += a[k]
-    out = np.zeros((n, N_FEATURES), np.float32)
-    up = np.maximum(parent, 0)
-    out[:, 0], out[:, 1], out[:, 2] = depth, children, children[up]
-    out[:, 3] = place / np.maximum(children[up], 1)
-    out[:, 4] = [kin[p, t] for p, t in zip(page.parents, page.tags)]
-    out[:, 5], out[:, 6], out[:, 7] = np.log1p(chars), np.log1p(words), chars / nodes
-    out[:, 8] = linked / np.maximum(chars, 1)
-    out[:, 9] = marks / np.maximum(words, 1)
-    out[:, 10], out[:, 11] = chars / max(chars[0], 1), chars / np.maximum(chars[up], 1)
-    out[:, 12], out[:, 13] = np.log1p(nodes), np.log1p(own)
-    out[:, 14] = np.arange(n) / n
-    out[:, 15] = [len(t) for t in page.tokens]
     base = len(NUMERIC)
-    for k in range(1, n):
-        row = out[k]
-        row[base + BUCKETS :] = np.maximum(out[parent[k], base : base + BUCKETS], out[parent[k], base + BUCKETS :])
-        row[base + bucket("<" + page.tags[k])] = 1
-        for token in page.tokens[k]:
-            row[base + bucket(token)] = 1
-    return out
+    for low in range(0, n, size):
+        cut = slice(low, min(low + size, n))
+        out = np.zeros((cut.stop - low, N_FEATURES), np.float32)
+        up = np.maximum(parent[cut], 0)
+        out[:, 0], out[:, 1], out[:, 2] = depth[cut], children[cut], children[up]
+        out[:, 3] = place[cut] / np.maximum(children[up], 1)
+        out[:, 4] = [kin[p, t] for p, t in zip(page.parents[cut], page.tags[cut])]
+        out[:, 5], out[:, 6], out[:, 7] = np.log1p(chars[cut]), np.log1p(words[cut]), chars[cut] / nodes[cut]
+        out[:, 8] = linked[cut] / np.maximum(chars[cut], 1)
+        out[:, 9] = marks[cut] / np.maximum(words[cut], 1)
+        out[:, 10], out[:, 11] = chars[cut] / max(chars[0], 1), chars[cut] / np.maximum(chars[up], 1)
+        out[:, 12], out[:, 13] = np.log1p(nodes[cut]), np.log1p(own[cut])
+        out[:, 14] = np.arange(low, cut.stop) / n
+        out[:, 15] = [len(t) for t in page.tokens[cut]]
+        for first, bits in ((base, mine), (base + BUCKETS, above)):
+            raw = np.frombuffer(b"".join(b.to_bytes(BUCKETS // 8, "little") for b in bits[cut]), np.uint8)
+            out[:, first : first + BUCKETS] = np.unpackbits(raw.reshape(-1, BUCKETS // 8), axis=1, bitorder="little")
+        yield out
+
+
+def features(page: Page) -> np.ndarray:
+    """All rows of ``feature_blocks``."""
+    return np.concatenate(list(feature_blocks(page)))
 
 
 def kept_nodes(page: Page, score: np.ndarray) -> np.ndarray:

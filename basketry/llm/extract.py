@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import boosting
-from basketry.llm.dom import Page, block_text, features, kept_nodes, parse
+from basketry.llm.dom import NODES, Page, block_text, feature_blocks, features, kept_nodes, parse
 from basketry.llm.text import map_pieces
 
 #: bounds of the training sample: pages that lend their words, their greatest length, and pages built from them
@@ -156,14 +156,23 @@ def train(pages: DataFrame, key: str = "page_id", source: str = "html", seed: in
 
 
 def extract_texts(sources: list[str | None], trees: boosting.Trees) -> Iterator[str]:
-    """Main text of each page."""
+    """Main text of each page; features of about NODES nodes are held at a time."""
     pages = [parse(s) for s in sources]
-    table = [features(p) for p in pages]
-    score = trees.margin(np.concatenate(table)) if table else np.empty(0)
-    low = 0
-    for page, rows in zip(pages, table):
-        yield block_text(page, kept_nodes(page, score[low : low + len(rows)]))
-        low += len(rows)
+    score, held, rows = [np.empty(0)], [], 0
+    for page in pages:
+        for block in feature_blocks(page):
+            held.append(block)
+            rows += len(block)
+            if rows >= NODES:
+                score.append(trees.margin(np.concatenate(held)))
+                held, rows = [], 0
+    if held:
+        score.append(trees.margin(np.concatenate(held)))
+    score, low = np.concatenate(score), 0
+    for page in pages:
+        high = low + len(page.tags)
+        yield block_text(page, kept_nodes(page, score[low:high]))
+        low = high
 
 
 def main_text(df: DataFrame, key: str = "page_id", url: str = "url", source: str = "html", trees: boosting.Trees | None = None) -> DataFrame:

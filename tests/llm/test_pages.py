@@ -1,11 +1,13 @@
 from __future__ import annotations
 
+import time
+
 import duckdb
 import numpy as np
 import pytest
 
 from basketry.llm import boosting
-from basketry.llm.dom import block_text, features, kept_nodes, parse
+from basketry.llm.dom import BORDER, ENDS_BEFORE, FAR_ENDS, ITEMS, LISTS, NODES, SCOPE, block_text, feature_blocks, features, kept_nodes, parse
 from basketry.llm.extract import Builder, extract_texts, labelled, main_text, train
 from basketry.llm.urls import Rules, Vocabulary, judge_urls, split_url
 from tests.llm.plain import ENGLISH
@@ -28,6 +30,68 @@ def test_any_markup_gives_a_tree(source):
     assert features(page).shape[0] == len(page.tags)
 
 
+def plain_tree(events):
+    """Tags and parents of block elements, walking the stack at each tag; and the text of each node."""
+    tags, parents, texts, stack = ["#page"], [-1], [""], [0]
+    for kind, name in events:
+        if kind == "text":
+            texts[stack[-1]] += name
+            continue
+        for k in range(len(stack) - 1, 0, -1):
+            here = tags[stack[k]]
+            if here == name if kind == "end" else name in ENDS_BEFORE.get(here, ()):
+                del stack[k:]
+                break
+            if kind == "end" and here in SCOPE and name not in FAR_ENDS:
+                break
+            if kind == "start" and (here in BORDER or here in LISTS and name in ITEMS):
+                break
+        if kind == "start":
+            tags.append(name)
+            parents.append(stack[-1])
+            texts.append("")
+            stack.append(len(tags) - 1)
+    return tags, parents, texts
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_trees_against_walking_the_stack(seed):
+    rng = np.random.default_rng(seed)
+    names = "p div ul li table tr td th tbody dl dt dd select option button head body html h1".split()
+    for _ in range(300):
+        events = [
+            ("text", f"t{k} ") if kind == "text" else (str(kind), str(rng.choice(names)))
+            for k, kind in enumerate(rng.choice(["start", "start", "end", "text"], rng.integers(0, 40)))
+        ]
+        source = "".join(n if k == "text" else f"<{n}>" if k == "start" else f"</{n}>" for k, n in events)
+        page = parse(source)
+        texts = [""] * len(page.tags)
+        for _, node, text, _ in page.runs:
+            texts[node] += text
+        assert (page.tags, page.parents, texts) == plain_tree(events)
+        everything = " ".join(block_text(page, np.ones(len(page.tags), bool)).split())
+        assert everything == " ".join(n.strip() for k, n in events if k == "text")
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<div>" * 100_000 + "x", "<div>" * 50_000 + "</p>" * 100_000 + "x", "<ul><li>" * 50_000 + "x", "x> " + "<a " * 200_000, "<!" * 200_000 + "x"],
+)
+def test_time_and_memory_grow_with_the_page(source):
+    begin = time.process_time()
+    page = parse(source)
+    assert time.process_time() - begin < 8  # a walk of the stack takes half an hour
+    blocks = [len(b) for b in feature_blocks(page)]
+    assert max(blocks) <= NODES and sum(blocks) == len(page.tags)
+    if source.endswith("x") and "<!" not in source:
+        assert block_text(page, np.ones(len(page.tags), bool)) == "x"
+
+
+def test_features_do_not_depend_on_blocks():
+    page = parse("<div class='main text'><p id=a>one, two<a href=x>three</a></p><ul><li>b</li></ul></div>" * 9)
+    assert np.array_equal(features(page), np.concatenate(list(feature_blocks(page, 7))))
+
+
 def test_kept_nodes_have_kept_parents():
     page = parse("<div><p>a</p><ul><li>b</li></ul></div><div><p>c</p></div>")
     score = np.array([0, -1, 3, -1, 0.5, -2, 1.0])
