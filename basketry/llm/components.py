@@ -15,6 +15,8 @@ from basketry.plans.scratch import materialize, materialize_with
 BLOCK, COLUMNS = 256, 4096
 #: lists up to this length are compared pair by pair, longer ones with a hub
 SHORT_LIST = 16
+#: a value is split that holds more than one of so many rows, and more than PART rows; so at most HOT values are
+HOT, PART = 10_000, 256
 
 
 def _lowest(edges: DataFrame) -> DataFrame:
@@ -62,17 +64,38 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     )
 
 
+def in_parts(rows: DataFrame, value: str = "value", spread: str = "code") -> DataFrame:
+    """Rows whose ``value`` has several, with its number of rows ``length``, ``parts``, and the row's own ``part``.
+
+    A value of very many rows is dealt over parts by ``spread``, so that no join
+    by (value, part) has a hot key.  The split values are sent to all tasks:
+    they are at most HOT, as each holds more than one of HOT rows.  ``rows`` is
+    read three times.  Null values are left out.
+    """
+    counted = rows.groupBy(value).agg(F.count("*").alias("length")).where("length > 1").where(F.col(value).isNotNull())
+    lengths, seen = materialize_with(counted, "lengths", F.coalesce(F.sum("length"), F.lit(0)).alias("rows"))
+    most = max(seen["rows"] // HOT, PART)
+    lengths = lengths.withColumn("parts", F.ceil(F.col("length") / most))
+    split = F.broadcast(lengths.where("parts > 1").select(F.col(value).alias("_value"), F.col("parts").alias("_parts")))
+    dealt = rows.join(split, rows[value] == split["_value"], "left")
+    part = F.coalesce(F.pmod(F.xxhash64(spread), "_parts"), F.lit(0).cast("bigint"))
+    return dealt.withColumn("part", part).drop("_value", "_parts").join(for_parts(lengths), [value, "part"])
+
+
+def for_parts(singles: DataFrame) -> DataFrame:
+    """Each row once for every one of its ``parts``, numbered as ``part``."""
+    return singles.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+
+
 def shared_lists(lists: DataFrame) -> DataFrame:
-    """Rows of (value, code, n) whose value has several, with the list's ``length``; stored."""
-    lists = materialize(lists, "lists")
-    lengths = lists.groupBy("value").agg(F.count("*").alias("length")).where("length > 1")
-    return materialize(lists.join(lengths, "value"), "shared-lists")
+    """Rows of (value, code, n) whose value has several, as ``in_parts`` deals them; stored."""
+    return materialize(in_parts(materialize(lists, "lists")), "shared-lists")
 
 
-def _pairs(rows: DataFrame, others: DataFrame, percent: int, apart: str) -> DataFrame:
-    """Distinct (a, b), a < b, of two list tables that share a value and are of like size, where ``apart`` holds."""
+def _pairs(rows: DataFrame, others: DataFrame, percent: int, apart: str, by: list[str]) -> DataFrame:
+    """Distinct (a, b), a < b, of two list tables that agree ``by`` columns and are of like size, where ``apart`` holds."""
     like = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
-    met = rows.alias("x").join(others.alias("y"), "value").where(apart).where(like)
+    met = rows.alias("x").join(others.alias("y"), by).where(apart).where(like)
     return met.select(F.least("x.code", "y.code").alias("a"), F.greatest("x.code", "y.code").alias("b")).where("a <> b").distinct()
 
 
@@ -84,8 +107,8 @@ def groups_of_lists(
 ) -> DataFrame:
     """(node, component) of the links among members of one list that ``confirm`` finds true.
 
-    ``lists`` is a table (value, code, n, length); sizes n of linked members
-    differ by ``percent`` at most.  Short lists are compared pair by pair.  A
+    ``lists`` is a table (value, code, n) dealt by ``in_parts``; sizes n of linked
+    members differ by ``percent`` at most.  Short lists are compared pair by pair.  A
     long list is compared with one hub, the member that stands in most long
     lists, so a group of n alike members costs n comparisons.  What lists with
     several groups still need is found by ``_around_hubs`` if ``sets``, a table
@@ -94,18 +117,20 @@ def groups_of_lists(
     left out.
     """
     short = lists.where(f"length <= {SHORT_LIST}").select("value", "code", "n")
-    long = lists.where(f"length > {SHORT_LIST}").select("value", "code", "n")
+    long = lists.where(f"length > {SHORT_LIST}").select("value", "code", "n", "parts", "part")
     stands = long.groupBy("code").agg(F.count("*").alias("lists"))
     best = F.max_by(F.struct("code", "n"), F.struct("lists", F.xxhash64("code")))
-    hubs = materialize(long.join(stands, "code").groupBy("value").agg(best.alias("hub")).select("value", "hub.*"), "hubs")
-    pairs = _pairs(short, short, percent, "x.code < y.code").union(_pairs(hubs, long, percent, "x.code <> y.code")).distinct()
+    chosen = long.join(stands, "code").groupBy("value").agg(best.alias("hub"), F.first("parts").alias("parts"))
+    hubs = materialize(chosen.select("value", "hub.*", "parts"), "hubs")
+    near_hub = _pairs(for_parts(hubs), long, percent, "x.code <> y.code", ["value", "part"])
+    pairs = _pairs(short, short, percent, "x.code < y.code", ["value"]).union(near_hub).distinct()
     links = materialize(confirm(pairs), "list-links")
     groups = components(links)
     rest = _open_lists(long, groups)
     if rest.isEmpty():
         return groups
     if sets is None:
-        pairs = _pairs(rest, rest, percent, "x.label < y.label")
+        pairs = _pairs(rest, rest, percent, "x.label < y.label", ["value"])
     else:
         pairs = _around_hubs(rest, hubs, sets, percent)
     return components(materialize(links.union(confirm(pairs)), "list-links"))
@@ -118,34 +143,48 @@ def _around_hubs(lists: DataFrame, hubs: DataFrame, sets: DataFrame, percent: in
     difference of two members x and y is that of Dx and Dy.  A link allows it to
     be r (|x| + |y|), with r = (100 - percent) / (100 + percent).  Of two members
     in different groups one, x, is not linked to the hub: these are held against
-    all members.  Members are dealt into blocks of about BLOCK, and a task gets
-    one block of either side; it counts shared changes as a matrix product, so
-    no pair is a row unless it is a link.
+    all members.  The members are dealt into blocks of about BLOCK, those not
+    linked to the hub into blocks of their own, and a task gets one block of
+    either side; it counts shared changes as a matrix product, so no pair is a
+    row unless it is a link.  A member is copied once for each block of the
+    others: with few of them a hub of any number of members stays about as
+    large as it is.
     """
-    hub = hubs.select("value", F.col("code").alias("hub"), F.col("n").alias("n_hub"))
-    family = lists.join(hub, "value").select("hub", "n_hub", "code", "n", "label").distinct()
-    whole = sets.select(F.col("code").alias("hub"), F.col("shingles").alias("of_hub"))
-    both = family.join(sets.select("code", "shingles"), "code").join(whole, "hub")
+    hub = for_parts(hubs.select("value", F.col("code").alias("hub"), F.col("n").alias("n_hub"), "parts")).drop("parts")
+    family = lists.join(hub, ["value", "part"]).select("hub", "n_hub", "code", "n", "label").distinct()
+    family = in_parts(materialize(family, "families"), "hub")
+    whole = family.groupBy("hub").agg(F.first("parts").alias("parts"))
+    whole = whole.join(sets.select(F.col("code").alias("hub"), F.col("shingles").alias("of_hub")), "hub")
+    both = family.join(sets.select("code", "shingles"), "code").join(for_parts(whole).drop("parts"), ["hub", "part"])
     change = F.concat(F.array_except("shingles", "of_hub"), F.array_except("of_hub", "shingles"))
     loose = F.col("size") * (100 + percent) > (100 - percent) * (F.col("n") + F.col("n_hub"))
-    changed = both.select("hub", "n_hub", "code", "n", "label", F.sort_array(change).alias("change"))
+    columns = ["hub", "part", "parts", "length", "code", "n", "n_hub", "label"]
+    changed = both.select(*columns, F.sort_array(change).alias("change"))
     changed = changed.withColumn("size", F.size("change")).withColumn("loose", loose)
     changed = materialize(changed, "changes")
-    blocks = changed.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = changed.join(blocks, "hub").withColumn("own", F.pmod(F.xxhash64("code"), "blocks"))
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))
-    columns = ["hub", "code", "n", "label", "change"]
-    left = dealt.select(*columns, F.col("own").alias("left"), other.alias("right"))
-    right = dealt.where("loose").select(*columns, F.col("own").alias("right"), other.alias("left"))
-    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # other attributes than those of ``left``
-    keys = ["hub", "left", "right"]
+    others = changed.where("loose").groupBy("hub").agg(F.first("parts").alias("parts"), F.count("*").alias("others"))
+    left, right = _dealt(changed.join(for_parts(others).drop("parts"), ["hub", "part"]))
     ratio = (100 - percent, 100 + percent)
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+    met = left.groupBy(*_TASK).cogroup(right.groupBy(*_TASK)).applyInPandas(
         lambda x, y: _linked(x, y, *ratio), "a bigint, b bigint"
     )
     return met.distinct()
 
 
+_TASK = ["hub", "left", "right"]
+
+
+def _dealt(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All members, and the ``loose`` ones, each in a block of its side and once for every block of the other."""
+    blocks = {"left": F.ceil(F.col("length") / BLOCK), "right": F.ceil(F.col("others") / BLOCK)}
+    columns = [F.col(c).alias(c) for c in ("hub", "code", "n", "label", "change")]  # attributes of each side's own
+    sides = []
+    for rows, own, other in ((members, "left", "right"), (members.where("loose"), "right", "left")):
+        block = F.pmod(F.xxhash64(F.lit(own), "code"), blocks[own]).alias(own)
+        sides.append(rows.select(*columns, block, F.explode(F.sequence(F.lit(0).cast("bigint"), blocks[other] - 1)).alias(other)))
+    return sides[0], sides[1]
+
+
 def _linked(left: pd.DataFrame, right: pd.DataFrame, more: int, less: int) -> pd.DataFrame:
     """Pairs of two blocks in different groups whose changes differ little enough."""
     none = pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
@@ -178,6 +217,7 @@ def _linked(left: pd.DataFrame, right: pd.DataFrame, more: int, less: int) -> pd
 def _open_lists(lists: DataFrame, groups: DataFrame) -> DataFrame:
     """Lists that hold several groups, with each member's group as ``label``."""
     label = F.coalesce("component", "code").alias("label")
-    labelled = lists.join(groups, lists["code"] == groups["node"], "left").select("value", "code", "n", label)
-    several = labelled.groupBy("value").agg((F.min("label") < F.max("label")).alias("open")).where("open").select("value")
-    return materialize(labelled.join(several, "value"), "open-lists")
+    labelled = lists.join(groups, lists["code"] == groups["node"], "left").select("value", "code", "n", "parts", "part", label)
+    several = labelled.groupBy("value").agg((F.min("label") < F.max("label")).alias("open"), F.first("parts").alias("parts"))
+    several = for_parts(several.where("open")).select("value", "part")
+    return materialize(labelled.join(several, ["value", "part"]), "open-lists")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.components import groups_of_lists, shared_lists
+from basketry.llm.components import groups_of_lists, in_parts, shared_lists
 from basketry.llm.text import LOWER, U64, Words, map_pieces, mix64, packed, word_ngrams
 from basketry.plans.scratch import materialize
 
@@ -103,12 +103,11 @@ def whole_sets(df: DataFrame, text: str, size: int) -> DataFrame:
 def rare_lists(classes: DataFrame, k: int, threshold: float) -> DataFrame:
     """Inverted lists (value, code, n) of each sketch's rarest values, those in one sketch only left out.
 
-    ``classes`` has (code, n, sketch).  A set whose possible partners all have
+    ``classes`` has (code, n, sketch) and is read several times.  A set whose possible partners all have
     complete sketches must share ``threshold`` of its own values.
     """
     values = classes.select("code", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
-    often = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    own = values.join(often, "value").groupBy("code", "n", "held").agg(F.collect_list(F.struct("df", "value")).alias("v"))
+    own = in_parts(values).groupBy("code", "n", "held").agg(F.collect_list(F.struct("length", "value")).alias("v"))
     least = F.when(F.col("n") <= int(k * threshold), F.ceil(F.col("n") * threshold)).otherwise(F.lit(needed(k, threshold)))
     alone = F.col("held") - F.size("v")
     take = F.greatest(F.col("held") - least + 1 - alone, F.lit(0)).cast("int")
@@ -153,11 +152,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     """
     rows = materialize(sketches(df, key, text, k, size), "sketches")
     classes = rows.where("code IS NOT NULL").groupBy("code").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes, "classes")
     lists = shared_lists(rare_lists(classes, k, percent / 100))
     met = lists.select("code").distinct()
-    picked = rows.join(met, "code", "left_semi")
-    classes = materialize(picked.groupBy("code").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "met-classes")
-    reps = picked.groupBy("code").agg(F.min("key").alias("rep")).select("rep").distinct()
+    classes = materialize(classes.join(met, "code", "left_semi"), "met-classes")
+    reps = rows.join(met, "code", "left_semi").groupBy("code").agg(F.min("key").alias("rep")).select("rep").distinct()
     texts = df.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     texts = texts.join(reps, texts["_key"].eqNullSafe(reps["rep"]), "left_semi")
     sets = materialize(whole_sets(texts, "text", size).join(met, "code", "left_semi"), "whole-sets")

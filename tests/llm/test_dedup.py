@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.llm.components import components
+from basketry.llm.components import BLOCK, PART, _dealt, components, in_parts
 from basketry.llm.minhash import keep_one, near_duplicates, needed
 from basketry.llm.suffixes import NAMES_SENT, compared, opened_strings, remove_repeats, sampled
 from tests.llm.plain import SCHEMA, awkward, near_groups, without_repeats
@@ -80,6 +80,30 @@ def test_near_duplicates_about_as_large_as_a_sketch(spark):
     assert sum(d != w[1] for d, w in want.items()) == len(rows) // 2
 
 
+def test_long_lists_are_dealt_over_parts(spark):
+    rows = [(7, c, c % 3) for c in range(9 * PART)] + [(v, v, 0) for v in range(100, 160)] + [(v, v + 1, 1) for v in range(100, 150)]
+    got = in_parts(spark.createDataFrame(rows + [(None, 1, 1), (None, 2, 2)], "value bigint, code bigint, extra int")).collect()
+    want = [r for r in rows if r[0] < 150]
+    assert sorted((r.value, r.code, r.extra) for r in got) == sorted(want)
+    assert {r.value: (r.length, r.parts) for r in got} == {7: (9 * PART, 9)} | {v: (2, 1) for v in range(100, 150)}
+    parts = [r.part for r in got if r.value == 7]
+    assert set(parts) == set(range(9)) and max(map(parts.count, range(9))) < 1.3 * PART
+    assert in_parts(spark.createDataFrame([], "value bigint, code bigint")).count() == 0
+
+
+def test_members_are_copied_for_the_blocks_of_outsiders_only(spark):
+    n, few = 40 * BLOCK, 10
+    members = spark.range(n).selectExpr(
+        "1L as hub", "id as code", "9 as n", "id as label", "array(id) as change", f"{n}L as length", f"{few}L as others", f"id < {few} as loose"
+    )
+    left, right = (side.select("code", "left", "right").collect() for side in _dealt(members))
+    assert len(left) == n and len(right) == few * 40  # all against all would copy every member 40 times
+    places = {(r.code, r.left): r.right for r in left}
+    for outsider in right[:80]:  # every member meets every outsider
+        assert all(places[k] == outsider.right for k in places if k[1] == outsider.left)
+    assert {r.left for r in left} == {r.left for r in right}
+
+
 def test_needed_is_below_the_expected_overlap():
     assert 0 < needed(64, 0.75) < 48
     assert needed(8, 0.75) == 1
