@@ -64,15 +64,15 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     )
 
 
-def in_parts(rows: DataFrame, value: str = "value", spread: str = "code") -> DataFrame:
-    """Rows whose ``value`` has several, with its number of rows ``length``, ``parts``, and the row's own ``part``.
+def in_parts(rows: DataFrame, value: str = "value", spread: str = "code", least: int = 2) -> DataFrame:
+    """Rows whose ``value`` has ``least`` rows or more, with its number of rows ``length``, ``parts``, and the row's own ``part``.
 
     A value of very many rows is dealt over parts by ``spread``, so that no join
     by (value, part) has a hot key.  The split values are sent to all tasks:
     they are at most HOT, as each holds more than one of HOT rows.  ``rows`` is
     read three times.  Null values are left out.
     """
-    counted = rows.groupBy(value).agg(F.count("*").alias("length")).where("length > 1").where(F.col(value).isNotNull())
+    counted = rows.groupBy(value).agg(F.count("*").alias("length")).where(F.col("length") >= least).where(F.col(value).isNotNull())
     lengths, seen = materialize_with(counted, "lengths", F.coalesce(F.sum("length"), F.lit(0)).alias("rows"))
     most = max(seen["rows"] // HOT, PART)
     lengths = lengths.withColumn("parts", F.ceil(F.col("length") / most))

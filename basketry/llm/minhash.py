@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.llm.components import groups_of_lists, in_parts, shared_lists
+from basketry.llm.components import for_parts, groups_of_lists, in_parts, shared_lists
 from basketry.llm.text import LOWER, U64, Words, map_pieces, mix64, packed, word_ngrams
 from basketry.plans.scratch import materialize
 
@@ -156,18 +156,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     lists = shared_lists(rare_lists(classes, k, percent / 100))
     met = lists.select("code").distinct()
     classes = materialize(classes.join(met, "code", "left_semi"), "met-classes")
-    reps = rows.join(met, "code", "left_semi").groupBy("code").agg(F.min("key").alias("rep")).select("rep").distinct()
+    reps = rows.groupBy("code").agg(F.min("key").alias("rep")).join(met, "code", "left_semi").select("rep").distinct()
     texts = df.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     texts = texts.join(reps, texts["_key"].eqNullSafe(reps["rep"]), "left_semi")
     sets = materialize(whole_sets(texts, "text", size).join(met, "code", "left_semi"), "whole-sets")
 
     groups = groups_of_lists(lists, lambda pairs: confirmed(pairs, classes, sets, k, percent), percent, sets)
-    named = rows.join(groups, rows["code"] == groups["node"], "left").select(
-        "key", "row", "n", "code", F.coalesce("component", "code", "row").alias("label")
-    )
-    lowest = named.where("code IS NOT NULL").groupBy("label").agg(F.min("key").alias("first"))
-    out = named.join(lowest.withColumnRenamed("label", "_label"), (F.col("label") == F.col("_label")) & F.col("code").isNotNull(), "left")
-    out = out.withColumn("_id", F.when(F.col("code").isNull(), F.col("key")).otherwise(F.col("first")))
+    out = _named(rows.select("key", "row", "n", "code"), groups)
     return out.select(
         F.col("key").alias(key),
         F.col("n").alias("n_shingles"),
@@ -178,6 +173,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     )
 
 
+def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows with the ``label`` of their group and ``_id``, its smallest key; rows without a code are groups of their own.
+
+    One code, and one label, may hold very many rows: both are dealt over parts.
+    """
+    dealt = in_parts(rows, "code", "row", least=1)
+    owns = dealt.groupBy("code").agg(F.min("key").alias("own"), F.first("parts").alias("copied"))
+    owns = owns.join(groups, owns["code"] == groups["node"], "left")
+    owns = owns.select("code", "own", "copied", F.coalesce("component", "code").alias("label"))
+    labelled = in_parts(materialize(owns, "labels"), "label", "code", least=1)
+    lowest = for_parts(labelled.groupBy("label").agg(F.min("own").alias("_id"), F.first("parts").alias("parts"))).drop("parts")
+    found = labelled.join(lowest, ["label", "part"]).select("code", "label", "_id", F.col("copied").alias("parts"))
+    coded = dealt.join(for_parts(found).drop("parts"), ["code", "part"]).select("key", "row", "n", "label", "_id")
+    alone = rows.where("code IS NULL").select("key", "row", "n", F.col("row").alias("label"), F.col("key").alias("_id"))
+    return coded.unionByName(alone)
+
+
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """Rows of ``df``, one of each group: that of the smallest key; of several such, one by a hash of its text."""
     found = near_duplicates(df, key, text, **options)
