@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basketry.plans.scratch import materialize_with
 
-#: item cells that one step of growing consequents may hold before the job is refused
+#: item cells that one step of growing consequents may hold before antecedents are looked up in itemsets instead
 MAX_CELLS = 500_000_000
 
 
@@ -29,9 +29,11 @@ def generate_rules(
 
     Consequents grow item by item, in the order of the itemset.  As Y grows X
     shrinks and the confidence can only fall, so a consequent of too little
-    confidence is not grown; one whose X is not in the table is.  A set of n
-    items can still have 2^n - 2 rules: a step that would hold more than
-    ``max_cells`` items in all is refused with a ``ValueError``, nothing is cut.
+    confidence is not grown; one whose X is not in the table is.  If the X of a
+    long itemset are mostly not there, that lists very many consequents of no
+    rule: a step that would hold more than ``max_cells`` items in all is not
+    taken, and the longer consequents come from ``_contained``.  The limit
+    changes the work, not the result.
     """
     known = (itemsets if antecedents is None else antecedents).select(
         F.col("items").alias("antecedent"), F.col("support").alias("antecedent_support")
@@ -44,6 +46,7 @@ def generate_rules(
         "items", "support", "at", F.array("y").alias("consequent"), F.expr("filter(items, (x, i) -> i <> at)").alias("antecedent")
     )
     out = None
+    columns = ["antecedent", "consequent", "support", "antecedent_support", "confidence"]
     for size in range(1, longest):
         rated = grown.join(known, "antecedent", "inner" if size == longest - 1 else "left")
         rated = rated.withColumn("confidence", F.col("support") / F.col("antecedent_support"))
@@ -52,13 +55,14 @@ def generate_rules(
             more = F.when(F.size("antecedent") > 1, F.size("items") - F.col("at") - 1).otherwise(0)
             cells = F.coalesce(F.sum(more.cast("bigint") * F.size("items")), F.lit(0)).alias("cells")
             rated, seen = materialize_with(rated, "consequents", cells)
-            if seen["cells"] > max_cells:
-                raise ValueError(f"consequents of {size + 1} items would hold {seen['cells']} items, more than {max_cells}")
-        rules = rated.where(F.col("confidence") >= F.lit(float(minconf)))
+        rules = rated.where(F.col("confidence") >= F.lit(float(minconf))).select(*columns)
         out = rules if out is None else out.unionByName(rules)
         if size < longest - 1:
             if not seen["cells"]:
                 break
+            if seen["cells"] > max_cells:
+                out = out.unionByName(_contained(sets, known, size, minconf).select(*columns))
+                break
             grown = (
                 rated.where(F.size("antecedent") > 1)
                 .select("items", "support", "consequent", "antecedent", F.col("at").alias("last"), F.posexplode("items").alias("at", "y"))
@@ -79,3 +83,20 @@ def generate_rules(
         F.lit(total).cast("bigint").alias("total"),
         "confidence",
     )
+
+
+def _contained(sets: DataFrame, known: DataFrame, longer: int, minconf: float) -> DataFrame:
+    """Confident rules whose consequent has more than ``longer`` items.
+
+    Every known antecedent is met with the itemsets that hold the one of its
+    items that is in the fewest, and must be part of them.  So the rows grow with
+    antecedents times such itemsets, whatever the length of an itemset.
+    """
+    held = sets.select("items", "support", F.explode("items").alias("item"))
+    often = held.groupBy("item").agg(F.count("*").alias("sets"))
+    sides = known.select("antecedent", "antecedent_support", F.explode("antecedent").alias("item")).join(often, "item")
+    rarest = sides.groupBy("antecedent", "antecedent_support").agg(F.min_by("item", F.struct("sets", "item")).alias("item"))
+    met = held.join(rarest, "item").withColumn("confidence", F.col("support") / F.col("antecedent_support"))
+    met = met.where(F.col("confidence") >= F.lit(float(minconf))).where(F.size("items") - F.size("antecedent") > longer)
+    whole = F.size(F.array_intersect("antecedent", "items")) == F.size("antecedent")
+    return met.where(whole).withColumn("consequent", F.array_except("items", "antecedent"))
