@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -23,9 +22,11 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 class _Recent(StatefulProcessor):
     """Groups of a user by their latest time; the largest (time, group) is the last transaction.
 
-    ``groups`` maps a group to its latest time and items, ``last`` is the time
-    and name of the last one.  An older group is forgotten when the watermark is
-    ``horizon_us`` past its latest time.
+    ``recent`` is all state of a user: the recent groups with their latest time
+    and items, the last one first, and when the next timer goes off.  It is read
+    and written once a batch, as every access is a round trip to the JVM.  An
+    older group is forgotten when the watermark is ``horizon_us`` past its
+    latest time.
     """
 
     def __init__(self, horizon_us: int, item_type: str):
@@ -33,30 +34,46 @@ class _Recent(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.groups = handle.getMapState("groups", "group string", f"us bigint, items array<{self.item_type}>")
-        self.last = handle.getValueState("last", "us bigint, group string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows))  # of one user in one batch
-        for group, part in events.groupby("group", sort=False):
-            us, items = int(part["us"].max()), set(part["item"].tolist())
-            if self.groups.containsKey((group,)):
-                old_us, old_items = self.groups.getValue((group,))
-                us, items = max(us, old_us), items | set(old_items)
-            self.groups.updateValue((group,), (us, sorted(items)))
-            self.handle.registerTimer((us + self.horizon_us) // 1000 + 1)
-            if not self.last.exists() or tuple(self.last.get()) < (us, group):
-                self.last.update((us, group))
-        us, group = self.last.get()
-        items = list(self.groups.getValue((group,))[1])
-        yield pd.DataFrame({"user": [key[0]], "group": [group], "us": [us], "items": [items]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        group = f"struct<name: string, us: bigint, items: array<{self.item_type}>>"
+        self.recent = handle.getValueState("recent", f"next_ms bigint, groups array<{group}>")
+
+    def _load(self) -> tuple[int | None, dict]:
+        if not self.recent.exists():
+            return None, {}
+        next_ms, groups = self.recent.get()
+        return next_ms, {name: (us, items) for name, us, items in groups}
+
+    def _store(self, next_ms: int | None, groups: dict) -> None:
+        """Write ``groups``, the last one first, with a timer for the next of the others to be forgotten."""
+        ranked = sorted(((name, us, list(items)) for name, (us, items) in groups.items()), key=lambda g: (g[1], g[0]), reverse=True)
+        if len(ranked) > 1:
+            due = (ranked[-1][1] + self.horizon_us) // 1000 + 1
+            if next_ms is None or due < next_ms:
+                self.handle.registerTimer(due)
+                next_ms = due
+        self.recent.update((next_ms, ranked))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        next_ms, groups = self._load()
+        new: dict[str, tuple[int, set]] = {}
+        for event in rows:  # of one user in one batch
+            latest, items = new.setdefault(event["group"], (event["us"], set()))
+            items.add(event["item"])
+            if event["us"] > latest:
+                new[event["group"]] = (event["us"], items)
+        for group, (us, items) in new.items():
+            old_us, old_items = groups.get(group, (us, ()))
+            groups[group] = (max(us, old_us), sorted(items.union(old_items)))
+        self._store(next_ms, groups)
+        group, (us, items) = max(groups.items(), key=lambda g: (g[1][0], g[0]))
+        yield Row(user=key[0], group=group, us=us, items=list(items))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        _, last = self.last.get()
-        old = [g for (g,), (us, _) in self.groups.iterator() if g != last and (us + self.horizon_us) // 1000 < now]
-        for group in old:
-            self.groups.removeKey((group,))
+        _, groups = self._load()
+        last = max(groups, key=lambda name: (groups[name][0], name))
+        kept = {g: (us, items) for g, (us, items) in groups.items() if g == last or (us + self.horizon_us) // 1000 >= now}
+        self._store(None, kept)
         return iter(())
 
     def close(self) -> None:
@@ -95,7 +112,7 @@ def stream_last_transactions(
     last = (
         rows.withWatermark("timestamp", late)
         .groupBy("user")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=_Recent(horizon, types["item"]),
             outputStructType=f"user {types['user']}, group string, us bigint, items array<{types['item']}>",
             outputMode="Update",

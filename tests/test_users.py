@@ -1,7 +1,9 @@
 from __future__ import annotations
 
+from pyspark.sql import Row
+
 from basketry.operators.recommend import last_transaction
-from basketry.streaming.users import read_last_transactions, stream_last_transactions
+from basketry.streaming.users import _Recent, read_last_transactions, stream_last_transactions
 
 # (user, group, minute, item) in the order of arrival, in three batches
 BATCHES = [
@@ -48,3 +50,47 @@ def test_old_groups_are_forgotten(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(src)
     stream_last_transactions(stream, root, str(tmp_path / "c"), late="10 minutes", keep="2 hours").awaitTermination()
     assert shape(read_last_transactions(spark, root).collect()) == {("u", "g1", ("d",))}
+
+
+class _Counted:
+    """A state handle of one user that counts accesses."""
+
+    def __init__(self):
+        self.value, self.timers, self.accesses = None, [], 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def registerTimer(self, ms):
+        self.accesses += 1
+        self.timers.append(ms)
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.accesses += 1
+        return self.value
+
+    def update(self, value):
+        self.accesses += 1
+        self.value = value
+
+
+def test_state_is_read_and_written_once_a_batch_however_many_groups():
+    state, days = _Counted(), [f"d{i:03}" for i in range(200)]
+    recent = _Recent(10_000_000, "string")
+    recent.init(state)
+    for item in "ab":
+        before = state.accesses
+        rows = (Row(group=day, item=item, us=1_000_000 * i) for i, day in enumerate(days))
+        (found,) = recent.handleInputRows(("u",), rows, None)
+        assert state.accesses - before <= 3
+    assert found["group"] == "d199" and found["items"] == ["a", "b"]
+
+    class Expired:
+        def getExpiryTimeInMs(self):
+            return state.timers[-1]
+
+    recent.handleExpiredTimer(("u",), None, Expired())  # the oldest goes, the next has a timer
+    assert len(state.value[1]) == 199 and state.timers == [10_001, 11_001]
