@@ -15,18 +15,17 @@ USER = ("site", "user")
 def last_transaction(items: DataFrame, by: Sequence[str] = USER) -> DataFrame:
     """Item rows of the latest group of each user: (by..., group, item).
 
-    Latest is the largest (timestamp, group).  Rows are first reduced to one per
-    (user, group, item) with the group's latest time, by hash aggregates that
-    combine before the exchange, and stored; the largest time of a user, then
-    the largest group at that time, are found on that table.
+    Latest is the largest (timestamp, group).  Rows are stored as they come; the
+    times of groups are found on that table, then the largest time of a user and
+    the largest group at that time.  Only the rows of last groups are reduced to
+    distinct items, so no task holds a table of all items that it reads.
     """
     keys = list(by)
-    rows = items.where("item IS NOT NULL").groupBy(*keys, "group", "item").agg(F.max("timestamp").alias("timestamp"))
-    rows = materialize(rows, "held-items")
+    rows = materialize(items.where("item IS NOT NULL").select(*keys, "group", "item", "timestamp"), "held-items")
     groups = rows.groupBy(*keys, "group").agg(F.max("timestamp").alias("timestamp"))
     newest = groups.groupBy(*keys).agg(F.max("timestamp").alias("timestamp"))
     last = groups.join(newest, [*keys, "timestamp"]).groupBy(*keys).agg(F.max("group").alias("group"))
-    return rows.select(*keys, "group", "item").join(last, [*keys, "group"], "left_semi")
+    return rows.select(*keys, "group", "item").join(last, [*keys, "group"], "left_semi").distinct()
 
 
 def match_rules(

@@ -94,3 +94,12 @@ def test_state_is_read_and_written_once_a_batch_however_many_groups():
 
     recent.handleExpiredTimer(("u",), None, Expired())  # the oldest goes, the next has a timer
     assert len(state.value[1]) == 199 and state.timers == [10_001, 11_001]
+
+
+def test_only_items_of_last_groups_are_made_distinct(spark):
+    rows = [("u", "g1", 1, "a"), ("u", "g2", 5, "b"), ("u", "g2", 3, "b"), ("u", "g2", 3, "c"), ("v", "h", 2, None), ("v", "g", 1, "z")]
+    found = last_transaction(spark.createDataFrame(rows, COLUMNS).selectExpr("user", "`group`", "item", TIMED), ["user"])
+    assert sorted(map(tuple, found.collect())) == [("u", "g2", "b"), ("u", "g2", "c"), ("v", "g", "z")]
+    # before, all items of all groups were made distinct first, in a hash table of each task
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Aggregate") and "LeftSemi" in plan
