@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import canonical
 from basketry.operators.baskets import basket_items, distinct_items
+from basketry.plans.scratch import materialize
 
 
 def item_support(baskets: DataFrame, tid: str | Sequence[str] = "tid") -> DataFrame:
@@ -52,7 +53,8 @@ def itemset_support(
 
     Each itemset is looked up by its rarest item only; the baskets found are
     then checked for the other items by a join on (basket, item).  So a
-    frequent item costs nothing unless all items of a set are frequent.
+    frequent item costs nothing unless all items of a set are frequent.  Sets
+    go by number there; of a pair the join itself says that a basket holds it.
     ``supports`` may give known item supports (item, support).
 
     Order, repeats and nulls in a given itemset do not matter; the result has it
@@ -61,29 +63,26 @@ def itemset_support(
     rows = distinct_items(baskets, tid)
     given = itemsets.select("items").distinct().withColumn("set", canonical("items"))
     sets = given.select(F.col("set").alias("items")).where(F.size("items") > 0).distinct()
+    sets = materialize(sets.select(F.monotonically_increasing_id().alias("no"), "items", F.size("items").alias("n")), "sets")
     if supports is None:
         supports = rows.groupBy("item").agg(F.count("*").alias("support"))
     anchors = (
-        sets.select("items", F.explode("items").alias("item"))
+        sets.select("no", "n", F.explode("items").alias("item"))
         .join(supports.select("item", "support"), "item")
-        .groupBy("items")
+        .groupBy("no", "n")
         .agg(F.min(F.struct("support", "item")).alias("rarest"), F.count("*").alias("known"))
-        .where("known = size(items)")
-        .select("items", F.col("rarest.item").alias("item"))
+        .where("known = n")
+        .select("no", F.col("rarest.item").alias("item"))
+        .join(sets, "no")
+        .select("no", "n", "item", F.array_remove("items", F.col("item")).alias("others"))
     )
     found = anchors.join(rows, "item")
-    single = found.where("size(items) = 1").select("items", "tid")
-    parts = found.where("size(items) > 1").select(
-        "items", "tid", F.explode(F.array_remove("items", F.col("item"))).alias("item")
-    )
-    full = (
-        parts.join(rows, ["tid", "item"])
-        .groupBy("items", "tid")
-        .agg(F.count("*").alias("hits"))
-        .where("hits = size(items) - 1")
-        .select("items", "tid")
-    )
-    counts = single.unionByName(full).groupBy("items").agg(F.count("*").alias("support"))
+    single = found.where("n = 1").select("no")
+    parts = found.where("n > 1").select("no", "n", "tid", F.explode("others").alias("item")).join(rows, ["tid", "item"])
+    pairs = parts.where("n = 2").select("no")
+    longer = parts.where("n > 2").groupBy("no", "n", "tid").agg(F.count("*").alias("hits")).where("hits = n - 1").select("no")
+    counts = single.unionByName(pairs).unionByName(longer).groupBy("no").agg(F.count("*").alias("support"))
+    counts = counts.join(sets, "no").select("items", "support")
     every = rows.select("tid").distinct().agg(F.count("*").alias("support"))
     empty = given.where(F.size("set") == 0).select(F.col("set").alias("items")).distinct()
     counts = counts.unionByName(empty.crossJoin(every))  # one row by one row

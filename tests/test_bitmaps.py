@@ -51,6 +51,18 @@ def test_bits_are_dealt_once_however_many_itemsets_ask(spark):
     assert "bitmap_and_agg" not in found._jdf.queryExecution().toString()
 
 
+def test_of_a_pair_the_join_is_enough(spark):
+    rows = spark.createDataFrame(ROWS, "tid bigint, item string")
+    given = spark.createDataFrame([(["a", "b"],), (["c", "a"],), (["a", "b", "c"],), (["a"],), (["a", "x"],)], "items array<string>")
+    found = itemset_support(rows, given)
+    got = {tuple(r["items"]): r.support for r in found.collect()}
+    assert got == {("a", "b"): 3, ("c", "a"): 2, ("a", "b", "c"): 1, ("a",): 5, ("a", "x"): 0}
+    # before, every basket found was grouped with the set as an array, pairs too
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    grouped = [line for line in plan.splitlines() if "Aggregate [" in line and "tid#" in line and "items#" in line]
+    assert not grouped
+
+
 def test_of_two_starters_one_runs(spark, tmp_path):
     baskets = spark.createDataFrame([(1, [1, 2]), (2, [1, 2])], "tid bigint, items array<bigint>")
     root, log = str(tmp_path / "rules"), str(tmp_path / "log")
