@@ -16,16 +16,18 @@ def last_transaction(items: DataFrame, by: Sequence[str] = USER) -> DataFrame:
     """Item rows of the latest group of each user: (by..., group, item).
 
     Latest is the largest (timestamp, group).  Rows are stored as they come; the
-    times of groups are found on that table, then the largest time of a user and
-    the largest group at that time.  Only the rows of last groups are reduced to
-    distinct items, so no task holds a table of all items that it reads.
+    newest time of each user is found on that table, then the largest group that
+    has a row at that time.  Groups are never listed: all that a task holds is one
+    row per user, a time or a group, which the item rows are streamed against.
     """
     keys = list(by)
     rows = materialize(items.where("item IS NOT NULL").select(*keys, "group", "item", "timestamp"), "held-items")
-    groups = rows.groupBy(*keys, "group").agg(F.max("timestamp").alias("timestamp"))
-    newest = groups.groupBy(*keys).agg(F.max("timestamp").alias("timestamp"))
-    last = groups.join(newest, [*keys, "timestamp"]).groupBy(*keys).agg(F.max("group").alias("group"))
-    return rows.select(*keys, "group", "item").join(last, [*keys, "group"], "left_semi").distinct()
+    newest = rows.groupBy(*keys).agg(F.max("timestamp").alias("timestamp"))
+    # by hash, as a merge would sort all rows for the few that stay
+    at_newest = rows.select(*keys, "group", "timestamp").join(newest.hint("shuffle_hash"), [*keys, "timestamp"])
+    last = at_newest.groupBy(*keys).agg(F.max("group").alias("group"))
+    held = rows.select(*keys, "group", "item").join(last.hint("shuffle_hash"), [*keys, "group"], "left_semi")
+    return held.distinct()
 
 
 def match_rules(

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 from pyspark.sql import Row
 
 from basketry.operators.recommend import last_transaction
@@ -103,3 +106,23 @@ def test_only_items_of_last_groups_are_made_distinct(spark):
     # before, all items of all groups were made distinct first, in a hash table of each task
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Aggregate") and "LeftSemi" in plan
+
+
+def test_groups_are_not_listed_nor_rows_sorted_for_the_last(spark):
+    """Before, a task held a row for each of its groups, and merge joins sorted all rows."""
+    rng = random.Random(3)
+    rows = [(rng.choice("uvwx"), rng.choice(["g1", "g2", "g3", None]), rng.choice([1, 2, 3, None]), rng.choice(["a", "b", None])) for _ in range(60)]
+    times = "CASE WHEN minute IS NOT NULL THEN " + TIMED.removesuffix(" AS timestamp") + " END AS timestamp"
+    found = last_transaction(spark.createDataFrame(rows, COLUMNS).selectExpr("user", "`group`", "item", times), ["user"])
+
+    want = set()
+    for user in "uvwx":
+        mine = [(t, g, i) for u, g, t, i in rows if u == user and i is not None]
+        newest = max((t for t, _, _ in mine if t is not None), default=None)
+        last = max((g for t, g, _ in mine if t == newest and g is not None), default=None) if newest else None
+        want |= {(user, g, i) for _, g, i in mine if g == last and last is not None}
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    logical = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"Aggregate \[user#\d+, group#\d+\], \[[^]]*max\(timestamp", logical)
