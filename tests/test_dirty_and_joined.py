@@ -1,10 +1,12 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
 
+from basketry.operators import sparse_clustering
 from basketry.operators.sparse_clustering import cluster_sparse
 from basketry.operators.usecases import Attributes, bag_of_attributes, quantile_cuts
 from basketry.sources.items import map_fields
@@ -114,3 +116,22 @@ def test_sparse_centres_equal_dense_ones(spark):
     assert {r.cluster for r in cluster_sparse(items, 100, 1)[0].collect()} <= set(range(len(tids)))
     with pytest.raises(ValueError):
         cluster_sparse(items, 0, 1)
+
+
+def test_a_round_exchanges_no_points(spark):
+    """Before, every round exchanged the points by basket twice, a row for each centre that shares an item."""
+    rng = random.Random(8)
+    items = spark.createDataFrame([(t, rng.randint(1, 9)) for t in range(60) for _ in range(rng.randint(1, 5))] + [(60, 99)], "tid bigint, item int")
+    points = sparse_clustering._stored(sparse_clustering.basket_item_counts(items).select("tid", "item", "n"))
+    assert points.where("first = 1").groupBy("tid").count().where("count = 1").count() == 61
+    centres = sparse_clustering.materialize(sparse_clustering.first_centres(points, 7, "x"), "centres")
+    whole = {tuple(r) for r in sparse_clustering._nearest(points, centres).collect()}
+    assert len(whole) == 61
+    for most in (1, 3):  # centres in several chunks
+        assert {tuple(r) for r in sparse_clustering._nearest(points, centres, most).collect()} == whole
+    plan = sparse_clustering._moved(points, sparse_clustering._nearest(points, centres), centres)
+    nearest = sparse_clustering._nearest(points, centres).join(points, "tid")
+    nearest.collect()
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#", nearest._jdf.queryExecution().executedPlan().toString())
+    assert "tid" not in dealt
+    assert plan.agg({"m": "max"}).first()[0] <= 61
