@@ -76,12 +76,16 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _step(h, gates, w_rec, size):
     """One step of all lanes from state ``h``; ``gates`` is the input's part.  A column is a lane."""
     rec = w_rec.T @ h
-    zr = _sigmoid(gates[: 2 * size] + rec[: 2 * size])
+    zr = rec[: 2 * size]
+    zr += gates[: 2 * size]
+    _sigmoid(zr)
     z, r = zr[:size], zr[size:]
     n = r * rec[2 * size :]
     n += gates[2 * size :]
-    n *= 2
-    n = _sigmoid(n)  # tanh x = 2 sigmoid(2 x) - 1, and exp is the faster of the two
+    n *= -2  # tanh x = 2 sigmoid(2 x) - 1, and exp is the faster of the two
+    np.exp(n, out=n)
+    n += 1
+    np.reciprocal(n, out=n)
     n *= 2
     n -= 1
     new = h - n
@@ -194,34 +198,42 @@ def train(tokens: np.ndarray, first: np.ndarray, model, shape, rate=0.004, lanes
         else:
             back = np.zeros_like(states)
             back[:, here] = _output(states[:, here], targets[here], model, shape, class_of, grads)[1]
-        by_z = (before - n) * z * (1 - z)
-        by_n = (1 - z) * (1 - n * n)
-        by_r = rec * r * (1 - r)
-        d_rec, d_n = np.empty((3 * size, len(ids)), np.float32), np.empty((size, len(ids)), np.float32)
+        less = 1 - z
+        by_z = before - n
+        by_z *= z
+        by_z *= less
+        by_n = np.multiply(n, n, out=n)
+        np.subtract(1, by_n, out=by_n)
+        by_n *= less
+        by_r = np.subtract(1, r, out=less)
+        by_r *= r
+        by_r *= rec
+        # of each gate, the candidate's recurrent part first: rows to 3 size are the recurrent side, from size the input's
+        d_gates = np.empty((4 * size, len(ids)), np.float32)
+        w_back = np.concatenate((model["w_rec"][:, 2 * size :], model["w_rec"][:, : 2 * size]), axis=1)
         carry = np.zeros((size, lanes), np.float32)
         for t in range(count - 1, -1, -1):
             cut = cuts[t]
-            d = back[:, cut] + carry
-            step = np.empty((3 * size, lanes), d.dtype)
-            own = d * by_n[:, cut]
-            np.multiply(d, by_z[:, cut], out=step[:size])
-            np.multiply(own, by_r[:, cut], out=step[size : 2 * size])
-            np.multiply(own, r[:, cut], out=step[2 * size :])
-            d_n[:, cut], d_rec[:, cut] = own, step
-            carry = model["w_rec"] @ step
-            d *= z[:, cut]
-            carry += d
+            carry += back[:, cut]
+            step = d_gates[:, cut]
+            own = np.multiply(carry, by_n[:, cut], out=step[3 * size :])
+            np.multiply(carry, by_z[:, cut], out=step[size : 2 * size])
+            np.multiply(own, by_r[:, cut], out=step[2 * size : 3 * size])
+            np.multiply(own, r[:, cut], out=step[:size])
+            carry *= z[:, cut]
+            carry += w_back @ step[: 3 * size]
             carry *= keep[low + t]
-        grads["w_rec"] += before @ d_rec.T
-        wide = np.concatenate((d_rec[: 2 * size], d_n))
+        d_rec = before @ d_gates[: 3 * size].T
+        grads["w_rec"] += np.concatenate((d_rec[:, size:], d_rec[:, :size]), axis=1)
+        wide = d_gates[size:]
         grads["b_in"] += wide.sum(axis=1)
         order = _order(ids, shape.words)
         sorted_ids = ids[order]
         fresh = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
-        seen = sorted_ids[fresh]
-        sums = np.add.reduceat(np.ascontiguousarray(wide.T)[order], fresh, axis=0)
-        grads["w_in"] += model["embed"][seen].T @ sums
-        grads["embed"][seen] = sums @ model["w_in"].T
+        # gradients of the inputs, which are shorter than those of the gates, are summed by word
+        grads["w_in"] += np.take(np.ascontiguousarray(model["embed"].T), ids, axis=1) @ wide.T
+        by_word = np.ascontiguousarray((model["w_in"] @ wide).T)[order]
+        grads["embed"][sorted_ids[fresh]] = np.add.reduceat(by_word, fresh, axis=0)
         _adam(model, grads, state, rate, int(np.count_nonzero(here)))
     return state
 
@@ -245,6 +257,7 @@ def log_likelihoods(tokens: np.ndarray, at: np.ndarray, model, shape, lanes=384,
 
     Documents follow each other in lanes, the longest dealt out first; a state
     is carried through all windows of a document and starts anew with the next.
+    Tokens are put in the order of the steps at once, so a step looks nothing up.
     """
     n_docs = len(at) - 1
     total = np.zeros(n_docs)
@@ -261,28 +274,41 @@ def log_likelihoods(tokens: np.ndarray, at: np.ndarray, model, shape, lanes=384,
     loads = np.array([sum(int(size[d]) for d in docs) for docs in dealt])
     table = np.ascontiguousarray((model["embed"] @ model["w_in"] + model["b_in"]).astype(np.float32).T)
     class_of = shape.class_of()
-    cursor = [iter(docs) for docs in dealt]
-    now = np.full(lanes, -1)  # document of each lane, next token, its last
-    place, stop = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-    last = np.zeros(lanes, np.int64)
+    if not lanes or not loads[0]:
+        return total
+    # tokens step by step: those of step t, one of each lane that goes on so long, are at[t] : at[t + 1] of ``to``
+    live = np.searchsorted(-loads, -np.arange(loads[0]), "left")
+    step_at = np.concatenate(([0], np.cumsum(live)))
+    docs = np.array([d for lane in dealt for d in lane], np.int64)
+    lens = size[docs]
+    fresh = np.cumsum(lens) - lens  # where each document starts in the lanes one after the other
+    owner = np.repeat(docs, lens)
+    y = tokens[np.arange(len(owner)) + np.repeat(at[docs] - fresh, lens)]
+    x = np.zeros_like(y)
+    x[1:] = y[:-1]
+    x[fresh] = 0
+    lane = np.repeat(np.arange(lanes), loads)
+    to = step_at[np.arange(len(owner)) - np.repeat(np.cumsum(loads) - loads, loads)] + lane
+    begins, starting = np.sort(to[fresh]), lane[fresh[np.argsort(to[fresh])]]
+    start_at = np.searchsorted(begins, step_at)
+    stepped = [np.empty_like(v) for v in (x, y, owner)]
+    for place, values in zip(stepped, (x, y, owner)):
+        place[to] = values
+    x, y, owner = stepped
     h = np.zeros((shape.hidden, lanes), np.float32)
-    steps = int(loads.max()) if len(loads) else 0
-    for low in range(0, steps, window):
-        states, targets, owner = [], [], []
-        for t in range(low, min(low + window, steps)):
-            live = int(np.searchsorted(-loads, -t, "left"))  # lanes with more than t tokens
-            for k in np.flatnonzero(place[:live] == stop[:live]).tolist():
-                d = next(cursor[k])
-                now[k], place[k], stop[k], last[k] = d, at[d], at[d + 1], 0
-                h[:, k] = 0
-            state, *_ = _step(h[:, :live], np.take(table, last[:live], axis=1), model["w_rec"], shape.hidden)
-            h[:, :live] = state
-            word = tokens[place[:live]]
-            states.append(state)
-            targets.append(word)
-            owner.append(now[:live].copy())
-            last[:live] = word
-            place[:live] += 1
-        out, _ = _output(np.concatenate(states, axis=1), np.concatenate(targets).astype(np.int64), model, shape, class_of)
-        total += np.bincount(np.concatenate(owner), weights=out, minlength=n_docs)
+    high = 0
+    while high < len(live):
+        # as many steps as hold the tokens of a window of all lanes: where few lanes are left it is longer
+        low, high = high, max(high + 1, int(np.searchsorted(step_at, step_at[high] + lanes * window, "right")) - 1)
+        here = slice(step_at[low], step_at[high])
+        gates = np.take(table, x[here], axis=1)
+        states = np.empty((shape.hidden, gates.shape[1]), np.float32)
+        for t in range(low, high):
+            if start_at[t] < start_at[t + 1]:
+                h[:, starting[start_at[t] : start_at[t + 1]]] = 0
+            cut = slice(step_at[t] - here.start, step_at[t + 1] - here.start)
+            h = _step(h[:, : live[t]], gates[:, cut], model["w_rec"], shape.hidden)[0]
+            states[:, cut] = h
+        out, _ = _output(states, y[here].astype(np.int64), model, shape, class_of)
+        total += np.bincount(owner[here], weights=out, minlength=n_docs)
     return total

@@ -320,3 +320,19 @@ def test_groups_of_fingerprints(spark):
     prints = fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string"))
     got = {r.doc_id: r.group for r in near_groups(prints, least=0.6).collect()}
     assert got == {1: 1, 2: 1, 3: 1, None: 1, 5: 5, 6: 6}
+
+
+def test_scores_take_few_steps_beside_one_long_document(monkeypatch):
+    """Before, a long document next to short ones cost an output pass for each window of its own."""
+    rng = np.random.default_rng(4)
+    shape = gru.Shape(gru.class_bounds(np.arange(40, 0, -1), 5), hidden=4, width=3)
+    model = gru.start(shape, np.arange(40, 0, -1.0))
+    at = np.cumsum(np.concatenate(([0], [900], rng.integers(0, 6, 50))))
+    tokens = rng.integers(0, 40, at[-1])
+    plain, passes = gru._output, []
+    monkeypatch.setattr(gru, "_output", lambda *args: passes.append(args[1].size) or plain(*args))
+    got = gru.log_likelihoods(tokens, at, model, shape, lanes=8, window=12)
+    assert len(passes) <= 12 and sum(passes) == len(tokens)
+    alone = [gru.log_likelihoods(tokens[a:b], np.array([0, b - a]), model, shape)[0] for a, b in zip(at[:-1], at[1:])]
+    assert np.allclose(got, alone, atol=1e-3)
+    assert gru.log_likelihoods(tokens[:0], np.zeros(3, np.int64), model, shape).tolist() == [0, 0]
