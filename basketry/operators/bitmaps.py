@@ -24,10 +24,13 @@ def vertical_bitmap(baskets: DataFrame, tid: str | Sequence[str] = "tid") -> Dat
     so no row or group grows with an item's frequency.  ``bits`` has 4 KB and
     mostly zeros for a rare item, which Parquet's compression takes out again.
     Rows, not bits, are exchanged: of a rare item each task would have a block of
-    its own.  Null items and ids are left out, repeats count once.
+    its own.  A row of a few bytes becomes up to 4 KB, so the tasks that make the
+    bits are as many as the session's shuffle partitions, however few bytes they
+    read.  Null items and ids are left out, repeats count once.
     """
     rows = distinct_items(baskets, tid).withColumn("block", F.bitmap_bucket_number("tid"))
-    blocks = rows.repartition("item", "block").groupBy("item", "block")
+    parts = int(baskets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = rows.repartition(parts, "item", "block").groupBy("item", "block")
     bits = blocks.agg(F.bitmap_construct_agg(F.bitmap_bit_position("tid")).alias("bits"))
     return bits.select("item", "block", "bits", F.bitmap_count("bits").alias("n"))
 

@@ -28,6 +28,16 @@ def test_bits_stand_for_the_ids(spark):
     assert vertical_bitmap(rows.limit(0)).count() == 0
 
 
+def test_few_bytes_of_rows_do_not_make_few_tasks(spark):
+    """Before, tasks were merged by the bytes of the rows, a hundredth of those of the blocks they make."""
+    rows = spark.createDataFrame([(t, t % 3) for t in range(30)], "tid bigint, item int")
+    index = vertical_bitmap(rows)
+    assert index.groupBy().sum("n").first()[0] == 30
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    assert f"{parts}), REPARTITION_BY_NUM" in plan and "REPARTITION_BY_COL" not in plan
+
+
 def test_supports_equal_those_by_lists(spark):
     rows = spark.createDataFrame(ROWS, "tid bigint, item string")
     sets = [["a"], ["b", "a"], ["a", "b"], ["a", "b", "c"], ["c", "d"], ["x"], ["a", "x"], [], ["b", None, "b"], ["d"]]
