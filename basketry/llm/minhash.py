@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.components import for_parts, groups_of_lists, in_parts, shared_lists
 from basketry.llm.text import LOWER, U64, Words, map_pieces, mix64, packed, word_ngrams
-from basketry.plans.scratch import materialize
+from basketry.plans.scratch import materialize, passing_tables
 
 
 def needed(k: int, threshold: float) -> int:
@@ -150,7 +150,23 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     in one group; rows of the smallest key are all kept.  An empty table gives
     no rows.  Other columns are not read.
     """
-    rows = materialize(sketches(df, key, text, k, size), "sketches")
+    with passing_tables(df.sparkSession):  # sketches, lists and sets, several times as large as the rows
+        found = materialize(sketches(df, key, text, k, size), "sketches")
+        rows = materialize(found.select("key", "row", "n", "code"), "rows", lasting=True)
+        groups = materialize(_groups(df, found, key, text, percent, k, size), "groups", lasting=True)
+    out = _named(rows, groups)
+    return out.select(
+        F.col("key").alias(key),
+        F.col("n").alias("n_shingles"),
+        F.col("_id").alias("component_id"),
+        F.col("key").eqNullSafe(F.col("_id")).alias("kept"),
+        F.col("label").alias("group"),
+        "row",
+    )
+
+
+def _groups(df: DataFrame, rows: DataFrame, key: str, text: str, percent: int, k: int, size: int) -> DataFrame:
+    """(node, component) of the codes that are linked with others; ``rows`` are the sketches of ``df``."""
     classes = rows.where("code IS NOT NULL").groupBy("code").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes, "classes")
     lists = shared_lists(rare_lists(classes, k, percent / 100))
@@ -160,17 +176,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", perc
     texts = df.select(F.col(key).alias("_key"), F.col(text).alias("text"))
     texts = texts.join(reps, texts["_key"].eqNullSafe(reps["rep"]), "left_semi")
     sets = materialize(whole_sets(texts, "text", size).join(met, "code", "left_semi"), "whole-sets")
-
-    groups = groups_of_lists(lists, lambda pairs: confirmed(pairs, classes, sets, k, percent), percent, sets)
-    out = _named(rows.select("key", "row", "n", "code"), groups)
-    return out.select(
-        F.col("key").alias(key),
-        F.col("n").alias("n_shingles"),
-        F.col("_id").alias("component_id"),
-        F.col("key").eqNullSafe(F.col("_id")).alias("kept"),
-        F.col("label").alias("group"),
-        "row",
-    )
+    return groups_of_lists(lists, lambda pairs: confirmed(pairs, classes, sets, k, percent), percent, sets)
 
 
 def _named(rows: DataFrame, groups: DataFrame) -> DataFrame:

@@ -4,16 +4,29 @@ Steps that are read several times are written as Parquet in the shared folder
 named by ``spark.checkpoint.dir``.  A lost executor then costs a re-read, not a
 replay of all earlier steps, and the files tell the optimizer their true size,
 so whether a side is broadcast is decided on measured bytes.
+
+What is written to reach a table is not kept: shuffle files go with the write
+that made them, and tables written within ``passing_tables`` at its end.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+#: deletes the shuffle files of a write at its end; else they stay until the driver collects its garbage
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+#: scratch tables written in the innermost ``passing_tables``
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder for intermediate tables: the session's checkpoint folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -30,11 +43,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/basketry/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to a fresh scratch table and return that table."""
+def materialize(df: DataFrame, label: str, lasting: bool = False) -> DataFrame:
+    """Write ``df`` to a fresh scratch table and return that table; a ``lasting`` one outlives ``passing_tables``."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    if not lasting and _passing.get() is not None:
+        _passing.get().append(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,6 +65,22 @@ def materialize_with(df: DataFrame, label: str, *metrics: Column) -> tuple[DataF
     return table, seen.get
 
 
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes within are deleted at the end, but for ``lasting`` ones.
+
+    For steps that have run when the block ends: no later step may read such a table.
+    """
+    paths: list[str] = []
+    token = _passing.set(paths)
+    try:
+        yield
+    finally:
+        _passing.reset(token)
+        for path in paths:
+            discard(spark, path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no further step reads."""
     if not path.startswith(f"{scratch_root(spark)}/basketry/"):

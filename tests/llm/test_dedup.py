@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from basketry.llm.components import BLOCK, PART, _dealt, components, in_parts
 from basketry.llm.minhash import keep_one, near_duplicates, needed
 from basketry.llm.suffixes import NAMES_SENT, compared, opened_strings, remove_repeats, sampled
+from basketry.plans.scratch import materialize, passing_tables, scratch_root
 from tests.llm.plain import SCHEMA, awkward, near_groups, without_repeats
 
 
@@ -49,6 +52,33 @@ def test_near_duplicates_against_all_pairs(spark):
     assert max(map(groups.count, groups)) > 16  # long lists were met
 
 
+def _tables(spark) -> set[str]:
+    return {p.name for p in Path(scratch_root(spark).removeprefix("file:"), "basketry").glob("*")}
+
+
+def test_near_duplicates_leaves_no_sketches_lists_or_sets(spark):
+    before = _tables(spark)
+    rows = corpus(40)
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    with passing_tables(spark):
+        one = materialize(found, "one", lasting=True)
+        materialize(one, "two")
+    left = {name.rsplit("-", 1)[0] for name in _tables(spark) - before}
+    assert left == {"rows", "groups", "labels", "lengths", "one"}
+    assert one.count() == len(rows)
+
+
+def test_shuffle_files_go_with_the_write_that_made_them(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    held = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if "shuffle" in f.getName()}
+    before = held()
+    table = materialize(spark.range(1000).groupBy(F.col("id") % 7).count(), "counts")
+    end = time.time() + 20
+    while held() - before and time.time() < end:
+        time.sleep(0.1)
+    assert not held() - before and table.count() == 7
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     df = spark.createDataFrame(awkward(), SCHEMA).withColumnsRenamed({"lang": "code", "source": "value"})
     got = near_duplicates(df)
