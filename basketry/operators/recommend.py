@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.plans.scratch import materialize
+from basketry.plans.scratch import materialize, small_shares
 
 USER = ("site", "user")
 
@@ -21,7 +21,8 @@ def last_transaction(items: DataFrame, by: Sequence[str] = USER) -> DataFrame:
     row per user, a time or a group, which the item rows are streamed against.
     """
     keys = list(by)
-    rows = materialize(items.where("item IS NOT NULL").select(*keys, "group", "item", "timestamp"), "held-items")
+    with small_shares(items.sparkSession):  # the records may come from joins that sort all they get
+        rows = materialize(items.where("item IS NOT NULL").select(*keys, "group", "item", "timestamp"), "held-items")
     newest = rows.groupBy(*keys).agg(F.max("timestamp").alias("timestamp"))
     # by hash, as a merge would sort all rows for the few that stay
     at_newest = rows.select(*keys, "group", "timestamp").join(newest.hint("shuffle_hash"), [*keys, "timestamp"])
@@ -48,7 +49,8 @@ def match_rules(
     if not 0 <= min_weight <= 1:
         raise ValueError("min_weight must lie between 0 and 1")
     keys = list(by)
-    rows = materialize(held.select(*keys, "item").where("item IS NOT NULL").distinct(), "held")
+    with small_shares(held.sparkSession):
+        rows = materialize(held.select(*keys, "item").where("item IS NOT NULL").distinct(), "held")
     sides = rules.select(side).where(F.size(side) > 0).distinct().withColumn("n", F.size(side))
     enough = F.filter(F.sequence(F.lit(1), F.col("n")), lambda m: m / F.col("n") >= F.lit(float(min_weight)))
     sides = sides.withColumn("need", F.element_at(enough, 1))
