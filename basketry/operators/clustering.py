@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry.operators.baskets import INTEGERS, assign_tids
-from basketry.plans.scratch import scratch_path
+from basketry.plans.scratch import materialize_with, scratch_path, small_shares
 
 
 def basket_item_counts(items: DataFrame, tid: str = "tid", item: str = "item") -> DataFrame:
@@ -38,24 +38,26 @@ def count_vectors(items: DataFrame, tid: str = "tid", item: str = "item") -> Dat
     back as vectors, which keeps the whole step out of Python.
     """
     spark = items.sparkSession
-    counts = items.where(F.col(tid).isNotNull() & F.col(item).isNotNull()).groupBy(
-        F.col(tid).alias("tid"), F.col(item).alias("item")
-    ).agg(F.count("*").alias("n"))
-    catalogue = assign_tids(items.select(F.col(item).alias("item")).where("item IS NOT NULL").distinct(), "item")
-    size = catalogue.count()
-    cells = counts.join(catalogue.select("item", F.col("tid").cast("int").alias("cell")), "item")
-    gathered = cells.repartition("tid").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"))
-    stored = gathered.select(
-        "tid",
-        F.struct(
-            F.lit(0).cast("tinyint").alias("type"),  # 0 marks a sparse vector
-            F.lit(size).cast("int").alias("size"),
-            F.col("cells.cell").alias("indices"),
-            F.col("cells.n").cast("array<double>").alias("values"),
-        ).alias("features"),
-    )
+    rows = items.where(F.col(tid).isNotNull() & F.col(item).isNotNull()).select(F.col(tid).alias("tid"), F.col(item).alias("item"))
+    with small_shares(spark):
+        rows, seen = materialize_with(rows, "item-rows", F.count("*").alias("n"))
     path = scratch_path(spark, "vectors")
-    stored.write.parquet(path)
+    with small_shares(spark, seen["n"]):  # rows are hashed by (basket, item), then sorted by item
+        counts = rows.groupBy("tid", "item").agg(F.count("*").alias("n"))
+        catalogue = assign_tids(items.select(F.col(item).alias("item")).where("item IS NOT NULL").distinct(), "item")
+        size = catalogue.count()
+        cells = counts.join(catalogue.select("item", F.col("tid").cast("int").alias("cell")), "item")
+        gathered = cells.repartition("tid").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("cells"))
+        stored = gathered.select(
+            "tid",
+            F.struct(
+                F.lit(0).cast("tinyint").alias("type"),  # 0 marks a sparse vector
+                F.lit(size).cast("int").alias("size"),
+                F.col("cells.cell").alias("indices"),
+                F.col("cells.n").cast("array<double>").alias("values"),
+            ).alias("features"),
+        )
+        stored.write.parquet(path)
     schema = T.StructType([stored.schema["tid"], T.StructField("features", VectorUDT())])
     return spark.read.schema(schema).parquet(path)
 
