@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import canonical
-from basketry.plans.scratch import materialize, materialize_with
+from basketry.plans.scratch import materialize, materialize_with, small_shares
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 GATHER = 100_000  # rows of one key that may be brought together as they are
@@ -85,8 +85,9 @@ def to_baskets(
     rows = items.select(*keys, F.col(item).alias("_item")).where("_item IS NOT NULL")
     if len(keys) == 1:
         rows = rows.where(F.col(keys[0]).isNotNull())
-    rows = materialize(rows, "item-rows")
-    hot = hot_keys(rows, keys, limit)
+    with small_shares(items.sparkSession):  # keys are counted in each task before the exchange
+        rows = materialize(rows, "item-rows")
+        hot = hot_keys(rows, keys, limit)
     if hot is None:
         return gather(rows, keys, "_item")
     ordinary, few = split_hot(rows, keys, hot)

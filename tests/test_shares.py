@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from basketry.operators.baskets import to_baskets
 from basketry.operators.clustering import count_vectors
 from basketry.operators.recommend import last_transaction
 from basketry.plans import scratch
@@ -42,6 +43,14 @@ def test_baskets_are_counted_in_small_shares(spark, monkeypatch):
     assert _most_rows(spark, "item-rows", before) <= 10
 
 
+def test_keys_of_baskets_are_counted_in_small_shares(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "SHARE_ROWS", 10)
+    rows = spark.range(100, numPartitions=1).select((F.col("id") % 20).alias("tid"), (F.col("id") % 3).alias("item"))
+    before = _tables(spark)
+    assert {r["tid"]: r["items"] for r in to_baskets(rows, "tid").collect()} == {t: [0, 1, 2] for t in range(20)}
+    assert _most_rows(spark, "item-rows", before) <= 10
+
+
 def test_small_shares_leave_the_session_as_it_was(spark):
     before, parts = spark.conf.get(ADVISED), spark.conf.get("spark.sql.shuffle.partitions")
     with pytest.raises(ValueError):
