@@ -57,8 +57,8 @@ def stream_baskets(
     counted; events repeated under one ``event_id`` count once.  The same call
     on a batch DataFrame gives all baskets.
 
-    Windowed baskets are first reduced to (window, user, item), which is combined
-    before the exchange, so the state holds no repeats.
+    The items of a basket are one set in the state, combined before the exchange,
+    so that neither holds repeats: a row of state is as long as its basket.
     """
     events = stream.where(F.col(item).isNotNull() & F.col(user).isNotNull())
     if stream.isStreaming:
@@ -69,18 +69,11 @@ def stream_baskets(
         # of copies the earliest counts, so the result does not depend on the run
         first = events.groupBy(event_id).agg(F.min(F.struct(timestamp, user, item)).alias("e"))
         events = first.select(event_id, "e.*")
-    who = F.col(user).alias("user")
-    if session:
-        grouped = events.groupBy(F.session_window(timestamp, session).alias("w"), who)
-        closed = grouped.agg(F.array_sort(F.collect_set(item)).alias("items"))
-        return closed.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user", "items")
-    rows = events.groupBy(F.window(timestamp, window).alias("w"), who, F.col(item).alias("item")).agg(
-        F.count("*").alias("n")
+    span = F.session_window(timestamp, session) if session else F.window(timestamp, window)
+    closed = events.groupBy(span.alias("w"), F.col(user).alias("user")).agg(
+        F.array_sort(F.collect_set(item)).alias("items")
     )
-    closed = rows.groupBy(F.window(F.window_time("w"), window).alias("v"), "user").agg(
-        F.array_sort(F.collect_list("item")).alias("items")
-    )
-    return closed.select(F.col("v.start").alias("start"), F.col("v.end").alias("end"), "user", "items")
+    return closed.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "user", "items")
 
 
 def _each_batch(

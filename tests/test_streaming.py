@@ -42,6 +42,17 @@ def test_baskets_in_two_rounds(spark, tmp_path):
     assert batch == closed | {("w", "2024-01-04", ("a",))}
 
 
+def test_windowed_baskets_keep_two_states(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / n) for n in ("src", "out", "ckpt"))
+    write_events(spark, src, EVENTS)
+    query = streams.store_baskets(streams.stream_baskets(stream(spark, src), event_id="event_id"), out, ckpt)
+    query.awaitTermination()
+    names = [op["operatorName"] for op in query.recentProgress[0]["stateOperators"]]
+    assert names == ["stateStoreSave", "dedupeWithinWatermark"]  # baskets, ids of events
+    rows = query.recentProgress[0]["stateOperators"][0]["numRowsTotal"]
+    assert rows == 4  # one a basket, of five pairs of basket and item
+
+
 def test_sessions(spark, tmp_path):
     src = str(tmp_path / "src")
     write_events(spark, src, EVENTS)
