@@ -9,6 +9,10 @@ from basketry.operators.usecases import Attributes, attributes_to_items, bag_of_
 from basketry.plans.scratch import materialize, scratch_path
 
 
+#: rows of a file of a streamed batch, about
+FILE_ROWS = 1 << 18
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -129,11 +133,17 @@ def event_batches(spark: SparkSession, sf: str, parts: int = 4) -> DataFrame:
     first = F.when(late, part + 1).otherwise(part)
     dealt = rows.withColumn("_part", F.explode(F.when(twice, F.array(part, part + 1)).otherwise(F.array(first))))
     dealt = materialize(dealt.withColumn("_part", F.least("_part", F.lit(parts - 1)).cast("int")).drop("us"), "dealt")
+    # every batch gets equally many files, as a stream takes so many at a time; one each if one would be without rows
+    n_files = dealt.count() // (parts * FILE_ROWS) + 1
+    share = F.pmod(F.hash("event_id"), F.lit(n_files))
+    if dealt.select("_part", share).distinct().count() < parts * n_files:
+        n_files = 1
     for number in range(parts):  # a file stream takes files in the order in which they were written
         one = dealt.where(F.col("_part") == number).drop("_part")
-        one.coalesce(1).write.mode("append").parquet(path)
+        files = one.repartitionById(n_files, share) if n_files > 1 else one.coalesce(1)
+        files.write.mode("append").parquet(path)
     schema = one.schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", n_files).parquet(path)
     return as_events(stream)
 
 

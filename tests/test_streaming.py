@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from basketry.catalog import fixtures as fx
 from basketry.plans.mining import pair_support, top_k_rules
 from basketry.streaming import items as streams
 
@@ -106,3 +109,26 @@ def test_pairs_rules_and_offers(spark, tmp_path):
     streams.stream_recommend(baskets(), offer, f"{root}/o", f"{root}/c3").awaitTermination()
     offers = {(r.user, r.item, r["rank"]) for r in spark.read.parquet(f"{root}/o").collect()}
     assert offers == {("u", "c", 1)}
+
+
+def test_batches_of_several_files_hold_the_same_events(spark, tmp_path, monkeypatch):
+    spark.range(400).selectExpr(
+        "id AS event_id", "timestamp_seconds(1704067200 + id * 600) AS ts", "id % 5 AS user_id",
+        "concat('k', id % 3) AS event_type",
+    ).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+
+    def batches(name):
+        events, seen = fx.event_batches(spark, str(tmp_path)), {}
+
+        def work(batch, number):
+            rows = [(r[0], r[1]) for r in batch.select("event_id", F.input_file_name()).collect()]
+            seen[number] = (sorted(event for event, _ in rows), len({file for _, file in rows}))
+
+        streams._each_batch(events, str(tmp_path / name), work, streams.UNTIL_DONE).awaitTermination()
+        return [seen[number] for number in sorted(seen)]
+
+    whole = batches("c1")
+    monkeypatch.setattr(fx, "FILE_ROWS", 20)
+    dealt = batches("c2")
+    assert [events for events, _ in dealt] == [events for events, _ in whole]
+    assert [n for _, n in whole] == [1] * 4 and len({n for _, n in dealt}) == 1 and dealt[0][1] > 1
