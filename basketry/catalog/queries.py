@@ -487,9 +487,9 @@ def stream_recommend_versions(spark: SparkSession, sf: str) -> DataFrame:
     """Offers from rules that change while the stream stands between its first and second half of events."""
     first, second, path = fx.event_halves(spark, sf)
     root = scratch_path(spark, "offers")
-    every = streams.stream_baskets(fx.events(spark, sf), event_id="event_id")
+    every = materialize(streams.stream_baskets(fx.events(spark, sf), event_id="event_id"), "every")  # mined twice
     for half, minconf in ((first, 0.3), (second, 0.5)):
-        half.coalesce(1).write.mode("append").parquet(path)
+        half.write.mode("append").parquet(path)  # the stream takes all new files at once
         sinks.write_rules_parquet(mining.top_k_rules(every, 20, minconf, tid=("user", "start")), f"{root}/rules")
         baskets = streams.stream_baskets(fx.as_events(spark.readStream.schema(half.schema).parquet(path)), event_id="event_id")
         _wait(streams.stream_recommend(baskets, f"{root}/rules", f"{root}/offers", f"{root}/ckpt"))

@@ -1,8 +1,10 @@
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from basketry.catalog import fixtures as fx
+from basketry.catalog import queries
 from basketry.plans.mining import pair_support, top_k_rules
 from basketry.streaming import items as streams
 
@@ -132,3 +134,22 @@ def test_batches_of_several_files_hold_the_same_events(spark, tmp_path, monkeypa
     dealt = batches("c2")
     assert [events for events, _ in dealt] == [events for events, _ in whole]
     assert [n for _, n in whole] == [1] * 4 and len({n for _, n in dealt}) == 1 and dealt[0][1] > 1
+
+
+def test_halves_of_events_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    spark.range(400).selectExpr(
+        "id AS event_id", "timestamp_seconds(1704067200 + id * 600) AS ts", "id % 5 AS user_id",
+        "concat('k', id % 3) AS event_type",
+    ).repartition(4).write.parquet(str(tmp_path / "events.parquet"))
+    made, halves = [], fx.event_halves
+    monkeypatch.setattr(fx, "event_halves", lambda *args: made.append(halves(*args)) or made[0])
+
+    def stop(*args):
+        raise InterruptedError
+
+    monkeypatch.setattr(streams, "stream_recommend", stop)
+    with pytest.raises(InterruptedError):
+        queries.stream_recommend_versions(spark, str(tmp_path))
+    first, _, path = made[0]
+    stored = spark.read.parquet(path)
+    assert stored.count() == first.count() and len(stored.inputFiles()) > 1
