@@ -17,6 +17,7 @@ from basketry.plans.scratch import materialize, materialize_with, small_shares
 
 INTEGERS = ("tinyint", "smallint", "int", "bigint")
 GATHER = 100_000  # rows of one key that may be brought together as they are
+BUCKETS = 1 << 14  # hashes that keys are counted by first
 
 
 def tid_column(by: str | Sequence[str]) -> Column:
@@ -46,10 +47,18 @@ def distinct_items(baskets: DataFrame, tid: str | Sequence[str] = "tid") -> Data
 def hot_keys(rows: DataFrame, keys: Sequence[str], limit: int = GATHER) -> DataFrame | None:
     """Keys with more than ``limit`` rows as one struct column ``key``, None if there are none.
 
-    Rows are counted by key before the exchange, which moves one number per key
-    and task.  Any limit gives the same baskets in the end.
+    Rows are counted by a hash of the key first, which moves at most ``BUCKETS``
+    numbers a task: a key of a bucket within the limit is within it, too.  Only
+    rows of the other buckets, most often none, are counted by key.  Any limit
+    gives the same baskets in the end.
     """
-    counts = rows.groupBy(F.struct(*keys).alias("key")).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    bucketed = rows.select(*keys).withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
+    full = bucketed.groupBy("_bucket").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    full, seen = materialize_with(full.select("_bucket"), "full", F.count("*").alias("n"))
+    if not seen["n"]:
+        return None
+    counted = bucketed.join(full, "_bucket", "left_semi").groupBy(F.struct(*keys).alias("key"))
+    counts = counted.agg(F.count("*").alias("n")).where(F.col("n") > limit)
     hot, seen = materialize_with(counts.select("key"), "hot", F.count("*").alias("n"))
     return hot if seen["n"] else None
 

@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.operators.baskets import to_baskets
+from basketry.operators.baskets import hot_keys, to_baskets
 from basketry.operators.clustering import count_vectors
 from basketry.operators.recommend import last_transaction
 from basketry.plans import scratch
@@ -60,3 +60,10 @@ def test_small_shares_leave_the_session_as_it_was(spark):
             raise ValueError
     assert (spark.conf.get(ADVISED), spark.conf.get("spark.sql.shuffle.partitions")) == (before, parts)
     assert [scratch._n_bytes(x) for x in ("8m", "67108864b", "64MB", "12")] == [8 << 20, 64 << 20, 64 << 20, 12]
+
+
+def test_keys_are_counted_only_where_a_bucket_is_full(spark):
+    rows = spark.range(100, numPartitions=1).select((F.col("id") % 20).alias("tid"))
+    before = _tables(spark)
+    assert hot_keys(rows, ["tid"], 50) is None
+    assert {p.name.rsplit("-", 1)[0] for p in _tables(spark) - before} == {"full"}
