@@ -66,7 +66,7 @@ def _frequent(
         return level, seen["n"]
     # at most half of tau baskets are wide, so tau - n_wide narrow ones hold the itemset
     candidates = materialize(counts.where(F.col("support") >= tau - n_wide), "candidates")
-    extra = itemset_support(wide, candidates, supports=supports).withColumnRenamed("support", "extra")
+    extra = itemset_support(wide, candidates, supports=supports, width=0).withColumnRenamed("support", "extra")
     total = candidates.join(extra, "items").select("items", (F.col("support") + F.col("extra")).alias("support"))
     level, seen = materialize_with(total.where(F.col("support") >= tau), "level", size)
     return level, seen["n"]

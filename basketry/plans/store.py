@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import canonical
 from basketry.operators.baskets import GATHER, basket_items, gather, hot_keys, split_hot, tid_column
-from basketry.plans.scratch import materialize, materialize_with
+from basketry.plans.scratch import materialize, materialize_with, small_shares
 
 WIDTH = 64  # items a basket may hold before it is treated as wide
 
@@ -45,34 +45,39 @@ class BasketStore:
 def prepare(baskets: DataFrame, tid: str | Sequence[str] = "tid", width: int = WIDTH, limit: int = GATHER) -> BasketStore:
     """Split ``baskets`` (item rows or item arrays) and count each item once.
 
-    Transactions of more than ``limit`` rows are never gathered.
+    Transactions of more than ``limit`` rows are never gathered.  The others are
+    in small shares, so what a task sorts does not grow with the input.
     """
-    scattered = None
+    spark = baskets.sparkSession
+    scattered, n_rows = None, 0
     if "items" in baskets.columns:
         gathered = baskets.select(tid_column(tid).alias("tid"), canonical("items").alias("items"))
         gathered = gathered.where(F.size("items") > 0)
     else:
-        rows = materialize(basket_items(baskets, tid), "item-rows")
-        hot = hot_keys(rows, ["tid"], limit)
-        if hot is not None:
-            rows, few = split_hot(rows, ["tid"], hot)
-            scattered = materialize(few, "scattered")
-        gathered = gather(rows, ["tid"])
-    table, seen = materialize_with(
-        gathered, "baskets", F.count("*").alias("n"), F.count_if(F.size("items") > width).alias("wide")
-    )
-    total, n_wide = seen["n"], seen["wide"]
-    narrow, wide = table, scattered
-    if n_wide:
-        narrow = table.where(F.size("items") <= width)
-        unfolded = table.where(F.size("items") > width).select("tid", F.explode("items").alias("item"))
-        wide = materialize(unfolded if scattered is None else unfolded.unionByName(scattered), "wide")
-    if scattered is not None:
-        n_hot = scattered.select("tid").distinct().count()
-        total, n_wide = total + n_hot, n_wide + n_hot
-    store = BasketStore(narrow, wide, n_wide, total, narrow, 0, width)
-    counts = store.item_rows().groupBy("item").agg(F.count("*").alias("support"))
-    store.supports, seen = materialize_with(counts, "supports", F.count("*").alias("n"))
+        with small_shares(spark):  # the rows may come from joins that sort all they get
+            rows, seen = materialize_with(basket_items(baskets, tid), "item-rows", F.count("*").alias("n"))
+            hot, n_rows = hot_keys(rows, ["tid"], limit), seen["n"]
+        with small_shares(spark, n_rows):
+            if hot is not None:
+                rows, few = split_hot(rows, ["tid"], hot)
+                scattered = materialize(few, "scattered")
+            gathered = gather(rows, ["tid"])
+    with small_shares(spark, n_rows):
+        table, seen = materialize_with(
+            gathered, "baskets", F.count("*").alias("n"), F.count_if(F.size("items") > width).alias("wide")
+        )
+        total, n_wide = seen["n"], seen["wide"]
+        narrow, wide = table, scattered
+        if n_wide:
+            narrow = table.where(F.size("items") <= width)
+            unfolded = table.where(F.size("items") > width).select("tid", F.explode("items").alias("item"))
+            wide = materialize(unfolded if scattered is None else unfolded.unionByName(scattered), "wide")
+        if scattered is not None:
+            n_hot = scattered.select("tid").distinct().count()
+            total, n_wide = total + n_hot, n_wide + n_hot
+        store = BasketStore(narrow, wide, n_wide, total, narrow, 0, width)
+        counts = store.item_rows().groupBy("item").agg(F.count("*").alias("support"))
+        store.supports, seen = materialize_with(counts, "supports", F.count("*").alias("n"))
     store.n_items = seen["n"]
     return store
 

@@ -7,7 +7,7 @@ import pytest
 
 from basketry.operators.redundancy import drop_redundant
 from basketry.operators.rules import generate_rules
-from basketry.operators.support import itemset_support
+from basketry.operators.support import held_by_narrow, itemset_support
 from basketry.plans.mining import frequent_itemsets, mine, pair_support, top_k_nr_rules, top_k_rules
 from tests import brute
 
@@ -135,6 +135,28 @@ def test_itemset_support(spark):
     assert found == {w: sum(set(w) <= b for b in baskets) for w in wanted}
 
 
+@pytest.mark.parametrize("width", [0, 1, 3, 64])
+def test_itemset_support_of_narrow_and_wide_baskets(spark, width):
+    baskets = random_baskets(15, n=40, hot=2)
+    wanted = [w for n in range(5) for w in combinations(range(10), n)]
+    df = spark.createDataFrame([(list(w),) for w in wanted], "items array<bigint>")
+    rows = item_rows(spark, baskets).selectExpr("tid", "cast(item AS int) AS item")
+    arrays = spark.createDataFrame([(t, [*b, *b, None]) for t, b in enumerate(baskets)], "tid bigint, items array<bigint>")
+    for given in (rows.unionByName(rows), arrays):
+        found = {tuple(r["items"]): r.support for r in itemset_support(given, df, width=width).collect()}
+        assert found == {w: sum(set(w) <= b for b in baskets) for w in wanted}
+
+
+def test_a_narrow_basket_found_goes_nowhere(spark):
+    """Before, each basket found by a set was exchanged once more for each other item of the set."""
+    narrow = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["a", "c"])], "tid bigint, items array<string>")
+    sets = [(0, 1, "a", []), (1, 2, "a", ["b"]), (2, 3, "b", ["a", "c"]), (3, 3, "a", ["b", "x"])]
+    held = held_by_narrow(narrow, spark.createDataFrame(sets, "no bigint, n int, item string, others array<string>"))
+    assert sorted(r.no for r in held.collect()) == [0, 0, 1, 2]
+    plan = held._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Aggregate" not in plan
+
+
 def test_edges(spark):
     empty = item_rows(spark, [])
     assert top_k_rules(empty.limit(0), 5, 0.5).count() == 0

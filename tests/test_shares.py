@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from basketry.operators.baskets import hot_keys, to_baskets
 from basketry.operators.clustering import count_vectors
 from basketry.operators.recommend import last_transaction
+from basketry.operators.support import itemset_support
 from basketry.plans import scratch
 
 ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -51,6 +52,17 @@ def test_keys_of_baskets_are_counted_in_small_shares(spark, monkeypatch):
     assert _most_rows(spark, "item-rows", before) <= 10
 
 
+def test_itemsets_are_looked_up_in_small_shares(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "SHARE_ROWS", 10)
+    rows = spark.range(100, numPartitions=1).select((F.col("id") % 50).alias("tid"), (F.col("id") % 4).alias("item"))
+    given = spark.createDataFrame([([0, 2],), ([1],), ([0, 1],)], "items array<bigint>")
+    for more, label in (({}, "baskets"), ({"width": 0}, "item-rows")):
+        before = _tables(spark)
+        found = itemset_support(rows, given, **more)
+        assert {tuple(r["items"]): r.support for r in found.collect()} == {(0, 2): 25, (1,): 25, (0, 1): 0}
+        assert _most_rows(spark, label, before) <= 10
+
+
 def test_small_shares_leave_the_session_as_it_was(spark):
     before, parts = spark.conf.get(ADVISED), spark.conf.get("spark.sql.shuffle.partitions")
     with pytest.raises(ValueError):
