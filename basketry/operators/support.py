@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.itemsets import canonical
 from basketry.operators.baskets import distinct_items, tid_column
+from basketry.plans import scratch
 from basketry.plans.scratch import materialize, small_shares
 from basketry.plans.store import WIDTH, prepare
 
@@ -80,14 +81,16 @@ def itemset_support(
             narrow, wide = None, materialize(distinct_items(baskets, tid), "item-rows")
         supports = wide.groupBy("item").agg(F.count("*").alias("support")) if supports is None else supports
         every = wide.select("tid").distinct().agg(F.count("*").alias("support"))
+    held, n_found = [], 0
     with small_shares(spark):
         anchors = materialize(_anchors(sets, supports), "anchors")
-        held = [] if narrow is None else [held_by_narrow(narrow, anchors)]
+        if narrow is not None:
+            held.append(held_by_narrow(narrow, anchors))
         if wide is not None:
             found = wide.groupBy("item").count().join(anchors.groupBy("item").agg(F.count("*").alias("sets")), "item")
-            found = found.agg(F.sum(F.col("count") * F.col("sets"))).first()[0] or 0
-            held.append(_held_by_wide(wide, anchors))
-    with small_shares(spark, found if wide is not None else 0):
+            n_found = found.agg(F.sum(F.col("count") * F.col("sets"))).first()[0] or 0
+            held.append(_held_by_wide(dealt(wide, n_found), anchors))
+    with small_shares(spark, n_found):
         counts = reduce(DataFrame.unionByName, held).groupBy("no").agg(F.count("*").alias("support"))
         counts = materialize(counts.join(sets, "no").select("items", "support"), "counts")
     empty = given.where(F.size("set") == 0).select(F.col("set").alias("items")).distinct()
@@ -123,6 +126,12 @@ def held_by_narrow(narrow: DataFrame, anchors: DataFrame) -> DataFrame:
     return found.where((F.col("n") <= 2) | (F.size(F.array_except(others, "items")) == 0)).select("no")
 
 
+def dealt(rows: DataFrame, n_found: int) -> DataFrame:
+    """Item rows over so many tasks that each, on average, finds a share of ``n_found``."""
+    n_tasks = -(-n_found // scratch.SHARE_ROWS)
+    return rows.repartition(n_tasks, "tid", "item") if n_tasks > 1 else rows
+
+
 def _held_by_wide(rows: DataFrame, anchors: DataFrame) -> DataFrame:
     """The same of baskets as item rows; sets go by number, of a pair the join itself says that a basket holds it."""
     found = anchors.join(rows, "item")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from basketry.operators.baskets import hot_keys, to_baskets
 from basketry.operators.clustering import count_vectors
 from basketry.operators.recommend import last_transaction
-from basketry.operators.support import itemset_support
+from basketry.operators.support import dealt, itemset_support
 from basketry.plans import scratch
 
 ADVISED = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
@@ -63,6 +63,15 @@ def test_itemsets_are_looked_up_in_small_shares(spark, monkeypatch):
         assert _most_rows(spark, label, before) <= 10
 
 
+def test_wide_rows_are_dealt_by_what_they_find(spark, monkeypatch):
+    """Before, a task found as many rows as all sets make of a file's rows, however many those are."""
+    monkeypatch.setattr(scratch, "SHARE_ROWS", 10)
+    rows = spark.range(30).select(F.col("id").alias("tid"), (F.col("id") % 4).alias("item"))
+    assert dealt(rows, 10) is rows
+    shares = dealt(rows, 45)
+    assert shares.rdd.getNumPartitions() == 5 and sorted(r.tid for r in shares.collect()) == list(range(30))
+
+
 def test_small_shares_leave_the_session_as_it_was(spark):
     before, parts = spark.conf.get(ADVISED), spark.conf.get("spark.sql.shuffle.partitions")
     with pytest.raises(ValueError):
